@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import neardup, quality_classifier, quality_rules
+from . import bpe, neardup, quality_classifier, quality_rules
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_quality_classifier": quality_classifier.op2_quality_classifier,
         "op8_near_duplicates": neardup.op8_near_duplicates,
         "op9_quality_rules": quality_rules.op9_quality_rules,
+        "op10_bpe": bpe.op10_bpe,
     }
 
 
