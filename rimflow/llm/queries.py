@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, neardup, quality_classifier, quality_rules
+from . import bitpack, bpe, chat, mixing, neardup, quality_classifier, quality_rules, urlfilter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_mixing": mixing.op1_mixing,
         "op2_quality_classifier": quality_classifier.op2_quality_classifier,
+        "op3_chat": chat.op3_chat,
+        "op4_bitpack": bitpack.op4_bitpack,
+        "op5_url_filter": urlfilter.op5_url_filter,
         "op8_near_duplicates": neardup.op8_near_duplicates,
         "op9_quality_rules": quality_rules.op9_quality_rules,
         "op10_bpe": bpe.op10_bpe,
@@ -19,4 +23,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_chat": chat.OP3_SQL, "op5_url_filter": urlfilter.OP5_SQL}
