@@ -9,9 +9,13 @@ register of a bucket picked by a fixed hash sequence, so that small sets can be
 2. Bands of ROWS registers are bucketed. In each bucket every class is compared with the bucket's hub (its
    smallest id): first by sizes, then by the collision-corrected Jaccard estimate of the registers, and
    what remains is confirmed on the full sets. Links give components.
-3. A bucket whose classes all lie in one component is settled. In the others all pairs of classes of
-   different components are looked at, in blocks of BLOCK classes, on the registers alone and inside a
-   task; only pairs whose estimate allows a link are emitted, confirmed on the full sets and added.
+3. A bucket whose classes all lie in one component is settled. In the others the classes of different
+   components are compared on the registers alone, in blocks of BLOCK classes and inside a task, which emits
+   no more than one pair for each component that it joins: links, hub pairs and these give soft clusters.
+   Two classes that share a bucket and whose estimate allows a link are in the same soft cluster.
+4. In a soft cluster of more than one component, the classes outside the largest component are compared on the
+   full sets with all others, in pairs of blocks (products of 0/1 matrices); again a task emits only
+   the links that join components.
 
 So dense groups never emit their pairs, hot buckets are split into blocks, and no pair that shares a
 bucket and could join two components goes untested. Two sets at the threshold share no bucket with
@@ -31,7 +35,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .shared import keyed_filter, stored, table
 from .texthash import mix, word_hashes
@@ -42,7 +45,9 @@ BANDS = REGISTERS // ROWS
 MANTISSA = 10
 #: How far below the threshold an estimate may lie (about five standard deviations) before a pair is dropped.
 MARGIN = 0.16
-BLOCK = 512
+#: Classes of one side that are compared at once: on registers, on full sets.
+BLOCK = 2048
+BLOCK_SETS = 512
 
 _STEP = mix(np.arange(1, REGISTERS * 64 + 1, dtype=np.uint64)).reshape(64, REGISTERS) % np.uint64(REGISTERS)
 _SHIFT = np.uint64(32)
@@ -167,11 +172,16 @@ def _confirmed(percent: int):
     return run
 
 
+def _set_table(ids: DataFrame, docs: DataFrame) -> DataFrame:
+    """id, hashes: the full sets of the documents with these doc_ids."""
+    ids = stored(ids, "verify_ids")
+    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return stored(keyed_filter(narrow, ids, "doc_id", "left_semi").mapInArrow(_sets, "id long, hashes binary").dropDuplicates(["id"]), "sets")
+
+
 def _links(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of class ids that the full sets confirm."""
-    ids = stored(pairs.selectExpr("explode(array(a, b)) as doc_id").distinct(), "verify_ids")
-    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sets = stored(keyed_filter(narrow, ids, "doc_id", "left_semi").mapInArrow(_sets, "id long, hashes binary").dropDuplicates(["id"]), "sets")
+    sets = _set_table(pairs.selectExpr("explode(array(a, b)) as doc_id").distinct(), docs)
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("hashes").alias("ha")), "a").join(
         sets.select(F.col("id").alias("b"), F.col("hashes").alias("hb")), "b"
     )
@@ -205,42 +215,138 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     )
 
 
-def _block_pairs(floor: float, percent: int):
-    """Input sorted by (key, pair): the classes of two blocks of one bucket. Emits pairs across components that may be linked."""
+def _joined_up(comp: np.ndarray, ids: np.ndarray, x: int, others: np.ndarray, out: list[tuple[int, int]]) -> None:
+    """Records one pair for each component among others that is not yet x's, and gives it x's label."""
+    for y in others:
+        if comp[y] != comp[x]:
+            out.append((int(min(ids[x], ids[y])), int(max(ids[x], ids[y]))))
+            comp[comp == comp[y]] = comp[x]
+
+
+def _likely(rows: list, floor: float, percent: int, out: list[tuple[int, int]]) -> None:
+    """Pairs that join the components which estimates connect within one group of (side, id, n, comp, regs)."""
+    side = np.array([r[0] for r in rows])
+    i, j = np.flatnonzero(side != 2), np.flatnonzero(side != 1)  # 0: one block with itself
+    regs = np.frombuffer(b"".join(r[4] for r in rows), np.uint16).reshape(-1, REGISTERS)
+    ids, n, comp = (np.array([r[k] for r in rows], np.int64) for k in (1, 2, 3))
+    for x in i:
+        c = j[comp[j] != comp[x]]
+        c = c[100 * np.minimum(n[c], n[x]) >= percent * np.maximum(n[c], n[x])]
+        if len(c):
+            _joined_up(comp, ids, x, c[estimate((regs[c] == regs[x]).mean(axis=1)) >= floor], out)
+
+
+#: So many hashes are compared at once; more are taken in parts.
+AT_ONCE = 1 << 21
+
+
+def _common(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """The sizes of the intersections of each set of a with each of b, as products of 0/1 matrices."""
+    both = a + b
+    out = np.zeros((len(a), len(b)), np.float32)
+    value = np.concatenate(both)
+    doc = np.repeat(np.arange(len(both)), [len(s) for s in both])
+    order = np.argsort(value, kind="stable")
+    value, doc = value[order], doc[order]
+    first = np.r_[True, value[1:] != value[:-1]]
+    column = np.cumsum(first) - 1
+    often = np.bincount(column) > 1
+    keep = often[column]
+    doc, column = doc[keep], (np.cumsum(often) - 1)[column[keep]]
+    width = 4096
+    for at in range(0, int(often.sum()), width):
+        lo, hi = np.searchsorted(column, [at, at + width])
+        m = np.zeros((len(both), width), np.float32)
+        m[doc[lo:hi], column[lo:hi] - at] = 1
+        out += m[: len(a)] @ m[len(a) :].T
+    return out
+
+
+def _linked(rows: list, floor: float, percent: int, out: list[tuple[int, int]]) -> None:
+    """Pairs that join the components which links connect within one group of (side, id, n, comp, hashes)."""
+    side = np.array([r[0] for r in rows])
+    ids, n, comp = (np.array([r[k] for r in rows], np.int64) for k in (1, 2, 3))
+    sets = [np.frombuffer(r[4], np.uint64) for r in rows]
+
+    def parts(at: np.ndarray) -> list[np.ndarray]:
+        return np.split(at, np.flatnonzero(np.diff(np.cumsum(n[at]) // AT_ONCE)) + 1) if len(at) else []
 
-    def flush(rows: list, out: list) -> None:
-        side = np.array([r[0] for r in rows])
-        i, j = np.flatnonzero(side != 2), np.flatnonzero(side != 1)  # 0: one block with itself
-        regs = np.frombuffer(b"".join(r[4] for r in rows), np.uint16).reshape(-1, REGISTERS)
-        ids, n, comp = (np.array([r[k] for r in rows], np.int64) for k in (1, 2, 3))
-        for x in i:
-            c = j[(comp[j] != comp[x]) & ((side[x] != 0) | (j > x))]
-            c = c[100 * np.minimum(n[c], n[x]) >= percent * np.maximum(n[c], n[x])]
-            if len(c):
-                c = c[estimate((regs[c] == regs[x]).mean(axis=1)) >= floor]
-                out += [(min(ids[x], ids[y]), max(ids[x], ids[y])) for y in c]
+    for i in parts(np.flatnonzero(side != 2)):
+        for j in parts(np.flatnonzero(side != 1)):
+            both = _common([sets[k] for k in i], [sets[k] for k in j])
+            link = 100 * both >= percent * (n[i][:, None] + n[j][None, :] - both)
+            for x, row in zip(i, link, strict=True):
+                _joined_up(comp, ids, x, j[row], out)
+
+
+def _grouped(handle, floor: float, percent: int):
+    """Input sorted by its first two columns: handle gets the rest of the rows of each group."""
+
+    def made(out: list[tuple[int, int]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.int64()) for k in (0, 1)], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, rows, out = None, [], []
         for batch in batches:
-            cols = [c.to_pylist() for c in batch.columns]
-            for key, pair, *row in zip(*cols, strict=True):
+            for key, pair, *row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 if (key, pair) != at:
                     if rows:
-                        flush(rows, out)
+                        handle(rows, floor, percent, out)
                     at, rows = (key, pair), []
                 rows.append(row)
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array([int(p[k]) for p in out], pa.int64()) for k in (0, 1)], ["a", "b"])
-                out = []
+            yield made(out)
+            out = []
         if rows:
-            flush(rows, out)
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array([int(p[k]) for p in out], pa.int64()) for k in (0, 1)], ["a", "b"])
+            handle(rows, floor, percent, out)
+        yield made(out)
 
     return run
 
 
+def _pairs_of_blocks(member: DataFrame, block: int) -> DataFrame:
+    """key, pair, side, id, n, comp: who is to be compared with whom within each key.
+
+    Of a key's members (key, id, n, comp) those outside its largest component are compared with each other (side 0
+    in a block, else 1 and 2) and with the members of the largest, in blocks of `block`. Keys of one component are settled.
+    """
+    sizes = member.groupBy("key", "comp").agg(F.count("*").alias("c"))
+    main = sizes.groupBy("key").agg(F.max(F.struct("c", "comp")).alias("top"), F.sum("c").alias("m")).where("m > top.c")
+    main = main.selectExpr("key", "top.comp as main", "top.c as n_main", "m - top.c as n_rest")
+    member = member.join(main, "key")
+    n = {k: f"cast(ceil(n_{k} / {block}) as int)" for k in ("rest", "main")}
+    place = {k: f"cast(pmod(xxhash64(id), {v}) as int)" for k, v in n.items()}
+    dealt = member.selectExpr(
+        "key", "id", "n", "comp", "comp <> main as rest",
+        f"if(comp <> main, {place['rest']}, {place['main']}) as own",
+        # a member outside meets all blocks outside and, numbered after them, all of the largest component
+        f"explode(if(comp <> main, sequence(0, {n['rest']} + {n['main']} - 1), sequence(0, {n['rest']} - 1))) as other", f"{n['rest']} as n_blocks",
+    )
+    return dealt.selectExpr(
+        "key",
+        "case when not rest then concat_ws('x', other, own) when other >= n_blocks then concat_ws('x', own, other - n_blocks) "
+        "else concat_ws('-', least(own, other), greatest(own, other)) end as pair",
+        "case when not rest then 2 when other = own then 0 when other >= n_blocks or own < other then 1 else 2 end as side",
+        "id", "n", "comp",
+    )
+
+
+def _by_group(rows: DataFrame) -> DataFrame:
+    return rows.repartition("key", "pair").sortWithinPartitions("key", "pair")
+
+
+def _across(soft: DataFrame, comp: DataFrame, classes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """Links between the components of each soft cluster (id, key), looked for on the full sets.
+
+    The members outside the cluster's largest component are compared with each other and with those of the
+    largest, block by block; of the links found in a block only those that join components are returned.
+    """
+    member = soft.join(comp, "id", "left").selectExpr("key", "id", "coalesce(comp, id) as comp")
+    rows = stored(_pairs_of_blocks(member.join(classes.select("id", "n"), "id"), BLOCK_SETS), "members")
+    rows = rows.join(_set_table(rows.selectExpr("id as doc_id").distinct(), docs), "id")
+    rows = _by_group(rows.select("key", "pair", "side", "id", "n", "comp", "hashes"))
+    return rows.mapInArrow(_grouped(_linked, 0.0, percent), "a long, b long").distinct()
+
+
 def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of docs; links are 100 * both >= percent * either."""
     floor = percent / 100 - MARGIN
@@ -261,20 +367,12 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     comp = components(links)
 
     labelled = shared.where("m > 2").join(comp, "id", "left").selectExpr("key", "id", "n", "coalesce(comp, id) as comp")
-    labelled = stored(labelled, "labelled")
-    # what is left of a bucket: more than one component, and some pair of fitting sizes is possible
-    open_keys = labelled.groupBy("key").agg(F.count("*").alias("m"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1")
-    blocks = f"cast(ceil(m / {BLOCK}) as int)"
-    rest = labelled.join(open_keys.select("key", "m"), "key").withColumn("own", F.expr(f"cast(pmod(xxhash64(id), {blocks}) as int)"))
-    rest = rest.select("key", "id", "n", "comp", "own", F.explode(F.expr(f"sequence(0, {blocks} - 1)")).alias("other"))
-    rest = rest.selectExpr(
-        "key", "id", "n", "comp", "concat_ws('-', least(own, other), greatest(own, other)) as pair",
-        "case when own = other then 0 when own < other then 1 else 2 end as side",
-    ).join(regs, "id")
-    rest = rest.select("key", "pair", "side", "id", "n", "comp", "regs").repartition("key", "pair").sortWithinPartitions("key", "pair")
-    more = stored(rest.mapInArrow(_block_pairs(floor, percent), "a long, b long").distinct(), "across")
-    if more.limit(1).count():
-        comp = components(links.union(_links(more, docs, percent)))
+    rest = _pairs_of_blocks(stored(labelled, "labelled"), BLOCK).join(regs, "id")
+    rest = _by_group(rest.select("key", "pair", "side", "id", "n", "comp", "regs"))
+    likely = stored(rest.mapInArrow(_grouped(_likely, floor, percent), "a long, b long").distinct(), "likely")
+    if likely.limit(1).count():
+        soft = components(links.union(stars).union(likely)).withColumnRenamed("comp", "key")
+        comp = components(links.union(_across(soft, comp, classes, docs, percent)))
 
     rep = classes.select("class_key", "id").join(comp, "id", "left").select("class_key", F.coalesce("comp", "id").alias("component"))
     found = all_docs.select("doc_id", "n_shingles", "class_key").join(rep, "class_key", "left")
