@@ -3,14 +3,16 @@
 Documents are split at ASCII white space into words, which the tokenizer encodes independently of one
 another (its normaliser collapses white space and its splitter never joins two words).
 
-1. A task gathers documents into chunks of about CHUNK bytes. Of a chunk it emits its distinct words with
-   their numbers in it (rows "word"), and its documents as sequences of such numbers (rows "text").
-2. Rows "word" are dealt out by word and sorted, so that each distinct word of the corpus is encoded exactly once.
-3. The ids go back to (chunk, number), where the documents of the chunk take them up by position.
+1. A task gathers documents into chunks of about CHUNK bytes and numbers a chunk's distinct words by frequency. It
+   emits the chunk's documents as sequences of these numbers (rows "text") and its distinct words dealt out
+   into buckets by a hash of the word, one row for each bucket (rows "word").
+2. All rows "word" of a bucket come to one task, which encodes each distinct word of the corpus exactly once.
+   There is a bucket for every BUCKET_BYTES of text, so a bucket's words fit a task at any size.
+3. The ids go back to their chunk in the order in which the words came, where documents take them up by position.
 4. Decoding joins ids with the table of pieces, which has as many rows as the vocabulary.
 
-What is shuffled is the word numbers of the texts (two or three bytes a word) and each chunk's distinct words;
-no row is made for each word of a text. A chunk's key is a digest of its texts, so a task that runs again
+What is shuffled is the word numbers of the texts (a byte or two a word, compressed) and each chunk's distinct words;
+no row is made for each word of a text. A chunk's key is a digest of its documents, so a task that runs again
 makes the same rows; a chunk that misses any of its words stops the job instead of giving a wrong result.
 
 Defined results: null and empty texts have no ids and decode to an empty text; repeated rows each give a row;
@@ -22,16 +24,20 @@ from __future__ import annotations
 
 import hashlib
 import json
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import table
 
-CHUNK = 12 << 20
+CHUNK = 16 << 20
+BUCKET_BYTES = 16 << 20
+MIN_BUCKETS = 64
 TOKENIZER = "word_bpe_49k.json"
 
 
@@ -62,98 +68,112 @@ def pieces_of(path: str) -> list[str]:
     return out
 
 
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[bytes]]]:
-    ids, texts, size = [], [], 0
-    for batch in batches:
-        for i, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            raw = (x.as_py() or "").encode("utf-8", "surrogatepass")
-            ids.append(i)
-            texts.append(raw)
-            size += len(raw) + 16
-            if size >= CHUNK:
-                yield ids, texts
-                ids, texts, size = [], [], 0
-    if ids:
-        yield ids, texts
-
-
-def _digest(ids: list, texts: list[bytes]) -> int:
-    h = hashlib.blake2b(repr(ids).encode(), digest_size=8)
-    for t in texts:
-        h.update(len(t).to_bytes(8, "little"))
-        h.update(t)
-    return int.from_bytes(h.digest(), "little", signed=True)
-
-
-def _numbered(texts: list[bytes]) -> tuple[dict[bytes, int], list[np.ndarray]]:
-    number: dict[bytes, int] = {}
-    docs = []
-    for t in texts:
-        words = t.split()
+class _Chunk:
+    """Documents as sequences of numbers of their distinct words."""
+
+    def __init__(self) -> None:
+        self.size, self.ids, self.docs, self.number = 0, [], [], {}
+        self.hash = hashlib.blake2b(digest_size=8)
+
+    def add(self, doc_id: int | None, text: str | None) -> None:
+        raw = (text or "").encode("utf-8", "surrogatepass")
+        number = self.number
+        words = raw.split()
         for w in words:
             if w not in number:
                 number[w] = len(number)
-        docs.append(np.fromiter(map(number.__getitem__, words), np.uint32, len(words)))
-    return number, docs
+        self.docs.append(np.fromiter(map(number.__getitem__, words), np.uint32, len(words)))
+        self.ids.append(doc_id)
+        self.hash.update(f"{doc_id} {len(raw)} ".encode())
+        self.hash.update(raw)
+        self.size += len(raw) + 16
+
+    def ranked(self, buckets: int) -> tuple[np.ndarray, list[bytes], np.ndarray]:
+        """Word numbers of all documents, the words in the order of their numbers, and their buckets; frequent words first."""
+        flat = np.concatenate(self.docs) if self.docs else np.empty(0, np.uint32)
+        order = np.argsort(-np.bincount(flat, minlength=len(self.number)), kind="stable") if len(self.number) else np.empty(0, np.int64)
+        rank = np.empty(len(order), np.uint32)
+        rank[order] = np.arange(len(order), dtype=np.uint32)
+        words = list(self.number)
+        words = [words[k] for k in order.tolist()]
+        bucket = np.fromiter((zlib.crc32(w) % buckets for w in words), np.uint32, len(words))
+        return rank[flat], words, bucket
+
+    @property
+    def key(self) -> int:
+        return int.from_bytes(self.hash.digest(), "little", signed=True)
+
+
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[_Chunk]:
+    chunk = _Chunk()
+    for batch in batches:
+        for i, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            chunk.add(i, x.as_py())
+            if chunk.size >= CHUNK:
+                yield chunk
+                chunk = _Chunk()
+    if chunk.ids:
+        yield chunk
 
 
-def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for ids, texts in _chunks(batches):
-        number, _ = _numbered(texts)
-        key = _digest(ids, texts)
-        n = len(number)
-        if n:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(n, key)), pa.array(np.arange(n, dtype=np.int32)), pa.array(list(number), pa.binary())],
-                ["chunk", "number", "word"],
-            )
+def _squeezed(a: np.ndarray) -> bytes:
+    """uint32 numbers as four byte planes, compressed: the planes of the higher bytes are mostly zeros."""
+    return zstandard.compress(a.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 3)
+
 
+def _spread(b: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zstandard.decompress(b), np.uint8).reshape(4, -1).T).view("<u4").reshape(-1)
 
-def _packed(a: np.ndarray) -> bytes:
-    """Three byte planes one after another: the high plane is mostly zeros, which the shuffle's codec removes."""
-    return a.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3].T.tobytes()
 
+def _words(buckets: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk in _chunks(batches):
+            _, words, bucket = chunk.ranked(buckets)
+            dealt: dict[int, list[bytes]] = {}
+            for w, b in zip(words, bucket.tolist(), strict=True):
+                dealt.setdefault(b, []).append(w)
+            rows = [(chunk.key, b, zstandard.compress(b"\n".join(ws), 3)) for b, ws in dealt.items()]
+            cols = list(zip(*rows, strict=True)) or [[], [], []]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.binary()), strict=True)], ["chunk", "bucket", "words"])
 
-def _unpacked(b: bytes) -> np.ndarray:
-    planes = np.frombuffer(b, np.uint8).reshape(3, -1).astype(np.uint32)
-    return planes[0] | planes[1] << 8 | planes[2] << 16
+    return run
 
 
-def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for ids, texts in _chunks(batches):
-        number, docs = _numbered(texts)
-        if len(number) >= 1 << 24:
-            raise ValueError("a chunk has more than 2**24 distinct words")
-        all_numbers = np.concatenate(docs) if docs else np.empty(0, np.uint32)
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array([_digest(ids, texts)], pa.int64()),
-                pa.array([len(number)], pa.int64()),
-                pa.array([ids], pa.list_(pa.int64())),
-                pa.array([[len(d) for d in docs]], pa.list_(pa.int64())),
-                pa.array([_packed(all_numbers)], pa.binary()),
-            ],
-            ["chunk", "n_distinct", "ids", "n_words", "numbers"],
-        )
+def _texts(buckets: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk in _chunks(batches):
+            flat, _, bucket = chunk.ranked(buckets)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([chunk.key], pa.int64()),
+                    pa.array([chunk.ids], pa.list_(pa.int64())),
+                    pa.array([_squeezed(np.array([len(d) for d in chunk.docs], np.uint32))], pa.binary()),
+                    pa.array([_squeezed(flat)], pa.binary()),
+                    pa.array([_squeezed(bucket)], pa.binary()),
+                ],
+                ["chunk", "ids", "n_words", "numbers", "buckets"],
+            )
+
+    return run
 
 
 def _encoded(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Input sorted by word: every run of equal words is encoded once."""
+        """Input sorted by bucket: every word of a bucket is encoded once."""
         t = load(path)
-        last_word, last_ids = None, b""
+        at, known = None, {}
         for batch in batches:
-            words = batch.column(2).to_pylist()
-            new = list(dict.fromkeys(w for w in words if w != last_word))
-            got = t.encode_batch([w.decode("utf-8", "surrogatepass") for w in new], add_special_tokens=False) if new else []
-            ids = {w: np.array(e.ids, "<u2").tobytes() for w, e in zip(new, got, strict=True)}
-            if last_word is not None:
-                ids[last_word] = last_ids
-            if words:
-                last_word, last_ids = words[-1], ids[words[-1]]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array([ids[w] for w in words], pa.binary())], ["chunk", "number", "ids"]
-            )
+            out = []
+            for bucket, blob in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if bucket != at:
+                    at, known = bucket, {}
+                words = zstandard.decompress(blob).split(b"\n")
+                new = [w for w in words if w not in known]
+                got = t.encode_batch([w.decode("utf-8", "surrogatepass") for w in new], add_special_tokens=False)
+                known.update((w, np.array(e.ids, "<u4")) for w, e in zip(new, got, strict=True))
+                ids = [known[w] for w in words]
+                out.append(zstandard.compress(np.array([len(x) for x in ids], "<u4").tobytes() + np.concatenate(ids).tobytes(), 3))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], ["chunk", "bucket", "ids"])
 
     return run
 
@@ -164,20 +184,24 @@ def _joined(path: str, full: bool):
 
     def run(_key, left: pa.Table, right: pa.Table) -> pa.Table:
         out: dict[str, list] = {"doc_id": [], "n_tokens": []} | ({"ids": []} if full else {"ids_sha256": []}) | ({"decoded": []} if full else {"decoded_sha256": []})
-        if left.num_rows and (n := left["n_distinct"][0].as_py()):
-            number = right["number"].to_numpy()
-            order = np.argsort(number, kind="stable")
-            first = np.r_[True, np.diff(number[order]) > 0] if len(order) else np.empty(0, bool)
-            order = order[first]  # a chunk that occurs twice sends each word twice
-            if len(order) != n:
-                raise RuntimeError(f"a chunk has {n} distinct words but {len(order)} came back; its input differs from one evaluation to the next")
-            words = right["ids"].combine_chunks().take(pa.array(order))
-            sizes = np.array([len(x) // 2 for x in words.to_pylist()], np.int64)
-            flat = np.frombuffer(b"".join(words.to_pylist()), "<u2")
-            begin = np.cumsum(sizes) - sizes
+        if left.num_rows:
+            bucket = _spread(left["buckets"][0].as_py())
+            blobs = dict(zip(right["bucket"].to_pylist(), right["ids"].to_pylist(), strict=True))  # equal chunks send equal rows
+            sizes_in, flat_in = [], []
+            for b, n in zip(*np.unique(bucket, return_counts=True), strict=True):
+                if int(b) not in blobs:
+                    raise RuntimeError("words of a chunk did not come back: its input differs from one evaluation to the next")
+                got = np.frombuffer(zstandard.decompress(blobs[int(b)]), "<u4")
+                sizes_in.append(got[:n])
+                flat_in.append(got[n:])
+            flat = np.concatenate(flat_in) if flat_in else np.empty(0, np.uint32)
+            in_order = np.argsort(bucket, kind="stable")
+            sizes, begin = np.zeros(len(bucket), np.int64), np.zeros(len(bucket), np.int64)
+            sizes[in_order] = np.concatenate(sizes_in) if sizes_in else []
+            begin[in_order] = np.cumsum(sizes[in_order]) - sizes[in_order]
         for row in range(left.num_rows):
-            ids, counts = left["ids"][row].as_py(), left["n_words"][row].as_py()
-            numbers, at = _unpacked(left["numbers"][row].as_py()), 0
+            ids, counts = left["ids"][row].as_py(), _spread(left["n_words"][row].as_py()).tolist()
+            numbers, at = _spread(left["numbers"][row].as_py()), 0
             for doc, k in zip(ids, counts, strict=True):
                 w = numbers[at : at + k]
                 at += k
@@ -186,7 +210,7 @@ def _joined(path: str, full: bool):
                     ends = np.cumsum(each)
                     mine = flat[np.arange(ends[-1]) + np.repeat(begin[w] - ends + each, each)]
                 else:
-                    mine = np.empty(0, "<u2")
+                    mine = np.empty(0, np.uint32)
                 text = " ".join(names[mine].tolist())
                 out["doc_id"].append(doc)
                 out["n_tokens"].append(len(mine))
@@ -209,9 +233,11 @@ def bpe(docs: DataFrame, path: str | None = None, full: bool = True) -> DataFram
     """
     path = path or tokenizer_path()
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    words = narrow.mapInArrow(_words, "chunk long, number int, word binary").repartition("word").sortWithinPartitions("word")
-    ids = words.mapInArrow(_encoded(path), "chunk long, number int, ids binary")
-    texts = narrow.mapInArrow(_texts, "chunk long, n_distinct long, ids array<long>, n_words array<long>, numbers binary")
+    size = narrow.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(MIN_BUCKETS, -(-size // BUCKET_BYTES))
+    words = narrow.mapInArrow(_words(buckets), "chunk long, bucket long, words binary").repartition("bucket").sortWithinPartitions("bucket")
+    ids = words.mapInArrow(_encoded(path), "chunk long, bucket long, ids binary")
+    texts = narrow.mapInArrow(_texts(buckets), "chunk long, ids array<long>, n_words binary, numbers binary, buckets binary")
     run, schema = _joined(path, full)
     return texts.groupBy("chunk").cogroup(ids.groupBy("chunk")).applyInArrow(run, schema)
 
