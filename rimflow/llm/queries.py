@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bitpack, bpe, chat, mixing, neardup, quality_classifier, quality_rules, urlfilter
+from . import bitpack, bpe, chat, fingerprint, mixing, neardup, quality_classifier, quality_rules, sharding, urlfilter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_chat": chat.op3_chat,
         "op4_bitpack": bitpack.op4_bitpack,
         "op5_url_filter": urlfilter.op5_url_filter,
+        "op6_sharding": sharding.op6_sharding,
+        "op7_fingerprint": fingerprint.op7_fingerprint,
         "op8_near_duplicates": neardup.op8_near_duplicates,
         "op9_quality_rules": quality_rules.op9_quality_rules,
         "op10_bpe": bpe.op10_bpe,
@@ -23,4 +25,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_chat": chat.OP3_SQL, "op5_url_filter": urlfilter.OP5_SQL}
+    return {"op3_chat": chat.OP3_SQL, "op5_url_filter": urlfilter.OP5_SQL, "op7_fingerprint": fingerprint.OP7_SQL}
