@@ -31,6 +31,7 @@ BINS = 1024
 TOLERANCE = 0.01
 #: Rows numbered together when slots are given out.
 SLOT_ROWS = 20_000
+FILE_ROWS = 20_000
 DIMS = ("d_size", "d_lang", "d_source", "d_doc")
 _TIE = 1 << 20
 
@@ -51,7 +52,7 @@ def points(docs: DataFrame, leaf_bytes: float | None, leaves: int | None) -> tup
         F.sum("size").alias("weight"), F.min(F.struct("doc_id", "d_lang", "d_source")).alias("first"), F.max("size").alias("d_size"), F.count("*").alias("n")
     )
     groups = stored(groups, "groups")
-    total = groups.agg(F.sum("weight")).first()[0] or 0
+    total, n_rows = (x or 0 for x in groups.agg(F.sum("weight"), F.sum("n")).first())
     n = leaves or max(1, math.ceil(total / leaf_bytes))
     most = max(1.0, TOLERANCE * total / n)
     dims = groups.select("group", "d_size", "first.d_lang", "first.d_source", F.col("first.doc_id").alias("d_doc"), F.ceil(F.col("weight") / most).alias("parts"))
@@ -59,7 +60,8 @@ def points(docs: DataFrame, leaf_bytes: float | None, leaves: int | None) -> tup
     part = F.when(F.col("parts") > 1, F.pmod(F.xxhash64("doc_id"), F.col("parts"))).otherwise(0)
     tie = F.pmod(F.xxhash64("group", part), F.lit(_TIE))
     keys = [(F.coalesce(d, F.lit(0)) * _TIE + tie).alias(d) for d in DIMS]
-    return stored(joined.select("doc_id", "size", "text_crc32", *keys), "points"), total, n
+    # the table is read some twenty times: no more files than its rows are worth
+    return stored(joined.select("doc_id", "size", "text_crc32", *keys).coalesce(1 + n_rows // FILE_ROWS), "points"), total, n
 
 
 class Node:
