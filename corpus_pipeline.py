@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from rimflow.llm.bpe import encode_stage
+from rimflow.llm.mixing import mix_stage
 from rimflow.llm.neardup import keep_one_of_each
 from rimflow.llm.quality_classifier import keep_by_classifier
 from rimflow.llm.quality_rules import keep_by_rules
@@ -17,6 +19,8 @@ STAGES = [
     ("quality rules", keep_by_rules),
     ("quality classifier", keep_by_classifier),
     ("near duplicates", keep_one_of_each),
+    ("mixing", mix_stage),
+    ("bpe", encode_stage),
 ]
 
 #: No SQL for run(): the classifier, the sketches and the tokenizer are beyond it; tests use brute-force versions.

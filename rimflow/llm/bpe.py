@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -48,6 +49,7 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 
 
 def load(path: str):
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; the library would start a thread for each of the machine
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
@@ -178,12 +180,23 @@ def _encoded(path: str):
     return run
 
 
-def _joined(path: str, full: bool):
+def _joined(path: str, want: tuple[str, ...]):
     names = np.array(pieces_of(path), object)
     decimal = np.array([str(i) for i in range(len(names))], object)
 
+    def decoded(ids: np.ndarray) -> str:
+        """The join of ids with the table of pieces; this tokenizer has no decoder, so pieces are parted by spaces."""
+        return " ".join(names[ids].tolist())
+
+    text_of = {
+        "ids_sha256": lambda ids: hashlib.sha256(" ".join(decimal[ids].tolist()).encode()).hexdigest(),
+        "decoded": decoded,
+        "decoded_sha256": lambda ids: hashlib.sha256(decoded(ids).encode("utf-8", "surrogatepass")).hexdigest(),
+    }
+
     def run(_key, left: pa.Table, right: pa.Table) -> pa.Table:
-        out: dict[str, list] = {"doc_id": [], "n_tokens": []} | ({"ids": []} if full else {"ids_sha256": []}) | ({"decoded": []} if full else {"decoded_sha256": []})
+        docs: list = []
+        coded: list[np.ndarray] = []
         if left.num_rows:
             bucket = _spread(left["buckets"][0].as_py())
             blobs = dict(zip(right["bucket"].to_pylist(), right["ids"].to_pylist(), strict=True))  # equal chunks send equal rows
@@ -211,23 +224,22 @@ def _joined(path: str, full: bool):
                     mine = flat[np.arange(ends[-1]) + np.repeat(begin[w] - ends + each, each)]
                 else:
                     mine = np.empty(0, np.uint32)
-                text = " ".join(names[mine].tolist())
-                out["doc_id"].append(doc)
-                out["n_tokens"].append(len(mine))
-                if full:
-                    out["ids"].append(mine.tolist())
-                    out["decoded"].append(text)
-                else:
-                    out["ids_sha256"].append(hashlib.sha256(" ".join(decimal[mine].tolist()).encode()).hexdigest())
-                    out["decoded_sha256"].append(hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest())
-        kinds = {"doc_id": pa.int64(), "n_tokens": pa.int64(), "ids": pa.list_(pa.int32())}
-        return pa.table({k: pa.array(v, kinds.get(k, pa.string())) for k, v in out.items()})
+                docs.append(doc)
+                coded.append(mine)
+        out = {"doc_id": pa.array(docs, pa.int64()), "n_tokens": pa.array([len(x) for x in coded], pa.int64())}
+        for name in want:
+            if name == "ids":
+                offsets = np.concatenate([[0], np.cumsum([len(x) for x in coded])]).astype(np.int32)
+                out[name] = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(coded).astype(np.int32) if coded else np.empty(0, np.int32)))
+            else:
+                out[name] = pa.array([text_of[name](x) for x in coded], pa.string())
+        return pa.table(out)
 
-    return run, ("doc_id long, n_tokens long, " + ("ids array<int>, decoded string" if full else "ids_sha256 string, decoded_sha256 string"))
+    return run, ", ".join(["doc_id long", "n_tokens long", *[f"{x} array<int>" if x == "ids" else f"{x} string" for x in want]])
 
 
-def bpe(docs: DataFrame, path: str | None = None, full: bool = True) -> DataFrame:
-    """doc_id and n_tokens, with ids and the text decoded from them, or the digests of both (full=False).
+def bpe(docs: DataFrame, want: tuple[str, ...] = ("ids", "decoded"), path: str | None = None) -> DataFrame:
+    """doc_id, n_tokens and what is wanted of: ids, ids_sha256, decoded (the text decoded from the ids), decoded_sha256.
 
     docs is evaluated twice and must come out alike both times: a scan of files, a stored or a checkpointed table.
     """
@@ -238,14 +250,14 @@ def bpe(docs: DataFrame, path: str | None = None, full: bool = True) -> DataFram
     words = narrow.mapInArrow(_words(buckets), "chunk long, bucket long, words binary").repartition("bucket").sortWithinPartitions("bucket")
     ids = words.mapInArrow(_encoded(path), "chunk long, bucket long, ids binary")
     texts = narrow.mapInArrow(_texts(buckets), "chunk long, ids array<long>, n_words binary, numbers binary, buckets binary")
-    run, schema = _joined(path, full)
+    run, schema = _joined(path, want)
     return texts.groupBy("chunk").cogroup(ids.groupBy("chunk")).applyInArrow(run, schema)
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe(table(spark, sf_dir, "documents"), full=False)
+    return bpe(table(spark, sf_dir, "documents"), ("ids_sha256", "decoded_sha256"))
 
 
 def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str | None = None) -> DataFrame:
     """doc_id, n_tokens and the ids of every document."""
-    return bpe(docs).select("doc_id", "n_tokens", "ids")
+    return bpe(docs, ("ids",))
