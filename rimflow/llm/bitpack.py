@@ -21,7 +21,10 @@ Defined results: null and empty texts are the end id alone; repeated doc_ids sta
 
 from __future__ import annotations
 
+import functools
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,8 +39,8 @@ from .shared import shared_dir, table
 TOKENIZER = "byte_bpe_50k.json"
 END = 0
 BLOCK_IDS = 1 << 17
-#: Words of which a task keeps the ids; beyond that the table starts anew.
-KNOWN = 400_000
+#: Parts of texts of which a generation keeps the ids.
+KNOWN = 250_000
 
 BLOCK_SCHEMA = "file_no int, block_no int, first long, width int, doc_ids array<long>, offsets array<long>, ids binary"
 
@@ -71,47 +74,55 @@ def document_ids(block: dict, doc_id: int) -> np.ndarray:
     return unpack(block["ids"], block["width"], block["offsets"][k], block["offsets"][k + 1])
 
 
+class _Known(dict):
+    """Parts of texts and their packed ids; a part that is not there is taken over from the older ones or encoded."""
+
+    def __init__(self, lib, kind: str, older: dict[str, bytes]):
+        super().__init__()
+        self.lib, self.kind, self.older = lib, kind, older
+
+    def __missing__(self, part: str) -> bytes:
+        ids = self.older.get(part)
+        if ids is None:
+            ids = array(self.kind, self.lib.encode(part, add_special_tokens=False).ids).tobytes()
+        self[part] = ids
+        return ids
+
+
 class Encoder:
-    """The tokenizer's ids of whole texts, with every different word encoded once.
+    """The tokenizer's ids of whole texts, with parts that occur again encoded once.
 
     The byte-level tokenizer first cuts a text by a pattern and then encodes each part by itself. For texts of
     Latin letters, ASCII and common white space that pattern is reproduced here with the re module, and the
-    library encodes only parts that this task has not met. All other texts, and those in which
-    a special token's string occurs, go to the library whole.
+    library encodes only parts that are not known yet. All other texts, and those in which a special
+    token's string occurs, go to the library whole. What is known is held in two generations of about KNOWN
+    parts; when the younger is full it becomes the older, from which parts are taken over when they occur.
     """
 
     def __init__(self, path: str):
-        import re
-
         self.lib = load(path)
+        self.kind = "H" if self.lib.get_vocab_size() <= 1 << 16 else "I"
         letter = "A-Za-zÀ-ÖØ-öø-ÿ"
-        self.simple = re.compile(f"[\t\n\r !-~{letter[6:]}]*")
+        self.simple = re.compile("[\t\n\r -~À-ÖØ-öø-ÿ]*")
         # the cuts: contractions; letters, digits or others with at most one space before; white space
         space = "\t\n\r "
         self.cut = re.compile(f"'(?:[stmd]|re|ve|ll)| ?[{letter}]+| ?[0-9]+| ?[^{space}0-9{letter}]+|[{space}]+(?![^{space}])|[{space}]+")
         self.special = [t.content for t in self.lib.get_added_tokens_decoder().values()]
-        self.known: dict[str, list[int]] = {}
+        self.known = _Known(self.lib, self.kind, {})
 
-    def __call__(self, texts: list[str]) -> list[np.ndarray]:
+    def __call__(self, text: str) -> np.ndarray:
         if len(self.known) > KNOWN:
-            self.known = {}
-        known, parts, whole, new = self.known, {}, [], {}
-        for k, t in enumerate(texts):
-            if self.simple.fullmatch(t) and not any(s in t for s in self.special):
-                parts[k] = found = self.cut.findall(t)
-                new.update(dict.fromkeys([p for p in found if p not in known]))
-            else:
-                whole.append(k)
-        for some, got in ((new, self.lib.encode_batch(list(new), add_special_tokens=False)),):
-            known.update((p, e.ids) for p, e in zip(some, got, strict=True))
-        out: list[np.ndarray] = [np.empty(0, np.uint32)] * len(texts)
-        for k, e in zip(whole, self.lib.encode_batch([texts[k] for k in whole], add_special_tokens=False), strict=True):
-            out[k] = np.array(e.ids, np.uint32)
-        from itertools import chain
-
-        for k, found in parts.items():
-            out[k] = np.fromiter(chain.from_iterable(map(known.__getitem__, found)), np.uint32)
-        return out
+            self.known.older = {}
+            self.known = _Known(self.lib, self.kind, dict(self.known))
+        if self.simple.fullmatch(text) and not any(s in text for s in self.special):
+            return np.frombuffer(b"".join(map(self.known.__getitem__, self.cut.findall(text))), self.kind).astype(np.uint32)
+        return np.array(self.lib.encode(text, add_special_tokens=False).ids, np.uint32)
+
+
+@functools.lru_cache(maxsize=1)
+def encoder_of(path: str) -> Encoder:
+    """One for all tasks of a Python worker."""
+    return Encoder(path)
 
 
 def _block(no: tuple[int, int, int], width: int, docs: list, ids: list[np.ndarray]) -> pa.RecordBatch:
@@ -124,21 +135,19 @@ def _block(no: tuple[int, int, int], width: int, docs: list, ids: list[np.ndarra
 
 def _encode(path: str, width: int, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path)
+        encoder = encoder_of(path)
         file_no, block_no, first, size = TaskContext.get().partitionId(), 0, 0, 0
         docs: list = []
         ids: list[np.ndarray] = []
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                coded = encoder([x or "" for x in part.column(1).to_pylist()])
-                for doc, x in zip(part.column(0).to_pylist(), coded, strict=True):
-                    docs.append(doc)
-                    ids.append(np.append(x, np.uint32(end)))
-                    size += len(x) + 1
-                    if size >= BLOCK_IDS:
-                        yield _block((file_no, block_no, first), width, docs, ids)
-                        block_no, first, size, docs, ids = block_no + 1, first + size, 0, [], []
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                x = encoder(text.as_py() or "")
+                docs.append(doc)
+                ids.append(np.append(x, np.uint32(end)))
+                size += len(x) + 1
+                if size >= BLOCK_IDS:
+                    yield _block((file_no, block_no, first), width, docs, ids)
+                    block_no, first, size, docs, ids = block_no + 1, first + size, 0, [], []
         if docs:
             yield _block((file_no, block_no, first), width, docs, ids)
 
