@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from .shared import table
 
-CHUNK = 16 << 20
+CHUNK = 8 << 20
 BUCKET_BYTES = 16 << 20
 MIN_BUCKETS = 64
 TOKENIZER = "word_bpe_49k.json"
