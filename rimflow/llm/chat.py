@@ -13,7 +13,7 @@ conversation comes its loss mask: begin and length (in code points) of the escap
 
 Defined results: null texts, roles and scores are empty strings and 0; a parent that is not there makes a root; rows that
 repeat the whole message count once in a path; of several rows with one id the smallest (role, text) is taken;
-messages in a cycle have no root and no conversation; an empty table gives an empty result; other columns are ignored.
+messages in a cycle, or below one, have no root and no conversation; an empty table gives an empty result; other columns are ignored.
 A conversation is one string, so one path must fit a row.
 """
 
@@ -26,6 +26,8 @@ from .shared import stored, table
 
 START, END = "<|im_start|>", "<|im_end|>"
 MAX_ROUNDS = 40
+#: Paths grow for so many rounds at most before messages whose ancestors run in a cycle are looked for.
+LOOK_FOR_CYCLES = 10
 
 
 def escaped(text: Column) -> Column:
@@ -48,6 +50,18 @@ def unescaped_role(role: Column) -> Column:
     )
 
 
+def _jumped(links: DataFrame) -> DataFrame:
+    """Ancestors of twice the distance, where there are any."""
+    return links.join(links.select("tree", F.col("msg").alias("above"), F.col("above").alias("next")), ["tree", "above"]).select("tree", "msg", F.col("next").alias("above"))
+
+
+def _endless(links: DataFrame, k: int, n: int) -> DataFrame:
+    """The messages whose ancestors do not end: those that still have one further above than there are messages."""
+    while (1 << k) <= n:
+        links, k = stored(_jumped(links), f"endless{k}"), k + 1
+    return links.select("tree", "msg").distinct()
+
+
 def paths(messages: DataFrame) -> DataFrame:
     """tree, leaf, msg, up_from_leaf: the messages of every root-to-leaf path. messages: tree, msg, parent."""
     nodes = messages.select("tree", "msg", "parent").groupBy("tree", "msg").agg(F.min("parent").alias("parent"))
@@ -56,14 +70,19 @@ def paths(messages: DataFrame) -> DataFrame:
     inner = up.where("above is not null").select("tree", F.col("above").alias("msg")).distinct()
     leaves = up.join(inner, ["tree", "msg"], "left_anti")
     found = stored(leaves.select("tree", F.col("msg").alias("leaf"), "msg", F.lit(0).cast("long").alias("dist")), "paths0")
+    n, acyclic = up.count(), False
     for k in range(MAX_ROUNDS):
         links = up.where("above is not null")
         if not links.limit(1).count():
             return found
+        if not acyclic and ((1 << k) > n or k == LOOK_FOR_CYCLES):
+            endless = stored(_endless(links, k, n), "endless")
+            found = stored(found.join(endless.withColumnRenamed("msg", "leaf"), ["tree", "leaf"], "left_anti"), "acyclic")
+            up, acyclic = stored(up.join(endless, ["tree", "msg"], "left_anti"), "up_acyclic"), True
+            links = up.where("above is not null")
         further = found.join(links, ["tree", "msg"]).select("tree", "leaf", F.col("above").alias("msg"), (F.col("dist") + (1 << k)).alias("dist"))
         found = stored(found.union(further), f"paths{k + 1}")
-        jump = links.select("tree", F.col("msg").alias("above"), F.col("above").alias("next"))
-        up = stored(links.join(jump, ["tree", "above"]).select("tree", "msg", F.col("next").alias("above")), f"up{k + 1}")
+        up = stored(_jumped(links), f"up{k + 1}")
     raise ValueError(f"paths are longer than 2**{MAX_ROUNDS} messages")
 
 

@@ -159,3 +159,51 @@ def keep_by_rules(spark: SparkSession, docs: DataFrame, sf_dir: str | None = Non
     """The documents that the rules keep. A doc_id that occurs more than once goes if any of its rows fails."""
     rejected = stored(quality_verdicts(docs).where("not kept").select("doc_id").distinct(), "rejected")
     return keyed_filter(docs, rejected, "doc_id", "left_anti")
+
+
+def _sql_fences(keys: str) -> str:
+    by = f"{keys}, ratio" if keys else "ratio"
+    return f"""(
+  select {by}, max(total) as total, min(case when 4 * upto >= 3 * total then v end) + {SPREAD} * (min(case when 4 * upto >= 3 * total then v end) - min(case when 4 * upto >= total then v end)) as fence
+  from (select {by}, v, sum(n) over (partition by {by} order by v) as upto, sum(n) over (partition by {by}) as total
+        from (select {by}, v, sum(n) as n from sketch group by {by}, v) m) r
+  group by {by})"""
+
+
+OP9_SQL = (
+    r"""
+with base as (
+  select doc_id, coalesce(lang, chr(1)) as lang, coalesce(source, chr(1)) as source, coalesce(text, '') as t,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as ws,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as ls from documents
+), placed as (
+  select doc_id, unnest(ws) as w, unnest(generate_series(1, len(ws))) as i from base
+), windows as (
+  select doc_id, i, w, lead(w, 1) over (partition by doc_id order by i) as w2, lead(w, 2) over (partition by doc_id order by i) as w3 from placed
+), again as (
+  select doc_id, i from (select doc_id, i, count(*) over (partition by doc_id, w, w2, w3) as c from windows where w3 is not null) x where c > 1
+), repeated as (
+  select doc_id, count(distinct i + d) as n_repeat_words from again, (values (0), (1), (2)) as v(d) group by doc_id
+), counts as (
+  select b.doc_id, lang, source, cast(len(ws) as bigint) as n_words, cast(coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0) as bigint) as word_chars,
+         cast(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) as bigint) as n_symbols, cast(len(ls) - len(list_distinct(ls)) as bigint) as n_dup_lines,
+         cast(coalesce(n_repeat_words, 0) as bigint) as n_repeat_words, cast(len(ls) as bigint) as n_lines
+  from base b left join repeated r on b.doc_id = r.doc_id
+), ratios as ("""
+    + " union all ".join(
+        f"select doc_id, lang, source, '{r}' as ratio, {floor} as floor, case when {bottom} > 0 then ({top} * 1000) // {bottom} else 0 end as x from counts"
+        for r, (top, bottom, floor) in RATIOS.items()
+    )
+    + f"""), sketch as (
+  select lang, source, ratio, (x >> greatest(length(bin(x)) - 5, 0)) << greatest(length(bin(x)) - 5, 0) as v, count(*) as n from ratios group by all
+), verdicts as (
+  select a.doc_id, bool_or(a.x > greatest(a.floor, case when o.total >= {MIN_ROWS} then o.fence when l.total >= {MIN_ROWS} then l.fence else w.fence end)) as failed
+  from ratios a join {_sql_fences('lang, source')} o on a.lang = o.lang and a.source = o.source and a.ratio = o.ratio
+       join {_sql_fences('lang')} l on a.lang = l.lang and a.ratio = l.ratio join {_sql_fences('')} w on a.ratio = w.ratio
+  group by a.doc_id
+)
+select c.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed,
+       not (n_words < 50 or 100 * n_repeat_words > 50 * n_words) and not failed as kept
+from counts c join verdicts v on c.doc_id = v.doc_id
+"""
+)

@@ -25,4 +25,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_chat": chat.OP3_SQL, "op5_url_filter": urlfilter.OP5_SQL, "op7_fingerprint": fingerprint.OP7_SQL}
+    return {"op3_chat": chat.OP3_SQL, "op5_url_filter": urlfilter.OP5_SQL, "op7_fingerprint": fingerprint.OP7_SQL, "op9_quality_rules": quality_rules.OP9_SQL}
