@@ -64,6 +64,8 @@ class EngineConfig:
     rebound_frames: int = 60
     # dead ball
     dead_after_score: int = 90
+    rest_pixels: float = 4.0
+    rest_frames: int = 25
     bounds_inner: int = 20
     bounds_outer: int = 20
     missing_frames: int = 15
@@ -111,5 +113,5 @@ DEFAULT = EngineConfig()
 #: The driver's tables give short games of unconnected frames: the same rules, with spans that such traces can meet.
 TRACE = EngineConfig(
     possession_radius=300, block_radius=180.0, rim_radius=200.0, clip_gap=3, reel_hold=2, reel_lead=3, dead_after_score=10, missing_frames=3,
-    still_frames=5, merge_gap=3, min_segment=2, segment_pad=1, period_sec=3,
+    still_frames=5, rest_frames=3, min_dead_sec=0.0, merge_gap=3, min_segment=2, segment_pad=1, period_sec=3,
 )

@@ -33,6 +33,10 @@ select game_id, explode(s.kept) as frame_id from (
 
 
 def plans(C: EngineConfig) -> dict[str, Plan]:
+    def _oob(x: str, y: str) -> str:
+        edge = C.bounds_inner
+        return f"({x} < {edge} or {x} > {C.frame_width - edge} or {y} < {edge} or {y} > {C.frame_height - edge})"
+
     #: Who holds the ball. contact: the nearest player is in reach; an epoch ends when contact is missed for the given frames;
     #: in an epoch a player needs consecutive contact frames, and holds the ball until another has them.
     POSSESSION = (
@@ -79,31 +83,41 @@ def plans(C: EngineConfig) -> dict[str, Plan]:
     _SCORE_CANDIDATES = f"{_BALL}, {_CROSS}, candidates as (select game_id, frame_id from crossings where r2 <= {int(C.rim_radius**2)})"
     _BLOCK_CANDIDATES = f"{_BALL}, candidates as (select game_id, frame_id from moved where v2 >= {int(C.block_speed**2)} and (ball_x - rim_x) * (ball_x - rim_x) + (ball_y - rim_y) * (ball_y - rim_y) <= {int(C.block_radius**2)})"
 
-    #: A dead-ball trace: missing for some frames, out of bounds, still, or of low confidence.
+    #: Why a frame is dead, first reason first: the ball is missing for some frames, out of bounds, still for some frames (the mean
+    #: of the last velocities is small, for as many frames again), or seen with low confidence only.
     CONDITIONS = f"""
     seen as (
       select game_id, frame_id, ball_x, ball_y, case when ball_x is null then 0 else 1 end as there, conf,
-             count(ball_x) over (partition by game_id order by frame_id) as hits from <<fr>> f
+             count(ball_x) over (partition by game_id order by frame_id) as hits,
+             LAGNN[ball_x] over (partition by game_id order by frame_id) as px, LAGNN[ball_y] over (partition by game_id order by frame_id) as py from <<fr>> f
     ), runs as (
       select *, sum(1 - there) over (partition by game_id, hits order by frame_id) as missing,
-             avg(conf) over (partition by game_id order by frame_id rows between 9 preceding and current row) as conf10,
+             round(avg(conf) over (partition by game_id order by frame_id rows between 9 preceding and current row), 9) as conf10,
              count(*) over (partition by game_id order by frame_id rows between 9 preceding and current row) as n10,
-             coalesce(abs(ball_x - lag(ball_x) over (partition by game_id order by frame_id)), 0) + coalesce(abs(ball_y - lag(ball_y) over (partition by game_id order by frame_id)), 0) as step from seen
+             coalesce(sqrt(cast((ball_x - px) * (ball_x - px) + (ball_y - py) * (ball_y - py) as double)), cast(0 as double)) as v from seen
     ), rolled as (
-      select *, avg(step) over (partition by game_id order by frame_id rows between {C.still_frames - 1} preceding and current row) as step5 from runs
+      select *, there = 1 and conf >= {C.min_confidence}
+                and count(*) over (partition by game_id order by frame_id rows between {C.still_frames - 1} preceding and current row) = {C.still_frames}
+                and round(avg(v) over (partition by game_id order by frame_id rows between {C.still_frames - 1} preceding and current row), 6) < {C.still_pixels} as slow from runs
+    ), slowed as (
+      select *, sum(case when slow then 0 else 1 end) over (partition by game_id order by frame_id) as breaks from rolled
+    ), stilled as (
+      select *, sum(case when slow then 1 else 0 end) over (partition by game_id, breaks order by frame_id) as still from slowed
     ), judged as (
-      select game_id, frame_id, case when missing >= {C.missing_frames} then 'ball_missing' when ball_x > {C.frame_width + C.bounds_outer} then 'out_of_bounds'
-             when there = 1 and step5 < {int(C.still_pixels)} then 'ball_stationary' when n10 = 10 and conf10 < {C.min_confidence / 2} then 'low_confidence' else 'live' end as reason from rolled
+      select game_id, frame_id, case when missing >= {C.missing_frames} then 'ball_missing'
+             when ball_x < -{C.bounds_outer} or ball_x > {C.frame_width + C.bounds_outer} or ball_y < -{C.bounds_outer} or ball_y > {C.frame_height + C.bounds_outer} then 'out_of_bounds'
+             when still >= {C.still_frames} then 'ball_stationary' when n10 = 10 and conf10 < {C.min_confidence / 2} then 'low_confidence' else 'live' end as reason from stilled
     )"""
 
     SEGMENTS = (
         CONDITIONS
-        + """, marked as (
+        + f""", marked as (
       select *, case when reason <> 'live' then 1 else 0 end as dead, lag(case when reason <> 'live' then 1 else 0 end) over (partition by game_id order by frame_id) as was from judged
     ), numbered as (
       select *, sum(case when dead = 1 and coalesce(was, 0) = 0 then 1 else 0 end) over (partition by game_id order by frame_id) as seg from marked
     ), segments as (
       select game_id, seg, min(frame_id) as start_frame, max(frame_id) + 1 as end_frame, min_by(reason, frame_id) as reason from numbered where dead = 1 group by game_id, seg
+      having max(frame_id) + 1 - min(frame_id) >= {int(C.min_dead_sec * C.fps)}
     )"""
     )
 
@@ -189,19 +203,32 @@ def plans(C: EngineConfig) -> dict[str, Plan]:
         ),
         "dead_state": Plan(
             f"""with l as (
-      select f.game_id, sort_array(collect_list(struct(f.frame_id, f.scored, coalesce(f.ball_x < {C.bounds_inner} or f.ball_x > {C.frame_width - C.bounds_inner} or f.ball_y < {C.bounds_inner} or f.ball_y > {C.frame_height - C.bounds_inner}, false) as oob))) as fs from <<fr>> f group by f.game_id
+      select game_id, sort_array(collect_list(struct(frame_id, ball_x as bx, ball_y as by, scored))) as fs from <<fr>> f group by game_id
+    ), folded as (
+      select game_id, aggregate(fs,
+        named_struct('sa', cast(-1000000 as bigint), 'px', cast(null as int), 'py', cast(null as int), 'still', 0, 'dead', false, 'out', slice(transform(fs, x -> named_struct('frame_id', x.frame_id, 'dead', false)), 1, 0)),
+        (s0, x) -> aggregate(array(named_struct('s', s0, 'x', x, 'sa', if(x.scored, x.frame_id, s0.sa), 'oob', coalesce({_oob('x.bx', 'x.by')}, false), 'has', x.bx is not null and s0.px is not null,
+                                               'slow', coalesce((x.bx - s0.px) * (x.bx - s0.px) + (x.by - s0.py) * (x.by - s0.py) < {C.rest_pixels**2}, false))), s0,
+          (ignored, t) -> aggregate(array(named_struct('t', t, 'early', t.x.frame_id - t.sa < {C.dead_after_score} or t.oob, 'still', if(t.x.frame_id - t.sa < {C.dead_after_score} or t.oob or not t.has, t.s.still, if(t.slow, t.s.still + 1, 0)))), s0,
+            (ignored2, u) -> named_struct('sa', u.t.sa, 'px', if(u.early, u.t.s.px, u.t.x.bx), 'py', if(u.early, u.t.s.py, u.t.x.by), 'still', u.still,
+              'dead', u.t.x.scored or (u.t.oob and u.t.x.frame_id - u.t.sa >= {C.dead_after_score}) or (not u.early and u.t.has and u.still >= {C.rest_frames}) or (u.t.s.dead and (u.early or not u.t.has or u.t.slow)),
+              'out', concat(u.t.s.out, array(named_struct('frame_id', u.t.x.frame_id, 'dead', u.early or u.t.x.scored or (u.t.has and u.still >= {C.rest_frames}) or (u.t.s.dead and (not u.t.has or u.t.slow)))))))),
+        s -> s.out) as out from l
     )
-    select game_id, e.frame_id, e.dead from (
-      select game_id, explode(aggregate(fs, named_struct('until', cast(-1 as bigint), 'out', array_remove(array(named_struct('frame_id', cast(0 as bigint), 'dead', false)), named_struct('frame_id', cast(0 as bigint), 'dead', false))),
-        (s, x) -> named_struct('until', if(x.scored and x.frame_id > s.until, x.frame_id + {C.dead_after_score}, s.until),
-                               'out', concat(s.out, array(named_struct('frame_id', x.frame_id, 'dead', x.oob or x.frame_id <= s.until or x.scored)))), s -> s.out)) as e from l) q""",
-            f"""with recursive o as (select game_id, frame_id, scored, coalesce(ball_x < {C.bounds_inner} or ball_x > {C.frame_width - C.bounds_inner} or ball_y < {C.bounds_inner} or ball_y > {C.frame_height - C.bounds_inner}, false) as oob, row_number() over (partition by game_id order by frame_id) as r from <<fr>> f),
+    select game_id, e.frame_id, e.dead from (select game_id, explode(out) as e from folded) q""",
+            f"""with recursive o as (select game_id, frame_id, ball_x as bx, ball_y as by_, scored, row_number() over (partition by game_id order by frame_id) as r from <<fr>> f),
     f as (
-      select game_id, r, frame_id, case when scored then frame_id + {C.dead_after_score} else -1 end as until, oob or scored as dead from o where r = 1
+      select game_id, 0::bigint as r, -1::bigint as frame_id, -1000000::bigint as sa, null::int as px, null::int as py, 0 as still, false as dead, false as said from o where r = 1
       union all
-      select o.game_id, o.r, o.frame_id, case when o.scored and o.frame_id > f.until then o.frame_id + {C.dead_after_score} else f.until end, o.oob or o.frame_id <= f.until or o.scored
-      from f join o on f.game_id = o.game_id and o.r = f.r + 1
-    ) select game_id, frame_id, dead from f""",
+      select game_id, r, frame_id, sa, case when early then px else bx end, case when early then py else by_ end, still2,
+             scored or (oob and frame_id - sa >= {C.dead_after_score}) or (not early and has and still2 >= {C.rest_frames}) or (dead and (early or not has or slow)),
+             early or scored or (has and still2 >= {C.rest_frames}) or (dead and (not has or slow))
+      from (select *, frame_id - sa < {C.dead_after_score} or oob as early, case when frame_id - sa < {C.dead_after_score} or oob or not has then still when slow then still + 1 else 0 end as still2
+            from (select o.game_id, o.r, o.frame_id, o.bx, o.by_, o.scored, f.px, f.py, f.still, f.dead, case when o.scored then o.frame_id else f.sa end as sa,
+                         coalesce({_oob('o.bx', 'o.by_')}, false) as oob, o.bx is not null and f.px is not null as has,
+                         coalesce((o.bx - f.px) * (o.bx - f.px) + (o.by_ - f.py) * (o.by_ - f.py) < {C.rest_pixels**2}, false) as slow
+                  from f join o on f.game_id = o.game_id and o.r = f.r + 1) a) b
+    ) select game_id, frame_id, said as dead from f where r > 0""",
             covers=("T13",),
         ),
     }
