@@ -68,12 +68,19 @@ class ConstantVelocity:
         self.h = np.eye(2, 4)
         self.q, self.r = np.eye(4) * q, np.eye(2) * r
 
+        self.ahead = 0
+
     def predict(self) -> np.ndarray:
-        self.x = self.f @ self.x
-        self.p = self.f @ self.p @ self.f.T + self.q
-        return self.x[:2]
+        """Moves one frame on. The covariance follows when a measurement needs it: most tracks never get another one."""
+        self.x[0] += self.x[2]
+        self.x[1] += self.x[3]
+        self.ahead += 1
+        return self.x[:2].copy()
 
     def correct(self, x: float, y: float) -> None:
+        for _ in range(self.ahead):
+            self.p = self.f @ self.p @ self.f.T + self.q
+        self.ahead = 0
         gain = self.p @ self.h.T @ np.linalg.inv(self.h @ self.p @ self.h.T + self.r)
         self.x = self.x + gain @ (np.array([x, y]) - self.h @ self.x)
         self.p = (np.eye(4) - gain @ self.h) @ self.p
