@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import keyed_filter, stored, table
+from .shared import bounded_batches, keyed_filter, stored, table
 from .texthash import mix, word_hashes
 
 REGISTERS = 200
@@ -124,7 +124,7 @@ _SKETCH = "n_shingles long, class_key binary, regs binary"
 
 
 def sketch_table(docs: DataFrame) -> DataFrame:
-    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    narrow = bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return narrow.mapInArrow(_sketch, f"doc_id long, {_SKETCH}")
 
 

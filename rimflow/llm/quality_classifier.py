@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import crc_mod5, keyed_filter, stored, table
+from .shared import bounded_batches, crc_mod5, keyed_filter, stored, table
 from .texthash import SPACE, mix, word_hashes
 
 BUCKETS = 1 << 17
@@ -158,7 +158,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, accept: float = ACCEPT, m
                 ["doc_id", "score", "predicted"],
             )
 
-    narrow = docs.select("doc_id", "text")
+    narrow = bounded_batches(docs).select("doc_id", "text")
     schema = T.StructType([narrow.schema["doc_id"], T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
     return narrow.mapInArrow(run, schema)
 

@@ -36,6 +36,19 @@ def shared_dir(spark: SparkSession) -> str:
 _OWN: str | None = None
 
 
+#: What one Arrow batch of texts or hashes may hold; a batch is in memory several times, in the JVM and in Python.
+BATCH_BYTES = 4 << 20
+BATCH_ROWS = 1000
+
+
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """df, after its session was told to send small batches to Python (10000 rows of any length otherwise)."""
+    conf = df.sparkSession.conf
+    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df written as a table in the shared folder and read again: cuts the lineage, survives lost executors."""
     spark = df.sparkSession
