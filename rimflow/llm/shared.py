@@ -42,7 +42,7 @@ BATCH_ROWS = 1000
 
 
 def bounded_batches(df: DataFrame) -> DataFrame:
-    """df, after its session was told to send small batches to Python (10000 rows of any length otherwise)."""
+    """df, after its session was told to send small batches to Python (10000 rows or 64 MB by default)."""
     conf = df.sparkSession.conf
     conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
