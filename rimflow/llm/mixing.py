@@ -18,8 +18,8 @@ Everything is DataFrame operations. What grows with the corpus stays distributed
 N_MARKERS words and, as literals, the error vectors of at most `MAX_STEPS` steps.
 
 Defined results: null and empty texts have no words, the prior as their posterior, and a rate like others; null
-domains are not trained on; repeated rows (equal doc_id and text) each get a row; an empty table, or one without
-labelled rows, gives posteriors from the priors that are there (uniform without any); columns of the input that
+domains are not trained on; repeated rows (equal doc_id and text) are one row with the tokens of all of them, and
+the stage repeats each of them alike; a null doc_id is a value of its own; an empty table, or one without labelled rows, gives posteriors from the priors that are there (uniform without any); columns of the input that
 are named like a computed one are replaced.
 """
 
@@ -30,7 +30,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import keyed_filter, stored, table
+from .shared import ROW_KEY, counted, stored, table
 
 MAX_LABELLED = 4000
 N_MARKERS = 256
@@ -146,8 +146,8 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents, each as often as the mixture wants it; none goes (rates are one or more)."""
     mixed = mix(docs, table(spark, sf_dir, "labels"), TARGETS, lower=1.0)
-    more = stored(mixed.where("copies > 1").selectExpr("doc_id", "text_hash", "copies - 1 as more").distinct(), "more")
-    hashed = docs.withColumn("text_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
-    wanted = keyed_filter(hashed, more.select("doc_id").distinct(), "doc_id", "left_semi")
-    again = wanted.join(more, ["doc_id", "text_hash"]).withColumn("k", F.explode(F.expr("sequence(1, more)")))
-    return docs.unionByName(again.select(*docs.columns))
+    key = lambda text_hash: dict(zip(ROW_KEY, (F.xxhash64(F.col("doc_id"), F.col("doc_id").isNull(), text_hash), text_hash), strict=True))
+    again = mixed.where("copies > 1").withColumns(key(F.col("text_hash"))).select(*ROW_KEY, F.explode(F.expr("sequence(2, copies)")).alias("_copy"))
+    again = counted(stored(again, "again"))
+    whole = docs.withColumns(key(F.xxhash64(F.coalesce("text", F.lit("")))))
+    return docs.unionByName(whole.join(again, ROW_KEY).select(*docs.columns))

@@ -22,8 +22,9 @@ bucket and could join two components goes untested. Two sets at the threshold sh
 probability (1 - 0.8 ** ROWS) ** BANDS, about 1e-7.
 
 Defined results: null, empty and white-space texts have an empty set and are linked with nothing;
-one word is the set of that word; repeated doc_ids give one row for each input row, in the same component;
-an empty table gives an empty result; further columns are ignored.
+one word is the set of that word; repeated doc_ids give one row for each input row, in the same component; rows
+without a doc_id belong to the group of the documents with the same set, are not kept where there are such, and
+form no group with others; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -352,7 +353,10 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     floor = percent / 100 - MARGIN
     all_docs = stored(sketch_table(docs), "sketches")
     classes = stored(
-        all_docs.where("n_shingles > 0").groupBy("class_key").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("regs").alias("regs")),
+        all_docs.where("n_shingles > 0")
+        .groupBy("class_key")
+        .agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("regs").alias("regs"))
+        .where("id is not null"),
         "classes",
     )
     banded = _bands(classes)
@@ -380,10 +384,10 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
 
 
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents")).withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    return near_duplicates(table(spark, sf_dir, "documents")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str | None = None) -> DataFrame:
-    """The document with the smallest doc_id of each group of near duplicates (all its rows, if it occurs more than once)."""
+    """The document with the smallest doc_id of each group of near duplicates (all its rows, if it occurs more than once); rows without a doc_id stay."""
     gone = stored(near_duplicates(docs).where("doc_id <> component_id").select("doc_id").distinct(), "near_copies")
     return keyed_filter(docs, gone, "doc_id", "left_anti")

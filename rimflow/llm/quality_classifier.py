@@ -13,7 +13,8 @@ number for each bucket (its vector times the difference of the two classes' weig
 
 Only the text is an input of a score. Defined results: null and empty texts have no feature and get the
 score of the bias alone; with no labelled row at all, or one class only, the score is that class' share
-(0.5 without rows); conflicting labels of a doc_id count as the larger; repeated rows are each scored.
+(0.5 without rows); conflicting labels of a doc_id count as the larger; repeated rows, and rows without a
+doc_id, are each scored, and the stage judges each by its own text.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import bounded_batches, crc_mod5, keyed_filter, stored, table
+from .shared import ROW_KEY, bounded_batches, crc_mod5, keyed_filter, stored, table, with_row_key
 from .texthash import SPACE, mix, word_hashes
 
 BUCKETS = 1 << 17
@@ -135,7 +136,7 @@ def sample(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> tu
     known = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("y"))
     known = known.where(crc_mod5(F.col("doc_id")) != 0).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
     known = known.select(F.col("doc_id").alias("id"), F.col("y").cast("int").alias("y"))  # at most max_train rows
-    found = docs.where(F.octet_length("text") <= MAX_TRAIN_BYTES).join(F.broadcast(known), F.col("doc_id") == F.col("id"))
+    found = docs.select("doc_id", "text").where(F.octet_length("text") <= MAX_TRAIN_BYTES).join(F.broadcast(known), F.col("doc_id") == F.col("id"))
     got = found.select("id", "y", "text").groupBy("id").agg(F.min(F.struct("text", "y")).alias("x")).select("id", "x.text", "x.y").toArrow()
     got = got.sort_by("id")
     return got["text"].to_pylist(), got["y"].to_pylist()
@@ -145,21 +146,21 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> tuple
     return train(*sample(docs, labels, max_train))
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, accept: float = ACCEPT, model: tuple[np.ndarray, float] | None = None) -> DataFrame:
-    """doc_id, score and predicted (1 if score >= accept) of every row of docs."""
+def quality_scores(docs: DataFrame, labels: DataFrame, accept: float = ACCEPT, model: tuple[np.ndarray, float] | None = None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns named in keep, score and predicted (1 if score >= accept) of every row of docs."""
     value, bias = model or fit(docs, labels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = scorer(value, bias)
         for batch in batches:
-            s = [score(x.as_py()) for x in batch.column(1)]
+            s = [score(x.as_py()) for x in batch.column(len(keep))]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(s, pa.float64()), pa.array([int(x >= accept) for x in s], pa.int32())],
-                ["doc_id", "score", "predicted"],
+                [*batch.columns[:-1], pa.array(s, pa.float64()), pa.array([int(x >= accept) for x in s], pa.int32())],
+                [*keep, "score", "predicted"],
             )
 
-    narrow = bounded_batches(docs).select("doc_id", "text")
-    schema = T.StructType([narrow.schema["doc_id"], T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
+    narrow = bounded_batches(docs).select(*keep, "text")
+    schema = T.StructType([*narrow.schema.fields[:-1], T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
     return narrow.mapInArrow(run, schema)
 
 
@@ -169,7 +170,8 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_by_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the classifier accepts. A doc_id that occurs more than once goes if any of its rows fails."""
-    scored = quality_scores(docs, table(spark, sf_dir, "labels"))
-    rejected = stored(scored.where("predicted = 0").select("doc_id").distinct(), "rejected")
-    return keyed_filter(docs, rejected, "doc_id", "left_anti")
+    """The rows of docs that the classifier accepts."""
+    keyed = with_row_key(docs, "doc_id", "text")
+    scored = quality_scores(keyed, table(spark, sf_dir, "labels"), keep=tuple(ROW_KEY))
+    rejected = stored(scored.where("predicted = 0").select(*ROW_KEY).distinct(), "rejected")
+    return keyed_filter(keyed, rejected, ROW_KEY, "left_anti").drop(*ROW_KEY)

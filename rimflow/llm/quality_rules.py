@@ -13,8 +13,8 @@ max(floor, q75 + spread * (q75 - q25)); floors keep rules from rejecting ordinar
 group hardly varies. Nothing is sampled and all documents count.
 
 Defined results: a null text has no words and fails the base rule; null lang or source form a group of
-their own; repeated rows each count; an empty table gives an empty result; columns of the input that
-are named like a computed column are replaced by it.
+their own; repeated rows, and rows without a doc_id, each count and are judged by themselves; an empty table
+gives an empty result; columns of the input that are named like a computed column are replaced by it.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import bounded_batches, keyed_filter, stored, table
+from .shared import ROW_KEY, bounded_batches, keyed_filter, stored, table, with_row_key
 
 SYMBOLS = b"#*$%&|<>"
 WHITE = b" \t\n\r\x0b\x0c"
@@ -137,14 +137,14 @@ def thresholds(sketch: DataFrame, min_rows: int = MIN_ROWS, spread: int = SPREAD
     return limit.groupBy("g_lang", "g_source").agg(*[F.max(F.when(F.col("ratio") == r, F.col("top"))).alias(f"max_{r}") for r in RATIOS])
 
 
-def quality_verdicts(docs: DataFrame, min_rows: int = MIN_ROWS, spread: int = SPREAD) -> DataFrame:
-    """doc_id, the counts, base_failed, failed (the rules that the document fails) and kept, for every row of docs."""
-    ratios = stored(_ratios(quality_counts(docs)), "quality_counts")
+def quality_verdicts(docs: DataFrame, min_rows: int = MIN_ROWS, spread: int = SPREAD, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns named in keep, the counts, base_failed, failed (the rules that the document fails) and kept, for every row of docs."""
+    ratios = stored(_ratios(quality_counts(docs, (*keep, "lang", "source"))), "quality_counts")
     limits = thresholds(sketches(ratios), min_rows, spread)
     keyed = ratios.withColumn("g_lang", F.expr("coalesce(lang, '\\0')")).withColumn("g_source", F.expr("coalesce(source, '\\0')"))
     judged = keyed.join(limits, ["g_lang", "g_source"], "left")
     broken = F.filter(F.array(*[F.when(F.col(r) > F.col(f"max_{r}"), F.lit(r)) for r in RATIOS]), lambda x: x.isNotNull())
-    return judged.select("doc_id", *COUNTS, "base_failed", broken.alias("failed")).withColumn(
+    return judged.select(*keep, *COUNTS, "base_failed", broken.alias("failed")).withColumn(
         "kept", ~F.col("base_failed") & (F.size("failed") == 0)
     )
 
@@ -156,9 +156,10 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_by_rules(spark: SparkSession, docs: DataFrame, sf_dir: str | None = None) -> DataFrame:
-    """The documents that the rules keep. A doc_id that occurs more than once goes if any of its rows fails."""
-    rejected = stored(quality_verdicts(docs).where("not kept").select("doc_id").distinct(), "rejected")
-    return keyed_filter(docs, rejected, "doc_id", "left_anti")
+    """The rows of docs that the rules keep."""
+    keyed = with_row_key(docs, "doc_id", "text", "lang", "source")
+    rejected = stored(quality_verdicts(keyed, keep=tuple(ROW_KEY)).where("not kept").select(*ROW_KEY).distinct(), "rejected")
+    return keyed_filter(keyed, rejected, ROW_KEY, "left_anti").drop(*ROW_KEY)
 
 
 def _sql_fences(keys: str) -> str:

@@ -13,8 +13,19 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 1_000_000
 
 
+#: A shuffle has a partition for so many bytes of the files that a query reads, up to MAX_PARTITIONS.
+PARTITION_BYTES = 256 << 20
+MAX_PARTITIONS = 50_000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table of the corpus. Shuffles get more partitions where its files are large; small ones are coalesced by the adaptive planner."""
+    found = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    size = int(found._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    wanted = min(MAX_PARTITIONS, -(-size // PARTITION_BYTES))
+    if wanted > int(spark.conf.get("spark.sql.shuffle.partitions")):
+        spark.conf.set("spark.sql.shuffle.partitions", str(wanted))
+    return found
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -57,15 +68,27 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def keyed_filter(rows: DataFrame, keys: DataFrame, on: str, how: str) -> DataFrame:
-    """left_semi or left_anti join of wide rows with a narrow key table.
+def counted(keys: DataFrame) -> DataFrame:
+    """A narrow stored table as one side of a join with wide rows.
 
-    The keys are counted: up to BROADCAST_ROWS of them are broadcast so that wide rows stay where they
-    are; more go through a shuffled join, which the adaptive planner splits where keys are hot.
+    It is counted: up to BROADCAST_ROWS rows are broadcast so that wide rows stay where they are; more
+    go through a shuffled join, which the adaptive planner splits where keys are hot.
     """
-    if keys.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        keys = F.broadcast(keys)
-    return rows.join(keys, on, how)
+    return F.broadcast(keys) if keys.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else keys
+
+
+def keyed_filter(rows: DataFrame, keys: DataFrame, on: str | list[str], how: str) -> DataFrame:
+    """left_semi or left_anti join of wide rows with a narrow key table; the columns of rows keep their order."""
+    return rows.join(counted(keys), on, how).select(*[F.col(f"`{c}`") for c in rows.columns])
+
+
+ROW_KEY = ["_row_key_a", "_row_key_b"]
+
+
+def with_row_key(docs: DataFrame, *columns: str) -> DataFrame:
+    """docs with two 64-bit hashes of these columns: they tell rows apart whose doc_id is null or repeated."""
+    each = [x for c in columns for x in (F.col(c), F.col(c).isNull())]
+    return docs.withColumns({k: F.xxhash64(F.lit(i), *each) for i, k in enumerate(ROW_KEY)})
 
 
 def crc_mod5(doc_id: Column) -> Column:

@@ -340,6 +340,32 @@ def test_queries_equal_their_sql(spark, name):
     assert sorted(repr([plain(x) for x in r]) for r in df.collect()) == sorted(repr([plain(r[i]) for i in at]) for r in found.fetchall())
 
 
+def test_stages_on_null_and_repeated_ids_and_clashing_columns(spark):
+    import corpus_pipeline
+
+    rng = random.Random(11)
+    good = [words(rng, 90, 5000) for _ in range(12)]
+    names = "text string, id long, y string, more int, k int, text_hash string, hashes string, doc_id long, lang string, source string"
+    row = lambda i, t, lang="en", source="a": (t, 1, "y", 2, 3, "h", "s", i, lang, source)
+    rows = [row(i, t, lang) for i, t, lang in zip(range(8), good, ["en", "fr", "de", "es", None] * 2, strict=False)]
+    rows += [row(None, good[8]), row(None, "too short"), row(5, "also short"), row(5, good[9], None, None), row(6, None), row(None, None), row(7, good[7], "es", None)]
+    before = spark.createDataFrame(rows, names).repartition(3).cache()
+    kept = sorted((str(r[7]), r[0]) for r in rows if len((r[0] or "").split()) >= 50)
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES[:4]):
+        after = stage(spark, before, str(DATA))
+        assert after.columns == before.columns
+        got = sorted((str(r["doc_id"]), r["text"]) for r in after.collect())
+        if k == 0:  # each row goes or stays by its own text
+            assert got == kept
+        elif k == 1:
+            scores = quality_classifier.quality_scores(before, spark.read.parquet(str(DATA / "labels.parquet")), keep=("doc_id", "source")).collect()
+            assert len(got) == sum(r["predicted"] for r in scores)
+            after = before
+        elif k == 3:  # nothing goes, extra columns stay as they were
+            assert set(got) == set(kept) and {tuple(r)[1:7] for r in after.collect()} == {(1, "y", 2, 3, "h", "s")}
+        before = after
+
+
 def test_pipeline_stages_on_small_data(spark):
     import corpus_pipeline
 
