@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import ROW_KEY, bounded_batches, keyed_filter, stored, table, with_row_key
+from .shared import ROW_KEY, bounded_batches, counted, keyed_filter, stored, table, with_row_key
 
 SYMBOLS = b"#*$%&|<>"
 WHITE = b" \t\n\r\x0b\x0c"
@@ -138,9 +138,13 @@ def thresholds(sketch: DataFrame, min_rows: int = MIN_ROWS, spread: int = SPREAD
 
 
 def quality_verdicts(docs: DataFrame, min_rows: int = MIN_ROWS, spread: int = SPREAD, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns named in keep, the counts, base_failed, failed (the rules that the document fails) and kept, for every row of docs."""
+    """The columns named in keep, the counts, base_failed, failed (the rules that the document fails) and kept, for every row of docs.
+
+    The limits have a row for each language and source; where they are few they are broadcast, so that the rows of a
+    frequent source stay dealt out as they are.
+    """
     ratios = stored(_ratios(quality_counts(docs, (*keep, "lang", "source"))), "quality_counts")
-    limits = thresholds(sketches(ratios), min_rows, spread)
+    limits = counted(stored(thresholds(sketches(ratios), min_rows, spread), "limits"))
     keyed = ratios.withColumn("g_lang", F.expr("coalesce(lang, '\\0')")).withColumn("g_source", F.expr("coalesce(source, '\\0')"))
     judged = keyed.join(limits, ["g_lang", "g_source"], "left")
     broken = F.filter(F.array(*[F.when(F.col(r) > F.col(f"max_{r}"), F.lit(r)) for r in RATIOS]), lambda x: x.isNotNull())
