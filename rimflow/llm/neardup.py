@@ -195,14 +195,15 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     Alternates two steps until nothing changes: every node sends its larger neighbours to its smallest
     neighbour, then every node sends its smaller neighbours to the smallest of them. Each step is a grouped
     minimum and an equi-join; the result of a round is stored. Nothing is collected but one checksum.
+    The minima are stored too: a join of stored tables is one whose hot keys the adaptive planner splits.
     """
     edges = stored(links.selectExpr("greatest(a, b) as u", "least(a, b) as v").where("u <> v").distinct(), "edges")
     last = None
     for _ in range(max_rounds):
         both = edges.union(edges.selectExpr("v as u", "u as v"))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(low, "u").where("v > u").selectExpr("v as u", "m as v").where("u <> v").distinct()
-        low2 = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = stored(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "low")
+        large = stored(both.where("v > u").join(low, "u").selectExpr("v as u", "m as v").where("u <> v").distinct(), "large")
+        low2 = stored(large.groupBy("u").agg(F.min("v").alias("m")), "low2")
         small = large.join(low2, "u").selectExpr("explode(array(struct(u, m as v), struct(v as u, m as v))) as e").select("e.*")
         edges = stored(small.where("u <> v").distinct(), "edges")
         state = edges.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))")).first()
@@ -312,7 +313,7 @@ def _pairs_of_blocks(member: DataFrame, block: int) -> DataFrame:
     """
     sizes = member.groupBy("key", "comp").agg(F.count("*").alias("c"))
     main = sizes.groupBy("key").agg(F.max(F.struct("c", "comp")).alias("top"), F.sum("c").alias("m")).where("m > top.c")
-    main = main.selectExpr("key", "top.comp as main", "top.c as n_main", "m - top.c as n_rest")
+    main = stored(main.selectExpr("key", "top.comp as main", "top.c as n_main", "m - top.c as n_rest"), "main")
     member = member.join(main, "key")
     n = {k: f"cast(ceil(n_{k} / {block}) as int)" for k in ("rest", "main")}
     place = {k: f"cast(pmod(xxhash64(id), {v}) as int)" for k, v in n.items()}
@@ -360,7 +361,8 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
         "classes",
     )
     banded = _bands(classes)
-    hubs = banded.groupBy("key").agg(F.min(F.struct("id", "n")).alias("hub"), F.count("*").alias("m")).where("m > 1")
+    # stored, so that the adaptive planner can split the hot buckets of the join
+    hubs = stored(banded.groupBy("key").agg(F.min(F.struct("id", "n")).alias("hub"), F.count("*").alias("m")).where("m > 1"), "hubs")
     shared = stored(banded.join(hubs, "key").select("key", "id", "n", F.col("hub.id").alias("hub"), F.col("hub.n").alias("hub_n"), "m"), "shared")
 
     regs = classes.select("id", "regs")
