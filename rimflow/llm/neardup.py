@@ -50,7 +50,10 @@ MARGIN = 0.16
 BLOCK = 2048
 BLOCK_SETS = 512
 
-_STEP = mix(np.arange(1, REGISTERS * 64 + 1, dtype=np.uint64)).reshape(64, REGISTERS) % np.uint64(REGISTERS)
+#: Where an empty bucket looks for a register, step by step. In a set of few hashes the share of a bucket among the
+#: registers must stay even, so the sequence is long enough to end in a filled one whatever the size of the set.
+STEPS = 2048
+_STEP = (mix(np.arange(1, REGISTERS * STEPS + 1, dtype=np.uint64)).reshape(STEPS, REGISTERS) % np.uint64(REGISTERS)).astype(np.intp)
 _SHIFT = np.uint64(32)
 
 
@@ -85,15 +88,17 @@ def registers(hashes: np.ndarray) -> np.ndarray:
     mantissa = (low >> shift) & np.uint64((1 << MANTISSA) - 1)
     out = ((zeros.astype(np.uint16) << np.uint16(MANTISSA)) | mantissa.astype(np.uint16)).astype(np.uint16)
     todo = np.flatnonzero(~full)
-    for step in _STEP:
+    for step in _STEP[:64]:
         if not len(todo):
             break
-        at = step[todo].astype(np.intp)
+        at = step[todo]
         ok = full[at]
         out[todo[ok]] = out[at[ok]]
         todo = todo[~ok]
-    if len(todo):
-        out[todo] = out[int(bucket[first[0]])]
+    if len(todo):  # a small set: the other steps at once
+        at = _STEP[64:, todo]
+        at = at[full[at].argmax(axis=0), np.arange(len(todo))]
+        out[todo] = out[np.where(full[at], at, int(bucket[first[0]]))]
     return out
 
 

@@ -108,6 +108,18 @@ def test_registers_estimate_jaccard():
     assert abs(neardup.estimate((neardup.registers(x) == neardup.registers(y)).mean()) - 0.8) < 0.12
 
 
+def test_near_duplicates_of_small_sets(spark):
+    """Sets of 5 and 4, 6 and 5, 10 and 8 shingles lie at or just above the threshold."""
+    rows, want = [], {}
+    for pair in range(240):
+        long, short = ((5, 4), (6, 5), (10, 8))[pair % 3]
+        w = [f"p{pair}w{k}" for k in range(long + 1)]
+        rows += [(2 * pair, " ".join(w)), (2 * pair + 1, " ".join(w[: short + 1]))]
+        want |= {2 * pair: (long, 2 * pair), 2 * pair + 1: (short, 2 * pair)}
+    found = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in found} == want
+
+
 def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101)], "a long, b long")
     assert {r["id"]: r["comp"] for r in neardup.components(links).collect()} == {i: 0 for i in range(61)} | {100: 100, 101: 100}
