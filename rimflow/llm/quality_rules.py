@@ -8,9 +8,11 @@ rounded value. Such sketches merge by adding counts, so partial sketches are com
 shuffle, a language's sketch is the sum of its sources' and the whole corpus' the sum of those.
 
 A group with fewer than `min_rows` documents takes the thresholds of its language, and a language with
-fewer than that those of the corpus. A document fails a rule when its ratio is above
-max(floor, q75 + spread * (q75 - q25)); floors keep rules from rejecting ordinary documents where a
-group hardly varies. Nothing is sampled and all documents count.
+fewer than that those of the corpus. A document of the pipeline's stage fails a rule when its ratio is above
+q75 + spread * max(q75 - q25, least), where the least spread of a ratio keeps rules from rejecting ordinary
+documents where a group hardly varies: the limit lies as far above the group's own q75 as the group's own
+spread says. The op9 query is bound by its SQL to max(floor, q75 + spread * (q75 - q25)) with fixed floors.
+Nothing is sampled and all documents count.
 
 Defined results: a null text has no words and fails the base rule; null lang or source form a group of
 their own; repeated rows, and rows without a doc_id, each count and are judged by themselves; an empty table
@@ -38,6 +40,8 @@ RATIOS = {
     "r_repeats": ("n_repeat_words", "n_words", 400),
     "r_word_length": ("word_chars", "n_words", 12_000),
 }
+#: The least spread (q75 - q25) that a group is taken to have, in thousandths; for word lengths two steps of the sketch.
+LEAST = {"r_symbols": 50, "r_dup_lines": 125, "r_repeats": 125, "r_word_length": 512}
 SPREAD = 3
 MIN_ROWS = 200
 
@@ -111,7 +115,11 @@ def sketches(ratios: DataFrame) -> DataFrame:
     return long.groupBy("g_lang", "g_source", "ratio", F.expr(_rounded("x")).alias("v")).agg(F.count("*").alias("n"))
 
 
-def _fences(sketch: DataFrame, keys: list[str], spread: int) -> DataFrame:
+def _by_ratio(values: dict[str, int]) -> str:
+    return "case ratio " + " ".join(f"when '{r}' then {x}" for r, x in values.items()) + " end"
+
+
+def _fences(sketch: DataFrame, keys: list[str], spread: int, least: dict[str, int] | None = None) -> DataFrame:
     """For each group and ratio: rows, q25 + q75 by cumulated counts, and the fence."""
     merged = sketch.groupBy(*keys, "ratio", "v").agg(F.sum("n").alias("n"))
     by = ", ".join([*keys, "ratio"])
@@ -121,30 +129,33 @@ def _fences(sketch: DataFrame, keys: list[str], spread: int) -> DataFrame:
         F.min(F.expr("if(4 * upto >= total, v, null)")).alias("q25"),
         F.min(F.expr("if(4 * upto >= 3 * total, v, null)")).alias("q75"),
     )
-    return q.select(*keys, "ratio", "total", (F.col("q75") + spread * (F.col("q75") - F.col("q25"))).alias("fence"))
+    width = f"greatest(q75 - q25, {_by_ratio(least)})" if least else "q75 - q25"
+    return q.selectExpr(*keys, "ratio", "total", f"q75 + {spread} * ({width}) as fence")
+
 
+def thresholds(sketch: DataFrame, min_rows: int = MIN_ROWS, spread: int = SPREAD, least: dict[str, int] | None = None) -> DataFrame:
+    """One row for each language and source: the limit of each ratio, from the narrowest group with min_rows documents.
 
-def thresholds(sketch: DataFrame, min_rows: int = MIN_ROWS, spread: int = SPREAD) -> DataFrame:
-    """One row for each language and source: the limit of each ratio, from the narrowest group with min_rows documents."""
-    own = _fences(sketch, ["g_lang", "g_source"], spread)
-    lang = _fences(sketch, ["g_lang"], spread).select("g_lang", "ratio", F.col("total").alias("l_total"), F.col("fence").alias("l_fence"))
-    whole = _fences(sketch, [], spread).select("ratio", F.col("fence").alias("w_fence"))
-    floors = " ".join(f"when '{r}' then {floor}" for r, (_, _, floor) in RATIOS.items())
+    With least the limits are the fences of spreads no smaller than that; without, the fences or the floors.
+    """
+    own = _fences(sketch, ["g_lang", "g_source"], spread, least)
+    lang = _fences(sketch, ["g_lang"], spread, least).select("g_lang", "ratio", F.col("total").alias("l_total"), F.col("fence").alias("l_fence"))
+    whole = _fences(sketch, [], spread, least).select("ratio", F.col("fence").alias("w_fence"))
     joined = own.join(lang, ["g_lang", "ratio"]).join(whole, "ratio")
-    limit = joined.withColumn(
-        "top", F.expr(f"greatest(case when total >= {min_rows} then fence when l_total >= {min_rows} then l_fence else w_fence end, case ratio {floors} end)")
-    )
+    fence = f"case when total >= {min_rows} then fence when l_total >= {min_rows} then l_fence else w_fence end"
+    floors = {r: floor for r, (_, _, floor) in RATIOS.items()}
+    limit = joined.withColumn("top", F.expr(fence if least else f"greatest({fence}, {_by_ratio(floors)})"))
     return limit.groupBy("g_lang", "g_source").agg(*[F.max(F.when(F.col("ratio") == r, F.col("top"))).alias(f"max_{r}") for r in RATIOS])
 
 
-def quality_verdicts(docs: DataFrame, min_rows: int = MIN_ROWS, spread: int = SPREAD, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def quality_verdicts(docs: DataFrame, min_rows: int = MIN_ROWS, spread: int = SPREAD, keep: tuple[str, ...] = ("doc_id",), least: dict[str, int] | None = None) -> DataFrame:
     """The columns named in keep, the counts, base_failed, failed (the rules that the document fails) and kept, for every row of docs.
 
     The limits have a row for each language and source; where they are few they are broadcast, so that the rows of a
     frequent source stay dealt out as they are.
     """
     ratios = stored(_ratios(quality_counts(docs, (*keep, "lang", "source"))), "quality_counts")
-    limits = counted(stored(thresholds(sketches(ratios), min_rows, spread), "limits"))
+    limits = counted(stored(thresholds(sketches(ratios), min_rows, spread, least), "limits"))
     keyed = ratios.withColumn("g_lang", F.expr("coalesce(lang, '\\0')")).withColumn("g_source", F.expr("coalesce(source, '\\0')"))
     judged = keyed.join(limits, ["g_lang", "g_source"], "left")
     broken = F.filter(F.array(*[F.when(F.col(r) > F.col(f"max_{r}"), F.lit(r)) for r in RATIOS]), lambda x: x.isNotNull())
@@ -162,7 +173,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keep_by_rules(spark: SparkSession, docs: DataFrame, sf_dir: str | None = None) -> DataFrame:
     """The rows of docs that the rules keep."""
     keyed = with_row_key(docs, "doc_id", "text", "lang", "source")
-    rejected = stored(quality_verdicts(keyed, keep=tuple(ROW_KEY)).where("not kept").select(*ROW_KEY).distinct(), "rejected")
+    rejected = stored(quality_verdicts(keyed, keep=tuple(ROW_KEY), least=LEAST).where("not kept").select(*ROW_KEY).distinct(), "rejected")
     return keyed_filter(keyed, rejected, ROW_KEY, "left_anti").drop(*ROW_KEY)
 
 

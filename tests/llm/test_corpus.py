@@ -212,6 +212,16 @@ def test_rules_adapt_to_language_and_source(spark):
     assert got[1000]["failed"] == ["r_symbols"] and not got[1001]["kept"] and sum(r["kept"] for r in got.values()) >= 890
 
 
+def test_stage_limits_follow_each_group_below_the_floors(spark):
+    """A source without symbols rejects what one that is full of them keeps, though both are under the floor of 0.3 a word."""
+    rng = random.Random(5)
+    text = lambda marks: " ".join(f"w{rng.randint(0, 9999)}" + "#" * (j < marks) for j in range(100))
+    rows = [(i, text(0 if i % 2 else rng.randint(5, 25)), "en", "ab"[i % 2 == 0]) for i in range(600)]
+    rows += [(1000, text(24), "en", "a"), (1001, text(24), "en", "b"), (1002, " ".join(f"{j:010d}" for j in range(100)), "en", "a")]
+    kept = {r["doc_id"] for r in quality_rules.keep_by_rules(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert kept == set(range(600)) | {1001}
+
+
 def test_classifier_on_held_out_rows(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{n}.parquet") for n in ("documents", "labels"))
     known = {r["doc_id"]: r["quality"] for r in labels.collect()}
