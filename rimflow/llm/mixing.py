@@ -1,8 +1,9 @@
 """Mixing documents to target weights of domains, with soft membership.
 
 1. A classifier table. From a bounded sample of labelled rows (at most `MAX_LABELLED`, those with the smallest
-   hash of doc_id) the `N_MARKERS` most frequent words are counted for each domain; the table has
-   a row for each of these words and the log of its smoothed share in each domain.
+   hash of doc_id) every word is counted for each domain; the table has a row for each of these words and the
+   log of its smoothed share in each domain. No word is left out, so a scarce domain keeps its words however
+   frequent those of another are.
 2. Posteriors. Each document's words meet that table; the summed logs plus the domains' log priors give the
    probability of each domain (softmax, rounded to three digits and made to sum to one).
 3. Rates. Document i has t_i words and expected t_i * p_ik words of domain k. Wanted are rates r_i >= lower
@@ -14,8 +15,8 @@
 4. The size of the mixture follows from the weights: the smallest one in which every domain can be met with rates
    of one or more ("up", documents repeat), or the largest one with rates of at most one ("down").
 
-Everything is DataFrame operations. What grows with the corpus stays distributed: broadcast are only the table of
-N_MARKERS words and, as literals, the error vectors of at most `MAX_STEPS` steps.
+Everything is DataFrame operations. What grows with the corpus stays distributed: broadcast are only the words of the
+sample (joined by a shuffle where they are many) and, as literals, the error vectors of at most `MAX_STEPS` steps.
 
 Defined results: null and empty texts have no words, the prior as their posterior, and a rate like others; null
 domains are not trained on; repeated rows (equal doc_id and text) are one row with the tokens of all of them, and
@@ -33,7 +34,6 @@ from pyspark.sql import functions as F
 from .shared import ROW_KEY, counted, stored, table
 
 MAX_LABELLED = 4000
-N_MARKERS = 256
 MAX_STEPS = 40
 TOLERANCE = 1e-4
 #: Shares that the query and the pipeline ask for.
@@ -46,22 +46,21 @@ def _words(df: DataFrame, *keep: str) -> DataFrame:
     return df.select(*keep, F.explode(F.expr(_WORDS)).alias("word"))
 
 
-def classifier_table(docs: DataFrame, labels: DataFrame, domain: str, domains: list[str], max_labelled: int = MAX_LABELLED, n_markers: int = N_MARKERS) -> tuple[DataFrame, list[float]]:
+def classifier_table(docs: DataFrame, labels: DataFrame, domain: str, domains: list[str], max_labelled: int = MAX_LABELLED) -> tuple[DataFrame, list[float]]:
     """(word, w0, w1, ...): log shares by domain; and the log priors."""
     ids = labels.where("doc_id is not null").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
     known = docs.where(F.col(domain).isin(domains)).select("doc_id", F.col(domain).alias("domain"), "text")
     known = known.join(F.broadcast(ids), "doc_id", "left_semi")  # max_labelled ids
     counts = _words(known, "domain").groupBy("word").agg(*[F.sum((F.col("domain") == d).cast("long")).alias(f"n{k}") for k, d in enumerate(domains)])
-    total = sum((F.col(f"n{k}") for k in range(len(domains))), F.lit(0))
-    top = stored(counts.withColumn("n", total).orderBy(F.desc("n"), "word").limit(n_markers), "markers")
-    sums = top.agg(*[F.sum(f"n{k}") for k in range(len(domains))]).first()
-    weights = [F.log((F.col(f"n{k}") + 0.5) / F.lit(float((sums[k] or 0) + 0.5 * n_markers))).alias(f"w{k}") for k in range(len(domains))]
+    counts = stored(counts, "markers")
+    n_words, *sums = counts.agg(F.count("*"), *[F.sum(f"n{k}") for k in range(len(domains))]).first()
+    weights = [F.log((F.col(f"n{k}") + 0.5) / F.lit((sums[k] or 0) + 0.5 * max(n_words, 1))).alias(f"w{k}") for k in range(len(domains))]
     rows = known.groupBy("domain").count().collect()  # one row for each of the named domains
     seen = {r["domain"]: r["count"] for r in rows}
     import math
 
     every = sum(seen.values()) + len(domains)
-    return top.select("word", *weights), [math.log((seen.get(d, 0) + 1) / every) for d in domains]
+    return counts.select("word", *weights), [math.log((seen.get(d, 0) + 1) / every) for d in domains]
 
 
 def posteriors(docs: DataFrame, markers: DataFrame, priors: list[float], keep: tuple[str, ...] = ()) -> DataFrame:
@@ -69,7 +68,7 @@ def posteriors(docs: DataFrame, markers: DataFrame, priors: list[float], keep: t
     ks = range(len(priors))
     rows = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), *keep, F.coalesce("text", F.lit("")).alias("text"))
     words = rows.select("doc_id", "text_hash", *keep, F.explode_outer(F.expr(_WORDS)).alias("word"))
-    scored = words.join(F.broadcast(markers), "word", "left")  # N_MARKERS rows
+    scored = words.join(counted(markers), "word", "left")
     summed = scored.groupBy("doc_id", "text_hash", *keep).agg(F.count("word").alias("words"), *[F.sum(F.coalesce(f"w{k}", F.lit(0.0))).alias(f"s{k}") for k in ks])
     logs = [F.col(f"s{k}") + F.lit(priors[k]) for k in ks]
     most = F.greatest(*logs) if len(logs) > 1 else logs[0]

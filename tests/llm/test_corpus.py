@@ -325,6 +325,21 @@ def test_mixing_meets_its_targets(spark):
         assert min(r["rate"] for r in rows) >= lower and all(abs(r["copies"] - r["rate"]) <= 1 for r in rows) and len(rows) == 1000
 
 
+def test_scarce_domains_keep_their_words_beside_a_hot_one(spark):
+    """With 94 % of the documents in one domain, whose words are all more frequent, shares by true domain meet the targets."""
+    rng = random.Random(8)
+    rows = []
+    for i in range(1500):
+        lang = ("fr", "de", "es")[i // 50 % 3] if i % 50 < 3 else "en"
+        rows.append((i, " ".join(f"{lang}{rng.randint(0, 299)}" for _ in range(40)), lang))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(1500) if i % 50 < 3 or i % 2], "doc_id long, quality int, toxic int")
+    got = Counter()
+    for r in mixing.mix(docs, labels, mixing.TARGETS).collect():
+        got[rows[r["doc_id"]][2]] += r["rate"] * r["tokens"]
+    assert all(abs(got[d] / sum(got.values()) - w) < 0.01 for d, w in mixing.TARGETS.items()), got
+
+
 def test_projection_keeps_rates_nonnegative(spark):
     post = spark.createDataFrame([([1.0, 0.0], 100), ([0.0, 1.0], 100), ([0.5, 0.5], 1000)], "p array<double>, tokens long")
     fitted = mixing.fit_rates(post, [0.9, 0.1], max_steps=400)
