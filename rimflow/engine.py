@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rimflow.config import DEFAULT, EngineConfig
+from rimflow.operators.teams import team_clusters
 from rimflow.plans.core import bind
 from rimflow.plans.registry import plans
 
@@ -43,6 +44,10 @@ class Engine:
                 out = out.where(F.col(column) == value)
         return out
 
+    def team_clusters(self) -> DataFrame:
+        """The team of every track of the input `features` (track_id, feature): see rimflow.operators.teams."""
+        return team_clusters(self.inputs["features"])
+
     def export_json(self, df: DataFrame, path: str) -> None:
         df.write.mode("overwrite").json(path)
 

@@ -183,7 +183,6 @@ def plans(C: EngineConfig) -> dict[str, Plan]:
     seed as (select i, max(case when vec_id = 0 then x end) as c0, max(case when vec_id = 1 then x end) as c1 from e where vec_id < 2 group by i),
     d as (select vec_id, sum((x - c0) * (x - c0)) as d0, sum((x - c1) * (x - c1)) as d1 from e join seed using (i) group by vec_id)
     select case when d1 < d0 then 1 else 0 end as team, count(*) as n, round(sum(least(d0, d1)), 3) as inertia from d group by case when d1 < d0 then 1 else 0 end""",
-            covers=("A21", "A22"),
         ),
         "rim_median": Plan(
             """with n as (select game_id, x1, y1, row_number() over (partition by game_id order by o) as i from <<ri>> ri),

@@ -197,3 +197,15 @@ def test_upsert(spark):
 
 def test_settings_layers():
     assert EngineConfig.merged({"fps": 25.0, "other": 1}, {"fps": 50.0, "clip_gap": None}) == EngineConfig(fps=50.0)
+
+
+def test_team_clusters_average_tracks_and_settle(spark):
+    """Tracks 0 and 1 are of one team, which fixed seeds would part; single rows of track 5 lie with the other team."""
+    from rimflow.engine import Engine
+
+    at = {0: (0, 0), 1: (2, 1), 2: (1, 0), 3: (20, 20), 4: (21, 19), 5: (1, 2), 7: (19, 22)}
+    rows = [(t, [float(x + d), float(y - d)]) for t, (x, y) in at.items() for d in (-1, 0, 1)]
+    rows += [(5, [float(20 + d), 20.0]) for d in (0, 1)] + [(6, [50.0, 50.0]), (None, [0.0, 0.0]), (8, None)]
+    got = {r["track"]: r for r in Engine(spark, features=spark.createDataFrame(rows, "track_id long, feature array<double>")).team_clusters().collect()}
+    assert {t: r["team"] for t, r in got.items()} == {0: 0, 1: 0, 2: 0, 3: 1, 4: 1, 5: 0, 7: 1}
+    assert got[5]["samples"] == 5 and abs(got[3]["d2"] - 1 / 9) < 1e-9
