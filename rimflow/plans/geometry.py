@@ -56,10 +56,10 @@ pairs as (
 
 def plans(C: EngineConfig) -> dict[str, Plan]:
     found: dict[str, Plan] = {
-        "scan_prefix_stride": Plan("select frame_id, class_name, x1, y1, x2, y2 from <<de>> de where frame_id <= 3000 and frame_id % 3 = 0", covers=("S3", "S4", "S1", "S2")),
+        "scan_prefix_stride": Plan("select frame_id, class_name, x1, y1, x2, y2 from <<de>> de where frame_id <= 3000 and frame_id % 3 = 0", covers=("S3", "S4")),
         "det_filter": Plan(
             "select frame_id, k1, k2, k3, class_name, conf from <<de>> de where conf >= 30 and class_name in ('ball', 'rim') and x2 - x1 >= 25 and y2 - y1 >= 50",
-            covers=("S5", "S6", "F3", "F4", "F23"),
+            covers=("S5", "F3", "F4", "F23"),
         ),
         "bbox_geom": Plan(
             f"""select frame_id, k1, k2, k3, greatest(x2 - x1, 0) * greatest(y2 - y1, 0) as area, (x1 + x2) // 2 as cx, (y1 + y2) // 2 as cy, y2 as feet_y, x2 - x1 as w, y2 - y1 as h,

@@ -209,3 +209,11 @@ def test_team_clusters_average_tracks_and_settle(spark):
     got = {r["track"]: r for r in Engine(spark, features=spark.createDataFrame(rows, "track_id long, feature array<double>")).team_clusters().collect()}
     assert {t: r["team"] for t, r in got.items()} == {0: 0, 1: 0, 2: 0, 3: 1, 4: 1, 5: 0, 7: 1}
     assert got[5]["samples"] == 5 and abs(got[3]["d2"] - 1 / 9) < 1e-9
+
+
+def test_scans_claim_only_what_they_read():
+    from rimflow.config import DEFAULT
+    from rimflow.plans import registry
+
+    claimed = {c for plan in registry.plans(DEFAULT).values() for c in plan.covers}
+    assert {"S3", "S4", "S5"} <= claimed and not {"S1", "S2", "S6"} & claimed
