@@ -34,7 +34,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import bounded_batches, table
+from .shared import stored, table
 
 CHUNK = 8 << 20
 BUCKET_BYTES = 16 << 20
@@ -244,7 +244,7 @@ def bpe(docs: DataFrame, want: tuple[str, ...] = ("ids", "decoded"), path: str |
     docs is evaluated twice and must come out alike both times: a scan of files, a stored or a checkpointed table.
     """
     path = path or tokenizer_path()
-    narrow = bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     size = narrow.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(MIN_BUCKETS, -(-size // BUCKET_BYTES))
     words = narrow.mapInArrow(_words(buckets), "chunk long, bucket long, words binary").repartition("bucket").sortWithinPartitions("bucket")
@@ -255,9 +255,9 @@ def bpe(docs: DataFrame, want: tuple[str, ...] = ("ids", "decoded"), path: str |
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe(table(spark, sf_dir, "documents"), ("ids_sha256", "decoded_sha256"))
+    return stored(bpe(table(spark, sf_dir, "documents"), ("ids_sha256", "decoded_sha256")), "digests")
 
 
 def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str | None = None) -> DataFrame:
     """doc_id, n_tokens and the ids of every document."""
-    return bpe(docs, ("ids",))
+    return stored(bpe(docs, ("ids",)), "ids")

@@ -115,7 +115,7 @@ def in_ranges(docs: DataFrame) -> DataFrame:
 
 
 def op7_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return edited_fingerprints(table(spark, sf_dir, "documents"))
+    return stored(edited_fingerprints(table(spark, sf_dir, "documents")), "fingerprints")
 
 
 def edited_fingerprints(docs: DataFrame) -> DataFrame:

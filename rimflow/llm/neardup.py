@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import bounded_batches, keyed_filter, stored, table
+from .shared import keyed_filter, stored, table
 from .texthash import mix, word_hashes
 
 REGISTERS = 200
@@ -130,7 +130,7 @@ _SKETCH = "n_shingles long, class_key binary, regs binary"
 
 
 def sketch_table(docs: DataFrame) -> DataFrame:
-    narrow = bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return narrow.mapInArrow(_sketch, f"doc_id long, {_SKETCH}")
 
 
@@ -391,7 +391,8 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
 
 
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    found = near_duplicates(table(spark, sf_dir, "documents")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return stored(found, "components")
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str | None = None) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import ROW_KEY, bounded_batches, crc_mod5, keyed_filter, stored, table, with_row_key
+from .shared import ROW_KEY, crc_mod5, keyed_filter, stored, table, with_row_key
 from .texthash import SPACE, mix, word_hashes
 
 BUCKETS = 1 << 17
@@ -159,14 +159,14 @@ def quality_scores(docs: DataFrame, labels: DataFrame, accept: float = ACCEPT, m
                 [*keep, "score", "predicted"],
             )
 
-    narrow = bounded_batches(docs).select(*keep, "text")
+    narrow = docs.select(*keep, "text")
     schema = T.StructType([*narrow.schema.fields[:-1], T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
     return narrow.mapInArrow(run, schema)
 
 
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return scored.select("doc_id", (crc_mod5(F.col("doc_id")) == 0).alias("held_out"), "score", "predicted")
+    return stored(scored.select("doc_id", (crc_mod5(F.col("doc_id")) == 0).alias("held_out"), "score", "predicted"), "scores")
 
 
 def keep_by_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

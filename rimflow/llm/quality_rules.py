@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import ROW_KEY, bounded_batches, counted, keyed_filter, stored, table, with_row_key
+from .shared import ROW_KEY, counted, keyed_filter, stored, table, with_row_key
 
 SYMBOLS = b"#*$%&|<>"
 WHITE = b" \t\n\r\x0b\x0c"
@@ -91,7 +91,7 @@ def _with_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def quality_counts(docs: DataFrame, keep: tuple[str, ...] = ("doc_id", "lang", "source")) -> DataFrame:
     """The counts of every document beside the columns named in keep (the text itself is not returned)."""
-    narrow = bounded_batches(docs).select(*keep, "text")
+    narrow = docs.select(*keep, "text")
     schema = T.StructType([f for f in narrow.schema.fields if f.name != "text"] + [T.StructField(c, T.LongType()) for c in COUNTS])
     return narrow.mapInArrow(_with_counts, schema)
 

@@ -142,6 +142,5 @@ def _with_slots(sharded: DataFrame) -> DataFrame:
 
 
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return kd_shards(table(spark, sf_dir, "documents"), leaves=16).selectExpr(
-        "doc_id", "size", "text_crc32", "'bytes' as law", "shard", "cast(slot as bigint) as slot", "cast(null as int) as grown_shard"
-    )
+    placed = kd_shards(table(spark, sf_dir, "documents"), leaves=16)
+    return stored(placed.selectExpr("doc_id", "size", "text_crc32", "'bytes' as law", "shard", "cast(slot as bigint) as slot", "cast(null as int) as grown_shard"), "shards")

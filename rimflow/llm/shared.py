@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,19 +15,40 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 1_000_000
 
 
-#: A shuffle has a partition for so many bytes of the files that a query reads, up to MAX_PARTITIONS.
+#: A shuffle has a partition for so many bytes of the files that a job reads, up to MAX_PARTITIONS.
 PARTITION_BYTES = 256 << 20
 MAX_PARTITIONS = 50_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table of the corpus. Shuffles get more partitions where its files are large; small ones are coalesced by the adaptive planner."""
-    found = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    size = int(found._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    wanted = min(MAX_PARTITIONS, -(-size // PARTITION_BYTES))
-    if wanted > int(spark.conf.get("spark.sql.shuffle.partitions")):
-        spark.conf.set("spark.sql.shuffle.partitions", str(wanted))
-    return found
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def input_bytes(df: DataFrame) -> int:
+    """The size of what df reads, by the planner's knowledge of files; inputs of unknown size count nothing."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size())]
+    return sum(x for x in sizes if x < 1 << 62)
+
+
+@contextlib.contextmanager
+def job_settings(df: DataFrame) -> Iterator[None]:
+    """While a job of ours runs: small Arrow batches, and as many shuffle partitions as its input is worth; then the session's settings again."""
+    conf = df.sparkSession.conf
+    partitions = max(int(conf.get("spark.sql.shuffle.partitions")), min(MAX_PARTITIONS, -(-input_bytes(df) // PARTITION_BYTES)))
+    wanted = {
+        "spark.sql.shuffle.partitions": str(partitions),
+        "spark.sql.execution.arrow.maxRecordsPerBatch": str(BATCH_ROWS),
+        "spark.sql.execution.arrow.maxBytesPerBatch": str(BATCH_BYTES),
+    }
+    before = {k: conf.get(k) for k in wanted}
+    try:
+        for k, v in wanted.items():
+            conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            conf.set(k, v)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -52,19 +75,12 @@ BATCH_BYTES = 4 << 20
 BATCH_ROWS = 1000
 
 
-def bounded_batches(df: DataFrame) -> DataFrame:
-    """df, after its session was told to send small batches to Python (10000 rows or 64 MB by default)."""
-    conf = df.sparkSession.conf
-    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-    return df
-
-
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df written as a table in the shared folder and read again: cuts the lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/rimflow-{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
+    with job_settings(df):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
