@@ -22,10 +22,11 @@ Defined results: null and empty texts are the end id alone; repeated doc_ids sta
 from __future__ import annotations
 
 import functools
-import re
+import json
+import unicodedata
+import uuid
 import zlib
-from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,13 +35,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import load, tokenizer_path
-from .shared import shared_dir, table
+from .shared import job_settings, shared_dir, stored, table
+from .texthash import mix
 
 TOKENIZER = "byte_bpe_50k.json"
 END = 0
 BLOCK_IDS = 1 << 17
 #: Parts of texts of which a generation keeps the ids.
-KNOWN = 250_000
+KNOWN = 500_000
 
 BLOCK_SCHEMA = "file_no int, block_no int, first long, width int, doc_ids array<long>, offsets array<long>, ids binary"
 
@@ -74,50 +76,229 @@ def document_ids(block: dict, doc_id: int) -> np.ndarray:
     return unpack(block["ids"], block["width"], block["offsets"][k], block["offsets"][k + 1])
 
 
-class _Known(dict):
-    """Parts of texts and their packed ids; a part that is not there is taken over from the older ones or encoded."""
+#: White space of the tokenizer's pattern (Unicode White_Space).
+_SPACES = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
+_SPACE, _LETTER, _NUMBER, _OTHER, _END, _UNSURE = range(6)
+#: Code points that are cut and looked up at once.
+AT_ONCE = 1 << 20
 
-    def __init__(self, lib, kind: str, older: dict[str, bytes]):
-        super().__init__()
-        self.lib, self.kind, self.older = lib, kind, older
 
-    def __missing__(self, part: str) -> bytes:
-        ids = self.older.get(part)
-        if ids is None:
-            ids = array(self.kind, self.lib.encode(part, add_special_tokens=False).ids).tobytes()
-        self[part] = ids
-        return ids
+@functools.lru_cache(maxsize=1)
+def _classes() -> np.ndarray:
+    """The class of every code point. Those whose category has changed since an early edition of Unicode are _UNSURE: the library may know another edition."""
+    out = np.full(0x110000, _UNSURE, np.uint8)
+    old = unicodedata.ucd_3_2_0
+    for i in range(0x30000):
+        kind = unicodedata.category(c := chr(i))
+        if kind not in ("Cn", "Cs") and old.category(c) == kind:
+            out[i] = {"L": _LETTER, "N": _NUMBER}.get(kind[0], _OTHER)
+    out[_SPACES] = _SPACE
+    return out
+
+
+# Fixed odd numbers, whose powers weigh the places of a part in its two hashes.
+_ODD = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
+
+
+@functools.lru_cache(maxsize=4)
+def _powers(of: int, n: int) -> np.ndarray:
+    x = np.full(n, of, np.uint64)
+    x[0] = 1
+    return np.multiply.accumulate(x)
+
+
+def _starts(chars: np.ndarray, kind: np.ndarray) -> np.ndarray:
+    """Where the tokenizer's pattern begins a part: contractions; runs of letters, of numbers or of others, each with one
+    space before it; white space, of which a run before another part leaves its last character to that part or by itself."""
+    n = len(chars)
+    start = np.ones(n, bool)
+    start[1:] = kind[1:] != kind[:-1]
+    after = np.flatnonzero(start[1:] & (kind[:-1] == _SPACE) & (kind[1:] != _END)) + 1  # first characters after white space
+    start[after - 1] = True
+    start[after[chars[after - 1] == 32]] = False
+    quote = np.flatnonzero(start[:-1] & (chars[:-1] == 39))
+    if len(quote):
+        a, b = chars[quote + 1], np.append(chars, 0)[quote + 2]
+        one = np.isin(a, [115, 116, 109, 100])  # s t m d
+        two = ((a == 114) & (b == 101)) | ((a == 118) & (b == 101)) | ((a == 108) & (b == 108))  # re ve ll
+        start[quote[one | two] + 1] = False
+        start[np.concatenate([quote[one] + 2, quote[two] + 3])] = True
+    start[kind == _END] = True
+    return start
+
+
+class _Parts:
+    """Parts of texts by their two 64-bit hashes, in sorted arrays, with their ids one after another in `flat`."""
+
+    def __init__(self, kind: str):
+        self.key, self.check = np.empty(0, np.uint64), np.empty(0, np.uint64)
+        self.begin, self.size, self.flat = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, kind)
+
+    def find(self, key: np.ndarray, check: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which are there, and where."""
+        if not len(self.key):
+            return np.zeros(len(key), bool), np.zeros(len(key), np.int64)
+        at = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
+        return (self.key[at] == key) & (self.check[at] == check), at
+
+    def add(self, key: np.ndarray, check: np.ndarray, size: np.ndarray, flat: np.ndarray) -> None:
+        """New parts, in ascending order of key."""
+        at = np.searchsorted(self.key, key)
+        begin = len(self.flat) + np.cumsum(size) - size
+        self.key, self.check = np.insert(self.key, at, key), np.insert(self.check, at, check)
+        self.begin, self.size = np.insert(self.begin, at, begin), np.insert(self.size, at, size)
+        self.flat = np.concatenate([self.flat, flat])
+
+
+def _taken(flat: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The stretches of flat that begin and size name, one after another."""
+    upto = np.cumsum(size)
+    return flat[np.arange(upto[-1] if len(upto) else 0) + np.repeat(begin - (upto - size), size)]
 
 
 class Encoder:
     """The tokenizer's ids of whole texts, with parts that occur again encoded once.
 
-    The byte-level tokenizer first cuts a text by a pattern and then encodes each part by itself. For texts of
-    Latin letters, ASCII and common white space that pattern is reproduced here with the re module, and the
-    library encodes only parts that are not known yet. All other texts, and those in which a special
-    token's string occurs, go to the library whole. What is known is held in two generations of about KNOWN
-    parts; when the younger is full it becomes the older, from which parts are taken over when they occur.
+    A byte-level tokenizer first cuts a text by a pattern and then encodes each part by itself with its model. Here the
+    cuts of many texts are found at once by numpy operations on their code points. A part is known by two 64-bit
+    hashes; the library's model encodes those that are not known yet. Texts in which a special token's string or a
+    code point of uncertain class occurs go to the library whole, and so do all texts of a tokenizer that is built
+    otherwise. What is known is held in two generations of about KNOWN parts; when the younger is full it becomes the
+    older, from which parts are taken over when they occur.
     """
 
     def __init__(self, path: str):
         self.lib = load(path)
-        self.kind = "H" if self.lib.get_vocab_size() <= 1 << 16 else "I"
-        letter = "A-Za-zÀ-ÖØ-öø-ÿ"
-        self.simple = re.compile("[\t\n\r -~À-ÖØ-öø-ÿ]*")
-        # the cuts: contractions; letters, digits or others with at most one space before; white space
-        space = "\t\n\r "
-        self.cut = re.compile(f"'(?:[stmd]|re|ve|ll)| ?[{letter}]+| ?[0-9]+| ?[^{space}0-9{letter}]+|[{space}]+(?![^{space}])|[{space}]+")
+        self.kind = "<u2" if self.lib.get_vocab_size() <= 1 << 16 else "<u4"
         self.special = [t.content for t in self.lib.get_added_tokens_decoder().values()]
-        self.known = _Known(self.lib, self.kind, {})
+        with open(path, encoding="utf-8") as f:
+            made = json.load(f)
+        cutter = made.get("pre_tokenizer") or {}
+        self.plain = not made.get("normalizer") and cutter.get("type") == "ByteLevel" and cutter.get("use_regex", True) and not cutter.get("add_prefix_space")
+        self.known, self.older = _Parts(self.kind), _Parts(self.kind)
+        # a byte is written as the character of its number where that can be printed, the others as those from 256 on
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        self.byte = {b: 256 + k for k, b in enumerate(sorted(set(range(256)) - set(shown)))}
 
     def __call__(self, text: str) -> np.ndarray:
-        if len(self.known) > KNOWN:
-            self.known.older = {}
-            self.known = _Known(self.lib, self.kind, dict(self.known))
-        if self.simple.fullmatch(text) and not any(s in text for s in self.special):
-            return np.frombuffer(b"".join(map(self.known.__getitem__, self.cut.findall(text))), self.kind).astype(np.uint32)
+        return self.all([text])[0]
+
+    def all(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text. Texts go through in groups of about AT_ONCE code points, longer ones in pieces cut before white space."""
+        out: list[np.ndarray] = [np.empty(0, np.uint32)] * len(texts)
+        group, size = [], 0
+        for k, text in enumerate(texts):
+            if not self.plain or any(s in text for s in self.special):
+                out[k] = self._whole(text)
+            elif len(text) > AT_ONCE:
+                pieces = [self._cut([x]) for x in _pieces(text)]
+                out[k] = self._whole(text) if any(p is None for p in pieces) else np.concatenate([p[0] for p in pieces])
+            elif text:
+                if size + len(text) > AT_ONCE:
+                    self._fill(out, texts, group)
+                    group, size = [], 0
+                group.append(k)
+                size += len(text) + 1
+        self._fill(out, texts, group)
+        return out
+
+    def _whole(self, text: str) -> np.ndarray:
         return np.array(self.lib.encode(text, add_special_tokens=False).ids, np.uint32)
 
+    def _fill(self, out: list[np.ndarray], texts: list[str], group: list[int]) -> None:
+        if group:
+            found = self._cut([texts[k] for k in group])
+            if found is None:  # some code point is of uncertain class: find its texts
+                unsure = [bool((_classes()[_code_points(texts[k])] == _UNSURE).any()) for k in group]
+                for k, u in zip(group, unsure, strict=True):
+                    if u:
+                        out[k] = self._whole(texts[k])
+                self._fill(out, texts, [k for k, u in zip(group, unsure, strict=True) if not u])
+            else:
+                for k, x in zip(group, found, strict=True):
+                    out[k] = x
+
+    def _cut(self, texts: list[str]) -> list[np.ndarray] | None:
+        joined = "\n".join(texts) + "\n"
+        chars = _code_points(joined).astype(np.uint64)
+        kind = _classes()[chars]
+        ends = np.cumsum([len(t) + 1 for t in texts]) - 1
+        if (kind == _UNSURE).any():
+            return None
+        kind[ends], chars[ends] = _END, 0x110000
+        starts = np.flatnonzero(_starts(chars, kind))
+        stops = np.append(starts[1:], len(chars))
+        key, check = (self._hashes(chars, starts, stops, odd) for odd in _ODD)
+        order = np.argsort(key)
+        new = np.empty(len(key), bool)
+        new[:1] = True
+        np.not_equal(key[order[1:]], key[order[:-1]], out=new[1:])
+        which = np.empty(len(key), np.int64)
+        which[order] = np.cumsum(new) - 1
+        first = order[new]
+        if (check[first][which] != check).any():  # two parts of one hash: never seen, and not worth more
+            return [self._whole(t) for t in texts]
+        found = self._ids(key[first], check[first], lambda k: joined[starts[first[k]] : stops[first[k]]] if kind[starts[first[k]]] != _END else "")
+        if found is None:
+            return [self._whole(t) for t in texts]
+        size, flat = found
+        ids = _taken(flat, (np.cumsum(size) - size)[which], size[which]).astype(np.uint32)
+        return np.split(ids, np.cumsum(size[which])[np.searchsorted(starts, ends)])[:-1]
+
+    @staticmethod
+    def _hashes(chars: np.ndarray, starts: np.ndarray, stops: np.ndarray, odd: int) -> np.ndarray:
+        """The sum of each part's characters times powers of an odd number, its first power taken out again."""
+        places = max(2 * AT_ONCE, len(chars))
+        total = np.zeros(len(chars) + 1, np.uint64)
+        np.cumsum((chars + np.uint64(1)) * _powers(odd, places)[: len(chars)], out=total[1:])
+        return mix((total[stops] - total[starts]) * _powers(pow(odd, -1, 1 << 64), places)[starts] + (stops - starts).astype(np.uint64))
+
+    def _ids(self, key: np.ndarray, check: np.ndarray, part: Callable[[int], str]) -> tuple[np.ndarray, np.ndarray] | None:
+        """Sizes and ids of different parts, whose keys ascend; part(k) has the characters of the k-th."""
+        if len(self.known.key) > KNOWN:
+            self.known, self.older = _Parts(self.kind), self.known
+        there, at = self.known.find(key, check)
+        new = np.flatnonzero(~there)
+        if len(new):
+            there, at = self.older.find(key[new], check[new])
+            old = new[there]
+            if len(old):
+                begin, size = self.older.begin[at[there]], self.older.size[at[there]]
+                self.known.add(key[old], check[old], size, _taken(self.older.flat, begin, size))
+            new = new[~there]
+        if len(new):
+            encode, byte = self.lib.model.tokenize, self.byte
+            coded = [[t.id for t in encode(part(k).encode().decode("latin-1").translate(byte))] for k in new.tolist()]
+            self.known.add(key[new], check[new], np.array([len(x) for x in coded], np.int64), np.array([i for x in coded for i in x], self.kind))
+        there, at = self.known.find(key, check)
+        if not there.all():  # a part of another one's first hash
+            return None
+        size = self.known.size[at]
+        return size, _taken(self.known.flat, self.known.begin[at], size)
+
+
+def _code_points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def _pieces(text: str) -> Iterator[str]:
+    """text in pieces of about AT_ONCE code points, each but the first beginning with the first character of a run of white space."""
+    at = 0
+    while len(text) - at > AT_ONCE:
+        cut = max(text.rfind(" ", at + 1, at + AT_ONCE), text.rfind("\n", at + 1, at + AT_ONCE))
+        if cut < 0:
+            cut = min((p for c in " \n" if (p := text.find(c, at + AT_ONCE)) >= 0), default=len(text))
+        while cut > at and cut < len(text) and text[cut - 1].isspace():
+            cut -= 1
+        if cut <= at:  # white space only: up to the first character that is none
+            cut = len(text) - len(text[at:].lstrip())
+            while cut < len(text) and not text[cut].isspace():
+                cut += 1
+        yield text[at:cut]
+        at = cut
+    if at < len(text):
+        yield text[at:]
+
 
 @functools.lru_cache(maxsize=1)
 def encoder_of(path: str) -> Encoder:
@@ -140,8 +321,7 @@ def _encode(path: str, width: int, end: int):
         docs: list = []
         ids: list[np.ndarray] = []
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                x = encoder(text.as_py() or "")
+            for doc, x in zip(batch.column(0).to_pylist(), encoder.all([t or "" for t in batch.column(1).to_pylist()]), strict=True):
                 docs.append(doc)
                 ids.append(np.append(x, np.uint32(end)))
                 size += len(x) + 1
@@ -159,7 +339,8 @@ def write_blocks(docs: DataFrame, to: str, path: str | None = None, end: int = E
     path = path or tokenizer_path(TOKENIZER)
     width = width_of(max(load(path).get_vocab_size(), end + 1))
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
-    ordered.mapInArrow(_encode(path, width, end), BLOCK_SCHEMA).write.parquet(to)
+    with job_settings(ordered):
+        ordered.mapInArrow(_encode(path, width, end), BLOCK_SCHEMA).write.parquet(to)
 
 
 def _summaries(bases: dict[int, int]):
@@ -192,8 +373,6 @@ def read_summaries(spark: SparkSession, at: str) -> DataFrame:
 
 
 def op4_bitpack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import uuid
-
     at = f"{shared_dir(spark)}/rimflow-{uuid.uuid4().hex}/token_blocks"
     write_blocks(table(spark, sf_dir, "documents"), at)
-    return read_summaries(spark, at)
+    return stored(read_summaries(spark, at), "summaries")
