@@ -2,21 +2,24 @@
 
 Each document gets exact counts (words, symbols, repeated lines, repeated three-word windows). The
 method then asks, for each of a few ratios, whether the document lies far outside what its own
-language and source usually show. "Usually" is read from quantile sketches: every value keeps its five
-leading binary digits (a relative error of at most 1/16) and the sketch of a group is the count of each
+language and source usually show. "Usually" is read from quantile sketches: every value keeps its BITS
+leading binary digits (a relative error of less than 1/128) and the sketch of a group is the count of each
 rounded value. Such sketches merge by adding counts, so partial sketches are combined before the
 shuffle, a language's sketch is the sum of its sources' and the whole corpus' the sum of those.
 
 A group with fewer than `min_rows` documents takes the thresholds of its language, and a language with
-fewer than that those of the corpus. A document of the pipeline's stage fails a rule when its ratio is above
-q75 + spread * max(q75 - q25, least), where the least spread of a ratio keeps rules from rejecting ordinary
-documents where a group hardly varies: the limit lies as far above the group's own q75 as the group's own
-spread says. The op9 query is bound by its SQL to max(floor, q75 + spread * (q75 - q25)) with fixed floors.
-Nothing is sampled and all documents count.
+fewer than that those of the corpus. A document fails a rule when its ratio is above
+
+    q75 + spread * max(q75 - q25, least)
+
+of its group. There is no fixed cutoff: a limit moves with the group's own quartiles, upwards and downwards. `least` is
+the smallest spread that a ratio is taken to have; it decides where a group hardly varies (as where most documents have no
+symbol at all, and q25 = q75 = 0), so that such a group does not reject whatever is not exactly usual. Nothing is
+sampled and all documents count.
 
 Defined results: a null text has no words and fails the base rule; null lang or source form a group of
 their own; repeated rows, and rows without a doc_id, each count and are judged by themselves; an empty table
-gives an empty result; columns of the input that are named like a computed column are replaced by it.
+gives an empty result; texts of any length are counted whole, in the memory of one text; columns of the input that are named like a computed column are replaced by it.
 """
 
 from __future__ import annotations
@@ -33,15 +36,15 @@ from .shared import ROW_KEY, counted, keyed_filter, stored, table, with_row_key
 SYMBOLS = b"#*$%&|<>"
 WHITE = b" \t\n\r\x0b\x0c"
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
-#: ratio: (numerator, denominator, floor in thousandths)
+#: ratio: (numerator, denominator, least spread), in thousandths
 RATIOS = {
-    "r_symbols": ("n_symbols", "n_words", 300),
-    "r_dup_lines": ("n_dup_lines", "n_lines", 600),
-    "r_repeats": ("n_repeat_words", "n_words", 400),
-    "r_word_length": ("word_chars", "n_words", 12_000),
+    "r_symbols": ("n_symbols", "n_words", 50),
+    "r_dup_lines": ("n_dup_lines", "n_lines", 125),
+    "r_repeats": ("n_repeat_words", "n_words", 125),
+    "r_word_length": ("word_chars", "n_words", 128),
 }
-#: The least spread (q75 - q25) that a group is taken to have, in thousandths; for word lengths two steps of the sketch.
-LEAST = {"r_symbols": 50, "r_dup_lines": 125, "r_repeats": 125, "r_word_length": 512}
+LEAST = {r: least for r, (_, _, least) in RATIOS.items()}
+BITS = 8
 SPREAD = 3
 MIN_ROWS = 200
 
@@ -103,8 +106,8 @@ def _ratios(counts: DataFrame) -> DataFrame:
 
 
 def _rounded(x: str) -> str:
-    """x with its five leading binary digits."""
-    drop = f"cast(greatest(length(bin({x})) - 5, 0) as int)"
+    """x with its BITS leading binary digits."""
+    drop = f"cast(greatest(length(bin({x})) - {BITS}, 0) as int)"
     return f"shiftleft(shiftright({x}, {drop}), {drop})"
 
 
@@ -115,12 +118,8 @@ def sketches(ratios: DataFrame) -> DataFrame:
     return long.groupBy("g_lang", "g_source", "ratio", F.expr(_rounded("x")).alias("v")).agg(F.count("*").alias("n"))
 
 
-def _by_ratio(values: dict[str, int]) -> str:
-    return "case ratio " + " ".join(f"when '{r}' then {x}" for r, x in values.items()) + " end"
-
-
-def _fences(sketch: DataFrame, keys: list[str], spread: int, least: dict[str, int] | None = None) -> DataFrame:
-    """For each group and ratio: rows, q25 + q75 by cumulated counts, and the fence."""
+def _fences(sketch: DataFrame, keys: list[str], spread: int, least: dict[str, int]) -> DataFrame:
+    """For each group and ratio: rows, the quartiles by cumulated counts, and the fence."""
     merged = sketch.groupBy(*keys, "ratio", "v").agg(F.sum("n").alias("n"))
     by = ", ".join([*keys, "ratio"])
     run = merged.selectExpr("*", f"sum(n) over (partition by {by} order by v) as upto", f"sum(n) over (partition by {by}) as total")
@@ -129,26 +128,21 @@ def _fences(sketch: DataFrame, keys: list[str], spread: int, least: dict[str, in
         F.min(F.expr("if(4 * upto >= total, v, null)")).alias("q25"),
         F.min(F.expr("if(4 * upto >= 3 * total, v, null)")).alias("q75"),
     )
-    width = f"greatest(q75 - q25, {_by_ratio(least)})" if least else "q75 - q25"
-    return q.selectExpr(*keys, "ratio", "total", f"q75 + {spread} * ({width}) as fence")
-
+    smallest = "case ratio " + " ".join(f"when '{r}' then {x}" for r, x in least.items()) + " end"
+    return q.selectExpr(*keys, "ratio", "total", f"q75 + {spread} * greatest(q75 - q25, {smallest}) as fence")
 
-def thresholds(sketch: DataFrame, min_rows: int = MIN_ROWS, spread: int = SPREAD, least: dict[str, int] | None = None) -> DataFrame:
-    """One row for each language and source: the limit of each ratio, from the narrowest group with min_rows documents.
 
-    With least the limits are the fences of spreads no smaller than that; without, the fences or the floors.
-    """
+def thresholds(sketch: DataFrame, min_rows: int = MIN_ROWS, spread: int = SPREAD, least: dict[str, int] = LEAST) -> DataFrame:
+    """One row for each language and source: the limit of each ratio, from the narrowest group with min_rows documents."""
     own = _fences(sketch, ["g_lang", "g_source"], spread, least)
     lang = _fences(sketch, ["g_lang"], spread, least).select("g_lang", "ratio", F.col("total").alias("l_total"), F.col("fence").alias("l_fence"))
     whole = _fences(sketch, [], spread, least).select("ratio", F.col("fence").alias("w_fence"))
     joined = own.join(lang, ["g_lang", "ratio"]).join(whole, "ratio")
-    fence = f"case when total >= {min_rows} then fence when l_total >= {min_rows} then l_fence else w_fence end"
-    floors = {r: floor for r, (_, _, floor) in RATIOS.items()}
-    limit = joined.withColumn("top", F.expr(fence if least else f"greatest({fence}, {_by_ratio(floors)})"))
+    limit = joined.withColumn("top", F.expr(f"case when total >= {min_rows} then fence when l_total >= {min_rows} then l_fence else w_fence end"))
     return limit.groupBy("g_lang", "g_source").agg(*[F.max(F.when(F.col("ratio") == r, F.col("top"))).alias(f"max_{r}") for r in RATIOS])
 
 
-def quality_verdicts(docs: DataFrame, min_rows: int = MIN_ROWS, spread: int = SPREAD, keep: tuple[str, ...] = ("doc_id",), least: dict[str, int] | None = None) -> DataFrame:
+def quality_verdicts(docs: DataFrame, min_rows: int = MIN_ROWS, spread: int = SPREAD, keep: tuple[str, ...] = ("doc_id",), least: dict[str, int] = LEAST) -> DataFrame:
     """The columns named in keep, the counts, base_failed, failed (the rules that the document fails) and kept, for every row of docs.
 
     The limits have a row for each language and source; where they are few they are broadcast, so that the rows of a
@@ -173,17 +167,19 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keep_by_rules(spark: SparkSession, docs: DataFrame, sf_dir: str | None = None) -> DataFrame:
     """The rows of docs that the rules keep."""
     keyed = with_row_key(docs, "doc_id", "text", "lang", "source")
-    rejected = stored(quality_verdicts(keyed, keep=tuple(ROW_KEY), least=LEAST).where("not kept").select(*ROW_KEY).distinct(), "rejected")
+    rejected = stored(quality_verdicts(keyed, keep=tuple(ROW_KEY)).where("not kept").select(*ROW_KEY).distinct(), "rejected")
     return keyed_filter(keyed, rejected, ROW_KEY, "left_anti").drop(*ROW_KEY)
 
 
 def _sql_fences(keys: str) -> str:
     by = f"{keys}, ratio" if keys else "ratio"
+    least = "case ratio " + " ".join(f"when '{r}' then {x}" for r, x in LEAST.items()) + " end"
     return f"""(
-  select {by}, max(total) as total, min(case when 4 * upto >= 3 * total then v end) + {SPREAD} * (min(case when 4 * upto >= 3 * total then v end) - min(case when 4 * upto >= total then v end)) as fence
-  from (select {by}, v, sum(n) over (partition by {by} order by v) as upto, sum(n) over (partition by {by}) as total
-        from (select {by}, v, sum(n) as n from sketch group by {by}, v) m) r
-  group by {by})"""
+  select {by}, total, q75 + {SPREAD} * greatest(q75 - q25, {least}) as fence
+  from (select {by}, max(total) as total, min(case when 4 * upto >= total then v end) as q25, min(case when 4 * upto >= 3 * total then v end) as q75
+        from (select {by}, v, sum(n) over (partition by {by} order by v) as upto, sum(n) over (partition by {by}) as total
+              from (select {by}, v, sum(n) as n from sketch group by {by}, v) m) r
+        group by {by}) q)"""
 
 
 OP9_SQL = (
@@ -207,13 +203,13 @@ with base as (
   from base b left join repeated r on b.doc_id = r.doc_id
 ), ratios as ("""
     + " union all ".join(
-        f"select doc_id, lang, source, '{r}' as ratio, {floor} as floor, case when {bottom} > 0 then ({top} * 1000) // {bottom} else 0 end as x from counts"
-        for r, (top, bottom, floor) in RATIOS.items()
+        f"select doc_id, lang, source, '{r}' as ratio, case when {bottom} > 0 then ({top} * 1000) // {bottom} else 0 end as x from counts"
+        for r, (top, bottom, _) in RATIOS.items()
     )
     + f"""), sketch as (
-  select lang, source, ratio, (x >> greatest(length(bin(x)) - 5, 0)) << greatest(length(bin(x)) - 5, 0) as v, count(*) as n from ratios group by all
+  select lang, source, ratio, (x >> greatest(length(bin(x)) - {BITS}, 0)) << greatest(length(bin(x)) - {BITS}, 0) as v, count(*) as n from ratios group by all
 ), verdicts as (
-  select a.doc_id, bool_or(a.x > greatest(a.floor, case when o.total >= {MIN_ROWS} then o.fence when l.total >= {MIN_ROWS} then l.fence else w.fence end)) as failed
+  select a.doc_id, bool_or(a.x > case when o.total >= {MIN_ROWS} then o.fence when l.total >= {MIN_ROWS} then l.fence else w.fence end) as failed
   from ratios a join {_sql_fences('lang, source')} o on a.lang = o.lang and a.source = o.source and a.ratio = o.ratio
        join {_sql_fences('lang')} l on a.lang = l.lang and a.ratio = l.ratio join {_sql_fences('')} w on a.ratio = w.ratio
   group by a.doc_id
