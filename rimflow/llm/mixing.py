@@ -6,28 +6,33 @@
    frequent those of another are.
 2. Posteriors. Each document's words meet that table; the summed logs plus the domains' log priors give the
    probability of each domain (softmax, rounded to three digits and made to sum to one).
-3. Rates. Document i has t_i words and expected t_i * p_ik words of domain k. Wanted are rates r_i >= lower
+3. Rates. Document i has t_i words and expected t_i * p_ik words of domain k. Wanted are rates lower <= r_i <= upper
    for which the expected totals sum_i r_i t_i p_ik equal the targets T_k. Starting from r = 1 the least-squares
-   objective falls by projected gradient steps, r_i <- max(lower, r_i - sum_k s_k p_ik g_k) with g_k the error of
-   domain k and s_k a step fitted to the domain's mass. Each step is one distributed sum over the data and
-   sends one number per domain to the driver. Documents of equal posteriors have equal rates, so the sums run
-   over cells (posterior, words), which are aggregated once.
+   objective falls by projected gradient steps, r_i <- min(upper, max(lower, r_i - sum_k p_ik y_k)), where y is the errors
+   of the domains scaled by the inverse of sum_i t_i p_ik p_il over the documents that are free to move; a step that does not
+   come closer is halved. Each is a distributed sum over the data, which sends a few numbers for each domain to the
+   driver. Documents of equal posteriors have equal rates, so the sums run over cells (posterior, words), which are
+   aggregated once.
 4. The size of the mixture follows from the weights: the smallest one in which every domain can be met with rates
-   of one or more ("up", documents repeat), or the largest one with rates of at most one ("down").
+   of one or more ("up", documents repeat), or the largest one with rates of at most one ("down"). Where steps
+   stop to come closer (soft posteriors with a lower bound on rates), a mixture "up" is enlarged by GROWTH. After MAX_STEPS steps in
+   all, what is missed is not hidden: the column `missed` says by which share of the mixture the worst domain is off.
 
 Everything is DataFrame operations. What grows with the corpus stays distributed: broadcast are only the words of the
-sample (joined by a shuffle where they are many) and, as literals, the error vectors of at most `MAX_STEPS` steps.
+sample (joined by a shuffle where they are many) and, as literals, the error vectors of the steps.
 
-Defined results: null and empty texts have no words, the prior as their posterior, and a rate like others; null
-domains are not trained on; repeated rows (equal doc_id and text) are one row with the tokens of all of them, and
-the stage repeats each of them alike; a null doc_id is a value of its own; an empty table, or one without labelled rows, gives posteriors from the priors that are there (uniform without any); columns of the input that
+Defined results: null and empty texts have no words, the prior as their posterior, and the rate 1, as they cannot help;
+null domains are not trained on; repeated rows (equal doc_id and text) are one row with the tokens of all of them and the
+posterior of one, and the stage repeats each of them alike; a null doc_id is a value of its own; very long texts are split whole, one text in memory at a time; an empty table gives an empty result; one without labelled rows, gives posteriors from the priors that are there (uniform without any); columns of the input that
 are named like a computed one are replaced.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import math
+from dataclasses import dataclass, replace
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,6 +41,10 @@ from .shared import ROW_KEY, counted, stored, table
 MAX_LABELLED = 4000
 MAX_STEPS = 40
 TOLERANCE = 1e-4
+#: A mixture whose miss is not halved by each of PATIENCE steps is enlarged.
+PATIENCE, GROWTH = 3, 1.04
+#: No document is to occur more often than this.
+MAX_RATE = 100.0
 #: Shares that the query and the pipeline ask for.
 TARGETS = {"en": 0.45, "fr": 0.2, "de": 0.2, "es": 0.15}
 
@@ -57,8 +66,6 @@ def classifier_table(docs: DataFrame, labels: DataFrame, domain: str, domains: l
     weights = [F.log((F.col(f"n{k}") + 0.5) / F.lit((sums[k] or 0) + 0.5 * max(n_words, 1))).alias(f"w{k}") for k in range(len(domains))]
     rows = known.groupBy("domain").count().collect()  # one row for each of the named domains
     seen = {r["domain"]: r["count"] for r in rows}
-    import math
-
     every = sum(seen.values()) + len(domains)
     return counts.select("word", *weights), [math.log((seen.get(d, 0) + 1) / every) for d in domains]
 
@@ -67,10 +74,12 @@ def posteriors(docs: DataFrame, markers: DataFrame, priors: list[float], keep: t
     """doc_id, text_hash, tokens, copies and posterior p (array) of every different (doc_id, text)."""
     ks = range(len(priors))
     rows = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), *keep, F.coalesce("text", F.lit("")).alias("text"))
-    words = rows.select("doc_id", "text_hash", *keep, F.explode_outer(F.expr(_WORDS)).alias("word"))
+    split = rows.select("doc_id", "text_hash", *keep, F.expr(_WORDS).alias("ws"))
+    words = split.select("doc_id", "text_hash", *keep, F.size("ws").alias("n"), F.explode_outer("ws").alias("word"))
     scored = words.join(counted(markers), "word", "left")
-    summed = scored.groupBy("doc_id", "text_hash", *keep).agg(F.count("word").alias("words"), *[F.sum(F.coalesce(f"w{k}", F.lit(0.0))).alias(f"s{k}") for k in ks])
-    logs = [F.col(f"s{k}") + F.lit(priors[k]) for k in ks]
+    summed = scored.groupBy("doc_id", "text_hash", *keep).agg(F.count("word").alias("words"), F.max("n").alias("n"), *[F.sum(F.coalesce(f"w{k}", F.lit(0.0))).alias(f"s{k}") for k in ks])
+    # equal rows are summed together: one of them has n of the words
+    logs = [F.col(f"s{k}") * F.when(F.col("words") > 0, F.col("n") / F.col("words")).otherwise(1.0) + F.lit(priors[k]) for k in ks]
     most = F.greatest(*logs) if len(logs) > 1 else logs[0]
     raw = summed.withColumn("e", F.array(*[F.exp(x - most) for x in logs]))
     # three digits, so that documents gather in cells; the largest takes what rounding leaves
@@ -88,18 +97,25 @@ class Rates:
 
     steps: list[list[float]]
     lower: float
+    upper: float
     targets: list[float]
     reached: list[float]
 
+    @property
+    def missed(self) -> float:
+        """The share of the mixture by which the worst domain is off."""
+        total = sum(self.targets)
+        return max(abs(a - b) for a, b in zip(self.reached, self.targets, strict=True)) / total if total else 0.0
+
     def column(self, p: Column) -> Column:
         if not self.steps:
             return F.lit(1.0)
         each = F.array(*[F.array(*[F.lit(x) for x in g]) for g in self.steps])
         dot = lambda g: F.aggregate(F.zip_with(p, g, lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
-        return F.aggregate(each, F.lit(1.0), lambda r, g: F.greatest(F.lit(self.lower), r - dot(g)))
+        return F.aggregate(each, F.lit(1.0), lambda r, g: F.least(F.lit(self.upper), F.greatest(F.lit(self.lower), r - dot(g))))
 
 
-def fit_rates(post: DataFrame, weights: list[float], size: str = "up", lower: float = 0.0, max_steps: int = MAX_STEPS) -> Rates:
+def fit_rates(post: DataFrame, weights: list[float], size: str = "up", lower: float = 0.0, max_steps: int = MAX_STEPS, upper: float = MAX_RATE) -> Rates:
     """Projected-gradient least squares on the cells of a posterior table (tokens, p)."""
     k_all = range(len(weights))
     cells = stored(post.groupBy("p").agg(F.sum("tokens").alias("tokens")).where("tokens > 0"), "cells")
@@ -110,32 +126,46 @@ def fit_rates(post: DataFrame, weights: list[float], size: str = "up", lower: fl
     ratios = [m / w for m, w in zip(mass, share, strict=True) if w > 0 and m > 0]
     total = (max(ratios) if size == "up" else min(ratios)) if ratios else 0.0
     targets = [total * w for w in share]
-    fitted = Rates([], lower, targets, mass)
-    # rows of the matrix sum_i t_i p_ik p_il bound how far a step of domain k moves the others
-    gram = cells.agg(*[F.sum(F.col("tokens") * F.col("p")[k] * F.col("p")[j]) for k in k_all for j in k_all]).first()
-    rows = [sum(float(gram[k * len(weights) + j] or 0) for j in k_all) for k in k_all]
+    fitted = Rates([], lower, upper, targets, mass)
+    slow = 0
     for _ in range(max_steps if ratios else 0):
-        error = [a - b for a, b in zip(fitted.reached, targets, strict=True)]
-        if max(abs(e) for e in error) <= TOLERANCE * total:
+        if fitted.missed <= TOLERANCE:
+            break
+        error = [a - b for a, b in zip(fitted.reached, fitted.targets, strict=True)]
+        # sum_i t_i p_ik p_il over the cells whose rate the gradient moves: its inverse turns errors into a step
+        rate, p, pull = fitted.column(F.col("p")), F.col("p"), sum((F.col("p")[k] * F.lit(error[k]) for k in k_all), F.lit(0.0))
+        free = ((rate > lower) | (pull < 0)) & ((rate < upper) | (pull > 0))
+        gram = cells.where(free).agg(*[F.sum(F.col("tokens") * p[k] * p[j]) for k in k_all for j in k_all]).first()
+        matrix = np.array([float(x or 0) for x in gram]).reshape(len(weights), -1)
+        step = np.linalg.solve(matrix + np.eye(len(weights)) * (1e-6 * matrix.trace() + 1e-9), np.array(error))
+        for part in (1.0, 0.5, 0.25, 0.125):
+            tried = replace(fitted, steps=[*fitted.steps, (part * step).tolist()])
+            tried.reached = [float(x or 0) for x in cells.agg(*expected(tried.column(p))).first()]
+            if tried.missed < fitted.missed:
+                break
+        slow = slow + 1 if tried.missed > fitted.missed / 2 else 0
+        if tried.missed < fitted.missed:
+            fitted = tried
+        elif size != "up":
             break
-        fitted.steps.append([e / r if r > 0 else 0.0 for e, r in zip(error, rows, strict=True)])
-        fitted.reached = [float(x or 0) for x in cells.agg(*expected(fitted.column(F.col("p")))).first()]
+        if size == "up" and slow >= PATIENCE:
+            fitted.targets, slow = [GROWTH * t for t in fitted.targets], 0
     return fitted
 
 
-def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float], domain: str = "lang", size: str = "up", lower: float = 0.0) -> DataFrame:
-    """doc_id, text_hash, tokens, p_<domain>..., rate and copies of every different (doc_id, text).
+def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float], domain: str = "lang", size: str = "up", lower: float = 0.0, upper: float = MAX_RATE) -> DataFrame:
+    """doc_id, text_hash, tokens, p_<domain>..., rate, copies and missed of every different (doc_id, text).
 
     copies is rate rounded down or up by a hash of the document, so that its mean is the rate.
     """
     domains = list(targets)
     markers, priors = classifier_table(docs, labels, domain, domains)
     post = stored(posteriors(docs, markers, priors), "posteriors")
-    rate = fit_rates(post, [targets[d] for d in domains], size, lower).column(F.col("p"))
-    out = post.withColumn("rate", rate)
+    fitted = fit_rates(post, [targets[d] for d in domains], size, lower, upper=upper)
+    out = post.withColumn("rate", F.when(F.col("tokens") > 0, fitted.column(F.col("p"))).otherwise(1.0))
     chance = F.pmod(F.xxhash64(F.lit("copies"), "doc_id", "text_hash"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     copies = (F.floor("rate") + (chance < F.col("rate") - F.floor("rate")).cast("long")).alias("copies")
-    return out.select("doc_id", "text_hash", "tokens", *[F.col("p")[k].alias(f"p_{d}") for k, d in enumerate(domains)], "rate", copies)
+    return out.select("doc_id", "text_hash", "tokens", *[F.col("p")[k].alias(f"p_{d}") for k, d in enumerate(domains)], "rate", copies, F.lit(fitted.missed).alias("missed"))
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
