@@ -5,14 +5,15 @@ mark "this word equals the one before" is hashed to one of 2**17 buckets. A buck
 vector; a document is the mean of the vectors of all its features; a softmax over two classes follows.
 Vectors and output weights are trained together by plain stochastic gradient descent in numpy.
 
-Training uses a bounded sample: at most `MAX_TRAIN` labelled rows, those with the smallest hash of
-doc_id, of texts of at most `MAX_TRAIN_BYTES` bytes (a longer labelled text is left out of training
-only). So the driver holds at most MAX_TRAIN * MAX_TRAIN_BYTES bytes whatever the corpus' size.
-Scoring reads every whole text. Because the mean is linear, what a scoring task needs of the model is one
+Training uses a bounded sample of labelled rows: those with the smallest hashes of doc_id, at most `max_train` of them
+and with at most `max_features` different features together. Tasks turn their whole texts, of any length, into counts of
+buckets; only these counts come to the driver, so it holds max_features numbers and their counts whatever the corpus' size.
+Scoring reads every whole text, in pieces. Because the mean is linear, what a scoring task needs of the model is one
 number for each bucket (its vector times the difference of the two classes' weights): half a megabyte.
 
-Only the text is an input of a score. Defined results: null and empty texts have no feature and get the
-score of the bias alone; with no labelled row at all, or one class only, the score is that class' share
+Only the text is an input of a score. Defined results: null and empty texts have no feature, train the bias alone and get its
+score; very long texts are learnt from and scored whole; an empty table gives an empty result; of several texts under one
+doc_id the one with the smallest hash is learnt from; columns of the input named score or predicted are not read; with no labelled row at all, or one class only, the score is that class' share
 (0.5 without rows); conflicting labels of a doc_id count as the larger; repeated rows, and rows without a
 doc_id, are each scored, and the stage judges each by its own text.
 """
@@ -36,7 +37,7 @@ GRAMS = (3, 4)
 EPOCHS = 6
 RATE = 4.0
 MAX_TRAIN = 4000
-MAX_TRAIN_BYTES = 65_536
+MAX_FEATURES = 30_000_000
 ACCEPT = 0.3
 #: Texts are featurised in pieces of so many bytes, cut at white space where there is any.
 PIECE = 1 << 18
@@ -85,16 +86,26 @@ def features(text: str | None) -> Iterator[np.ndarray]:
         at = end
 
 
+def counted_features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """The different buckets of a text and how often each occurs."""
+    idx, cnt = np.empty(0, np.int32), np.empty(0, np.int64)
+    for f in features(text):
+        both, n = np.concatenate([idx, f]), np.concatenate([cnt, np.ones(len(f), np.int64)])
+        idx, at = np.unique(both, return_inverse=True)
+        cnt = np.bincount(at, n, len(idx)).astype(np.int64)
+    return idx, cnt
+
+
 def train(texts: list[str | None], labels: list[int]) -> tuple[np.ndarray, float]:
+    return train_counts([counted_features(t) for t in texts], labels)
+
+
+def train_counts(docs: list[tuple[np.ndarray, np.ndarray]], labels: list[int]) -> tuple[np.ndarray, float]:
     """(the score of each bucket, the bias); their mean over a document plus the bias is a log odds."""
     y = np.array([1 if q else 0 for q in labels])
     if not len(y) or y.min() == y.max():
         share = y.mean() if len(y) else 0.5
         return np.zeros(BUCKETS, np.float32), float(np.log((share + 1e-3) / (1 - share + 1e-3)))
-    docs = []
-    for t in texts:
-        f = list(features(t))
-        docs.append(np.unique(np.concatenate(f), return_counts=True) if f else (np.empty(0, np.int32), np.empty(0, np.int64)))
     rng = np.random.Generator(np.random.PCG64(7))
     vectors = ((rng.random((BUCKETS, DIM)) - 0.5) * (2 / DIM)).astype(np.float32)
     weights = (rng.standard_normal((2, DIM)) * 0.5).astype(np.float32)
@@ -131,19 +142,32 @@ def scorer(value: np.ndarray, bias: float) -> Callable[[str | None], float]:
     return score
 
 
-def sample(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> tuple[list[str | None], list[int]]:
-    """Texts and labels of the training rows, ordered so that a run can be repeated."""
+def _featurised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        idx, cnt = zip(*[counted_features(x.as_py()) for x in batch.column(3)], strict=True) if batch.num_rows else ((), ())
+        cols = [*batch.columns[:3], pa.array(idx, pa.list_(pa.int32())), pa.array(cnt, pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays(cols, ["id", "y", "key", "idx", "cnt"])
+
+
+def sample(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, max_features: int = MAX_FEATURES) -> tuple[list[tuple[np.ndarray, np.ndarray]], list[int]]:
+    """Features and labels of the training rows, ordered so that a run can be repeated."""
     known = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("y"))
     known = known.where(crc_mod5(F.col("doc_id")) != 0).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
     known = known.select(F.col("doc_id").alias("id"), F.col("y").cast("int").alias("y"))  # at most max_train rows
-    found = docs.select("doc_id", "text").where(F.octet_length("text") <= MAX_TRAIN_BYTES).join(F.broadcast(known), F.col("doc_id") == F.col("id"))
-    got = found.select("id", "y", "text").groupBy("id").agg(F.min(F.struct("text", "y")).alias("x")).select("id", "x.text", "x.y").toArrow()
-    got = got.sort_by("id")
-    return got["text"].to_pylist(), got["y"].to_pylist()
+    found = docs.select("doc_id", "text").join(F.broadcast(known), F.col("doc_id") == F.col("id"))
+    found = found.select("id", "y", F.xxhash64(F.col("text").isNull(), "text").alias("key"), "text").dropDuplicates(["id", "key"])
+    made = found.mapInArrow(_featurised, "id long, y int, key long, idx array<int>, cnt array<long>")
+    one = stored(made.groupBy("id").agg(F.min_by(F.struct("y", "idx", "cnt"), "key").alias("x")).select("id", "x.*"), "features")
+    sizes = one.select(F.xxhash64("id").alias("h"), "id", F.size("idx").alias("n")).toArrow().sort_by([("h", "ascending"), ("id", "ascending")])
+    fits = np.cumsum(sizes["n"].to_numpy()) <= max_features
+    ids = sizes["id"].to_numpy()[fits].tolist()  # at most max_train numbers
+    got = one.where(F.col("id").isin(ids)).toArrow().sort_by("id")
+    pair = zip(got["idx"], got["cnt"], strict=True)
+    return [(i.values.to_numpy(), c.values.to_numpy()) for i, c in pair], got["y"].to_pylist()
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> tuple[np.ndarray, float]:
-    return train(*sample(docs, labels, max_train))
+    return train_counts(*sample(docs, labels, max_train))
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, accept: float = ACCEPT, model: tuple[np.ndarray, float] | None = None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
