@@ -1,6 +1,6 @@
 """Near-duplicate groups by HyperMinHash sketches.
 
-A document's set holds its distinct two-word shingles, each as a 64-bit hash. The hash space is split
+A document's set holds its distinct shingles of `words` words (five; the query op8 is bound to two), each as a 64-bit hash. The hash space is split
 into REGISTERS buckets; a bucket's register is what HyperMinHash keeps of the smallest hash in it: the
 count of leading zeros (6 bits) and the MANTISSA bits after the first one. Empty buckets borrow the
 register of a bucket picked by a fixed hash sequence, so that small sets can be banded too.
@@ -22,7 +22,9 @@ bucket and could join two components goes untested. Two sets at the threshold sh
 probability (1 - 0.8 ** ROWS) ** BANDS, about 1e-7.
 
 Defined results: null, empty and white-space texts have an empty set and are linked with nothing;
-one word is the set of that word; repeated doc_ids give one row for each input row, in the same component; rows
+fewer words than a shingle has are one shingle; texts of any length are shingled whole, in the memory of one text and its set;
+repeated doc_ids give one row for each input row, in the same component (different texts under one doc_id are one node,
+confirmed by one of them); doc_ids are cast to long: one that is no number counts as null; rows
 without a doc_id belong to the group of the documents with the same set, are not kept where there are such, and
 form no group with others; an empty table gives an empty result; further columns are ignored.
 """
@@ -36,8 +38,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .shared import keyed_filter, stored, table
+from .shared import ROW_KEY, keyed_filter, stored, table, with_row_key
 from .texthash import mix, word_hashes
 
 REGISTERS = 200
@@ -49,6 +52,9 @@ MARGIN = 0.16
 #: Classes of one side that are compared at once: on registers, on full sets.
 BLOCK = 2048
 BLOCK_SETS = 512
+#: Hashes of the full sets of one side that are in memory at once: long documents make smaller blocks.
+BLOCK_HASHES = 1 << 22
+WORDS = 5
 
 #: Where an empty bucket looks for a register, step by step. In a set of few hashes the share of a bucket among the
 #: registers must stay even, so the sequence is long enough to end in a filled one whatever the size of the set.
@@ -57,7 +63,7 @@ _STEP = (mix(np.arange(1, REGISTERS * STEPS + 1, dtype=np.uint64)).reshape(STEPS
 _SHIFT = np.uint64(32)
 
 
-def shingles(text: str | None, k: int = 2) -> np.ndarray:
+def shingles(text: str | None, k: int) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the k-word shingles of a whole text (A-Z in lower case)."""
     raw = (text or "").encode("utf-8", "surrogatepass").lower()
     words = word_hashes(raw)
@@ -112,26 +118,26 @@ def estimate(equal: np.ndarray | float) -> np.ndarray | float:
     return (equal - chance) / (1 - chance)
 
 
-def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        n, fp, regs = [], [], []
-        for x in batch.column(1):
-            s = shingles(x.as_py())
-            n.append(len(s))
-            fp.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
-            regs.append(registers(s).tobytes() if len(s) else None)
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(n, pa.int64()), pa.array(fp, pa.binary()), pa.array(regs, pa.binary())],
-            ["doc_id", "n_shingles", "class_key", "regs"],
-        )
-
+def _sketch(words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, fp, regs = [], [], []
+            for x in batch.column(batch.num_columns - 1):
+                s = shingles(x.as_py(), words)
+                n.append(len(s))
+                fp.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
+                regs.append(registers(s).tobytes() if len(s) else None)
+            made = [pa.array(n, pa.int64()), pa.array(fp, pa.binary()), pa.array(regs, pa.binary())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *made], [*batch.schema.names[:-1], "n_shingles", "class_key", "regs"])
 
-_SKETCH = "n_shingles long, class_key binary, regs binary"
+    return run
 
 
-def sketch_table(docs: DataFrame) -> DataFrame:
-    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return narrow.mapInArrow(_sketch, f"doc_id long, {_SKETCH}")
+def sketch_table(docs: DataFrame, words: int = WORDS, keep: tuple[str, ...] = ()) -> DataFrame:
+    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *keep, "text")
+    kept = T.StructType([f for f in narrow.schema.fields if f.name != "text"])
+    made = [T.StructField("n_shingles", T.LongType()), T.StructField("class_key", T.BinaryType()), T.StructField("regs", T.BinaryType())]
+    return narrow.mapInArrow(_sketch(words), T.StructType(kept.fields + made))
 
 
 def _bands(classes: DataFrame) -> DataFrame:
@@ -159,10 +165,13 @@ def _estimated(floor: float):
     return run
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        s = [shingles(x.as_py()).tobytes() for x in batch.column(1)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s, pa.binary())], ["id", "hashes"])
+def _sets(words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            s = [shingles(x.as_py(), words).tobytes() for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s, pa.binary())], ["id", "hashes"])
+
+    return run
 
 
 def _confirmed(percent: int):
@@ -178,16 +187,16 @@ def _confirmed(percent: int):
     return run
 
 
-def _set_table(ids: DataFrame, docs: DataFrame) -> DataFrame:
+def _set_table(ids: DataFrame, docs: DataFrame, words: int) -> DataFrame:
     """id, hashes: the full sets of the documents with these doc_ids."""
     ids = stored(ids, "verify_ids")
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return stored(keyed_filter(narrow, ids, "doc_id", "left_semi").mapInArrow(_sets, "id long, hashes binary").dropDuplicates(["id"]), "sets")
+    return stored(keyed_filter(narrow, ids, "doc_id", "left_semi").mapInArrow(_sets(words), "id long, hashes binary").dropDuplicates(["id"]), "sets")
 
 
-def _links(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+def _links(pairs: DataFrame, docs: DataFrame, percent: int, words: int) -> DataFrame:
     """The pairs (a, b) of class ids that the full sets confirm."""
-    sets = _set_table(pairs.selectExpr("explode(array(a, b)) as doc_id").distinct(), docs)
+    sets = _set_table(pairs.selectExpr("explode(array(a, b)) as doc_id").distinct(), docs, words)
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("hashes").alias("ha")), "a").join(
         sets.select(F.col("id").alias("b"), F.col("hashes").alias("hb")), "b"
     )
@@ -310,17 +319,20 @@ def _grouped(handle, floor: float, percent: int):
     return run
 
 
-def _pairs_of_blocks(member: DataFrame, block: int) -> DataFrame:
+def _pairs_of_blocks(member: DataFrame, block: int, hashes: int = 1 << 62) -> DataFrame:
     """key, pair, side, id, n, comp: who is to be compared with whom within each key.
 
     Of a key's members (key, id, n, comp) those outside its largest component are compared with each other (side 0
-    in a block, else 1 and 2) and with the members of the largest, in blocks of `block`. Keys of one component are settled.
+    in a block, else 1 and 2) and with the members of the largest, in blocks of about `block` members
+    and `hashes` hashes at most. Keys of one component are settled.
     """
-    sizes = member.groupBy("key", "comp").agg(F.count("*").alias("c"))
-    main = sizes.groupBy("key").agg(F.max(F.struct("c", "comp")).alias("top"), F.sum("c").alias("m")).where("m > top.c")
-    main = stored(main.selectExpr("key", "top.comp as main", "top.c as n_main", "m - top.c as n_rest"), "main")
+    # so many blocks are c members worth
+    sizes = member.groupBy("key", "comp").agg(F.count("*").alias("c"), F.sum("n").alias("h"))
+    main = sizes.groupBy("key").agg(F.max(F.struct("c", "comp", "h")).alias("top"), F.sum("c").alias("m"), F.sum("h").alias("h")).where("m > top.c")
+    blocks = lambda c, h: f"cast(greatest(ceil(({c}) / {block}), ceil(({h}) / {hashes})) as int)"
+    main = stored(main.selectExpr("key", "top.comp as main", f"{blocks('top.c', 'top.h')} as n_main", f"{blocks('m - top.c', 'h - top.h')} as n_rest"), "main")
     member = member.join(main, "key")
-    n = {k: f"cast(ceil(n_{k} / {block}) as int)" for k in ("rest", "main")}
+    n = {k: f"n_{k}" for k in ("rest", "main")}
     place = {k: f"cast(pmod(xxhash64(id), {v}) as int)" for k, v in n.items()}
     dealt = member.selectExpr(
         "key", "id", "n", "comp", "comp <> main as rest",
@@ -341,23 +353,23 @@ def _by_group(rows: DataFrame) -> DataFrame:
     return rows.repartition("key", "pair").sortWithinPartitions("key", "pair")
 
 
-def _across(soft: DataFrame, comp: DataFrame, classes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+def _across(soft: DataFrame, comp: DataFrame, classes: DataFrame, docs: DataFrame, percent: int, words: int) -> DataFrame:
     """Links between the components of each soft cluster (id, key), looked for on the full sets.
 
     The members outside the cluster's largest component are compared with each other and with those of the
     largest, block by block; of the links found in a block only those that join components are returned.
     """
     member = soft.join(comp, "id", "left").selectExpr("key", "id", "coalesce(comp, id) as comp")
-    rows = stored(_pairs_of_blocks(member.join(classes.select("id", "n"), "id"), BLOCK_SETS), "members")
-    rows = rows.join(_set_table(rows.selectExpr("id as doc_id").distinct(), docs), "id")
+    rows = stored(_pairs_of_blocks(member.join(classes.select("id", "n"), "id"), BLOCK_SETS, BLOCK_HASHES), "members")
+    rows = rows.join(_set_table(rows.selectExpr("id as doc_id").distinct(), docs, words), "id")
     rows = _by_group(rows.select("key", "pair", "side", "id", "n", "comp", "hashes"))
     return rows.mapInArrow(_grouped(_linked, 0.0, percent), "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row of docs; links are 100 * both >= percent * either."""
+def near_duplicates(docs: DataFrame, percent: int = 80, words: int = WORDS, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, the columns named in keep, n_shingles and component_id of every row of docs; links are 100 * both >= percent * either."""
     floor = percent / 100 - MARGIN
-    all_docs = stored(sketch_table(docs), "sketches")
+    all_docs = stored(sketch_table(docs, words, keep), "sketches")
     classes = stored(
         all_docs.where("n_shingles > 0")
         .groupBy("class_key")
@@ -374,7 +386,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     near_hub = shared.where("id <> hub and " + _sizes_fit("n", "hub_n", percent)).selectExpr("hub as a", "id as b").distinct()
     stars = near_hub.join(regs.selectExpr("id as a", "regs as ra"), "a").join(regs.selectExpr("id as b", "regs as rb"), "b")
     stars = stored(stars.select("a", "b", "ra", "rb").mapInArrow(_estimated(floor), "a long, b long"), "stars")
-    links = _links(stars, docs, percent)
+    links = _links(stars, docs, percent, words)
     comp = components(links)
 
     labelled = shared.where("m > 2").join(comp, "id", "left").selectExpr("key", "id", "n", "coalesce(comp, id) as comp")
@@ -383,19 +395,23 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     likely = stored(rest.mapInArrow(_grouped(_likely, floor, percent), "a long, b long").distinct(), "likely")
     if likely.limit(1).count():
         soft = components(links.union(stars).union(likely)).withColumnRenamed("comp", "key")
-        comp = components(links.union(_across(soft, comp, classes, docs, percent)))
+        comp = components(links.union(_across(soft, comp, classes, docs, percent, words)))
 
     rep = classes.select("class_key", "id").join(comp, "id", "left").select("class_key", F.coalesce("comp", "id").alias("component"))
-    found = all_docs.select("doc_id", "n_shingles", "class_key").join(rep, "class_key", "left")
-    return found.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    found = all_docs.select("doc_id", *keep, "n_shingles", "class_key").join(rep, "class_key", "left")
+    return found.select("doc_id", *keep, "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = near_duplicates(table(spark, sf_dir, "documents")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    found = near_duplicates(table(spark, sf_dir, "documents"), words=2).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
     return stored(found, "components")
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str | None = None) -> DataFrame:
-    """The document with the smallest doc_id of each group of near duplicates (all its rows, if it occurs more than once); rows without a doc_id stay."""
-    gone = stored(near_duplicates(docs).where("doc_id <> component_id").select("doc_id").distinct(), "near_copies")
-    return keyed_filter(docs, gone, "doc_id", "left_anti")
+    """The document with the smallest doc_id of each group of near duplicates (all its rows, if it occurs more than once); rows without a doc_id stay.
+
+    Rows go by doc_id and text: another text under the doc_id of a copy stays.
+    """
+    keyed = with_row_key(docs, "doc_id", "text")
+    gone = stored(near_duplicates(keyed, keep=tuple(ROW_KEY)).where("doc_id <> component_id").select(*ROW_KEY).distinct(), "near_copies")
+    return keyed_filter(keyed, gone, ROW_KEY, "left_anti").drop(*ROW_KEY)

@@ -50,13 +50,14 @@ def empty(spark):
     return spark.createDataFrame([], DOC)
 
 
-def shingle_set(t):
+def shingle_set(t, k=2):
     w = (t or "").encode().lower().split()
-    return frozenset(zip(w, w[1:], strict=False)) if len(w) > 1 else frozenset([tuple(w)] if w else [])
+    return frozenset(zip(*[w[i:] for i in range(k)], strict=False)) if len(w) >= k else frozenset([tuple(w)] if w else [])
 
 
-def test_near_duplicates_equal_all_pairs(docs, texts):
-    sets = [shingle_set(t) for t in texts]
+@pytest.mark.parametrize("k", [2, 5])
+def test_near_duplicates_equal_all_pairs(docs, texts, k):
+    sets = [shingle_set(t, k) for t in texts]
     parent = list(range(len(sets)))
 
     def root(i):
@@ -69,7 +70,7 @@ def test_near_duplicates_equal_all_pairs(docs, texts):
             if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
                 a, b = sorted((root(i), root(j)))
                 parent[b] = a
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in neardup.near_duplicates(docs).collect()}
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in neardup.near_duplicates(docs, words=k).collect()}
     assert got == {i: (len(sets[i]), root(i)) for i in range(len(sets))}
 
 
@@ -85,7 +86,7 @@ def test_near_duplicates_of_a_dense_group(spark):
         rows.append((i, " ".join(copy)))
     old, neardup.BLOCK, neardup.BLOCK_SETS = (neardup.BLOCK, neardup.BLOCK_SETS), 32, 16
     try:
-        got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words=2).collect()}
     finally:
         neardup.BLOCK, neardup.BLOCK_SETS = old
     sets, label = [shingle_set(t) for _, t in rows], list(range(240))
@@ -116,7 +117,7 @@ def test_near_duplicates_of_small_sets(spark):
         w = [f"p{pair}w{k}" for k in range(long + 1)]
         rows += [(2 * pair, " ".join(w)), (2 * pair + 1, " ".join(w[: short + 1]))]
         want |= {2 * pair: (long, 2 * pair), 2 * pair + 1: (short, 2 * pair)}
-    found = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    found = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words=2).collect()
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in found} == want
 
 
@@ -182,7 +183,7 @@ def test_rule_counts():
 
 
 def rounded(x):
-    drop = max(x.bit_length() - 5, 0)
+    drop = max(x.bit_length() - quality_rules.BITS, 0)
     return x >> drop << drop
 
 
@@ -199,7 +200,7 @@ def test_rules_adapt_to_language_and_source(spark):
     got = {r["doc_id"]: r for r in quality_rules.quality_verdicts(df).collect()}
     counts = {r[0]: quality_rules.count_text(r[1]) for r in rows}
     group = {i: (la, so) for i, _, la, so in rows}
-    for metric, (top, bottom, floor) in quality_rules.RATIOS.items():
+    for metric, (top, bottom, least) in quality_rules.RATIOS.items():
         k, m = quality_rules.COUNTS.index(top), quality_rules.COUNTS.index(bottom)
         ratio = {i: counts[i][k] * 1000 // counts[i][m] if counts[i][m] else 0 for i in counts}
         for i in counts:
@@ -208,12 +209,12 @@ def test_rules_adapt_to_language_and_source(spark):
                 if len(peers) >= quality_rules.MIN_ROWS:
                     break
             q25, q75 = (peers[-(-len(peers) * q // 4) - 1] for q in (1, 3))
-            assert (metric in got[i]["failed"]) == (ratio[i] > max(floor, q75 + 3 * (q75 - q25))), (metric, i)
+            assert (metric in got[i]["failed"]) == (ratio[i] > q75 + 3 * max(q75 - q25, least)), (metric, i)
     assert got[1000]["failed"] == ["r_symbols"] and not got[1001]["kept"] and sum(r["kept"] for r in got.values()) >= 890
 
 
-def test_stage_limits_follow_each_group_below_the_floors(spark):
-    """A source without symbols rejects what one that is full of them keeps, though both are under the floor of 0.3 a word."""
+def test_limits_follow_each_source(spark):
+    """A source without symbols rejects what one that is full of them keeps, and limits of word lengths differ with the words."""
     rng = random.Random(5)
     text = lambda marks: " ".join(f"w{rng.randint(0, 9999)}" + "#" * (j < marks) for j in range(100))
     rows = [(i, text(0 if i % 2 else rng.randint(5, 25)), "en", "ab"[i % 2 == 0]) for i in range(600)]
@@ -222,6 +223,17 @@ def test_stage_limits_follow_each_group_below_the_floors(spark):
     assert kept == set(range(600)) | {1001}
 
 
+def test_word_lengths_are_judged_by_language(spark):
+    rng = random.Random(6)
+    text = lambda n, k: " ".join("".join(rng.choice("abcdefgh") for _ in range(n + rng.randint(-k, k))) for _ in range(80))
+    rows = [(i, text(4 + 5 * (i % 2), 2), "ab"[i % 2], "s") for i in range(600)] + [(1000, text(9, 2), "a", "s"), (1001, text(9, 2), "b", "s")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = {r["doc_id"]: r for r in quality_rules.quality_verdicts(df).collect()}
+    assert got[1000]["failed"] == ["r_word_length"] and got[1001]["kept"] and sum(r["kept"] for r in got.values()) >= 595
+    limits = quality_rules.thresholds(quality_rules.sketches(quality_rules._ratios(quality_rules.quality_counts(df)))).collect()
+    assert len({r["max_r_word_length"] for r in limits}) == 2
+
+
 def test_classifier_on_held_out_rows(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{n}.parquet") for n in ("documents", "labels"))
     known = {r["doc_id"]: r["quality"] for r in labels.collect()}
@@ -413,6 +425,11 @@ def test_pipeline_stages_on_small_data(spark):
         if k == 2:  # one of each group of near duplicates stays
             got = {r["doc_id"] for r in after.collect()}
             assert got == {r["doc_id"] for r in neardup.near_duplicates(before).where("doc_id = component_id").collect()}
+            rows = {r["doc_id"]: shingle_set(r["text"], 5) for r in before.collect()}
+            for i, x in rows.items():  # five words, all pairs
+                near = [j for j, y in rows.items() if i != j and x and 100 * len(x & y) >= 80 * len(x | y)]
+                assert i in got or min(near) < i, i
+                assert i not in got or not [j for j in near if j in got], i
         if k < 4:
             assert after.columns == columns
         if k == 3:
