@@ -39,6 +39,10 @@ ZONES = {
 }
 
 
+#: A court polygon (x, y) for footage without one of its own.
+COURT_POLYGON = ((200, 100), (1000, 100), (1150, 500), (640, 650), (100, 500))
+
+
 @dataclass(frozen=True)
 class EngineConfig:
     """One place for every limit of the operators; distances are pixels, spans are frames."""
@@ -46,6 +50,36 @@ class EngineConfig:
     frame_width: int = 1280
     frame_height: int = 720
     fps: float = 30.0
+    # scans: seconds and looks a second; the most frames of a game (0: all), and by how much frame ids run on from game to game
+    scan_seconds: float = 15.0
+    scan_rate: float = 10.0
+    max_frames: int = 0
+    frames_before_game: int = 0
+    min_detection: int = 30
+    min_height: int = 50
+    min_appearances: int = 3
+    # matching
+    match_reach: int = 400
+    write_back_reach: int = 20
+    appearance_max: float = 0.35
+    zone_margin: int = 0
+    heat_cell: int = 40
+    # jersey numbers
+    ocr_width: int = 25
+    ocr_height: int = 50
+    ocr_every: int = 12
+    ocr_tracks: int = 3
+    jersey_readings: int = 25
+    jersey_least: int = 6
+    # rim and hoops
+    rim_frames: int = 10
+    hoop_dwell: int = 3
+    hoop_cooldown: int = 30
+    arc_window: int = 20
+    arc_least: int = 10
+    arc_min_height: int = 30
+    ball_gate: int = 160
+    flight_speed: float = 8.0
     # possession
     possession_radius: int = 150
     possession_frames: int = 2
@@ -87,11 +121,16 @@ class EngineConfig:
     moment_score: float = 5.0
     top_moments: int = 50
     log_rows: int = 2000
+    recent_rows: int = 20
+    log_type: str = "steal"
+    log_since: int = 5000
+    job_id: int = 1234
     # clips, clock
     clip_gap: int = 30
     clip_margin: int = 60
     reel_hold: int = 60
     reel_lead: int = 90
+    near_ball: int = 140
     jersey_share: int = 65
     merge_gap: int = 30
     min_segment: int = 9
@@ -113,5 +152,5 @@ DEFAULT = EngineConfig()
 #: The driver's tables give short games of unconnected frames: the same rules, with spans that such traces can meet.
 TRACE = EngineConfig(
     possession_radius=300, block_radius=180.0, rim_radius=200.0, clip_gap=3, reel_hold=2, reel_lead=3, dead_after_score=10, missing_frames=3,
-    still_frames=5, rest_frames=3, min_dead_sec=0.0, merge_gap=3, min_segment=2, segment_pad=1, period_sec=3,
+    still_frames=5, rest_frames=3, min_dead_sec=0.0, merge_gap=3, min_segment=2, segment_pad=1, period_sec=3, scan_seconds=3.0, frames_before_game=500, appearance_max=0.95,
 )

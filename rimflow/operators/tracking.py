@@ -29,6 +29,12 @@ def assign(cost: np.ndarray, limit: float) -> list[tuple[int, int]]:
         return []
     if len(rows) < cost.shape[0] or len(cols) < cost.shape[1]:  # what fits nothing stays free anyway
         return [(int(rows[i]), int(cols[j])) for i, j in assign(cost[np.ix_(rows, cols)], limit)]
+    if (near.sum(axis=0) <= 1).all() and (near.sum(axis=1) <= 1).all():  # nobody competes
+        return list(zip(*(x.tolist() for x in np.nonzero(near)), strict=True))
+    parts = _parts(near)
+    if len(parts) > 1:  # rows and columns that share no near pair do not compete
+        found = [(int(r[i]), int(c[j])) for r, c in parts for i, j in assign(cost[np.ix_(r, c)], limit)]
+        return sorted(found)
     n, m = cost.shape
     size = n + m
     full = np.full((size, size), 0.0)
@@ -58,6 +64,18 @@ def assign(cost: np.ndarray, limit: float) -> list[tuple[int, int]]:
     return sorted((match[j] - 1, j - 1) for j in range(1, m + 1) if match[j] <= n and cost[match[j] - 1, j - 1] <= limit)
 
 
+def _parts(near: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The connected parts of a bipartite graph, as row and column numbers."""
+    label = np.arange(near.shape[0])
+    while True:
+        col = np.where(near, label[:, None], near.shape[0]).min(axis=0)
+        new = np.minimum(label, np.where(near, col[None, :], near.shape[0]).min(axis=1))
+        if (new == label).all():
+            break
+        label = new
+    return [(np.flatnonzero(label == k), np.flatnonzero(col == k)) for k in np.unique(label)]
+
+
 class ConstantVelocity:
     """Kalman filter of a point (x, y, vx, vy) with process noise q and measurement noise r."""
 
@@ -134,40 +152,52 @@ def track_game(game: pd.DataFrame, settings: TrackerSettings = TrackerSettings()
         boxes, conf = rows[["x1", "y1", "x2", "y2"]].to_numpy(float), rows["conf"].to_numpy(float)
         boxes = boxes[_suppressed(boxes, conf, settings.suppress_iou)]
         centers = (boxes[:, :2] + boxes[:, 2:]) / 2
-        where = {t.number: t.motion.predict() for t in tracks}
+        where = {t.number: t.motion.x[:2].copy() for t in tracks}  # as filtered up to the frame before
         for t in tracks:
             t.seen = False
         free = list(range(len(boxes)))
 
         def take(some: list[_Track], cost_of: Callable, limit: float, boxes=boxes, centers=centers, free=free) -> None:
             if some and free:
+                taken = []
                 for i, j in assign(cost_of(some, free), limit):
                     t, d = some[i], free[j]
+                    taken.append(d)
+                    t.motion.predict()
                     t.motion.correct(*centers[d])
                     t.box, t.seen, t.lost = tuple(boxes[d]), True, 0
                     t.hits += 1
                     if t.hits >= settings.confirm_hits:
                         t.state = "confirmed"
-                gone = {tuple(t.box) for t in some if t.seen}
-                free[:] = [d for d in free if tuple(boxes[d]) not in gone]
+                free[:] = [d for d in free if d not in taken]
 
         take([t for t in tracks if t.state == "confirmed"], lambda s, f, b=boxes: 1 - _iou(np.array([t.box for t in s]), b[f]), 1 - settings.min_iou)
         rest = [t for t in tracks if not t.seen]
         take(rest, lambda s, f, c=centers, w=where: np.linalg.norm(np.array([w[t.number] for t in s])[:, None] - c[f][None], axis=2), settings.max_distance)
         for t in tracks:
             if not t.seen:
+                t.motion.predict()
                 t.lost += 1
                 t.state = "lost" if t.state == "confirmed" else t.state
         for d in free:
             born += 1
             tracks.append(_Track(born, ConstantVelocity(*centers[d]), tuple(boxes[d])))
-        tracks = [t for t in tracks if t.lost <= settings.max_lost]
+        tracks = [t for t in tracks if t.lost < settings.max_lost]
         out += [(int(frame_id), t.number, t.state, *t.box) for t in tracks if t.seen]
     made = pd.DataFrame(out, columns=["frame_id", "track_id", "state", "x1", "y1", "x2", "y2"])
     made.insert(0, "game_id", game["game_id"].iloc[0])
     return made
 
 
+def active(tracks: DataFrame) -> DataFrame:
+    """Tracks that are tentative or confirmed where they were seen."""
+    return tracks.where("state in ('tentative', 'confirmed')")
+
+
+def confirmed(tracks: DataFrame) -> DataFrame:
+    return tracks.where("state = 'confirmed'")
+
+
 TRACK_SCHEMA = "game_id long, frame_id long, track_id long, state string, x1 double, y1 double, x2 double, y2 double"
 
 
@@ -211,7 +241,7 @@ def ball_tracks(frames: DataFrame) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    players = lambda s, d: adapters.detections(s, d).where("class_name = 'player'").selectExpr("frame_id div 500 as game_id", "*")
+    players = lambda s, d: adapters.detections(s, d).where("class_name = 'player'")
     return {
         "object_tracks": lambda s, d: track_objects(players(s, d)),
         "ball_tracks": lambda s, d: ball_tracks(adapters.frames(s, d)),

@@ -29,9 +29,16 @@ INPUTS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "oc": (adapters.readings, "lineitem"),
     "ri": (adapters.rims, "lineitem"),
     "jobs": (lambda s, d: adapters.table(s, d, "orders"), "orders"),
-    "vec": (lambda s, d: adapters.table(s, d, "embeddings"), "embeddings"),
+    "emb": (lambda s, d: adapters.table(s, d, "embeddings"), "embeddings"),
+    "vec": (adapters.candidates, "embeddings"),
+    "sel": (adapters.selected, "embeddings"),
+    "ma": (adapters.matched, "lineitem"),
+    "ho": (adapters.hoops, "events"),
+    "zo": (lambda s, d: s.sql(adapters.zones_sql()), "zones"),
+    "po": (lambda s, d: s.sql(adapters.polygon_sql()), "polygon"),
 }
 _DUCK = {"ge": adapters.game_events_sql, "fr": adapters.frames_sql, "de": adapters.detections_sql, "tr": adapters.tracks_sql, "oc": adapters.readings_sql, "ri": adapters.rims_sql}
+_DUCK |= {"vec": adapters.candidates_sql, "sel": adapters.selected_sql, "ma": adapters.matched_sql, "ho": adapters.hoops_sql, "zo": adapters.zones_sql, "po": adapters.polygon_sql}
 
 
 @dataclass(frozen=True)
@@ -42,6 +49,9 @@ class Plan:
     oracle: str | None = None
     covers: tuple[str, ...] = field(default=())
 
+    def claims(self, *covers: str) -> Plan:
+        return Plan(self.sql, self.oracle, covers)
+
 
 def to_spark(sql: str) -> str:
     sql = sql.replace(" // ", " div ").replace("STR", "string")

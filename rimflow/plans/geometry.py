@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from rimflow.config import DEFAULT, ZONES, EngineConfig
+from rimflow.config import DEFAULT, EngineConfig
 
 from .core import Plan
 
@@ -11,25 +11,26 @@ W, H = DEFAULT.frame_width, DEFAULT.frame_height
 _INTER = "(greatest(0, least(a.x2, b.x2) - greatest(a.x1, b.x1)) * greatest(0, least(a.y2, b.y2) - greatest(a.y1, b.y1)))"
 _AREAS = "((a.x2 - a.x1) * (a.y2 - a.y1) + (b.x2 - b.x1) * (b.y2 - b.y1))"
 
-#: Zones are a table of six rows.
-_ZONE_ROWS = ", ".join(
-    f"({k}, '{name}', {int(x1 * W)}, {int(y1 * H)}, {int(x2 * W)}, {int(y2 * H)})" for k, (name, (x1, y1, x2, y2)) in enumerate(ZONES.items())
-)
-_ZONES = f"zones(k, name, zx1, zy1, zx2, zy2) as (select * from (values {_ZONE_ROWS}) as v(k, name, zx1, zy1, zx2, zy2))"
+#: The court polygon's edges, from its vertices (k, x, y) in order; the last one leads to the first.
+_EDGES = """
+edges as (
+  select x as ax, y as ay, coalesce(lead(x) over (order by k), first_value(x) over (order by k)) as bx, coalesce(lead(y) over (order by k), first_value(y) over (order by k)) as by_ from <<po>> po
+)"""
+
 
-#: A court polygon (x, y), closed: ray casting counts its edges to the right of a point.
-_POLYGON = [(200, 100), (1000, 100), (1150, 500), (640, 650), (100, 500)]
-_EDGES = list(zip(_POLYGON, _POLYGON[1:] + _POLYGON[:1], strict=True))
+_ONE_ROW = "(select collect_list(struct(ax, ay, bx, by_)) as es from edges)"
 
 
-def _ray(x: str, y: str) -> str:
-    def crosses(p, q):
-        (x1, y1), (x2, y2) = p, q
-        # x < x1 + (y - y1) * (x2 - x1) / (y2 - y1), in whole numbers
-        sign = ">" if y2 > y1 else "<"
-        return f"case when ({y1} > {y}) <> ({y2} > {y}) and ({y} - {y1}) * ({x2 - x1}) {sign} ({x} - {x1}) * ({y2 - y1}) then 1 else 0 end"
+def _inside(x: str, y: str) -> str:
+    """Ray casting in whole numbers: the edges to the right of a point, of the one row's array of _ONE_ROW, are odd in number."""
+    crosses = f"(e.ay > {y}) <> (e.by_ > {y}) and ({x} - e.ax) * (e.by_ - e.ay) * sign(e.by_ - e.ay) < ({y} - e.ay) * (e.bx - e.ax) * sign(e.by_ - e.ay)"
+    return f"size(filter(es, e -> {crosses})) % 2 = 1"
 
-    return "(" + " + ".join(crosses(p, q) for p, q in _EDGES if p[1] != q[1]) + ") % 2 = 1"
+
+def _inside_joined(x: str, y: str) -> str:
+    """The same as a count over rows, for the oracle."""
+    return f"""(select count(*) from edges e where (e.ay <= {y} and e.by_ > {y} and ({x} - e.ax) * (e.by_ - e.ay) < ({y} - e.ay) * (e.bx - e.ax))
+      or (e.ay > {y} and e.by_ <= {y} and ({x} - e.ax) * (e.by_ - e.ay) > ({y} - e.ay) * (e.bx - e.ax))) % 2 = 1"""
 
 
 #: Nearest player of each frame that has a ball.
@@ -38,37 +39,79 @@ near as (
   select f.game_id, f.frame_id, f.ball_x, f.ball_y, t.track_id, t.team_id, t.jersey,
          (t.cx - f.ball_x) * (t.cx - f.ball_x) + (t.cy - f.ball_y) * (t.cy - f.ball_y) as d2,
          row_number() over (partition by f.game_id, f.frame_id order by (t.cx - f.ball_x) * (t.cx - f.ball_x) + (t.cy - f.ball_y) * (t.cy - f.ball_y), t.track_id, t.x1, t.y1) as r
-  from <<fr>> f join <<tr>> t on f.frame_id = t.frame_id where f.ball_x is not null
+  from <<fr>> f join <<tr>> t on f.game_id = t.game_id and f.frame_id = t.frame_id where f.ball_x is not null
 )"""
 
-_LX, _RX, _HY = 120, 1160, 360
-_COURT = _RX - _LX
+_TKEY = "concat_ws('-', cast(t.track_id as STR), cast(t.x1 as STR), cast(t.y1 as STR), cast(t.y2 as STR))"
+_DKEY = "concat_ws('-', cast(d.k1 as STR), cast(d.k2 as STR), cast(d.k3 as STR))"
+_DX, _DY = "(t.cx - (d.x1 + d.x2) // 2)", "(t.cy - (d.y1 + d.y2) // 2)"
+
 
-#: One to one by greed: of all pairs of a frame, best first, each that has both sides free.
-_PAIRS = """
+def _pairs(reach: int) -> str:
+    """Tracks and detections of a frame whose centres lie within reach in x and y."""
+    return f"""
 pairs as (
-  select t.frame_id, t.track_id, d.k1, d.k2, d.k3, (t.cx - (d.x1 + d.x2) // 2) * (t.cx - (d.x1 + d.x2) // 2) + (t.cy - (d.y1 + d.y2) // 2) * (t.cy - (d.y1 + d.y2) // 2) as d2,
-         concat_ws('-', cast(t.track_id as STR), cast(t.x1 as STR), cast(t.y1 as STR), cast(t.y2 as STR)) as tkey, concat_ws('-', cast(d.k1 as STR), cast(d.k2 as STR), cast(d.k3 as STR)) as dkey
-  from <<tr>> t join <<de>> d on t.frame_id = d.frame_id and d.k3 % 2 = 0
-  where abs(t.cx - (d.x1 + d.x2) // 2) < 400 and abs(t.cy - (d.y1 + d.y2) // 2) < 400
+  select t.game_id, t.frame_id, {_DX} * {_DX} + {_DY} * {_DY} as d2, t.track_id, d.k1, d.k2, d.k3, {_TKEY} as tkey, {_DKEY} as dkey
+  from <<tr>> t join <<de>> d on t.game_id = d.game_id and t.frame_id = d.frame_id where abs({_DX}) < {reach} and abs({_DY}) < {reach}
 )"""
 
 
+def _greedy(pairs: str, order: str, result: str) -> Plan:
+    """One to one by greed: of all pairs of a frame, in the given order, each that has both sides free."""
+    spark = f"""with {pairs}, l as (select game_id, frame_id, sort_array(collect_list(struct({order}, tkey as tk, dkey as dk, d2 as dd))) as ps from pairs group by game_id, frame_id)
+    select {result} from (
+      select game_id, frame_id, p.tk as tkey, p.dk as dkey, p.dd as d2 from (
+        select game_id, frame_id, explode(aggregate(ps, slice(ps, 1, 0), (kept, b) -> if(exists(kept, a -> a.tk = b.tk or a.dk = b.dk), kept, concat(kept, array(b))))) as p from l) x) y"""
+    duck = f"""with recursive {pairs}, o as (select *, row_number() over (partition by game_id, frame_id order by {order}, tkey, dkey) as r from pairs),
+    f as (
+      select game_id, frame_id, r, [tkey] as ts, [dkey] as ds, true as took from o where r = 1
+      union all
+      select o.game_id, o.frame_id, o.r, case when list_contains(f.ts, o.tkey) or list_contains(f.ds, o.dkey) then f.ts else list_append(f.ts, o.tkey) end,
+             case when list_contains(f.ts, o.tkey) or list_contains(f.ds, o.dkey) then f.ds else list_append(f.ds, o.dkey) end,
+             not (list_contains(f.ts, o.tkey) or list_contains(f.ds, o.dkey))
+      from f join o on f.game_id = o.game_id and f.frame_id = o.frame_id and o.r = f.r + 1
+    )
+    select {result} from (select o.game_id, o.frame_id, o.tkey, o.dkey, o.d2 from f join o on f.game_id = o.game_id and f.frame_id = o.frame_id and f.r = o.r where f.took) y"""
+    return Plan(spark, duck)
+
+
+#: Appearance distance: one minus Pearson's correlation of two vectors.
+_VECTORS = """v as (select game_id, vec_id, transform(embedding, x -> cast(x as double)) as e from <<vec>> vec),
+    s as (select *, size(e) as n, aggregate(e, cast(0 as double), (a, x) -> a + x) as sx, aggregate(e, cast(0 as double), (a, x) -> a + x * x) as sxx from v),
+    u as (select game_id, vec_id, transform(embedding, x -> cast(x as double)) as e from <<sel>> sel),
+    p as (select *, size(e) as n, aggregate(e, cast(0 as double), (a, x) -> a + x) as sx, aggregate(e, cast(0 as double), (a, x) -> a + x * x) as sxx from u)"""
+_PEARSON = """1 - (s.n * aggregate(zip_with(s.e, p.e, (x, y) -> x * y), cast(0 as double), (a, x) -> a + x) - s.sx * p.sx)
+             / sqrt((s.n * s.sxx - s.sx * s.sx) * (p.n * p.sxx - p.sx * p.sx))"""
+_PEARSON_ROWS = """
+      select s.game_id, s.vec_id, p.vec_id as ref, 1 - c.r as dist
+      from <<vec>> s join <<sel>> p on s.game_id = p.game_id, lateral (select corr(x::double, y::double) as r from (select unnest(s.embedding) as x, unnest(p.embedding) as y)) c"""
+
+
 def plans(C: EngineConfig) -> dict[str, Plan]:
     found: dict[str, Plan] = {
-        "scan_prefix_stride": Plan("select frame_id, class_name, x1, y1, x2, y2 from <<de>> de where frame_id <= 3000 and frame_id % 3 = 0", covers=("S3", "S4")),
+        "scan_prefix_stride": Plan(f"""select game_id, frame_id, class_name, x1, y1, x2, y2 from <<de>> de where frame_id % {max(1, int(C.fps / C.scan_rate))} = 0
+    and frame_id - {C.frames_before_game} * game_id <= {min(int(C.scan_seconds * C.fps), C.max_frames or int(C.scan_seconds * C.fps))}""", covers=("S3", "S4")),
         "det_filter": Plan(
-            "select frame_id, k1, k2, k3, class_name, conf from <<de>> de where conf >= 30 and class_name in ('ball', 'rim') and x2 - x1 >= 25 and y2 - y1 >= 50",
+            f"select game_id, frame_id, k1, k2, k3, class_name, conf from <<de>> de where conf >= {C.min_detection} and class_name in ('ball', 'rim') and x2 - x1 >= {C.ocr_width} and y2 - y1 >= {C.ocr_height}",
             covers=("S5", "F3", "F4", "F23"),
         ),
+        "player_scan": Plan(
+            f"select game_id, frame_id, k1, k2, k3, conf, x1, y1, x2, y2 from <<de>> de where class_name = 'player' and conf >= {C.min_detection}",
+            f"select * exclude (class_name, class_id) from <<de>> de where not (class_name in ('ball', 'rim') or conf < {C.min_detection})", covers=("S6",),
+        ),
         "bbox_geom": Plan(
-            f"""select frame_id, k1, k2, k3, greatest(x2 - x1, 0) * greatest(y2 - y1, 0) as area, (x1 + x2) // 2 as cx, (y1 + y2) // 2 as cy, y2 as feet_y, x2 - x1 as w, y2 - y1 as h,
+            f"""select game_id, frame_id, k1, k2, k3, greatest(x2 - x1, 0) * greatest(y2 - y1, 0) as area, (x1 + x2) // 2 as cx, (y1 + y2) // 2 as cy, y2 as feet_y, x2 - x1 as w, y2 - y1 as h,
            greatest(x1 - 10, 0) as ex1, greatest(y1 - 10, 0) as ey1, least(x2 + 10, {W}) as ex2, least(y2 + 10, {H}) as ey2, x1 * 2 as sx1, y1 * 3 as sy1 from <<de>> de""",
             covers=("P1", "P2", "P3", "P7", "P8", "P9", "M16", "P19"),
         ),
         "iou_pairs": Plan(
-            f"""select a.frame_id, a.k1 as a1, a.k2 as a2, a.k3 as a3, b.k1 as b1, b.k2 as b2, b.k3 as b3, cast({_INTER} as double) / ({_AREAS} - {_INTER}) as iou
-    from <<de>> a join <<de>> b on a.frame_id = b.frame_id and (a.k1 < b.k1 or (a.k1 = b.k1 and a.k2 < b.k2)) where {_INTER} > 0""",
+            f"""select a.game_id, a.frame_id, a.track_id, a.x1 as tx1, a.y1 as ty1, a.y2 as ty2, b.k1, b.k2, b.k3, cast({_INTER} as double) / ({_AREAS} - {_INTER}) as iou
+    from <<tr>> a join <<de>> b on a.game_id = b.game_id and a.frame_id = b.frame_id where {_INTER} > 0""",
+            """with o as (
+      select t.game_id, t.frame_id, t.track_id, t.x1 as tx1, t.y1 as ty1, t.y2 as ty2, k1, k2, k3, (t.x2 - t.x1) * (t.y2 - t.y1) as ta, (d.x2 - d.x1) * (d.y2 - d.y1) as da,
+             case when t.x2 < d.x2 then t.x2 else d.x2 end - case when t.x1 > d.x1 then t.x1 else d.x1 end as w, case when t.y2 < d.y2 then t.y2 else d.y2 end - case when t.y1 > d.y1 then t.y1 else d.y1 end as h
+      from <<tr>> t, <<de>> d where t.frame_id = d.frame_id and t.game_id = d.game_id)
+    select game_id, frame_id, track_id, tx1, ty1, ty2, k1, k2, k3, (w * h)::double / (ta + da - w * h)::double as iou from o where w > 0 and h > 0""",
             covers=("P4", "J2"),
         ),
         "nearest_player": Plan(f"with {NEAREST} select game_id, frame_id, track_id, sqrt(cast(d2 as double)) as dist, d2 <= {C.possession_radius**2} as in_reach from near where r = 1", covers=("J1", "J3", "P5")),
@@ -80,17 +123,26 @@ def plans(C: EngineConfig) -> dict[str, Plan]:
             covers=("A13", "T16"),
         ),
         "zone_lookup": Plan(
-            f"""with {_ZONES}, hit as (
-      select t.frame_id, t.track_id, t.x1, t.y1, t.y2, z.name, (zx2 - zx1) * (zy2 - zy1) * 10 + k as rank
-      from <<tr>> t join zones z on t.cx between zx1 and zx2 and t.cy between zy1 and zy2
+            f"""with hit as (
+      select t.game_id, t.frame_id, t.track_id, t.x1, t.y1, t.y2, z.name, (z.x2 - z.x1) * (z.y2 - z.y1) * 1000 + z.k as rank
+      from <<tr>> t join <<zo>> z on t.cx between z.x1 - {C.zone_margin} and z.x2 + {C.zone_margin} and t.cy between z.y1 - {C.zone_margin} and z.y2 + {C.zone_margin}
     )
-    select frame_id, track_id, x1, y1, y2, min_by(name, rank) as zone, count(*) as zones from hit group by frame_id, track_id, x1, y1, y2""",
+    select game_id, frame_id, track_id, x1, y1, y2, min_by(name, rank) as zone, count(*) as zones from hit group by game_id, frame_id, track_id, x1, y1, y2""",
+            f"""select game_id, frame_id, track_id, x1, y1, y2, zone, zones from (
+      select t.*, z.name as zone, count(*) over w as zones, row_number() over (w order by (z.x2 - z.x1) * (z.y2 - z.y1), z.k) as r
+      from <<tr>> t, <<zo>> z where z.x1 - {C.zone_margin} <= cx and cx <= z.x2 + {C.zone_margin} and z.y1 - {C.zone_margin} <= cy and cy <= z.y2 + {C.zone_margin}
+      window w as (partition by game_id, frame_id, track_id, t.x1, t.y1, t.y2)) q where r = 1""",
             covers=("J12", "P6", "M14", "U4"),
         ),
         "player_height_filter": Plan(
-            f"select frame_id, k1, k2, k3 from <<de>> de where (y2 - y1) * 100 between 12 * {H} and 95 * {H} and {_ray('((x1 + x2) // 2)', 'y2')}", covers=("F1",)
+            f"with {_EDGES} select game_id, frame_id, k1, k2, k3 from <<de>> d cross join {_ONE_ROW} where (y2 - y1) * 100 between 12 * {H} and 95 * {H} and {_inside('((x1 + x2) div 2)', 'y2')}",
+            f"with {_EDGES} select game_id, frame_id, k1, k2, k3 from <<de>> d where (y2 - y1) * 100 between 12 * {H} and 95 * {H} and {_inside_joined('((d.x1 + d.x2) // 2)', 'd.y2')}",
+            covers=("F1",),
+        ),
+        "point_in_poly": Plan(
+            f"with {_EDGES} select game_id, frame_id, track_id, cx, cy, y1, {_inside('cx', 'cy')} as inside from <<tr>> t cross join {_ONE_ROW}",
+            f"with {_EDGES} select game_id, frame_id, track_id, cx, cy, y1, {_inside_joined('t.cx', 't.cy')} as inside from <<tr>> t", covers=("F2",),
         ),
-        "point_in_poly": Plan(f"select frame_id, track_id, cx, cy, y1, {_ray('cx', 'cy')} as inside from <<tr>> tr", covers=("F2",)),
         "out_of_bounds": Plan(
             f"""select game_id, frame_id, ball_x < {C.bounds_inner} or ball_x > {W - C.bounds_inner} or ball_y < {C.bounds_inner} or ball_y > {H - C.bounds_inner} as near_edge,
            ball_x < -{C.bounds_outer} or ball_x > {W + C.bounds_outer} or ball_y < -{C.bounds_outer} or ball_y > {H + C.bounds_outer} as far_out from <<fr>> fr where ball_x is not null""",
@@ -102,80 +154,73 @@ def plans(C: EngineConfig) -> dict[str, Plan]:
             covers=("C1", "C2"),
         ),
         "court_zone_calibrated": Plan(
-            f"""with d as (
-      select game_id, seq, ball_x, ball_y, (ball_x - {_LX}) * (ball_x - {_LX}) + (ball_y - {_HY}) * (ball_y - {_HY}) as dl, (ball_x - {_RX}) * (ball_x - {_RX}) + (ball_y - {_HY}) * (ball_y - {_HY}) as dr from <<ge>> ge
+            """with h as (
+      select game_id, max(case when side = 'left' then x end) as lx, max(case when side = 'left' then y end) as ly, max(case when side = 'right' then x end) as rx, max(case when side = 'right' then y end) as ry
+      from <<ho>> ho group by game_id
+    ), d as (
+      select g.game_id, seq, ball_x, (ball_x - lx) * (ball_x - lx) + (ball_y - ly) * (ball_y - ly) as dl, (ball_x - rx) * (ball_x - rx) + (ball_y - ry) * (ball_y - ry) as dr,
+             (lx + rx) // 2 as half, cast((rx - lx) * (rx - lx) as bigint) as c2 from <<ge>> g join h on g.game_id = h.game_id
+    ), o as (select *, cast(10000 as bigint) * case when ball_x < half then dl else dr end as own from d)
+    select game_id, seq, case when dl < dr then 'left' else 'right' end as hoop, case when own <= 81 * c2 then 'paint' when own <= 784 * c2 then 'mid_range' else 'three_point' end as zone,
+           cast(10000 as bigint) * least(dl, dr) >= 784 * c2 as is_three from o""",
+            """with d as (
+      select g.game_id, g.seq, h.side, sqrt(((g.ball_x - h.x) ** 2 + (g.ball_y - h.y) ** 2)::double) as dist, g.ball_x < sum(h.x) over w // 2 as west, (max(h.x) over w - min(h.x) over w)::double as court
+      from <<ge>> g join <<ho>> h on g.game_id = h.game_id window w as (partition by g.game_id, g.seq)
     )
-    select game_id, seq, case when dl < dr then 'left' else 'right' end as hoop,
-           case when cast(10000 as bigint) * (case when ball_x < {(_LX + _RX) // 2} then dl else dr end) <= {9 * 9 * _COURT * _COURT} then 'paint'
-                when cast(10000 as bigint) * (case when ball_x < {(_LX + _RX) // 2} then dl else dr end) <= {28 * 28 * _COURT * _COURT} then 'mid_range' else 'three_point' end as zone,
-           cast(10000 as bigint) * least(dl, dr) >= {28 * 28 * _COURT * _COURT} as is_three from d""",
+    select game_id, seq, case when max(case when side = 'left' then dist end) < max(case when side = 'right' then dist end) then 'left' else 'right' end as hoop,
+           case when max(case when (side = 'left') = west then dist / court end) <= 0.09 then 'paint' when max(case when (side = 'left') = west then dist / court end) <= 0.28 then 'mid_range' else 'three_point' end as zone,
+           min(dist / court) >= 0.28 as is_three from d group by game_id, seq""",
             covers=("C3", "C4", "J16"),
         ),
-        "team_side": Plan(f"select frame_id, track_id, x1, y1, y2, case when cx * 2 < {W} then 0 else 1 end as team from <<tr>> tr", covers=("C6",)),
-        "band_join": Plan(
-            """select frame_id, track_id, k1, k2, k3 from (
-      select t.frame_id, t.track_id, d.k1, d.k2, d.k3, row_number() over (partition by t.frame_id, t.track_id, t.x1, t.y1 order by d.k1, d.k2, d.k3) as r
-      from <<tr>> t join <<de>> d on t.frame_id = d.frame_id and d.k3 % 2 = 0 and abs(t.cx - (d.x1 + d.x2) // 2) < 120 and abs(t.cy - (d.y1 + d.y2) // 2) < 120
-    ) x where r = 1""",
-            covers=("J7",),
-        ),
-        "heatmap": Plan("select cx // 40 as gx, cy // 40 as gy, count(*) as n from <<tr>> tr where cx between 0 and 1279 and cy between 0 and 719 group by cx // 40, cy // 40", covers=("A15", "M2")),
+        "team_side": Plan(f"select game_id, frame_id, track_id, x1, y1, y2, case when cx * 2 < {W} then 0 else 1 end as team from <<tr>> tr", covers=("C6",)),
+        # the first free detection of each track, tracks and detections in their order
+        "band_join": _greedy(_pairs(C.write_back_reach), "track_id, k1, k2, k3", "game_id, frame_id, tkey, dkey").claims("J7"),
+        "heatmap": Plan(f"select game_id, cx // {C.heat_cell} as gx, cy // {C.heat_cell} as gy, count(*) as n from <<tr>> tr where cx between 0 and {W - 1} and cy between 0 and {H - 1} group by game_id, cx // {C.heat_cell}, cy // {C.heat_cell}", covers=("A15",)),
         "heatmap_norm": Plan(
-            """with h as (select cx // 40 as gx, cy // 40 as gy, count(*) as n from <<tr>> tr where cx between 0 and 1279 and cy between 0 and 719 group by cx // 40, cy // 40),
-    e as (select min(n) as lo, max(n) as hi from h)
-    select gx, gy, cast(255 * (n - lo) // greatest(1, hi - lo) as bigint) as level from h cross join e""",
+            f"""with h as (select game_id, cx // {C.heat_cell} as gx, cy // {C.heat_cell} as gy, count(*) as n from <<tr>> tr where cx between 0 and {W - 1} and cy between 0 and {H - 1} group by game_id, cx // {C.heat_cell}, cy // {C.heat_cell}),
+    e as (select *, min(n) over (partition by game_id) as lo, max(n) over (partition by game_id) as hi from h)
+    select game_id, gx, gy, cast(255 * (n - lo) // greatest(1, hi - lo) as bigint) as level from e""",
             covers=("K13",),
         ),
         "nms": Plan(
-            """with l as (select frame_id, sort_array(collect_list(struct(-conf as o, k1, k2, k3, x1, y1, x2, y2))) as ds from <<de>> de where class_name = 'player' group by frame_id)
-    select frame_id, d.k1, d.k2, d.k3 from (
-      select frame_id, explode(aggregate(ds, slice(ds, 1, 0), (kept, b) -> if(exists(kept, a -> 20L * INTER > 9L * (AREAS - INTER)), kept, concat(kept, array(b))))) as d from l) x""".replace("INTER", _INTER).replace("AREAS", _AREAS),
+            """with l as (select game_id, frame_id, sort_array(collect_list(struct(-conf as o, k1, k2, k3, x1, y1, x2, y2))) as ds from <<de>> de where class_name = 'player' group by game_id, frame_id)
+    select game_id, frame_id, d.k1, d.k2, d.k3 from (
+      select game_id, frame_id, explode(aggregate(ds, slice(ds, 1, 0), (kept, b) -> if(exists(kept, a -> 20L * INTER > 9L * (AREAS - INTER)), kept, concat(kept, array(b))))) as d from l) x""".replace("INTER", _INTER).replace("AREAS", _AREAS),
             """with recursive o as (
-      select frame_id, k1, k2, k3, x1, y1, x2, y2, row_number() over (partition by frame_id order by -conf, k1, k2, k3) as r from <<de>> de where class_name = 'player'
+      select game_id, frame_id, k1, k2, k3, x1, y1, x2, y2, row_number() over (partition by game_id, frame_id order by -conf, k1, k2, k3) as r from <<de>> de where class_name = 'player'
     ), f as (
-      select frame_id, 1::bigint as r, [{'r': r, 'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2}] as kept from o where r = 1
+      select game_id, frame_id, 1::bigint as r, [{'r': r, 'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2}] as kept from o where r = 1
       union all
-      select b.frame_id, b.r, case when len(list_filter(f.kept, lambda a: 20 * INTER > 9 * (AREAS - INTER))) > 0 then f.kept
+      select b.game_id, b.frame_id, b.r, case when len(list_filter(f.kept, lambda a: 20 * INTER > 9 * (AREAS - INTER))) > 0 then f.kept
                                    else list_append(f.kept, {'r': b.r, 'x1': b.x1, 'y1': b.y1, 'x2': b.x2, 'y2': b.y2}) end
-      from f join o b on f.frame_id = b.frame_id and b.r = f.r + 1
-    ), last as (select frame_id, max_by(kept, r) as kept from f group by frame_id)
-    select o.frame_id, o.k1, o.k2, o.k3 from o join last l on o.frame_id = l.frame_id where list_contains(list_transform(l.kept, lambda a: a.r), o.r)""".replace("INTER", _INTER).replace("AREAS", _AREAS),
+      from f join o b on f.game_id = b.game_id and f.frame_id = b.frame_id and b.r = f.r + 1
+    ), last as (select game_id, frame_id, max_by(kept, r) as kept from f group by game_id, frame_id)
+    select o.game_id, o.frame_id, o.k1, o.k2, o.k3 from o join last l on o.game_id = l.game_id and o.frame_id = l.frame_id where list_contains(list_transform(l.kept, lambda a: a.r), o.r)""".replace("INTER", _INTER).replace("AREAS", _AREAS),
             covers=("O6",),
         ),
-        "assign_greedy": Plan(
-            f"""with {_PAIRS}, l as (select frame_id, sort_array(collect_list(struct(d2, tkey, dkey))) as ps from pairs group by frame_id)
-    select frame_id, p.tkey, p.dkey, p.d2 from (
-      select frame_id, explode(aggregate(ps, slice(ps, 1, 0), (kept, b) -> if(exists(kept, a -> a.tkey = b.tkey or a.dkey = b.dkey), kept, concat(kept, array(b))))) as p from l) x""",
-            f"""with recursive {_PAIRS}, o as (select frame_id, tkey, dkey, d2, row_number() over (partition by frame_id order by d2, tkey, dkey) as r from pairs),
-    f as (
-      select frame_id, r, [tkey] as ts, [dkey] as ds, true as took from o where r = 1
-      union all
-      select o.frame_id, o.r, case when list_contains(f.ts, o.tkey) or list_contains(f.ds, o.dkey) then f.ts else list_append(f.ts, o.tkey) end,
-             case when list_contains(f.ts, o.tkey) or list_contains(f.ds, o.dkey) then f.ds else list_append(f.ds, o.dkey) end,
-             not (list_contains(f.ts, o.tkey) or list_contains(f.ds, o.dkey))
-      from f join o on f.frame_id = o.frame_id and o.r = f.r + 1
-    )
-    select o.frame_id, o.tkey, o.dkey, o.d2 from f join o on f.frame_id = o.frame_id and f.r = o.r where f.took""",
-            covers=("J5", "J6"),
-        ),
+        # nearest pairs first
+        "assign_greedy": _greedy(_pairs(C.match_reach), "d2", "game_id, frame_id, tkey, dkey, d2").claims("J5", "J6"),
+        # one row for each selected player and frame: the candidate that looks most like them, if it is near enough
         "appearance_match": Plan(
-            """with v as (select vec_id, label, transform(embedding, x -> cast(x as double)) as e from <<vec>> vec),
-    s as (select vec_id, label, e, size(e) as n, aggregate(e, cast(0 as double), (a, x) -> a + x) as sx, aggregate(e, cast(0 as double), (a, x) -> a + x * x) as sxx from v),
-    p as (select * from s where vec_id < 8),
-    m as (
-      select s.vec_id, p.vec_id as ref, 1 - (s.n * aggregate(zip_with(s.e, p.e, (x, y) -> x * y), cast(0 as double), (a, x) -> a + x) - s.sx * p.sx)
-             / sqrt((s.n * s.sxx - s.sx * s.sx) * (p.n * p.sxx - p.sx * p.sx)) as dist from s join p on s.vec_id >= 8
+            f"""with {_VECTORS}, m as (
+      select s.game_id, s.vec_id, p.vec_id as ref, {_PEARSON} as dist from s join p on s.game_id = p.game_id
     )
-    select vec_id, min_by(ref, dist) as ref, round(min(dist), 6) as dist from m group by vec_id""",
-            """with m as (
-      select s.vec_id, p.vec_id as ref, 1 - list_aggregate([1], 'sum') * c.r as dist
-      from embeddings s, embeddings p, lateral (select corr(x::double, y::double) as r from (select unnest(s.embedding) as x, unnest(p.embedding) as y)) c where p.vec_id < 8 and s.vec_id >= 8
+    select game_id, ref, min_by(vec_id, dist) as vec_id, round(min(dist), 6) as dist from m where dist <= {C.appearance_max} group by game_id, ref""",
+            f"""with m as ({_PEARSON_ROWS})
+    select game_id, ref, vec_id, round(dist, 6) as dist from (select *, row_number() over (partition by game_id, ref order by dist) as r from m where dist <= {C.appearance_max}) q where r = 1""",
+            covers=("J13", "C8"),
+        ),
+        "appearance_classify": Plan(
+            f"""with {_VECTORS}, m as (
+      select s.game_id, s.vec_id, p.vec_id as ref, {_PEARSON} as dist from s join p on s.game_id = p.game_id
     )
-    select vec_id, min_by(ref, dist) as ref, round(min(dist), 6) as dist from m group by vec_id""",
-            covers=("J13", "C7", "C8", "A28", "M18", "U10"),
+    select game_id, vec_id, min_by(ref, dist) as ref, round(min(dist), 6) as dist from m group by game_id, vec_id""",
+            f"""with m as ({_PEARSON_ROWS})
+    select game_id, vec_id, ref, round(dist, 6) as dist from (select *, row_number() over (partition by game_id, vec_id order by dist) as r from m) q where r = 1""",
+            covers=("C7",),
         ),
         "team_centroid": Plan(
-            """with e as (select vec_id, i, cast(x as double) as x from <<vec>> vec lateral view posexplode(embedding) t as i, x),
+            """with e as (select vec_id, i, cast(x as double) as x from <<emb>> vec lateral view posexplode(embedding) t as i, x),
     seed as (select i, max(case when vec_id = 0 then x end) as c0, max(case when vec_id = 1 then x end) as c1 from e where vec_id < 2 group by i),
     d as (select vec_id, sum((x - c0) * (x - c0)) as d0, sum((x - c1) * (x - c1)) as d1 from e join seed using (i) group by vec_id)
     select case when d1 < d0 then 1 else 0 end as team, count(*) as n, round(sum(least(d0, d1)), 3) as inertia from d group by case when d1 < d0 then 1 else 0 end""",
@@ -184,54 +229,84 @@ def plans(C: EngineConfig) -> dict[str, Plan]:
     d as (select vec_id, sum((x - c0) * (x - c0)) as d0, sum((x - c1) * (x - c1)) as d1 from e join seed using (i) group by vec_id)
     select case when d1 < d0 then 1 else 0 end as team, count(*) as n, round(sum(least(d0, d1)), 3) as inertia from d group by case when d1 < d0 then 1 else 0 end""",
         ),
+        # of each frame the surest rim, of the last ten such frames the medians, from five on
         "rim_median": Plan(
-            """with n as (select game_id, x1, y1, row_number() over (partition by game_id order by o) as i from <<ri>> ri),
-    w as (select a.game_id, a.i, b.x1, b.y1 from n a join n b on a.game_id = b.game_id and b.i between a.i - 9 and a.i)
-    select game_id, i, cast(median(x1) as double) as x1, cast(median(y1) as double) as y1 from w group by game_id, i having count(*) >= 5""",
+            f"""with best as (select game_id, frame_id, x1, y1, x2, y2, row_number() over (partition by game_id, frame_id order by conf desc, o) as r from <<ri>> ri),
+    w as (select game_id, frame_id, {", ".join(f"sort_array(collect_list({c}) over (partition by game_id order by frame_id rows between {C.rim_frames - 1} preceding and current row)) as {c}" for c in ("x1", "y1", "x2", "y2"))} from best where r = 1)
+    select game_id, frame_id, {", ".join(f"cast({c}[(size({c}) - 1) div 2] + {c}[size({c}) div 2] as double) / 2 as {c}" for c in ("x1", "y1", "x2", "y2"))} from w where size(x1) >= {max(1, C.rim_frames // 2)}""",
+            f"""with best as (select game_id, frame_id, arg_min(x1, (-conf, o)) as x1, arg_min(y1, (-conf, o)) as y1, arg_min(x2, (-conf, o)) as x2, arg_min(y2, (-conf, o)) as y2 from <<ri>> ri group by game_id, frame_id),
+    w as (select game_id, frame_id, {", ".join(f"cast(median({c}) over w as double) as {c}" for c in ("x1", "y1", "x2", "y2"))}, count(*) over w as n
+          from best window w as (partition by game_id order by frame_id rows between {C.rim_frames - 1} preceding and current row))
+    select game_id, frame_id, x1, y1, x2, y2 from w where n >= {max(1, C.rim_frames // 2)}""",
             covers=("A24",),
         ),
+        # hoops are the medians of the rims left and right of the middle; one side alone is mirrored when it has ten
         "auto_calibration": Plan(
             f"""with s as (
-      select game_id as game, case when x1 + x2 < {W} then 0 else 1 end as side, cast((x1 + x2) // 2 as double) as x, cast((y1 + y2) // 2 as double) as y from <<ri>> ri
+      select game_id, case when x1 + x2 < {W} then 0 else 1 end as side, cast(x1 + x2 as double) / 2 as x, cast(y1 + y2 as double) / 2 as y from <<ri>> ri
     ), m as (
-      select game, count(*) as n, count(case when side = 0 then 1 end) as nl, count(case when side = 1 then 1 end) as nr,
-             median(case when side = 0 then x end) as lx, median(case when side = 0 then y end) as ly, median(case when side = 1 then x end) as rx, median(case when side = 1 then y end) as ry from s group by game
+      select game_id, count(*) as n, count(case when side = 0 then 1 end) as nl, count(case when side = 1 then 1 end) as nr, {", ".join(f"cast(floor(median(case when side = {k} then {c} end)) as int) as {n}{c}" for k, n in ((0, "l"), (1, "r")) for c in "xy")}
+      from s group by game_id
+    )
+    select game_id, case when nl >= 5 and nr >= 5 or nl >= 10 then lx else {W} - rx end as left_x, case when nl >= 5 and nr >= 5 or nl >= 10 then ly else ry end as left_y,
+           case when nl >= 5 and nr >= 5 or nl < 10 then rx else {W} - lx end as right_x, case when nl >= 5 and nr >= 5 or nl < 10 then ry else ly end as right_y
+    from m where n >= 20 and (nl >= 5 and nr >= 5 or nl >= 10 or nr >= 10)""",
+            f"""with m as (
+      select game_id, count(*) filter (where x1 + x2 < {W}) as nl, count(*) filter (where x1 + x2 >= {W}) as nr,
+             trunc(median((x1 + x2) / 2) filter (where x1 + x2 < {W}))::int as lx, trunc(median((y1 + y2) / 2) filter (where x1 + x2 < {W}))::int as ly,
+             trunc(median((x1 + x2) / 2) filter (where x1 + x2 >= {W}))::int as rx, trunc(median((y1 + y2) / 2) filter (where x1 + x2 >= {W}))::int as ry
+      from <<ri>> ri group by game_id having count(*) >= 20
     )
-    select game, case when nl >= 5 then lx else {W} - rx end as left_x, case when nl >= 5 then ly else ry end as left_y,
-           case when nr >= 5 then rx else {W} - lx end as right_x, case when nr >= 5 then ry else ly end as right_y from m where n >= 20""",
-            covers=("A25", "M13", "M12"),
+    select game_id, lx as left_x, ly as left_y, rx as right_x, ry as right_y from m where nl >= 5 and nr >= 5
+    union all select game_id, lx, ly, {W} - lx, ly from m where nl >= 10 and nr < 5
+    union all select game_id, {W} - rx, ry, rx, ry from m where nr >= 10 and nl < 5""",
+            covers=("A25", "M13"),
         ),
         "scan_players": Plan(
-            """select track_id, appearances, best_frame from (
-      select track_id, count(*) as appearances, max_by(frame_id, cast((x2 - x1) * (y2 - y1) as bigint) * 1000000000 - frame_id) as best_frame from <<tr>> tr where y2 - y1 >= 50 group by track_id) x where appearances >= 3""",
+            f"""select game_id, track_id, appearances, best_frame, row_number() over (partition by game_id order by appearances desc, track_id) as place from (
+      select game_id, track_id, count(*) as appearances, max_by(frame_id, cast((x2 - x1) * (y2 - y1) as bigint) * 1000000000 - frame_id) as best_frame from <<tr>> tr where y2 - y1 >= {C.min_height} group by game_id, track_id) x where appearances >= {C.min_appearances}""",
             covers=("A26", "F11", "O5", "K12"),
         ),
         "ocr_candidates": Plan(
-            """with c as (select frame_id, track, o, conf, regexp_replace(text, '[^0-9]', 'ALL') as number from <<oc>> oc)
-    select frame_id, track, max_by(number, cast(conf as bigint) * 1000000000 + o % 1000000000) as number, max(conf) as conf from c where conf >= 30 and length(number) between 1 and 2 group by frame_id, track""",
-            covers=("F12", "A18", "O9", "M10", "U9"),
+            """with c as (select game_id, frame_id, track, o, conf, regexp_replace(text, '[^0-9]', 'ALL') as number from <<oc>> oc)
+    select game_id, frame_id, track, max_by(number, cast(conf as bigint) * 1000000000 + o % 1000000000) as number, max(conf) as conf from c where conf >= 30 and length(number) between 1 and 2 group by game_id, frame_id, track""",
+            covers=("F12", "A18", "O9"),
         ),
+        # of the last 25 readings the number with most of the weight; the first time that its share suffices decides for good
         "jersey_vote": Plan(
-            f"""with r as (select track, number, conf, row_number() over (partition by track order by frame_id desc, o desc) as i from <<oc>> oc where conf > 0),
-    w as (select track, number, sum(conf) as weight, count(*) as n from r where i <= 25 group by track, number),
-    t as (select *, sum(weight) over (partition by track) as total, sum(n) over (partition by track) as readings from w)
-    select track, number, cast(weight as bigint) as weight, cast(total as bigint) as total from t where readings >= 6 and 100 * weight >= {C.jersey_share} * total""",
-            covers=("A16", "M10", "T20"),
+            f"""with r as (select game_id, track, number, conf, row_number() over (partition by game_id, track order by frame_id, o) as i from <<oc>> oc where conf > 0),
+    l as (select game_id, track, i, collect_list(struct(number, conf)) over (partition by game_id, track order by i rows between {C.jersey_readings - 1} preceding and current row) as w from r),
+    v as (select game_id, track, i, aggregate(w, 0L, (a, x) -> a + x.conf) as total, array_max(transform(array_distinct(transform(w, x -> x.number)),
+            n -> struct(aggregate(filter(w, x -> x.number = n), 0L, (a, x) -> a + x.conf) as weight, n as number))) as best from l where size(w) >= {C.jersey_least}),
+    ok as (select *, row_number() over (partition by game_id, track order by i) as nth from v where 100 * best.weight >= {C.jersey_share} * total)
+    select game_id, track, best.number as number, best.weight as weight, total, cast(i as bigint) as reading from ok where nth = 1""",
+            f"""with r as (select game_id, track, number, conf, row_number() over (partition by game_id, track order by frame_id, o) as i from <<oc>> oc where conf > 0),
+    p as (select a.game_id, a.track, a.i, b.number, sum(b.conf) as weight, count(*) as n from r a join r b on a.game_id = b.game_id and a.track = b.track and b.i between a.i - {C.jersey_readings - 1} and a.i group by all),
+    t as (select *, sum(weight) over (partition by game_id, track, i) as total, sum(n) over (partition by game_id, track, i) as readings from p),
+    ok as (select *, row_number() over (partition by game_id, track order by i, weight desc, number desc) as nth from t where readings >= {C.jersey_least} and 100 * weight >= {C.jersey_share} * total)
+    select game_id, track, number, weight::bigint as weight, total::bigint as total, i as reading from ok where nth = 1""",
+            covers=("A16", "M10"),
         ),
         "jersey_vote_count": Plan(
-            """with w as (select track, number, count(*) as n from <<oc>> oc group by track, number),
-    t as (select *, sum(n) over (partition by track) as total from w)
-    select track, number, n, cast(total as bigint) as total from t where n >= 3 and 10 * n >= 6 * total""",
-            covers=("A17", "A19"),
+            """with w as (select game_id, track, number, count(*) as n from <<oc>> oc group by game_id, track, number),
+    t as (select *, sum(n) over (partition by game_id, track) as total from w)
+    select game_id, track, number, n, cast(total as bigint) as total from t where n >= 3 and 10 * n >= 6 * total""",
+            covers=("A17",),
+        ),
+        # readings that gave a number, of all readings
+        "ocr_success": Plan(
+            "select game_id, count(*) as readings, count(case when conf >= 30 and length(number) between 1 and 2 then 1 end) as successes, cast(count(case when conf >= 30 and length(number) between 1 and 2 then 1 end) as double) / count(*) as rate from <<oc>> oc group by game_id",
+            "select game_id, count(*) as readings, sum(ok) as successes, avg(ok) as rate from (select game_id, (conf >= 30 and len(number) in (1, 2))::int as ok from <<oc>> oc) q group by game_id".replace("sum(ok)", "sum(ok)::bigint"),
+            covers=("A19",),
         ),
         "team_vote": Plan(
-            """with w as (select track_id, team_id, count(*) as n, min(frame_id) as first_frame from <<tr>> tr group by track_id, team_id)
-    select track_id, team_id, n from (select *, row_number() over (partition by track_id order by n desc, first_frame, team_id) as r from w) x where r = 1""",
+            """with w as (select game_id, track_id, team_id, count(*) as n, min(frame_id) as first_frame from <<tr>> tr group by game_id, track_id, team_id)
+    select game_id, track_id, team_id, n from (select *, row_number() over (partition by game_id, track_id order by n desc, first_frame, team_id) as r from w) x where r = 1""",
             covers=("A20", "T19", "M19"),
         ),
         "ocr_budget": Plan(
-            """with u as (select frame_id, track_id, x1, y1, y2, row_number() over (partition by frame_id order by track_id, x1, y1, y2) - 1 as i, count(*) over (partition by frame_id) as n from <<tr>> tr where jersey is null)
-    select frame_id, track_id, x1, y1, y2 from u where (i - (frame_id // 12) % n + n) % n < 3 and frame_id % 12 = 0""",
+            f"""with u as (select game_id, frame_id, track_id, x1, y1, y2, row_number() over (partition by game_id, frame_id order by track_id, x1, y1, y2) - 1 as i, count(*) over (partition by game_id, frame_id) as n from <<tr>> tr where jersey is null)
+    select game_id, frame_id, track_id, x1, y1, y2 from u where (i - (frame_id // {C.ocr_every}) % n + n) % n < {C.ocr_tracks} and frame_id % {C.ocr_every} = 0""",
             covers=("O7",),
         ),
     }

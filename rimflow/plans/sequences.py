@@ -18,18 +18,37 @@ ball as (
 )"""
 
 
-def _thinned(source: str, cooldown: int) -> Plan:
-    """Rows of `source` (a WITH list that ends in candidates(game_id, frame_id)), each at least cooldown frames after the last accepted one."""
-    spark = f"""with {source}, l as (select game_id, sort_array(collect_list(frame_id)) as fs from candidates group by game_id)
-select game_id, explode(s.kept) as frame_id from (
-  select game_id, aggregate(fs, named_struct('last', cast(-1000000 as bigint), 'kept', slice(fs, 1, 0)),
-         (s, x) -> if(x - s.last >= {cooldown}, named_struct('last', x, 'kept', concat(s.kept, array(x))), s)) as s from l) q"""
-    duck = f"""with recursive {source}, f as (
-  select game_id, min(frame_id) as frame_id from candidates group by game_id
-  union all
-  select f.game_id, (select min(c.frame_id) from candidates c where c.game_id = f.game_id and c.frame_id >= f.frame_id + {cooldown}) as frame_id from f where f.frame_id is not null
-) select game_id, frame_id from f where frame_id is not null"""
-    return Plan(spark, duck)
+def _thinning(name: str, candidates: str, cooldown: int) -> tuple[str, str]:
+    """WITH items that end in `name` (game_id, frame_id): the rows of candidates that lie at least cooldown frames after the last accepted one.
+
+    A candidate that far after the one before it is accepted whatever came earlier, so each run of closer ones is folded by itself. The
+    oracle jumps from one accepted row to the next.
+    """
+    spark = f"""{name}_gaps as (
+      select game_id, frame_id, case when frame_id - lag(frame_id) over (partition by game_id order by frame_id) < {cooldown} then 0 else 1 end as fresh from {candidates}
+    ), {name}_runs as (
+      select game_id, frame_id, sum(fresh) over (partition by game_id order by frame_id) as run from {name}_gaps
+    ), {name}_lists as (
+      select game_id, run, sort_array(collect_list(frame_id)) as fs from {name}_runs group by game_id, run
+    ), {name} as (
+      select game_id, explode(s.kept) as frame_id from (
+        select game_id, aggregate(fs, named_struct('last', cast(-1000000 as bigint), 'kept', slice(fs, 1, 0)),
+               (s, x) -> if(x - s.last >= {cooldown}, named_struct('last', x, 'kept', concat(s.kept, array(x))), s)) as s from {name}_lists) q
+    )"""
+    duck = f"""{name}_all as (
+      select game_id, min(frame_id) as frame_id from {candidates} group by game_id
+      union all
+      select f.game_id, (select min(c.frame_id) from {candidates} c where c.game_id = f.game_id and c.frame_id >= f.frame_id + {cooldown}) as frame_id from {name}_all f where f.frame_id is not null
+    ), {name} as (select game_id, frame_id from {name}_all where frame_id is not null)"""
+    return spark, duck
+
+
+def _both(text: str, result: str, covers: tuple[str, ...], **thinned: tuple[str, str]) -> Plan:
+    """A plan whose text has places {name} for the two forms of its thinned items."""
+    spark, duck = text, text
+    for name, (a, b) in thinned.items():
+        spark, duck = spark.replace("{" + name + "}", a), duck.replace("{" + name + "}", b)
+    return Plan(f"with {spark} {result}", f"with recursive {duck} {result}", covers)
 
 
 def plans(C: EngineConfig) -> dict[str, Plan]:
@@ -37,7 +56,7 @@ def plans(C: EngineConfig) -> dict[str, Plan]:
         edge = C.bounds_inner
         return f"({x} < {edge} or {x} > {C.frame_width - edge} or {y} < {edge} or {y} > {C.frame_height - edge})"
 
-    #: Who holds the ball. contact: the nearest player is in reach; an epoch ends when contact is missed for the given frames;
+    #: Who holds the ball, and their team (-1: unknown). contact: the nearest player is in reach; an epoch ends when contact is missed for the given frames;
     #: in an epoch a player needs consecutive contact frames, and holds the ball until another has them.
     POSSESSION = (
         NEAREST
@@ -56,7 +75,7 @@ def plans(C: EngineConfig) -> dict[str, Plan]:
       select *, sum(case when who = last_who then 0 else 1 end) over (partition by game_id, epoch order by frame_id) as island from contacts
     ), confirmed as (
       select game_id, frame_id, case when row_number() over (partition by game_id, epoch, island order by frame_id) >= {C.possession_frames} then who end as sure,
-             case when row_number() over (partition by game_id, epoch, island order by frame_id) >= {C.possession_frames} then team end as sure_team from islands
+             case when row_number() over (partition by game_id, epoch, island order by frame_id) >= {C.possession_frames} then coalesce(team, -1) end as sure_team from islands
     ), held as (
       select e.game_id, e.frame_id, e.ball_x, e.ball_y, LASTNN[c.sure] over (partition by e.game_id, e.epoch order by e.frame_id rows between unbounded preceding and current row) as holder,
              LASTNN[c.sure_team] over (partition by e.game_id, e.epoch order by e.frame_id rows between unbounded preceding and current row) as team
@@ -73,6 +92,27 @@ def plans(C: EngineConfig) -> dict[str, Plan]:
     )"""
     )
 
+    _TURNOVERS = "select game_id, frame_id, last_holder as loser, holder as winner from gaps where holder is not null and last_holder is not null and holder <> last_holder and team <> last_team and team >= 0 and last_team >= 0"
+    # teams that are unknown count as equal
+    _PASSES = f"""
+    select a.game_id, a.frame_id, a.last_holder as sender, a.holder as receiver, cast(a.nth - b.nth - 2 as bigint) as flight
+    from gaps a join gaps b on a.game_id = b.game_id and a.last_frame = b.frame_id
+    where a.holder is not null and a.before is null and a.last_holder is not null and a.holder <> a.last_holder and a.team = a.last_team
+      and (a.ball_x - b.ball_x) * (a.ball_x - b.ball_x) + (a.ball_y - b.ball_y) * (a.ball_y - b.ball_y) >= {int(C.pass_distance**2)} and a.nth - b.nth - 1 <= {C.pass_frames + 1}"""
+
+    #: Per frame: is the ball there and falling, does it enter a hoop from above, is it within one.
+    _HOOP_FLAGS = """sides as (
+      select game_id, max(case when side = 'left' then x end) as lx, max(case when side = 'left' then y end) as ly, max(case when side = 'left' then radius end) as lr,
+             max(case when side = 'right' then x end) as rx, max(case when side = 'right' then y end) as ry, max(case when side = 'right' then radius end) as rr from <<ho>> ho group by game_id
+    ), stepped as (
+      select f.game_id, f.frame_id, ball_x as bx, ball_y as by_, lag(ball_y) over (partition by f.game_id order by f.frame_id) as py, lx, ly, lr, rx, ry, rr
+      from <<fr>> f join sides h on f.game_id = h.game_id
+    ), flags as (
+      select game_id, frame_id, bx is not null as has, coalesce(py < by_, false) as down,
+             coalesce(by_ > py and py <= ly and by_ >= ly - 10 and 10 * abs(bx - lx) <= 8 * lr, false) as tl, coalesce(by_ > py and py <= ry and by_ >= ry - 10 and 10 * abs(bx - rx) <= 8 * rr, false) as tr,
+             coalesce((bx - lx) * (bx - lx) + (by_ - ly) * (by_ - ly) <= lr * lr, false) as il, coalesce((bx - rx) * (bx - rx) + (by_ - ry) * (by_ - ry) <= rr * rr, false) as ir from stepped
+    )"""
+
     _CROSS = f"""
     crossings as (
       select game_id, frame_id, ball_x, ball_y, (ball_x - rim_x) * (ball_x - rim_x) + (ball_y - rim_y) * (ball_y - rim_y) as r2, abs(ball_x - rim_x) <= {int(C.rim_radius)} as in_x
@@ -80,8 +120,38 @@ def plans(C: EngineConfig) -> dict[str, Plan]:
     )"""
 
 
-    _SCORE_CANDIDATES = f"{_BALL}, {_CROSS}, candidates as (select game_id, frame_id from crossings where r2 <= {int(C.rim_radius**2)})"
-    _BLOCK_CANDIDATES = f"{_BALL}, candidates as (select game_id, frame_id from moved where v2 >= {int(C.block_speed**2)} and (ball_x - rim_x) * (ball_x - rim_x) + (ball_y - rim_y) * (ball_y - rim_y) <= {int(C.block_radius**2)})"
+    _SCORES = f"{_CROSS}, score_candidates as (select game_id, frame_id from crossings where r2 <= {int(C.rim_radius**2)}), {{scores}}"
+    SCORES = _thinning("scores", "score_candidates", C.score_cooldown)
+
+    _SHOTS = f"""rising as (
+      select *, ball_y < py and v2 >= {int(C.rise_speed**2)} as up from moved
+    ), runs as (
+      select *, sum(case when coalesce(up, false) then 0 else 1 end) over (partition by game_id order by frame_id) as run from rising
+    ), arcs as (
+      select game_id, run, count(case when up then 1 end) as n, min_by(py, case when up then frame_id end) as start_y, min(case when up then ball_y end) as peak_y from runs group by game_id, run
+    ), ends as (
+      select game_id, run - 1 as run, min(frame_id) as frame_id from runs group by game_id, run
+    ), attempts as (
+      select a.game_id, e.frame_id, a.n as rising_frames, a.start_y - a.peak_y as arc_height from arcs a join ends e on a.game_id = e.game_id and a.run = e.run
+      where a.n >= {C.rise_frames} and a.start_y - a.peak_y >= {int(C.arc_height)}
+    )"""
+
+    #: Is a shot under way in a frame: attempted by then and since then no score before this frame.
+    _ACTIVE = """marks as (
+      select game_id, frame_id, max(attempt) as attempt, max(score) as score from (
+        select game_id, frame_id, 1 as attempt, 0 as score from attempts union all select game_id, frame_id, 0 as attempt, 1 as score from scores) u group by game_id, frame_id
+    ), followed as (
+      select m.*, k.attempt, k.score, max(case when k.attempt = 1 then m.frame_id end) over (partition by m.game_id order by m.frame_id rows between unbounded preceding and current row) as last_attempt,
+             max(case when k.score = 1 then m.frame_id end) over (partition by m.game_id order by m.frame_id rows between unbounded preceding and 1 preceding) as last_score
+      from moved m left join marks k on m.game_id = k.game_id and m.frame_id = k.frame_id
+    ), activity as (
+      select *, last_attempt is not null and (last_score is null or last_score < last_attempt) as active from followed
+    )"""
+    _BLOCKS = f"""block_candidates as (
+      select a.game_id, a.frame_id from activity a join (select * from near where r = 1) n on a.game_id = n.game_id and a.frame_id = n.frame_id
+      where active and v2 >= {int(C.block_speed**2)} and (a.ball_x - rim_x) * (a.ball_x - rim_x) + (a.ball_y - rim_y) * (a.ball_y - rim_y) <= {int(C.block_radius**2)}
+    ), {{blocks}}"""
+    BLOCKS = _thinning("blocks", "block_candidates", C.block_cooldown)
 
     #: Why a frame is dead, first reason first: the ball is missing for some frames, out of bounds, still for some frames (the mean
     #: of the last velocities is small, for as many frames again), or seen with low confidence only.
@@ -135,53 +205,85 @@ def plans(C: EngineConfig) -> dict[str, Plan]:
 
     found: dict[str, Plan] = {
         "possession": Plan(f"with {POSSESSION} select game_id, frame_id, holder from held", covers=("T1", "M8")),
-        "turnovers": Plan(f"with {_CHANGES} select game_id, frame_id, last_holder as loser, holder as winner from gaps where holder is not null and last_holder is not null and holder <> last_holder and team <> last_team", covers=("T10",)),
-        "passes": Plan(
-            f"""with {_CHANGES}
-    select a.game_id, a.frame_id, a.last_holder as sender, a.holder as receiver, cast(a.nth - b.nth - 2 as bigint) as flight
-    from gaps a join gaps b on a.game_id = b.game_id and a.last_frame = b.frame_id
-    where a.holder is not null and a.before is null and a.last_holder is not null and a.holder <> a.last_holder and a.team = a.last_team
-      and (a.ball_x - b.ball_x) * (a.ball_x - b.ball_x) + (a.ball_y - b.ball_y) * (a.ball_y - b.ball_y) >= {int(C.pass_distance**2)} and a.nth - b.nth - 1 <= {C.pass_frames + 1}""",
-            covers=("T8",),
+        "turnovers": Plan(f"with {_CHANGES} {_TURNOVERS}", covers=("T10",)),
+        "passes": Plan(f"with {_CHANGES} {_PASSES}", covers=("T8",)),
+        "shot_attempts": Plan(f"with {_BALL}, {_SHOTS} select * from attempts", covers=("T2",)),
+        "rim_crossing": Plan(f"with {_BALL}, {_CROSS} select game_id, frame_id, r2, in_x from crossings", covers=("F20", "T3")),
+        "cooldown": _both(f"{_BALL}, {_SCORES}", "select game_id, frame_id from scores", ("T3",), scores=SCORES),
+        "blocks": _both(
+            f"{NEAREST}, {_BALL}, {_SHOTS}, {_SCORES}, {_ACTIVE}, {_BLOCKS}",
+            "select b.game_id, b.frame_id, n.track_id as blocker, n.team_id as team from blocks b join near n on b.game_id = n.game_id and b.frame_id = n.frame_id where n.r = 1",
+            ("T12",), scores=SCORES, blocks=BLOCKS,
         ),
-        "shot_attempts": Plan(
-            f"""with {_BALL}, rising as (
-      select *, ball_y < py and v2 >= {int(C.rise_speed**2)} as up from moved
-    ), runs as (
-      select *, sum(case when coalesce(up, false) then 0 else 1 end) over (partition by game_id order by frame_id) as run from rising
-    ), arcs as (
-      select game_id, run, count(case when up then 1 end) as n, min_by(py, case when up then frame_id end) as start_y, min(case when up then ball_y end) as peak_y from runs group by game_id, run
-    ), ends as (
-      select game_id, run - 1 as run, min(frame_id) as frame_id from runs group by game_id, run
-    )
-    select a.game_id, e.frame_id, a.n as rising_frames, a.start_y - a.peak_y as arc_height from arcs a join ends e on a.game_id = e.game_id and a.run = e.run
-    where a.n >= {C.rise_frames} and a.start_y - a.peak_y >= {int(C.arc_height)}""",
-            covers=("T2",),
+        # what the frames say: attempts and scores with shooter and points, blocks, passes and turnovers
+        "frame_events": _both(
+            f"""{_CHANGES}, {_BALL}, {_SHOTS}, {_SCORES}, {_ACTIVE}, {_BLOCKS}, known as (
+      select a.game_id, a.frame_id, a.attempt, a.score, a.last_attempt, a.active, a.ball_x between {C.three_x} and {C.frame_width - C.three_x} as is_three, h.holder, case when h.holder is not null then h.team end as team,
+             LASTNN[h.holder] over (partition by a.game_id order by a.frame_id rows between unbounded preceding and current row) as recent
+      from activity a left join held h on a.game_id = h.game_id and a.frame_id = h.frame_id
+    ), scored as (
+      select s.game_id, s.frame_id, coalesce(case when s.active and exists (select 1 from <<tr>> t where t.game_id = s.game_id and t.frame_id = s.frame_id and t.track_id = a.holder) then a.holder end, s.recent) as track,
+             case when s.active then a.is_three else s.is_three end as is_three
+      from known s left join known a on s.game_id = a.game_id and s.last_attempt = a.frame_id where s.score = 1
+    )""",
+            f"""select game_id, frame_id, 'shot_attempt' as etype, holder as track, cast(null as bigint) as other, is_three from known where attempt = 1
+    union all select game_id, frame_id, case when is_three then 'score_3pt' else 'score_2pt' end, track, null, is_three from scored
+    union all select b.game_id, b.frame_id, 'block', n.track_id, null, false from blocks b join near n on b.game_id = n.game_id and b.frame_id = n.frame_id where n.r = 1
+    union all select game_id, frame_id, 'pass', sender, receiver, false from ({_PASSES}) p
+    union all select game_id, frame_id, 'turnover', loser, winner, false from ({_TURNOVERS}) t""",
+            ("T21", "J19"), scores=SCORES, blocks=BLOCKS,
         ),
-        "rim_crossing": Plan(f"with {_BALL}, {_CROSS} select game_id, frame_id, r2, in_x from crossings", covers=("F20", "T3")),
-        "cooldown": _thinned(_SCORE_CANDIDATES, C.score_cooldown),
-        "blocks": _thinned(_BLOCK_CANDIDATES, C.block_cooldown),
+        # a ball that falls into a hoop, or stays in it for some frames while falling; then a pause
         "hoop_entry": Plan(
-            f"""with {_BALL}, e as (
-      select game_id, frame_id, case when abs(ball_x - 500) <= 36 and ball_y > py and py <= 180 and ball_y >= 170 then 'left'
-                                     when abs(ball_x - 620) <= 36 and ball_y > py and py <= 180 and ball_y >= 170 then 'right' end as side from moved
-    ) select game_id, frame_id, side from e where side is not null""",
+            f"""with {_HOOP_FLAGS}, l as (select game_id, sort_array(collect_list(struct(frame_id, has, down, tl, tr, il, ir))) as fs from flags group by game_id)
+    select game_id, e.frame_id, e.side, e.method from (
+      select game_id, explode(aggregate(fs, named_struct('cd', 0, 'dl', 0, 'dr', 0, 'out', cast(array() as array<struct<frame_id: bigint, side: string, method: string>>)), (s, x) -> case
+        when s.cd > 0 then named_struct('cd', s.cd - 1, 'dl', s.dl, 'dr', s.dr, 'out', s.out)
+        when not x.has then s
+        when x.tl then named_struct('cd', {C.hoop_cooldown}, 'dl', s.dl, 'dr', s.dr, 'out', concat(s.out, array(named_struct('frame_id', x.frame_id, 'side', 'left', 'method', 'trajectory'))))
+        when x.il and s.dl + 1 >= {C.hoop_dwell} and x.down then named_struct('cd', {C.hoop_cooldown}, 'dl', 0, 'dr', s.dr, 'out', concat(s.out, array(named_struct('frame_id', x.frame_id, 'side', 'left', 'method', 'dwell'))))
+        when x.tr then named_struct('cd', {C.hoop_cooldown}, 'dl', if(x.il, s.dl + 1, 0), 'dr', s.dr, 'out', concat(s.out, array(named_struct('frame_id', x.frame_id, 'side', 'right', 'method', 'trajectory'))))
+        when x.ir and s.dr + 1 >= {C.hoop_dwell} and x.down then named_struct('cd', {C.hoop_cooldown}, 'dl', if(x.il, s.dl + 1, 0), 'dr', 0, 'out', concat(s.out, array(named_struct('frame_id', x.frame_id, 'side', 'right', 'method', 'dwell'))))
+        else named_struct('cd', 0, 'dl', if(x.il, s.dl + 1, 0), 'dr', if(x.ir, s.dr + 1, 0), 'out', s.out) end, s -> s.out)) as e from l) q""",
+            f"""with recursive {_HOOP_FLAGS}, o as (select *, row_number() over (partition by game_id order by frame_id) as r from flags),
+    f as (
+      select game_id, 0::bigint as r, 0 as cd, 0 as dl, 0 as dr, null::bigint as frame_id, null::varchar as side, null::varchar as method from o where r = 1
+      union all
+      select game_id, r, case when cd > 0 then cd - 1 when fire is not null then {C.hoop_cooldown} else 0 end,
+             case when cd > 0 or not has or fire = 1 then dl when fire = 2 then 0 when il then dl + 1 else 0 end,
+             case when cd > 0 or not has or fire in (1, 2, 3) then dr when fire = 4 then 0 when ir then dr + 1 else 0 end,
+             case when fire is not null then frame_id end, case when fire in (1, 2) then 'left' when fire in (3, 4) then 'right' end, case when fire in (1, 3) then 'trajectory' when fire in (2, 4) then 'dwell' end
+      from (select o.game_id, o.r, o.frame_id, o.has, o.il, o.ir, f.cd, f.dl, f.dr,
+                   case when f.cd > 0 or not o.has then null when o.tl then 1 when o.il and f.dl + 1 >= {C.hoop_dwell} and o.down then 2 when o.tr then 3 when o.ir and f.dr + 1 >= {C.hoop_dwell} and o.down then 4 end as fire
+            from f join o on f.game_id = o.game_id and o.r = f.r + 1) a
+    ) select game_id, frame_id, side, method from f where frame_id is not null""",
             covers=("F21", "C5", "T15"),
         ),
         "ball_kinematics": Plan(
-            f"""with {_BALL}, s as (select *, sqrt(cast(v2 as double)) as speed from moved)
-    select game_id, frame_id, speed, v2 > 4 as moving, atan2(cast(ball_y - py as double), cast(ball_x - px as double)) as angle, 2 * ball_x - px as next_x,
-           count(speed) over (partition by game_id order by frame_id rows between 4 preceding and current row) as n5,
-           sum(v2) over (partition by game_id order by frame_id rows between 4 preceding and current row) as sum_v2, ball_x - lag(ball_x, 3) over (partition by game_id order by frame_id) as moved3
-    from s where px is not null""",
+            f"""with {_BALL}, s as (select *, sqrt(cast(v2 as double)) as speed from moved), k as (
+      select *, avg(speed) over (partition by game_id order by frame_id rows between 4 preceding and current row) as mean5,
+             lag(ball_x, 3) over (partition by game_id order by frame_id) as x3, lag(ball_y, 3) over (partition by game_id order by frame_id) as y3 from s
+    )
+    select game_id, frame_id, speed, v2 > 4 as moving, round(degrees(atan2(cast(ball_y - py as double), cast(ball_x - px as double))), 6) as angle, 2 * ball_x - px as next_x, 2 * ball_y - py as next_y,
+           round(mean5, 6) as speed5, round(mean5, 6) > {C.flight_speed} as in_flight, sqrt(cast((ball_x - x3) * (ball_x - x3) + (ball_y - y3) * (ball_y - y3) as double)) as moved3
+    from k where px is not null""",
+            """with b as (select game_id, frame_id, ball_x as x, ball_y as y, row_number() over (partition by game_id order by frame_id) as i from <<fr>> f where ball_x is not null),
+    d as (select b.*, b.x - a.x as dx, b.y - a.y as dy from b join b a on a.game_id = b.game_id and a.i = b.i - 1)
+    select d.game_id, d.frame_id, sqrt((d.dx ** 2 + d.dy ** 2)::double) as speed, d.dx ** 2 + d.dy ** 2 > 4 as moving, round(atan2(d.dy::double, d.dx::double) * 180 / pi(), 6) as angle, d.x + d.dx as next_x, d.y + d.dy as next_y,
+           round((select avg(sqrt((e.dx ** 2 + e.dy ** 2)::double)) from d e where e.game_id = d.game_id and e.i between d.i - 4 and d.i), 6) as speed5,
+           round((select avg(sqrt((e.dx ** 2 + e.dy ** 2)::double)) from d e where e.game_id = d.game_id and e.i between d.i - 4 and d.i), 6) > FLIGHT as in_flight,
+           (select sqrt(((d.x - c.x) ** 2 + (d.y - c.y) ** 2)::double) from b c where c.game_id = d.game_id and c.i = d.i - 3) as moved3
+    from d""".replace("FLIGHT", str(C.flight_speed)),
             covers=("P11", "P12", "P13", "W10", "W12", "M15"),
         ),
-        "ball_gate": Plan(f"with {_BALL} select game_id, frame_id, case when v2 is null or v2 <= 160 * 160 then 'near' when conf >= {C.min_confidence} then 'sure' else 'dropped' end as verdict from moved", covers=("F13",)),
+        "ball_gate": Plan(f"with {_BALL} select game_id, frame_id, case when v2 is null or v2 <= {C.ball_gate**2} then 'near' when conf >= {C.min_confidence} then 'sure' else 'dropped' end as verdict from moved", covers=("F13",)),
         "arc_detect": Plan(
-            """with b as (select game_id, frame_id, ball_y, row_number() over (partition by game_id order by frame_id) as n from <<fr>> f where ball_x is not null),
-    w as (select a.game_id, a.frame_id, a.n, b.n as m, b.ball_y from b a join b on a.game_id = b.game_id and b.n between a.n - 19 and a.n),
+            f"""with w as (select game_id, frame_id, collect_list(ball_y) over (partition by game_id order by frame_id rows between {C.arc_window - 1} preceding and current row) as ys from <<fr>> f where ball_x is not null)
+    select game_id, frame_id, array_max(ys) - array_min(ys) >= {C.arc_min_height} and array_position(ys, array_min(ys)) between 2 and size(ys) - 1 as arc from w where size(ys) >= {C.arc_least}""",
+            f"""with b as (select game_id, frame_id, ball_y, row_number() over (partition by game_id order by frame_id) as n from <<fr>> f where ball_x is not null),
+    w as (select a.game_id, a.frame_id, a.n, b.n as m, b.ball_y from b a join b on a.game_id = b.game_id and b.n between a.n - {C.arc_window - 1} and a.n),
     s as (select game_id, frame_id, n, count(*) as c, min(ball_y) as top, max(ball_y) as base, min_by(m, cast(ball_y as bigint) * 1000000 + m) as pos, min(m) as first_m from w group by game_id, frame_id, n)
-    select game_id, frame_id, base - top >= 30 and pos > first_m and pos < n as arc from s where c >= 10""",
+    select game_id, frame_id, base - top >= {C.arc_min_height} and pos > first_m and pos < n as arc from s where c >= {C.arc_least}""",
             covers=("W11",),
         ),
         "moving_average": Plan("select game_id, frame_id, avg(ball_x) over (partition by game_id order by frame_id rows between 4 preceding and current row) as x5 from <<fr>> f", covers=("W9",)),
@@ -197,25 +299,35 @@ def plans(C: EngineConfig) -> dict[str, Plan]:
         "dead_summary": Plan(
             f"with {SEGMENTS} select game_id, reason, count(*) as n, cast(sum(end_frame - start_frame) as bigint) as frames from segments group by rollup (game_id, reason)", covers=("A14", "M9")
         ),
+        # the latest end of all segments that have begun by a frame
         "live_mask": Plan(
+            f"""with {MERGED}, u as (
+      select game_id, start_frame as frame_id, 0 as kind, end_frame from merged union all select game_id, frame_id, 1 as kind, null as end_frame from <<fr>> f
+    ), m as (select game_id, frame_id, kind, max(end_frame) over (partition by game_id order by frame_id, kind rows between unbounded preceding and current row) as until from u)
+    select game_id, frame_id from m where kind = 1 and (until is null or frame_id >= until)""",
             f"with {MERGED} select f.game_id, f.frame_id from <<fr>> f left join merged m on f.game_id = m.game_id and f.frame_id >= m.start_frame and f.frame_id < m.end_frame where m.grp is null",
             covers=("F16", "F17", "J17"),
         ),
+        # dead from a frame that sets it on, as long as every frame after it holds it
         "dead_state": Plan(
-            f"""with l as (
-      select game_id, sort_array(collect_list(struct(frame_id, ball_x as bx, ball_y as by, scored))) as fs from <<fr>> f group by game_id
-    ), folded as (
-      select game_id, aggregate(fs,
-        named_struct('sa', cast(-1000000 as bigint), 'px', cast(null as int), 'py', cast(null as int), 'still', 0, 'dead', false, 'out', slice(transform(fs, x -> named_struct('frame_id', x.frame_id, 'dead', false)), 1, 0)),
-        (s0, x) -> aggregate(array(named_struct('s', s0, 'x', x, 'sa', if(x.scored, x.frame_id, s0.sa), 'oob', coalesce({_oob('x.bx', 'x.by')}, false), 'has', x.bx is not null and s0.px is not null,
-                                               'slow', coalesce((x.bx - s0.px) * (x.bx - s0.px) + (x.by - s0.py) * (x.by - s0.py) < {C.rest_pixels**2}, false))), s0,
-          (ignored, t) -> aggregate(array(named_struct('t', t, 'early', t.x.frame_id - t.sa < {C.dead_after_score} or t.oob, 'still', if(t.x.frame_id - t.sa < {C.dead_after_score} or t.oob or not t.has, t.s.still, if(t.slow, t.s.still + 1, 0)))), s0,
-            (ignored2, u) -> named_struct('sa', u.t.sa, 'px', if(u.early, u.t.s.px, u.t.x.bx), 'py', if(u.early, u.t.s.py, u.t.x.by), 'still', u.still,
-              'dead', u.t.x.scored or (u.t.oob and u.t.x.frame_id - u.t.sa >= {C.dead_after_score}) or (not u.early and u.t.has and u.still >= {C.rest_frames}) or (u.t.s.dead and (u.early or not u.t.has or u.t.slow)),
-              'out', concat(u.t.s.out, array(named_struct('frame_id', u.t.x.frame_id, 'dead', u.early or u.t.x.scored or (u.t.has and u.still >= {C.rest_frames}) or (u.t.s.dead and (not u.t.has or u.t.slow)))))))),
-        s -> s.out) as out from l
+            f"""with a as (
+      select game_id, frame_id, ball_x as bx, ball_y as by_, scored, coalesce({_oob('ball_x', 'ball_y')}, false) as oob,
+             coalesce(frame_id - max(case when scored then frame_id end) over (partition by game_id order by frame_id rows between unbounded preceding and current row) < {C.dead_after_score}, false) as fresh from <<fr>> f
+    ), b as (
+      select *, last_value(case when not (fresh or oob) then named_struct('x', bx, 'y', by_) end, true) over (partition by game_id order by frame_id rows between unbounded preceding and 1 preceding) as p from a
+    ), c as (
+      select *, bx is not null and p.x is not null as has, coalesce((bx - p.x) * (bx - p.x) + (by_ - p.y) * (by_ - p.y) < {C.rest_pixels**2}, false) as slow from b
+    ), d as (
+      select *, sum(case when not (fresh or oob) and has and not slow then 1 else 0 end) over (partition by game_id order by frame_id) as moves from c
+    ), e as (
+      select *, sum(case when not (fresh or oob) and has and slow then 1 else 0 end) over (partition by game_id, moves order by frame_id) as still from d
+    ), g as (
+      select *, max(case when scored or (oob and not fresh) or (not (fresh or oob) and has and still >= {C.rest_frames}) then frame_id end) over (partition by game_id order by frame_id) as set_at,
+             max(case when not (fresh or oob or not has or slow) then frame_id end) over (partition by game_id order by frame_id) as freed_at from e
+    ), h as (
+      select *, coalesce(lag(set_at is not null and (freed_at is null or freed_at <= set_at)) over (partition by game_id order by frame_id), false) as was from g
     )
-    select game_id, e.frame_id, e.dead from (select game_id, explode(out) as e from folded) q""",
+    select game_id, frame_id, fresh or oob or scored or (has and still >= {C.rest_frames}) or (was and (not has or slow)) as dead from h""",
             f"""with recursive o as (select game_id, frame_id, ball_x as bx, ball_y as by_, scored, row_number() over (partition by game_id order by frame_id) as r from <<fr>> f),
     f as (
       select game_id, 0::bigint as r, -1::bigint as frame_id, -1000000::bigint as sa, null::int as px, null::int as py, 0 as still, false as dead, false as said from o where r = 1
@@ -233,6 +345,4 @@ def plans(C: EngineConfig) -> dict[str, Plan]:
         ),
     }
 
-    found["cooldown"] = Plan(found["cooldown"].sql, found["cooldown"].oracle, ("T3",))
-    found["blocks"] = Plan(found["blocks"].sql, found["blocks"].oracle, ("T12",))
     return found

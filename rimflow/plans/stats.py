@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from rimflow.config import HIGHLIGHT, MOMENTUM, RATING_HUNDREDTHS, EngineConfig
+from rimflow.config import EVENT_TYPES, HIGHLIGHT, MOMENTUM, RATING_HUNDREDTHS, EngineConfig
 
 from .core import Plan
 
@@ -94,6 +94,12 @@ def rates(least: str = "1") -> str:
        cast({rating} as double) / 100 as per_rating"""
 
 
+def _display(top: str, bottom: str) -> str:
+    """A percentage with one digit as text."""
+    tenths = f"cast((2000 * ({top}) + ({bottom})) // (2 * greatest(1, {bottom})) as bigint)"
+    return f"case when {bottom} = 0 then '0.0%' else concat(cast({tenths} // 10 as STR), '.', cast({tenths} % 10 as STR), '%') end"
+
+
 _POINTS = "case etype when 'score_3pt' then 3 when 'score_2pt' then 2 when 'free_throw_made' then 1 else 0 end"
 
 def plans(C: EngineConfig) -> dict[str, Plan]:
@@ -126,18 +132,23 @@ def plans(C: EngineConfig) -> dict[str, Plan]:
     # literals such as 2.0 are decimals: cast them once, here
     SCORED = SCORED.replace(f"{C.combo_bonus} *", f"cast({C.combo_bonus} as double) *").replace(f"then {C.hot_bonus} else 0 end end", f"then cast({C.hot_bonus} as double) else 0 end end")
 
+    # points so far of each event's team and of all
     _RUNNING = f"""points as (
       select game_id, seq, frame_id, etype, p_team, {_POINTS} as pts,
-             sum(case when p_team = 0 then {_POINTS} else 0 end) over (partition by game_id order by seq) as score0,
-             sum(case when p_team = 1 then {_POINTS} else 0 end) over (partition by game_id order by seq) as score1,
-             min(p_team) over (partition by game_id) as t0
+             sum({_POINTS}) over (partition by game_id, p_team order by seq) as team_score, sum({_POINTS}) over (partition by game_id order by seq) as all_points
       from <<ge>> ge
     )"""
 
+    #: The same for teams 0 and 1 side by side, for oracles.
+    _TWO_TEAMS = f"""points as (
+      select game_id, seq, frame_id, etype, p_team, sum(case when p_team = 0 then {_POINTS} else 0 end) over (partition by game_id order by seq) as score0,
+             sum(case when p_team = 1 then {_POINTS} else 0 end) over (partition by game_id order by seq) as score1, min(p_team) over (partition by game_id) as t0 from <<ge>> ge
+    )"""
+
     _LOGGED = "row_number() over (partition by game_id order by seq desc)"
 
     found: dict[str, Plan] = {
-        "event_counts": Plan("select game_id, etype, count(*) as n from <<ge>> ge group by game_id, etype", covers=("A1", "O10")),
+        "event_counts": Plan("select game_id, etype, n, row_number() over (partition by game_id order by n desc, etype) as place from (select game_id, etype, count(*) as n from <<ge>> ge group by game_id, etype) x", covers=("A1", "O10")),
         "pending_shot": Plan(f"with {RESULTS} select game_id, seq, etype, ref_seq, track, team, zone, three from results", covers=("J18", "T18", "C11")),
         "player_stats": Plan(f"with {PLAYERS} select * from players", covers=("A2", "A3", "A4", "A5", "T22", "U2")),
         "team_totals": Plan(
@@ -145,7 +156,7 @@ def plans(C: EngineConfig) -> dict[str, Plan]:
             covers=("A8", "A10", "A12", "J11", "M7"),
         ),
         "advanced_rates": Plan(f"with {PLAYERS} select game_id, track, {rates()} from players", covers=("A9", "C9")),
-        "shooting_pct": Plan(f"with {PLAYERS} select game_id, team, {share('sum(fg_makes)', 'sum(fg_attempts)')} as fg_pct from players group by game_id, team", covers=("P14", "P24")),
+        "shooting_pct": Plan(f"with {PLAYERS} select game_id, team, {share('sum(fg_makes)', 'sum(fg_attempts)')} as fg_pct, {_display('sum(fg_makes)', 'sum(fg_attempts)')} as shown from players group by game_id, team", covers=("P14", "P24")),
         "box_score": Plan(
             f"""with {PLAYERS}
     select game_id, team, coalesce(nullif(jersey, ''), cast(track as STR)) as player, points,
@@ -210,27 +221,28 @@ def plans(C: EngineConfig) -> dict[str, Plan]:
     select game_id, place, seq, frame_id, etype, score, p_track, p_jersey, p_team, ball_x, ball_y from ranked where place <= {C.top_moments}""",
             covers=("O4", "M6"),
         ),
+        # every event of the game makes a team's momentum decay; its own also add to it and round it
         "momentum": Plan(
             f"""with d as (
       select game_id, seq, p_team, cast({_case(MOMENTUM)} as double) as delta from <<ge>> ge
-    ), lists as (
-      select game_id, sort_array(collect_list(struct(seq, p_team, delta))) as es from d where delta <> 0 and p_team is not null group by game_id
+    ), o as (
+      select game_id, p_team as team, delta, row_number() over (partition by game_id order by seq) as k, count(*) over (partition by game_id) as n from d where delta <> 0 and p_team is not null
+    ), lists as (select game_id, team, max(n) as n, sort_array(collect_list(struct(k, delta))) as es from o group by game_id, team),
+    folded as (
+      select game_id, team, n, aggregate(es, named_struct('k', cast(0 as bigint), 'm', cast(0 as double)), (a, e) -> named_struct(
+               'k', cast(e.k as bigint), 'm', round(aggregate(sequence(a.k + 1, e.k), a.m, (x, i) -> x * cast({C.momentum_decay} as double)) + e.delta, 3))) as s from lists
     )
-    select game_id, s.m0 as momentum0, s.m1 as momentum1, size(es) as n
-    from (select *, aggregate(es, named_struct('m0', cast(0 as double), 'm1', cast(0 as double)), (a, e) -> named_struct(
-            'm0', if(e.p_team = 0, round(a.m0 * cast({C.momentum_decay} as double) + e.delta, 3), a.m0 * cast({C.momentum_decay} as double)),
-            'm1', if(e.p_team = 1, round(a.m1 * cast({C.momentum_decay} as double) + e.delta, 3), a.m1 * cast({C.momentum_decay} as double)))) as s from lists)""",
+    select game_id, team, if(s.k = n, s.m, aggregate(sequence(s.k + 1, n), s.m, (x, i) -> x * cast({C.momentum_decay} as double))) as momentum, n from folded""",
             f"""with recursive d as (
       select game_id, seq, p_team, cast({_case(MOMENTUM)} as double) as delta from <<ge>> ge
     ), o as (select *, row_number() over (partition by game_id order by seq) as k, count(*) over (partition by game_id) as n from d where delta <> 0 and p_team is not null),
     f as (
-      select game_id, k, n, case when p_team = 0 then round(delta, 3) else 0.0::double end as m0, case when p_team = 1 then round(delta, 3) else 0.0::double end as m1 from o where k = 1
+      select distinct game_id, p_team as team, 0::bigint as k, n, 0.0::double as m from o
       union all
-      select o.game_id, o.k, o.n, case when o.p_team = 0 then round(f.m0 * {C.momentum_decay}::double + o.delta, 3) else f.m0 * {C.momentum_decay}::double end,
-             case when o.p_team = 1 then round(f.m1 * {C.momentum_decay}::double + o.delta, 3) else f.m1 * {C.momentum_decay}::double end
+      select f.game_id, f.team, o.k, o.n, case when o.p_team = f.team then round(f.m * {C.momentum_decay}::double + o.delta, 3) else f.m * {C.momentum_decay}::double end as m
       from f join o on f.game_id = o.game_id and o.k = f.k + 1
     )
-    select game_id, m0 as momentum0, m1 as momentum1, cast(n as int) as n from f where k = n""",
+    select game_id, team, m as momentum, n from f where k = n""",
             covers=("W5",),
         ),
         "scoring_runs": Plan(
@@ -242,27 +254,37 @@ def plans(C: EngineConfig) -> dict[str, Plan]:
             covers=("W6",),
         ),
         "score_history": Plan(
-            f"""with {_RUNNING} select game_id, seq, frame_id, p_team, cast(case when p_team = 0 then score0 else score1 end as bigint) as team_score from points where etype in ('score_2pt', 'score_3pt')""",
+            f"with {_RUNNING} select game_id, seq, frame_id, p_team, cast(team_score as bigint) as team_score from points where etype in ('score_2pt', 'score_3pt')",
+            f"with {_TWO_TEAMS} select game_id, seq, frame_id, p_team, cast(case when p_team = 0 then score0 else score1 end as bigint) as team_score from points where etype in ('score_2pt', 'score_3pt')",
             covers=("W7",),
         ),
+        # any number of teams: a row for each event and team of the game; ties lead the smaller team
         "lead_changes": Plan(
-            f"""with {_RUNNING}, led as (
+            f"""with p as (select game_id, seq, p_team, {_POINTS} as pts from <<ge>> ge), teams as (select distinct game_id, p_team as team from p where p_team is not null),
+    s as (select p.game_id, p.seq, t.team, sum(case when p.p_team = t.team then pts else 0 end) over (partition by p.game_id, t.team order by p.seq) as score from p join teams t on p.game_id = t.game_id),
+    r as (select *, row_number() over (partition by game_id, seq order by score desc, team) as place from s),
+    l as (select game_id, seq, max(case when place = 1 then team end) as leader, max(case when place = 1 then score end) - max(case when place = 2 then score end) as lead from r group by game_id, seq),
+    moved as (select *, lag(leader) over (partition by game_id order by seq) as before from l)
+    select game_id, cast(sum(case when before <> leader then 1 else 0 end) as bigint) as lead_changes, cast(coalesce(max(lead), 0) as bigint) as largest_lead from moved group by game_id""",
+            f"""with {_TWO_TEAMS}, led as (
       select *, case when score0 = score1 then t0 when score0 > score1 then 0 else 1 end as leader from points
     ), moved as (select *, lag(leader) over (partition by game_id order by seq) as before from led)
     select game_id, cast(sum(case when before is not null and before <> leader then 1 else 0 end) as bigint) as lead_changes, cast(max(abs(score0 - score1)) as bigint) as largest_lead
     from moved group by game_id""",
             covers=("W8",),
         ),
-        "event_log_recent": Plan(f"select game_id, seq, etype from (select game_id, seq, etype, {_LOGGED} as r from <<ge>> ge) x where r <= 20", covers=("F5", "O11", "W18", "T21")),
+        "event_log_recent": Plan(f"select game_id, seq, etype from (select game_id, seq, etype, {_LOGGED} as r from <<ge>> ge) x where r <= {C.recent_rows}", covers=("F5", "O11", "W18")),
         "event_log_bounded": Plan(f"select game_id, seq, etype from (select game_id, seq, etype, {_LOGGED} as r from <<ge>> ge) x where r <= {C.log_rows}", covers=("O11",)),
-        "event_log_by_type": Plan("select game_id, seq, frame_id, p_track from <<ge>> ge where etype = 'steal'", covers=("F6",)),
-        "event_log_since": Plan("select game_id, seq, etype from <<ge>> ge where frame_id >= 5000", covers=("F7",)),
+        "event_log_by_type": Plan(f"select game_id, seq, frame_id, p_track from <<ge>> ge where etype = '{C.log_type}'", covers=("F6",)),
+        "event_log_since": Plan(f"select game_id, seq, etype from <<ge>> ge where frame_id >= {C.log_since}", covers=("F7",)),
         "event_ingest": Plan(
-            """select game_id, seq, coalesce(frame_id, 0) as frame_id,
-           case when etype in ('steal', 'block', 'pass', 'assist', 'turnover', 'foul', 'score_2pt', 'score_3pt') then etype else 'unknown' end as etype,
-           p_track, nullif(p_jersey, '') as p_jersey, p_team, s_track, s_team, coalesce(is_three, false) as is_three
+            f"""select game_id, seq, coalesce(frame_id, 0) as frame_id, case when etype in ({', '.join(f"'{t}'" for t in EVENT_TYPES)}) then etype else 'unknown' end as etype,
+           p_track, coalesce(p_jersey, '') as p_jersey, p_team, s_track, s_team, coalesce(is_three, false) as is_three
     from <<ge>> ge""",
-            covers=("S14", "P17", "K16"),
+            f"""with kinds(kind) as (values {', '.join(f"('{t}')" for t in EVENT_TYPES)})
+    select game_id, seq, ifnull(frame_id, 0) as frame_id, ifnull(kind, 'unknown') as etype, p_track, ifnull(p_jersey, '') as p_jersey, p_team, s_track, s_team, is_three is true as is_three
+    from <<ge>> ge left join kinds on etype = kind""",
+            covers=("S14", "P17"),
         ),
         "game_summary": Plan(
             f"""select game_id, count(*) as events, cast(sum({_POINTS}) as bigint) as points, cast(max(seq) - min(seq) as bigint) as span, count(distinct p_track) as players,
@@ -283,10 +305,16 @@ def plans(C: EngineConfig) -> dict[str, Plan]:
     from named n join actions a on n.game_id = a.game_id and n.track = a.track group by n.game_id, n.canonical""",
             covers=("T17",),
         ),
+        # an event without a jersey gets the first one that its player is known by; what it has stays
         "jersey_enrich": Plan(
-            """with known as (select game_id, p_track, min_by(p_jersey, seq) as jersey, min_by(p_team, seq) as team from <<ge>> g where p_jersey is not null group by game_id, p_track)
-    select g.game_id, g.seq, g.s_track, coalesce(g.s_jersey, k.jersey) as s_jersey, coalesce(k.jersey, g.p_jersey) as p_jersey, k.team
-    from <<ge>> g left join known k on g.game_id = k.game_id and g.p_track = k.p_track""",
+            """with known as (select game_id, p_track, min_by(p_jersey, seq) as jersey, min_by(p_team, seq) as team from <<ge>> g where p_jersey is not null and p_jersey <> '' group by game_id, p_track)
+    select g.game_id, g.seq, g.s_track, coalesce(nullif(g.s_jersey, ''), o.jersey) as s_jersey, coalesce(nullif(g.p_jersey, ''), k.jersey) as p_jersey, k.team
+    from <<ge>> g left join known k on g.game_id = k.game_id and g.p_track = k.p_track left join known o on g.game_id = o.game_id and g.s_track = o.p_track""",
+            """with named as (select *, row_number() over (partition by game_id, p_track order by seq) as r from <<ge>> g where length(p_jersey) > 0)
+    select g.game_id, g.seq, g.s_track, case when length(g.s_jersey) > 0 then g.s_jersey else (select n.p_jersey from named n where n.r = 1 and n.game_id = g.game_id and n.p_track = g.s_track) end as s_jersey,
+           case when length(g.p_jersey) > 0 then g.p_jersey else (select n.p_jersey from named n where n.r = 1 and n.game_id = g.game_id and n.p_track = g.p_track) end as p_jersey,
+           (select n.p_team from named n where n.r = 1 and n.game_id = g.game_id and n.p_track = g.p_track) as team
+    from <<ge>> g""",
             covers=("J8", "J9", "J10"),
         ),
         "live_ratio": Plan("select game_id, avg(case when is_dead then cast(0 as double) else cast(1 as double) end) as live_ratio, count(*) as frames from <<ge>> ge group by game_id", covers=("A11",)),
@@ -337,7 +365,29 @@ def plans(C: EngineConfig) -> dict[str, Plan]:
     w as (select *, LASTNN[moment] over (partition by game_id order by frame_id rows between unbounded preceding and current row) as last_moment,
             min(moment) over (partition by game_id order by frame_id rows between 1 following and unbounded following) as next_moment from m)
     select game_id, frame_id, last_moment from w where frame_id <= last_moment + {C.reel_hold} or frame_id >= next_moment - {C.reel_lead}""",
-            covers=("W17", "K11", "T24", "J14"),
+            covers=("W17",),
+        ),
+        # stretches of a reel for each selected player (ma: where the track that matches them is): from before to after every frame in
+        # which the ball, or an event, is near
+        "player_reels": Plan(
+            f"""with moments as (
+      select m.game_id, m.ref, m.frame_id from <<ma>> m join <<fr>> f on m.game_id = f.game_id and m.frame_id = f.frame_id
+      where (m.cx - f.ball_x) * (m.cx - f.ball_x) + (m.cy - f.ball_y) * (m.cy - f.ball_y) <= {C.near_ball**2}
+      union
+      select m.game_id, m.ref, m.frame_id from <<ma>> m join <<ge>> g on m.game_id = g.game_id and m.frame_id = g.frame_id
+      where 4 * ((m.cx - g.ball_x) * (m.cx - g.ball_x) + (m.cy - g.ball_y) * (m.cy - g.ball_y)) <= {9 * C.near_ball**2}
+    ), b as (select *, case when frame_id - {C.reel_lead} <= lag(frame_id) over (partition by game_id, ref order by frame_id) + {C.reel_hold} then 0 else 1 end as new from moments),
+    g as (select *, sum(new) over (partition by game_id, ref order by frame_id) as reel from b)
+    select game_id, ref, reel, greatest(0, min(frame_id) - {C.reel_lead}) as start_frame, max(frame_id) + {C.reel_hold} as end_frame, count(*) as moments from g group by game_id, ref, reel""",
+            f"""with moments as (
+      select distinct m.game_id, m.ref, m.frame_id from <<ma>> m
+      where exists (select 1 from <<fr>> f where f.game_id = m.game_id and f.frame_id = m.frame_id and sqrt(((m.cx - f.ball_x) ** 2 + (m.cy - f.ball_y) ** 2)::double) <= {C.near_ball})
+         or exists (select 1 from <<ge>> g where g.game_id = m.game_id and g.frame_id = m.frame_id and sqrt(((m.cx - g.ball_x) ** 2 + (m.cy - g.ball_y) ** 2)::double) <= 1.5 * {C.near_ball})
+    ), firsts as (
+      select game_id, ref, frame_id from moments a where not exists (select 1 from moments b where b.game_id = a.game_id and b.ref = a.ref and b.frame_id < a.frame_id and b.frame_id >= a.frame_id - {C.reel_lead + C.reel_hold})
+    ), named as (select m.*, (select count(*) from firsts f where f.game_id = m.game_id and f.ref = m.ref and f.frame_id <= m.frame_id) as reel from moments m)
+    select game_id, ref, reel, greatest(0, min(frame_id) - {C.reel_lead}) as start_frame, max(frame_id) + {C.reel_hold} as end_frame, count(*) as moments from named group by game_id, ref, reel""",
+            covers=("J14", "K11", "T24"),
         ),
         "game_clock": Plan(
             f"""with l as (select game_id, seq, sum(case when is_dead then 0 else 1 end) over (partition by game_id order by seq) as live from <<ge>> ge)
@@ -345,8 +395,8 @@ def plans(C: EngineConfig) -> dict[str, Plan]:
            concat(lpad(cast((live % {PERIOD}) // {int(C.fps) * 60} as STR), 2, '0'), ':', lpad(cast((live % {PERIOD}) // {int(C.fps)} % 60 as STR), 2, '0')) as shown from l""",
             covers=("W14", "P23"),
         ),
-        "str_clean": Plan("select distinct p_track, regexp_replace(concat(etype, '/', cast(p_track as STR), ' #'), '[^0-9A-Za-z_-]', '_') as clean from <<ge>> ge".replace("'[^0-9A-Za-z_-]', '_')", "'[^0-9A-Za-z_-]', '_'GLOBAL)"), covers=("P22", "P26")),
-        "job_lookup": Plan("select o_orderkey as job_id, o_orderstatus as status, o_orderdate as created_at from <<jobs>> j where o_orderkey = 1234", covers=("S12", "F22", "M21")),
+        "str_clean": Plan("select distinct p_track, regexp_replace(concat(etype, '/', cast(p_track as STR), ' #'), '[^0-9A-Za-z_-]', '_') as clean from <<ge>> ge".replace("'[^0-9A-Za-z_-]', '_')", "'[^0-9A-Za-z_-]', '_'GLOBAL)"), covers=("P22",)),
+        "job_lookup": Plan(f"select o_orderkey as job_id, o_orderstatus as status, o_orderdate as created_at from <<jobs>> j where o_orderkey = {C.job_id}", covers=("S12",)),
         "next_job": Plan(
             """select job_id, status from (select o_orderkey as job_id, o_orderstatus as status, row_number() over (order by case o_orderstatus when 'O' then 0 else 1 end, o_orderdate, o_orderkey) as r
     from <<jobs>> j where o_orderstatus in ('O', 'P')) x where r = 1""",
@@ -360,8 +410,8 @@ def plans(C: EngineConfig) -> dict[str, Plan]:
         ),
         "event_stream": Plan(
             f"""with {SCORED}, {_RUNNING}
-    select s.game_id, s.seq, s.etype, s.score, cast(p.score0 as bigint) as score0, cast(p.score1 as bigint) as score1 from scored s join points p on s.game_id = p.game_id and s.seq = p.seq""",
-            covers=("T21", "T22"),
+    select s.game_id, s.seq, s.etype, s.score, cast(p.team_score as bigint) as team_score, cast(p.all_points as bigint) as all_points from scored s join points p on s.game_id = p.game_id and s.seq = p.seq""",
+            covers=("T22",),
         ),
     }
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from rimflow.config import COURT_POLYGON, DEFAULT, ZONES
+
 ETYPES = (
     "score_2pt", "score_3pt", "free_throw_made", "free_throw_miss", "shot_attempt", "shot_miss", "rebound_off", "rebound_def",
     "steal", "turnover", "assist", "pass", "block", "foul", "fast_break",
@@ -35,24 +37,30 @@ select event_id {div} 500 as game_id, event_id as frame_id,
 from ({source})
 """
 _DETECTIONS = """
-select l_orderkey as frame_id, l_partkey as k1, l_suppkey as k2, l_linenumber as k3,
+select l_orderkey {div} 500 as game_id, l_orderkey as frame_id, l_partkey as k1, l_suppkey as k2, l_linenumber as k3,
        case l_linenumber % 3 when 0 then 'ball' when 1 then 'player' else 'rim' end as class_name, cast(l_linenumber % 3 as int) as class_id,
        cast(round(l_discount * 100) as int) * 10 as conf,
        cast(l_partkey % 1200 as int) as x1, cast((l_suppkey * 7) % 600 as int) as y1,
        cast(l_partkey % 1200 + 20 + l_quantity as int) as x2, cast((l_suppkey * 7) % 600 + 40 + 2 * l_quantity as int) as y2
 from ({source})
 """
+#: Tracks follow the detections with odd line numbers, a few pixels off, as filtered positions are.
 _TRACKS = """
-select frame_id, k2 % 4 + 1 as track_id, cast((x1 + x2) {div} 2 as int) as cx, cast((y1 + y2) {div} 2 as int) as cy, x1, y1, x2, y2,
+select game_id, frame_id, k2 % 4 + 1 as track_id, cast((x1 + x2) {div} 2 as int) as cx, cast((y1 + y2) {div} 2 as int) as cy, x1, y1, x2, y2,
        cast(k2 % 2 as int) as team_id, case when k1 % 3 = 0 then null else cast(k1 % 15 as {string}) end as jersey
-from ({source}) d where k3 % 2 = 1
+from (select game_id, frame_id, k1, k2, cast(x1 + k1 % 31 - 15 as int) as x1, cast(y1 + k2 % 23 - 11 as int) as y1, cast(x2 + k1 % 31 - 15 as int) as x2, cast(y2 + k2 % 23 - 11 as int) as y2
+      from ({source}) d0 where k3 % 2 = 1) d
 """
 
 _READINGS = """
-select frame_id, k1 % 40 as track, cast(case when k2 % 4 = 0 then k3 % 2 else k1 % 2 end as {string}) as number, concat('#', cast(k2 * 7 as {string})) as text, conf, k1 * 10000 + k2 * 10 + k3 as o from ({source}) d
+select game_id, frame_id, k1 % 40 as track, cast(case when k2 % 4 = 0 then k3 % 2 else k1 % 2 end as {string}) as number, concat('#', cast(k2 * 7 as {string})) as text, conf, k1 * 10000 + k2 * 10 + k3 as o from ({source}) d
 """
 _RIMS = """
-select k2 % 50 as game_id, frame_id * 100000000 + k1 * 10000 + k2 * 10 + k3 as o, x1, y1, x2, y2 from ({source}) d where class_name = 'rim'
+select game_id, frame_id, frame_id * 100000000 + k1 * 10000 + k2 * 10 + k3 as o, conf, x1, y1, x2, y2 from ({source}) d where class_name = 'rim'
+"""
+_HOOPS = """
+select game_id, side, x, y, radius from (select distinct event_id {div} 500 as game_id from {source}) g
+     cross join (values ('left', 480, 180, 25), ('right', 1180, 190, 25)) as h(side, x, y, radius)
 """
 
 
@@ -90,6 +98,33 @@ def rims_sql(lineitem: str = "lineitem", duck: bool = True) -> str:
     return _sql(_RIMS, duck, source=detections_sql(lineitem, duck))
 
 
+def hoops_sql(events: str = "events", duck: bool = True) -> str:
+    return _sql(_HOOPS, duck, source=events)
+
+
+def matched_sql(lineitem: str = "lineitem", duck: bool = True) -> str:
+    return f"select game_id, frame_id, track_id as ref, cx, cy from ({tracks_sql(lineitem, duck)}) m"
+
+
+def candidates_sql(embeddings: str = "embeddings", duck: bool = True) -> str:
+    return f"select vec_id % 4 as game_id, vec_id, embedding from {embeddings} where vec_id >= 32"
+
+
+def selected_sql(embeddings: str = "embeddings", duck: bool = True) -> str:
+    return f"select vec_id % 4 as game_id, vec_id, embedding from {embeddings} where vec_id < 32"
+
+
+def zones_sql(zones: dict = ZONES, width: int = DEFAULT.frame_width, height: int = DEFAULT.frame_height) -> str:
+    """The zones of a frame as a table (k, name, x1, y1, x2, y2); k is their order of precedence."""
+    rows = ", ".join(f"({k}, '{name}', {int(a * width)}, {int(b * height)}, {int(c * width)}, {int(d * height)})" for k, (name, (a, b, c, d)) in enumerate(zones.items()))
+    return f"select * from (values {rows}) as v(k, name, x1, y1, x2, y2)"
+
+
+def polygon_sql(points: tuple = COURT_POLYGON) -> str:
+    """The vertices of a polygon as a table (k, x, y)."""
+    return "select * from (values " + ", ".join(f"({k}, {x}, {y})" for k, (x, y) in enumerate(points)) + ") as v(k, x, y)"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -120,3 +155,19 @@ def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def rims(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _view(spark, sf_dir, "lineitem", rims_sql)
+
+
+def hoops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _view(spark, sf_dir, "events", hoops_sql)
+
+
+def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _view(spark, sf_dir, "embeddings", candidates_sql)
+
+
+def selected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _view(spark, sf_dir, "embeddings", selected_sql)
+
+
+def matched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _view(spark, sf_dir, "lineitem", matched_sql)

@@ -6,6 +6,7 @@ state for each game. Sinks go through foreachBatch, so a callback sees ordinary
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -64,11 +65,25 @@ def live_possession(contacts: DataFrame) -> DataFrame:
     )
 
 
-def to_callbacks(events: DataFrame, callbacks: dict[str, Callable[[DataFrame], None]], checkpoint: str):
-    """Starts a query that hands each micro-batch's rows of an event type to the callback of that name."""
+def live_clips(marks: DataFrame, gap: str = "1 second", late: str = "20 seconds") -> DataFrame:
+    """Clips of a live game: marks (game_id, ts, etype) no further apart than gap are one session, which is given out once the watermark has passed it."""
+    sessions = marks.withWatermark("ts", late).groupBy("game_id", F.session_window("ts", gap).alias("w"))
+    return sessions.agg(F.count("*").alias("marks"), F.sort_array(F.collect_set("etype")).alias("etypes")).select("game_id", "w.start", "w.end", "marks", "etypes")
+
+
+def to_callbacks(events: DataFrame, callbacks: dict[str, Callable[[DataFrame], None]], checkpoint: str, on_error: Callable[[str, Exception], None] | None = None):
+    """Starts a query that hands each micro-batch's rows of an event type to the callback of that name.
+
+    A callback that fails does not keep the others from their rows nor stop the query: its error goes to on_error, or to the log.
+    """
 
     def sink(batch: DataFrame, _epoch: int) -> None:
+        batch.persist()
         for etype, call in callbacks.items():
-            call(batch.where(F.col("etype") == etype))
+            try:
+                call(batch.where(F.col("etype") == etype))
+            except Exception as error:  # whatever a callback raises is its own affair
+                (on_error or (lambda name, e: logging.getLogger(__name__).warning("callback %s failed: %s", name, e)))(etype, error)
+        batch.unpersist()
 
     return events.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).start()

@@ -16,7 +16,7 @@ from rimflow.streaming.live import live_possession, live_scores, possession_step
 
 EVENT = "game_id long, seq long, frame_id long, etype string, p_track long, p_jersey string, p_team int, s_track long, s_jersey string, s_team int, ball_x int, ball_y int, zone string, is_three boolean, is_dead boolean"
 FRAME = "game_id long, frame_id long, ball_x int, ball_y int, rim_x int, rim_y int, conf double, scored boolean"
-TRACK = "frame_id long, track_id long, cx int, cy int, x1 int, y1 int, x2 int, y2 int, team_id int, jersey string"
+TRACK = "game_id long, frame_id long, track_id long, cx int, cy int, x1 int, y1 int, x2 int, y2 int, team_id int, jersey string"
 
 
 def event(seq, etype, track=1, team=0, jersey=None, zone=None, s_track=None, s_team=None, three=False):
@@ -55,8 +55,8 @@ def test_momentum_decays_both_teams_and_rounds_the_actor(spark):
     a, b = a * 0.92, round(b * 0.92 + 2.5, 3)
     a, b = round(a * 0.92 + 2.0, 3), b * 0.92
     a, b = a * 0.92, round(b * 0.92 - 0.5, 3)
-    row = e.momentum().first()
-    assert row["momentum0"] == pytest.approx(a, abs=1e-12) and row["momentum1"] == pytest.approx(b, abs=1e-12)
+    got = {r["team"]: r["momentum"] for r in e.momentum().collect()}
+    assert got == {0: pytest.approx(a, abs=1e-12), 1: pytest.approx(b, abs=1e-12)}
 
 
 def test_one_player_of_two_tracks_is_merged(spark):
@@ -83,7 +83,7 @@ def test_possession_as_islands_equals_the_state_machine(spark):
         frames.append((1, f, 300, 300, 640, 180, 0.9, False))
         for t in (1, 2):
             x = 310 if t == where else 1000
-            tracks.append((f, t, x, 300, x - 5, 290, x + 5, 310, t % 2, None))
+            tracks.append((1, f, t, x, 300, x - 5, 290, x + 5, 310, t % 2, None))
     got = {r["frame_id"]: r["holder"] for r in engine(spark, frames=frames, tracks=tracks, possession_loss_frames=4).possession().collect()}
     assert got == reference_possession(range(300), near, config)
 
@@ -216,4 +216,238 @@ def test_scans_claim_only_what_they_read():
     from rimflow.plans import registry
 
     claimed = {c for plan in registry.plans(DEFAULT).values() for c in plan.covers}
-    assert {"S3", "S4", "S5"} <= claimed and not {"S1", "S2", "S6"} & claimed
+    assert {"S3", "S4", "S5", "S6"} <= claimed and not {"S1", "S2"} & claimed
+
+
+DETECTION = "game_id long, frame_id long, k1 long, k2 long, k3 int, class_name string, class_id int, conf int, x1 int, y1 int, x2 int, y2 int"
+
+
+def box(game, frame, track, x, y, team=0, jersey=None):
+    return (game, frame, track, x, y, x - 20, y - 40, x + 20, y + 40, team, jersey)
+
+
+def found(game, frame, k, x, y, name="player"):
+    return (game, frame, k, 0, 0, name, 1, 90, x - 20, y - 40, x + 20, y + 40)
+
+
+def test_two_games_with_the_same_frames_and_tracks_do_not_mix(spark):
+    """Game 2 has a ball in the same frames and tracks of the same numbers far from it."""
+    frames = [(g, f, 300, 300, 640, 180, 0.9, False) for g in (1, 2, 3) for f in range(1, 7)]
+    tracks = [box(1, f, t, 300 + 40 * t, 300, t) for f in range(1, 7) for t in (1, 2)] + [box(2, f, t, 1100 + 40 * t, 600, 1 - t % 2) for f in range(1, 7) for t in (1, 2)]
+    dets = [found(1, f, 7, 341, 301) for f in range(1, 7)] + [found(2, f, 8, 1141, 601) for f in range(1, 7)]
+    e = Engine(spark, fr=spark.createDataFrame(frames, FRAME), tr=spark.createDataFrame(tracks, TRACK), de=spark.createDataFrame(dets, DETECTION))
+    near = {(r["game_id"], r["frame_id"]): (r["track_id"], r["dist"]) for r in e.nearest_player().collect()}
+    assert near == {(1, f): (1, 40.0) for f in range(1, 7)} | {(2, f): (1, pytest.approx(((1140 - 300) ** 2 + 300**2) ** 0.5)) for f in range(1, 7)}
+    holders = {(r["game_id"], r["holder"]) for r in e.possession().where("frame_id >= 2").collect()}
+    assert holders == {(1, 1), (2, None), (3, None)}
+    assert {(r["game_id"], r["track_id"], r["k1"]) for r in e.iou_pairs().where("iou > 0.9").collect()} == {(1, 1, 7), (2, 1, 8)}
+    for name in ("assign_greedy", "band_join"):
+        assert sorted((r["game_id"], r["tkey"].split("-")[0], r["dkey"]) for r in getattr(e, name)().where("frame_id = 1").collect()) == [(1, "1", "7-0-0"), (2, "1", "8-0-0")]
+    assert e.nms().count() == 12 and {(r["game_id"], r["track_id"]): r["team_id"] for r in e.team_vote().collect()} == {(1, 1): 1, (1, 2): 2, (2, 1): 0, (2, 2): 1}
+    assert {(r["game_id"], r["track_id"], r["appearances"]) for r in e.scan_players().collect()} == {(g, t, 6) for g in (1, 2) for t in (1, 2)}
+
+
+def test_write_back_gives_a_detection_to_one_track(spark):
+    tracks = [box(1, 1, 1, 100, 100), box(1, 1, 2, 105, 100), box(1, 1, 3, 500, 500)]
+    dets = [found(1, 1, 1, 110, 105), found(1, 1, 2, 520, 500), found(1, 1, 3, 101, 100)]
+    e = Engine(spark, tr=spark.createDataFrame(tracks, TRACK), de=spark.createDataFrame(dets, DETECTION))
+    # the first free detection within 20 px, not the nearest; 20 px off is too far
+    assert sorted((r["tkey"].split("-")[0], r["dkey"]) for r in e.band_join().collect()) == [("1", "1-0-0"), ("2", "3-0-0")]
+
+
+def test_every_event_type_is_taken_in(spark):
+    from rimflow.config import EVENT_TYPES
+
+    e = engine(spark, [event(i, t, jersey="" if i == 1 else None) for i, t in enumerate((*EVENT_TYPES, "nonsense"))])
+    assert [r["etype"] for r in e.event_ingest().orderBy("seq").collect()] == [*EVENT_TYPES, "unknown"]
+
+
+def test_jerseys_fill_only_what_is_empty(spark):
+    e = engine(spark, [event(1, "pass", 1, jersey="23"), event(2, "pass", 1, jersey="7"), event(3, "steal", 2, s_track=1), event(4, "pass", 1, jersey=""), event(5, "pass", 3, s_track=2)])
+    got = {r["seq"]: (r["p_jersey"], r["s_jersey"]) for r in e.jersey_enrich().collect()}
+    assert got == {1: ("23", None), 2: ("7", None), 3: (None, "23"), 4: ("23", None), 5: (None, None)}
+
+
+def test_appearance_finds_the_nearest_candidate_of_each_selected_player(spark):
+    schema = "game_id long, vec_id long, embedding array<float>"
+    sel = spark.createDataFrame([(1, 1, [1.0, 2.0, 3.0, 4.0]), (1, 2, [4.0, 3.0, 2.0, 9.0]), (2, 3, [1.0, 2.0, 3.0, 4.0])], schema)
+    vec = spark.createDataFrame([(1, 10, [2.0, 4.0, 6.0, 8.5]), (1, 11, [1.0, 2.0, 3.0, 4.0]), (1, 12, [4.0, 3.0, 2.0, 1.0]), (2, 13, [4.0, 3.0, 2.0, 1.0])], schema)
+    e = Engine(spark, sel=sel, vec=vec)
+    assert {(r["game_id"], r["ref"]): r["vec_id"] for r in e.appearance_match().collect() if r["ref"] != 2} == {(1, 1): 11}
+    assert {r["vec_id"]: r["ref"] for r in e.appearance_classify().where("game_id = 1").collect()}[11] == 1
+
+
+def test_rims_take_the_surest_of_a_frame_and_mirror_with_ten(spark):
+    schema = "game_id long, frame_id long, o long, conf int, x1 int, y1 int, x2 int, y2 int"
+    rows = [(1, f, 2 * f, 90, 100 + f, 50, 141 + f, 80) for f in range(12)] + [(1, f, 2 * f + 1, 10, 900, 600, 940, 640) for f in range(3)]
+    rows += [(2, f, f, 90, 100, 50, 140, 80) for f in range(9)] + [(2, 20 + f, 20 + f, 90, 900, 50, 940, 80) for f in range(12)]
+    e = Engine(spark, ri=spark.createDataFrame(rows + [(1, 30 + f, 100 + f, 5, 100, 50, 141, 80) for f in range(6)], schema))
+    got = {r["frame_id"]: (r["x1"], r["x2"], r["y2"]) for r in e.rim_median().where("game_id = 1").collect()}
+    assert min(got) == 4 and got[4] == (102.0, 143.0, 80.0) and got[11] == (106.5, 147.5, 80.0)
+    fixed = {r["game_id"]: tuple(r)[1:] for r in e.auto_calibration().collect()}
+    # game 1: 18 rims on the left, 3 on the right: mirrored; centres are cut to whole pixels
+    assert fixed == {1: (123, 65, 1280 - 123, 65), 2: (120, 65, 920, 65)}
+
+
+def test_kinematics_are_in_degrees_and_mean_speeds(spark):
+    xs = [0, 3, 6, 6, 6, 30, 33]
+    frames = [(1, i, x, x * 4 // 3 if i < 3 else 8, 640, 180, 0.9, False) for i, x in enumerate(xs)]
+    got = {r["frame_id"]: r for r in engine(spark, frames=frames).ball_kinematics().collect()}
+    assert got[1]["angle"] == pytest.approx(53.130102) and got[1]["speed"] == 5.0 and got[5]["angle"] == 0
+    assert got[6]["speed5"] == pytest.approx((5 + 0 + 0 + 24 + 3) / 5) and (got[6]["next_x"], got[6]["moved3"]) == (36, 27.0)
+
+
+def shot_frames():
+    """A shot that rises, a deflection near the rim, a score; then the same deflection without a shot."""
+    path = [(500, 400), (510, 380), (520, 350), (530, 320), (540, 290), (560, 285), (600, 150), (640, 170), (640, 190), (640, 230), (600, 150)]
+    return [(1, i, x, y, 640, 180, 0.9, False) for i, (x, y) in enumerate(path)]
+
+
+def test_blocks_need_a_shot_and_name_the_blocker(spark):
+    tracks = [box(1, f, 4, 500 + 10 * f, 400, 0) for f in range(11)] + [box(1, f, 5, 620, 160, 1) for f in range(4, 11)]
+    e = engine(spark, frames=shot_frames(), tracks=tracks, possession_radius=60, block_cooldown=2, rise_speed=10.0)
+    shots = [r["frame_id"] for r in e.shot_attempts().collect()]
+    scores = [r["frame_id"] for r in e.cooldown().collect()]
+    blocks = [(r["frame_id"], r["blocker"]) for r in e.blocks().orderBy("frame_id").collect()]
+    assert scores == [8] and shots and all(shots[0] <= f <= 8 and b == 5 for f, b in blocks) and blocks
+    kinds = {(r["frame_id"], r["etype"]): r["track"] for r in e.frame_events().collect()}
+    assert {k for _, k in kinds} >= {"shot_attempt", "block"} and any(f == 8 and k.startswith("score") for f, k in kinds)
+    assert all(kinds[f, "block"] == b for f, b in blocks)
+
+
+def reference_hoops(frames, left, right, dwell=3, pause=30):
+    prev, cool, inside, out = None, 0, [0, 0], []
+    for f, ball in frames:
+        if cool:
+            cool -= 1
+        elif ball is not None:
+            for k, (name, (hx, hy, r)) in enumerate((("left", left), ("right", right))):
+                falls = prev is not None and prev[1] < ball[1]
+                if falls and prev[1] <= hy <= ball[1] + 10 and abs(ball[0] - hx) <= 0.8 * r:
+                    out.append((f, name, "trajectory"))
+                    cool = pause
+                    break
+                inside[k] = inside[k] + 1 if (ball[0] - hx) ** 2 + (ball[1] - hy) ** 2 <= r * r else 0
+                if inside[k] >= dwell and falls:
+                    out.append((f, name, "dwell"))
+                    cool, inside[k] = pause, 0
+                    break
+        prev = ball
+    return out
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_hoop_entries_equal_the_state_machine(spark, seed):
+    rng = random.Random(seed)
+    left, right = (200, 200, 30), (260, 200, 30)
+    rows, y = [], 150
+    for f in range(400):
+        y = max(120, min(280, y + rng.choice([-25, -6, 4, 8, 25])))
+        rows.append((f, None if rng.random() < 0.05 else (rng.choice([180, 195, 205, 230, 255, 265, 290]), y)))
+    frames = [(1, f, *(b or (None, None)), 640, 180, 0.9, False) for f, b in rows]
+    ho = spark.createDataFrame([(1, "left", *left), (1, "right", *right)], "game_id long, side string, x int, y int, radius int")
+    e = Engine(spark, EngineConfig(hoop_cooldown=7), fr=spark.createDataFrame(frames, FRAME), ho=ho)
+    assert sorted(tuple(r)[1:] for r in e.hoop_entry().collect()) == reference_hoops(rows, left, right, pause=7)
+
+
+def test_passes_between_players_of_unknown_teams(spark):
+    frames = [(1, f, 300 if f < 22 else 700, 300, 640, 180, 0.9, False) for f in range(40)]
+    tracks = [box(1, f, 1, 300, 300, None) for f in range(5)] + [box(1, f, 2, 700, 300, None) for f in range(25, 40)]
+    got = [(r["sender"], r["receiver"]) for r in engine(spark, frames=frames, tracks=tracks, possession_radius=50).passes().collect()]
+    assert got == [(1, 2)]
+
+
+def test_three_teams(spark):
+    e = engine(spark, [event(1, "score_2pt", 1, 5), event(2, "score_3pt", 2, 8), event(3, "score_2pt", 3, 9), event(4, "score_3pt", 3, 9)])
+    row = e.lead_changes().first()
+    assert (row["lead_changes"], row["largest_lead"]) == (2, 2)
+    assert {r["seq"]: r["team_score"] for r in e.score_history().collect()} == {1: 2, 2: 3, 3: 2, 4: 5}
+    assert {r["team"]: r["momentum"] for r in e.momentum().collect()}[9] == pytest.approx(round(2 * 0.92 + 3, 3))
+
+
+def test_cooldown_equals_a_loop_on_dense_rows(spark):
+    rng = random.Random(1)
+    ys = [rng.choice([170, 190]) for _ in range(500)]
+    frames = [(g, i, 640, y, 640, 180, 0.9, False) for g in (1, 2) for i, y in enumerate(ys)]
+    want, last = [], -100
+    for i in range(1, 500):
+        if ys[i - 1] == 170 and ys[i] == 190 and i - last >= 9:
+            want.append(i)
+            last = i
+    assert sorted((r["game_id"], r["frame_id"]) for r in engine(spark, frames=frames, score_cooldown=9).cooldown().collect()) == [(g, i) for g in (1, 2) for i in want]
+
+
+def test_queries_with_arguments(spark):
+    e = engine(spark, [event(1, "steal", 1, 0), event(2, "score_2pt", 2, 1), event(3, "steal", 2, 1), event(4, "score_3pt", 1, 0), event(5, "score_2pt", 3, 1)])
+    assert [r["seq"] for r in e.events(etype="steal").orderBy("seq").collect()] == [1, 3]
+    assert [r["seq"] for r in e.events(since_frame=3).orderBy("seq").collect()] == [3, 4, 5]
+    assert [r["seq"] for r in e.events(recent=2).orderBy("seq").collect()] == [4, 5]
+    assert {r["player"] for r in e.box(team=1).collect()} == {"2", "3"} and e.player(1).first()["points"] == 3
+    assert [r["track"] for r in e.top("points", 2).orderBy("place").collect()] == [1, 2] and e.top("steals", team=1).first()["track"] == 2
+    assert e.moments(1).first()["etype"] == "score_3pt" and e.shots(track=3).count() == 1
+
+
+def test_user_zones_polygons_and_calibrations(spark, tmp_path):
+    from rimflow.sources import calibration
+
+    zones = spark.createDataFrame([(0, "big", 0, 0, 100, 100), (1, "small", 40, 40, 60, 60)], "k int, name string, x1 int, y1 int, x2 int, y2 int")
+    corners = spark.createDataFrame([(0, 0, 0), (1, 100, 0), (2, 0, 100)], "k int, x int, y int")
+    e = Engine(spark, tr=spark.createDataFrame([box(1, 1, 1, 50, 50), box(1, 1, 2, 20, 70), box(1, 1, 3, 80, 70)], TRACK), zo=zones, po=corners)
+    assert {r["track_id"]: r["zone"] for r in e.zone_lookup().collect()} == {1: "small", 2: "big", 3: "big"}
+    assert {r["track_id"]: r["inside"] for r in e.point_in_poly().collect()}[2] and not {r["track_id"]: r["inside"] for r in e.point_in_poly().collect()}[3]
+    centres = spark.createDataFrame([(1, 100, 200, 1100, 210)], "game_id long, left_x int, left_y int, right_x int, right_y int")
+    calibration.save(calibration.calibrations(centres), str(tmp_path / "cal"))
+    assert sorted(map(tuple, calibration.load(spark, str(tmp_path / "cal")).collect())) == [(1, "left", 100, 200, 35), (1, "right", 1100, 210, 35)]
+    assert sorted(map(tuple, calibration.hoops(centres).collect())) == [(1, "left", 100, 200, 35), (1, "right", 1100, 210, 35)]
+
+
+def test_store_puts_updates_and_reads(spark, tmp_path):
+    from rimflow.sources.store import JsonStore
+
+    store = JsonStore(spark, str(tmp_path / "kv"))
+    assert store.get("a") is None and store.all().count() == 0
+    store.put(spark.createDataFrame([("a", '{"x": 1}'), ("b", "{}")], "key string, value string"))
+    store.update("a", y=2)
+    assert store.get("a") == '{"x": 1, "y": 2}' and store.get("b") == "{}" and store.all().count() == 2
+
+
+def test_callbacks_are_called_apart_from_failing_ones(spark, tmp_path):
+    from rimflow.streaming.live import to_callbacks
+
+    events = spark.createDataFrame([event(1, "steal"), event(2, "pass"), event(3, "steal")], EVENT)
+    events.write.parquet(str(tmp_path / "ev"))
+    seen, errors = [], []
+
+    def fails(_df):
+        raise ValueError("no")
+
+    query = to_callbacks(
+        spark.readStream.schema(events.schema).parquet(str(tmp_path / "ev")), {"pass": fails, "steal": lambda df: seen.extend(r["seq"] for r in df.collect())},
+        str(tmp_path / "cp"), lambda name, error: errors.append(name),
+    )
+    query.processAllAvailable()
+    query.stop()
+    assert sorted(seen) == [1, 3] and errors == ["pass"]
+
+
+def test_live_clips_close_with_the_watermark(spark, tmp_path):
+    from rimflow.streaming.live import live_clips
+
+    marks = spark.createDataFrame([(1, t, "steal") for t in (0, 1, 2, 60, 200)], "game_id long, t long, etype string").selectExpr("game_id", "timestamp_seconds(t) as ts", "etype")
+    assert sorted((r["marks"]) for r in live_clips(marks, "5 seconds").collect()) == [1, 1, 3]
+
+
+def test_export_json(spark, tmp_path):
+    e = engine(spark, [event(1, "score_2pt", 1)])
+    e.export_json(e.box_score(), str(tmp_path / "box"))
+    e.export_json(e.box_score(), str(tmp_path / "box"))
+    assert spark.read.json(str(tmp_path / "box")).first()["points"] == 2
+
+
+def test_a_lost_track_ends_with_the_thirtieth_miss():
+    rows = [(1, f, 0, 0, 0, 50, 100, 100, 140, 190) for f in range(5)] + [(1, f, 1, 0, 0, 50, 900, 500, 940, 590) for f in range(5, 60)]
+    gone = lambda back: rows + [(1, back, 0, 0, 0, 50, 100, 100, 140, 190)]
+    for back, same in ((4 + 30, True), (4 + 31, False)):
+        game = pd.DataFrame(gone(back), columns=["game_id", "frame_id", "k1", "k2", "k3", "conf", "x1", "y1", "x2", "y2"])
+        out = track_game(game)
+        assert (out[(out["frame_id"] == back) & (out["x1"] == 100)]["track_id"].iloc[0] == 1) == same, back
