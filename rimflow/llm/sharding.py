@@ -7,19 +7,23 @@ the leaves reach the target bytes; the leaves are the shards. A node for an odd
 The medians are found by distributed histograms: all nodes of a level at once, the range of each node is
 cut into BINS intervals, their weights are summed, and the interval that holds the median is cut again until it weighs at
 most TOLERANCE of a leaf or cannot be cut. To the driver come the histograms of the nodes of one level, whose
-size is bounded by leaves * BINS, never rows.
+size is bounded by leaves * BINS, never rows; the tree is one expression. So a call makes MAX_LEAVES leaves at most, and more shards are
+had by sharding each shard again.
 
-Points are ordered within a dimension by (value, hash of the text), so documents of equal text stay together, with the
-metadata of the group's smallest doc_id. A group heavier than TOLERANCE of a leaf is cut by hashes of its doc_ids into parts
-of about that size, so that no hot group makes the shards uneven.
+Documents of equal text are a group and stay in one shard. Points are ordered within a dimension by (value, hash of the text), so
+groups that weigh little are never cut by the tree. Those heavier than TOLERANCE of a leaf (at most leaves / TOLERANCE of them) are
+placed before it: the heaviest first, each into the leaf that has most room, and the tree then fills what room the leaves have
+left. Only a group that no leaf has room for is cut, by hashes of its doc_ids, and fills leaf after leaf; so no hot
+group makes the shards uneven.
 
 Defined results: null texts have size 1 and the crc of the empty text, and are a group with the empty texts; null metadata
-is its own value; repeated rows (equal doc_id and text) each get a row and a slot; an empty table gives an empty result;
-further columns are ignored.
+is its own value; repeated rows (equal doc_id and text) each get a row and a slot, and are never parted; texts of any length are
+measured whole; doc_ids are cast to long; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
 
+import heapq
 import math
 
 from pyspark.sql import DataFrame, SparkSession
@@ -34,10 +38,39 @@ SLOT_ROWS = 20_000
 FILE_ROWS = 20_000
 DIMS = ("d_size", "d_lang", "d_source", "d_doc")
 _TIE = 1 << 20
-
-
-def points(docs: DataFrame, leaf_bytes: float | None, leaves: int | None) -> tuple[DataFrame, int, int]:
-    """doc_id, size, text_crc32, part and the dimensions of every document; the bytes of all; the number of leaves."""
+MAX_LEAVES = 4096
+#: A group that must be cut is cut at hashes of its doc_ids.
+CUTS = 1 << 20
+
+
+def heavy_places(weights: list[tuple], total: int, leaves: int) -> tuple[list[list[tuple]], list[int]]:
+    """For each of the groups (weight, key), heaviest first: its leaves as (leaf, upper bound of the hashes that go there); and the room left in each leaf.
+
+    A group goes whole into the leaf with most room if it fits there, over by TOLERANCE at most; otherwise it is cut and fills leaves in that order.
+    """
+    leaf = total / leaves
+    room = [leaf] * leaves
+    heap = [(-leaf, k) for k in range(leaves)]
+    out = []
+    for weight, *_ in weights:
+        places, left = [], weight
+        while True:
+            spare, k = -heap[0][0], heap[0][1]
+            if left <= spare + TOLERANCE * leaf or len(places) == leaves - 1:
+                places.append((k, CUTS))
+                heapq.heapreplace(heap, (-(spare - left), k))
+                room[k] = spare - left
+                break
+            places.append((k, round(CUTS * (weight - left + spare) / weight)))
+            left -= spare
+            heapq.heapreplace(heap, (0.0, k))
+            room[k] = 0.0
+        out.append(places)
+    return out, [max(0.0, r) for r in room]
+
+
+def points(docs: DataFrame, leaf_bytes: float | None, leaves: int | None) -> tuple[DataFrame, DataFrame, list[float]]:
+    """The light documents (doc_id, size, text_crc32, the dimensions), the heavy ones (doc_id, size, text_crc32, shard), and the room that is left in each leaf."""
     text = F.coalesce("text", F.lit(""))
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
@@ -54,19 +87,33 @@ def points(docs: DataFrame, leaf_bytes: float | None, leaves: int | None) -> tup
     groups = stored(groups, "groups")
     total, n_rows = (x or 0 for x in groups.agg(F.sum("weight"), F.sum("n")).first())
     n = leaves or max(1, math.ceil(total / leaf_bytes))
-    most = max(1.0, TOLERANCE * total / n)
-    dims = groups.select("group", "d_size", "first.d_lang", "first.d_source", F.col("first.doc_id").alias("d_doc"), F.ceil(F.col("weight") / most).alias("parts"))
-    joined = rows.select("doc_id", "size", "text_crc32", "group").join(dims, "group")
-    part = F.when(F.col("parts") > 1, F.pmod(F.xxhash64("doc_id"), F.col("parts"))).otherwise(0)
-    tie = F.pmod(F.xxhash64("group", part), F.lit(_TIE))
+    if n > MAX_LEAVES:
+        raise ValueError(f"{n} leaves: at most {MAX_LEAVES} are made at once; shard coarsely first and each shard again")
+    heavy = groups.where(F.col("n") > 1).where(F.col("weight") > TOLERANCE * total / n)
+    found = sorted(((r["weight"], tuple(r["group"])) for r in heavy.select("weight", "group").collect()), reverse=True)  # at most n / TOLERANCE
+    places, room = heavy_places(found, total, n)
+    spark = docs.sparkSession
+    table_ = spark.createDataFrame([(*key, p) for (_, key), p in zip(found, places, strict=True)], "a long, b long, n int, places array<struct<shard: int, upto: long>>")
+    keyed = rows.withColumns({"a": F.col("group.a"), "b": F.col("group.b"), "n": F.col("group.n")}).join(F.broadcast(table_), ["a", "b", "n"], "left")
+    at = F.pmod(F.xxhash64("doc_id"), F.lit(CUTS))
+    shard = F.get(F.filter("places", lambda p: p["upto"] > at), 0)["shard"]
+    placed = stored(keyed.select("doc_id", "size", "text_crc32", "group", shard.alias("shard")), "placed") if found else rows.withColumn("shard", F.lit(None).cast("int"))
+    dims = groups.select("group", "d_size", "first.d_lang", "first.d_source", F.col("first.doc_id").alias("d_doc"))
+    joined = placed.where("shard is null").select("doc_id", "size", "text_crc32", "group").join(dims, "group")
+    tie = F.pmod(F.xxhash64("group"), F.lit(_TIE))
     keys = [(F.coalesce(d, F.lit(0)) * _TIE + tie).alias(d) for d in DIMS]
     # the table is read some twenty times: no more files than its rows are worth
-    return stored(joined.select("doc_id", "size", "text_crc32", *keys).coalesce(1 + n_rows // FILE_ROWS), "points"), total, n
+    light = stored(joined.select("doc_id", "size", "text_crc32", *keys).coalesce(1 + n_rows // FILE_ROWS), "points")
+    return light, placed.where("shard is not null").select("doc_id", "size", "text_crc32", "shard"), room
 
 
 class Node:
-    def __init__(self, first: int, leaves: int):
-        self.first, self.leaves, self.dim, self.cut, self.low, self.high = first, leaves, None, None, None, None
+    def __init__(self, first: int, room: list[float]):
+        self.first, self.room, self.dim, self.cut, self.low, self.high = first, room, None, None, None, None
+
+    @property
+    def leaves(self) -> int:
+        return len(self.room)
 
     def expression(self, depth: int = 0) -> str:
         """The shard of a point as nested conditions; a level of the tree is one comparison."""
@@ -87,7 +134,8 @@ def _split_level(pts: DataFrame, root: Node, nodes: list[Node], spread: dict[str
             n.dim, n.cut = DIMS[0], 0
             continue
         n.dim = max(DIMS, key=lambda d: ((r[f"hi_{d}"] - r[f"lo_{d}"]) / max(1, spread[d]), -DIMS.index(d)))
-        want = r["w"] * (n.leaves // 2) / n.leaves
+        low, all_ = sum(n.room[: n.leaves // 2]), sum(n.room)
+        want = r["w"] * (low / all_ if all_ else (n.leaves // 2) / n.leaves)
         search[n] = [r[f"lo_{n.dim}"], r[f"hi_{n.dim}"] + 1, want]  # the cut is in (lo, hi], and `want` of the weight from lo on is below it
     while search:
         cases = " ".join(f"when {n.first} then if({n.dim} >= {lo}L and {n.dim} < {hi}L, ({n.dim} - {lo}L) div {-(-(hi - lo) // BINS)}L, null)" for n, (lo, hi, _) in search.items())
@@ -110,22 +158,26 @@ def _split_level(pts: DataFrame, root: Node, nodes: list[Node], spread: dict[str
                 search[n] = [lo + b * width, min(hi, lo + (b + 1) * width), want - below]
     for n in nodes:
         half = n.leaves // 2
-        n.low, n.high = Node(n.first, half), Node(n.first + half, n.leaves - half)
+        n.low, n.high = Node(n.first, n.room[:half]), Node(n.first + half, n.room[half:])
     return [c for n in nodes for c in (n.low, n.high)]
 
 
+def kd_tree(pts: DataFrame, room: list[float]) -> Node:
+    """The tree over points, whose leaves get weight in proportion to their room."""
+    root = Node(0, room)
+    r = pts.agg(F.sum("size").alias("w"), *[f(d).alias(f"{k}_{d}") for d in DIMS for k, f in (("lo", F.min), ("hi", F.max))]).first()
+    spread = {d: (r[f"hi_{d}"] or 0) - (r[f"lo_{d}"] or 0) for d in DIMS}
+    level = [root]
+    while level := [x for x in level if x.leaves > 1]:
+        level = _split_level(pts, root, level, spread, (r["w"] or 0) / len(room))
+    return root
+
+
 def kd_shards(docs: DataFrame, leaf_bytes: float | None = None, leaves: int | None = None) -> DataFrame:
     """doc_id, size, text_crc32, shard and slot (gapless from 0 in each shard) of every row of docs."""
-    pts, total, n = points(docs, leaf_bytes, leaves)
-    root = Node(0, n)
-    if total:
-        r = pts.agg(*[f(d).alias(f"{k}_{d}") for d in DIMS for k, f in (("lo", F.min), ("hi", F.max))]).first()
-        spread = {d: r[f"hi_{d}"] - r[f"lo_{d}"] for d in DIMS}
-        level = [root]
-        while level := [x for x in level if x.leaves > 1]:
-            level = _split_level(pts, root, level, spread, total / n)
-    sharded = pts.select("doc_id", "size", "text_crc32", F.expr(root.expression()).cast("int").alias("shard"))
-    return _with_slots(sharded)
+    light, heavy, room = points(docs, leaf_bytes, leaves)
+    root = kd_tree(light, room)
+    return _with_slots(light.select("doc_id", "size", "text_crc32", F.expr(root.expression()).cast("int").alias("shard")).unionByName(heavy))
 
 
 def _with_slots(sharded: DataFrame) -> DataFrame:
