@@ -16,7 +16,8 @@ are cut into ranges, a window orders each range, and the first document of each
 before. Texts are shuffled once.
 
 Defined results: null texts are empty; of rows with equal doc_id the next is by text; a single document is its own next
-one; null doc_ids come last; an empty table gives an empty result; other columns are ignored.
+one; null doc_ids come last; doc_ids are cast to long; a text of any length is fingerprinted whole, in the memory of one row; all rows
+of one repeated doc_id (or of none) are one range, as doc_ids are taken to be unique; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,6 +32,7 @@ SHORT = 8
 #: Ranges of doc_ids that are told apart by quantiles; each is cut further by arithmetic into parts of RANGE_ROWS rows.
 QUANTILES = 200
 RANGE_ROWS = 2000
+SPAN = 4096
 
 
 def _short(digest: Column) -> Column:
@@ -104,8 +106,10 @@ def in_ranges(docs: DataFrame) -> DataFrame:
     i, o = F.coalesce("doc_id", F.lit(low)), F.col("o")
     ranged = rows.withColumn("o", outer(i)).withColumn("rng", (o * per + F.least(F.lit(per - 1), F.floor((i - F.get(table_of(0), o)) / F.get(table_of(1), o)))).cast("long")).drop("o")
     tops = ranged.groupBy("rng").agg(F.max(F.struct("doc_id", F.xxhash64("text").alias("h"))).alias("t"))
-    # one row for each range: the one before it in descending order, or the last for the first
-    tops = stored(tops, "ranges").selectExpr("rng", "t.doc_id as top_id", "coalesce(lead(rng) over (order by rng), min(rng) over ()) as to")
+    # each range's successor, or the first for the last: within SPAN ranges by a window for each span, between spans by one over the spans
+    tops = stored(tops, "ranges").selectExpr("rng", "t.doc_id as top_id", f"rng div {SPAN} as span")
+    spans = tops.groupBy("span").agg(F.min("rng").alias("head")).selectExpr("span", "coalesce(lead(head) over (order by span), min(head) over ()) as after")
+    tops = tops.withColumn("next", F.expr("lead(rng) over (partition by span order by rng)")).join(spans, "span").selectExpr("rng", "top_id", "coalesce(next, after) as to")
     near = F.broadcast(tops) if per * QUANTILES <= 1_000_000 else tops
     with_top = ranged.join(near, "rng", "left")
     copies = F.when(F.col("doc_id").eqNullSafe(F.col("top_id")), F.array(F.struct(F.col("rng"), F.lit(0).alias("halo")), F.struct(F.col("to").alias("rng"), F.lit(1).alias("halo")))).otherwise(
