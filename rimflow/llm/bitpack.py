@@ -16,7 +16,8 @@ read without those before it (`document_ids`), and a whole block is unpacked by
 The container is Parquet, so blocks are written and read by Spark wherever its file systems reach.
 
 Defined results: null and empty texts are the end id alone; repeated doc_ids stand next to one another, and count in
-`start` like different ones; null doc_ids come first; an empty table gives no block and an empty result.
+`start` like different ones; null doc_ids come first; doc_ids are cast to long; very long texts are encoded whole, in pieces that are cut
+where the tokenizer would cut; a block ends with the document that fills it, so one long document is one block; other columns are ignored; an empty table gives no block and an empty result.
 """
 
 from __future__ import annotations
@@ -338,7 +339,9 @@ def write_blocks(docs: DataFrame, to: str, path: str | None = None, end: int = E
     """Encodes every text of docs and writes the blocks, files in ascending order of doc_id."""
     path = path or tokenizer_path(TOKENIZER)
     width = width_of(max(load(path).get_vocab_size(), end + 1))
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("h", F.xxhash64("text"))
+    # a repeated doc_id may go on in the next file
+    ordered = keyed.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h").select("doc_id", "text")
     with job_settings(ordered):
         ordered.mapInArrow(_encode(path, width, end), BLOCK_SCHEMA).write.parquet(to)
 
