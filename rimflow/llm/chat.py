@@ -11,7 +11,7 @@ one more backslash after the "<", in roles every backslash and line break is wri
 no control string can come from a text and reading back (`read_back`) gives exactly what went in. With each
 conversation comes its loss mask: begin and length (in code points) of the escaped assistant texts.
 
-Defined results: null texts, roles and scores are empty strings and 0; a parent that is not there makes a root; rows that
+Defined results: null texts, roles and scores are empty strings and 0; a null tree or message id is a value like others; a parent that is not there makes a root; rows that
 repeat the whole message count once in a path; of several rows with one id the smallest (role, text) is taken;
 messages in a cycle, or below one, have no root and no conversation; an empty table gives an empty result; other columns are ignored.
 A conversation is one string, so one path must fit a row.
@@ -91,7 +91,9 @@ def conversations(messages: DataFrame) -> DataFrame:
 
     messages: tree, msg, parent, role, text, score.
     """
-    given = messages.selectExpr("tree", "msg", "parent", "coalesce(role, '') as role", "coalesce(text, '') as text", "coalesce(score, 0.0) as score")
+    # in structs a null id equals itself
+    ids = ["struct(tree as id) as tree", "struct(msg as id) as msg", "if(parent is null, null, struct(parent as id)) as parent"]
+    given = messages.selectExpr(*ids, "coalesce(role, '') as role", "coalesce(text, '') as text", "coalesce(score, 0.0) as score")
     one = given.groupBy("tree", "msg").agg(F.min(F.struct("role", "text", "score")).alias("m"))
     on_path = paths(given).join(one, ["tree", "msg"])
     turn = F.struct((-F.col("dist")).alias("at"), escaped_role(F.col("m.role")).alias("role"), escaped(F.col("m.text")).alias("text"), (F.col("m.role") == "assistant").alias("learn"))
@@ -111,21 +113,27 @@ def conversations(messages: DataFrame) -> DataFrame:
         ),
         lambda acc: acc["spans"],
     )
-    out = whole.select("tree", "leaf", "score", F.size("turns").cast("long").alias("n_turns"), F.array_join(F.transform("turns", piece), "").alias("formatted"), spans.alias("loss"))
+    out = whole.select(F.col("tree.id").alias("tree"), F.col("leaf.id").alias("leaf"), "score", F.size("turns").cast("long").alias("n_turns"), F.array_join(F.transform("turns", piece), "").alias("formatted"), spans.alias("loss"))
     return out
 
 
+def _same_leaf(a: DataFrame, b: DataFrame, how: str) -> DataFrame:
+    """a joined with b on (tree, leaf), where null equals null."""
+    b = b.withColumnsRenamed({"tree": "_tree", "leaf": "_leaf"})
+    return a.join(b, F.col("tree").eqNullSafe(F.col("_tree")) & F.col("leaf").eqNullSafe(F.col("_leaf")), how)
+
+
 def ranked(formatted: DataFrame) -> DataFrame:
     """formatted with the rank of each conversation in its tree, best score first, then the smaller leaf."""
     by_tree = "row_number() over (partition by tree order by score desc, leaf) as rank"
     order = formatted.select("tree", "leaf", "score").selectExpr("tree", "leaf", by_tree)
-    return formatted.join(order, ["tree", "leaf"])
+    return _same_leaf(formatted, order, "inner").select(*formatted.columns, "rank")
 
 
 def best_per_tree(formatted: DataFrame) -> DataFrame:
     """The first-ranked conversation of each tree, by an aggregate (no ordering of a hot tree in one task)."""
     top = formatted.groupBy("tree").agg(F.min(F.struct((-F.col("score")).alias("s"), "leaf")).alias("x")).select("tree", F.col("x.leaf").alias("leaf"))
-    return formatted.join(top, ["tree", "leaf"], "left_semi")
+    return _same_leaf(formatted, top, "left_semi")
 
 
 def read_back(formatted: str = "formatted") -> Column:
