@@ -71,6 +71,8 @@ class EngineConfig:
     ocr_tracks: int = 3
     jersey_readings: int = 25
     jersey_least: int = 6
+    jersey_cache: int = 9000
+    fps_window: int = 30
     # rim and hoops
     rim_frames: int = 10
     hoop_dwell: int = 3
@@ -152,5 +154,5 @@ DEFAULT = EngineConfig()
 #: The driver's tables give short games of unconnected frames: the same rules, with spans that such traces can meet.
 TRACE = EngineConfig(
     possession_radius=300, block_radius=180.0, rim_radius=200.0, clip_gap=3, reel_hold=2, reel_lead=3, dead_after_score=10, missing_frames=3,
-    still_frames=5, rest_frames=3, min_dead_sec=0.0, merge_gap=3, min_segment=2, segment_pad=1, period_sec=3, scan_seconds=3.0, frames_before_game=500, appearance_max=0.95,
+    still_frames=5, rest_frames=3, min_dead_sec=0.0, merge_gap=3, min_segment=2, segment_pad=1, period_sec=3, scan_seconds=3.0, frames_before_game=500, appearance_max=0.95, jersey_cache=4,
 )

@@ -33,12 +33,15 @@ INPUTS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "vec": (adapters.candidates, "embeddings"),
     "sel": (adapters.selected, "embeddings"),
     "ma": (adapters.matched, "lineitem"),
+    "px": (adapters.pixels, "lineitem"),
+    "ti": (adapters.ticks, "events"),
+    "fi": (adapters.files, "events"),
     "ho": (adapters.hoops, "events"),
     "zo": (lambda s, d: s.sql(adapters.zones_sql()), "zones"),
     "po": (lambda s, d: s.sql(adapters.polygon_sql()), "polygon"),
 }
 _DUCK = {"ge": adapters.game_events_sql, "fr": adapters.frames_sql, "de": adapters.detections_sql, "tr": adapters.tracks_sql, "oc": adapters.readings_sql, "ri": adapters.rims_sql}
-_DUCK |= {"vec": adapters.candidates_sql, "sel": adapters.selected_sql, "ma": adapters.matched_sql, "ho": adapters.hoops_sql, "zo": adapters.zones_sql, "po": adapters.polygon_sql}
+_DUCK |= {"px": adapters.pixels_sql, "ti": adapters.ticks_sql, "fi": adapters.files_sql, "vec": adapters.candidates_sql, "sel": adapters.selected_sql, "ma": adapters.matched_sql, "ho": adapters.hoops_sql, "zo": adapters.zones_sql, "po": adapters.polygon_sql}
 
 
 @dataclass(frozen=True)

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from rimflow.config import EngineConfig
 
-from . import geometry, sequences, stats
+from . import geometry, looks, sequences, stats
 from .core import Plan
 
 
 def plans(config: EngineConfig) -> dict[str, Plan]:
-    return stats.plans(config) | geometry.plans(config) | sequences.plans(config)
+    return stats.plans(config) | geometry.plans(config) | sequences.plans(config) | looks.plans(config)

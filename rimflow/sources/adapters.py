@@ -106,6 +106,20 @@ def matched_sql(lineitem: str = "lineitem", duck: bool = True) -> str:
     return f"select game_id, frame_id, track_id as ref, cx, cy from ({tracks_sql(lineitem, duck)}) m"
 
 
+def pixels_sql(lineitem: str = "lineitem", duck: bool = True) -> str:
+    """One pixel for each detection: hue 0..179, saturation and brightness 0..255."""
+    return f"select game_id, game_id as frame_id, k2 % 4 + 1 as track_id, k1 % 180 as h, (k2 * 37 + k3) % 256 as s, k1 * 7 % 256 as v from ({detections_sql(lineitem, duck)}) d"
+
+
+def ticks_sql(events: str = "events", duck: bool = True) -> str:
+    return f"select event_id {'//' if duck else 'div'} 500 as game_id, event_id as frame_id, {'epoch_us(ts)' if duck else 'unix_micros(cast(ts as timestamp))'} as us from {events}"
+
+
+def files_sql(events: str = "events", duck: bool = True) -> str:
+    name = "case event_id % 6 when 0 then '.MP4' when 1 then '.mov' when 2 then '.txt' when 3 then '' when 4 then '.tar.avi' else 'mp4' end"
+    return f"select concat('game', cast(event_id as {'varchar' if duck else 'string'}), {name}) as name, event_type as base, ts as made from {events}"
+
+
 def candidates_sql(embeddings: str = "embeddings", duck: bool = True) -> str:
     return f"select vec_id % 4 as game_id, vec_id, embedding from {embeddings} where vec_id >= 32"
 
@@ -171,3 +185,15 @@ def selected(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def matched(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _view(spark, sf_dir, "lineitem", matched_sql)
+
+
+def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _view(spark, sf_dir, "lineitem", pixels_sql)
+
+
+def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _view(spark, sf_dir, "events", ticks_sql)
+
+
+def files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _view(spark, sf_dir, "events", files_sql)

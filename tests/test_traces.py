@@ -451,3 +451,46 @@ def test_a_lost_track_ends_with_the_thirtieth_miss():
         game = pd.DataFrame(gone(back), columns=["game_id", "frame_id", "k1", "k2", "k3", "conf", "x1", "y1", "x2", "y2"])
         out = track_game(game)
         assert (out[(out["frame_id"] == back) & (out["x1"] == 100)]["track_id"].iloc[0] == 1) == same, back
+
+
+def test_appearance_histogram_and_torso(spark):
+    pixels = [(1, 1, 7, 5, 8, 100), (1, 1, 7, 0, 15, 200), (1, 1, 7, 6, 8, 250), (1, 1, 8, 90, 0, 20)]
+    e = Engine(spark, px=spark.createDataFrame(pixels, "game_id long, frame_id long, track_id long, h int, s int, v int"))
+    got = {(r["track_id"], r["bin"]): r["weight"] for r in e.appearance_histogram().collect()}
+    assert got == {(7, 1): pytest.approx(2 / 5**0.5), (7, 33): pytest.approx(1 / 5**0.5), (8, 15 * 32): 1.0}
+    torso = {r["track_id"]: (r["saturation"], r["brightness"]) for r in e.torso_feature().collect()}
+    assert torso == {7: (8.0, 200.0), 8: (0.0, 20.0)}  # fewer than ten clear pixels: all count
+
+
+def test_cached_jerseys_are_read_again_after_their_time(spark):
+    numbers = [None, "23", None, "7", None, "7", None]
+    rows = [(1, f, 5, n or "", "x", 90 if n else 0, f) for f, n in enumerate(numbers)]
+    oc = spark.createDataFrame(rows, "game_id long, frame_id long, track long, number string, text string, conf int, o long")
+    got = {r["frame_id"]: (r["jersey"], r["was_read"]) for r in Engine(spark, EngineConfig(jersey_cache=3), oc=oc).jersey_cache().collect()}
+    assert got == {1: ("23", True), 2: ("23", False), 3: ("23", False), 4: (None, False), 5: ("7", True), 6: ("7", False)}
+
+
+def test_colours_and_files(spark):
+    import colorsys
+
+    e = engine(spark, tracks=[box(1, 1, t, 100, 100, t % 3) for t in range(1, 40)])
+    for r in e.track_colours().collect():
+        red, green, blue = colorsys.hsv_to_rgb(r["track_id"] * 37 % 360 / 360, 0.85, 0.95)
+        assert (r["b"], r["g"], r["r"]) == (int(blue * 255), int(green * 255), int(red * 255))
+    files = spark.createDataFrame([("a.MP4", "clip", "2024-05-06 07:08:09"), ("a.tar.mkv", "x", "2024-05-06 07:08:09"), ("mp4", "x", None), ("a.txt", "x", None)], "name string, base string, made string")
+    got = {r["name"]: (r["allowed"], r["stamped"]) for r in Engine(spark, fi=files.withColumn("made", files["made"].cast("timestamp"))).video_files().collect()}
+    assert {n: a for n, (a, _) in got.items()} == {"a.MP4": True, "a.tar.mkv": True, "mp4": False, "a.txt": False} and got["a.MP4"][1] == "clip_20240506_070809.mp4"
+
+
+def test_frame_rate_of_the_last_frames(spark):
+    ticks = spark.createDataFrame([(1, f, 40_000 * f if f < 10 else 400_000 + 20_000 * (f - 10)) for f in range(20)], "game_id long, frame_id long, us long")
+    got = {r["frame_id"]: r["fps"] for r in Engine(spark, EngineConfig(fps_window=5), ti=ticks).frame_rate().collect()}
+    assert got[0] == 0 and got[1] == 25.0 and got[9] == 25.0 and got[19] == 50.0
+
+
+def test_reels_of_selected_players(spark):
+    schema = "game_id long, frame_id long, ref long, cx int, cy int"
+    ma = spark.createDataFrame([(1, f, 9, 300, 300) for f in range(400)] + [(2, f, 9, 300, 300) for f in range(400)], schema)
+    frames = [(1, f, 310 if f in (100, 101, 300) else 1000, 300, 640, 180, 0.9, False) for f in range(400)]
+    e = Engine(spark, EngineConfig(reel_lead=20, reel_hold=10), ma=ma, fr=spark.createDataFrame(frames, FRAME), ge=spark.createDataFrame([(1, 1, 120, "steal", 3, None, 0, None, None, None, 300, 500, None, False, False)], EVENT))
+    assert sorted(tuple(r) for r in e.player_reels().collect()) == [(1, 9, 1, 80, 130, 3), (1, 9, 2, 280, 310, 1)]
