@@ -82,6 +82,14 @@ class Engine:
     def hot_players(self) -> DataFrame:
         return self.hot_hand().where("is_hot")
 
+    def frames_between(self, first: int, last: int, game: int | None = None) -> DataFrame:
+        """Frames first to last, both with."""
+        return _matching(self.inputs["fr"], game_id=game).where(F.col("frame_id").between(first, last))
+
+    def focus(self, ref: int) -> DataFrame:
+        """The tracks of one selected player: those that look most like them in their game, if they do enough."""
+        return self.appearance_match().where(F.col("ref") == ref).select("game_id", F.col("vec_id").alias("track_id"), "dist")
+
     def job(self, job_id: int) -> DataFrame:
         return self.inputs["jobs"].where(F.col("o_orderkey") == job_id)
 

@@ -310,6 +310,17 @@ def plans(C: EngineConfig) -> dict[str, Plan]:
             covers=("O7",),
         ),
     }
+    matched = found["assign_greedy"]
+    sides = f"""select u.game_id, u.frame_id, tkey, dkey from (
+      select t.game_id, t.frame_id, {_TKEY} as tkey, cast(null as STR) as dkey from <<tr>> t union all select d.game_id, d.frame_id, null as tkey, {_DKEY} as dkey from <<de>> d) u
+    where not exists (select 1 from (MATCHED) m where m.game_id = u.game_id and m.frame_id = u.frame_id and (m.tkey = u.tkey or m.dkey = u.dkey))"""
+    # tracks without a detection, and detections without a track
+    found["unmatched"] = Plan(
+        f"""with m as ({matched.sql}), t as (select game_id, frame_id, {_TKEY} as tkey from <<tr>> t), d as (select game_id, frame_id, {_DKEY} as dkey from <<de>> d)
+    select t.game_id, t.frame_id, t.tkey, cast(null as STR) as dkey from t left anti join m on t.game_id = m.game_id and t.frame_id = m.frame_id and t.tkey = m.tkey
+    union all select d.game_id, d.frame_id, null, d.dkey from d left anti join m on d.game_id = m.game_id and d.frame_id = m.frame_id and d.dkey = m.dkey""",
+        sides.replace("MATCHED", matched.oracle), ("J6",),
+    )
     candidates = found["ocr_candidates"]
     found["ocr_candidates"] = Plan(candidates.sql.replace(", 'ALL')", ", '')"), candidates.sql.replace(", 'ALL')", ", '', 'g')"), candidates.covers)
     return found

@@ -494,3 +494,24 @@ def test_reels_of_selected_players(spark):
     frames = [(1, f, 310 if f in (100, 101, 300) else 1000, 300, 640, 180, 0.9, False) for f in range(400)]
     e = Engine(spark, EngineConfig(reel_lead=20, reel_hold=10), ma=ma, fr=spark.createDataFrame(frames, FRAME), ge=spark.createDataFrame([(1, 1, 120, "steal", 3, None, 0, None, None, None, 300, 500, None, False, False)], EVENT))
     assert sorted(tuple(r) for r in e.player_reels().collect()) == [(1, 9, 1, 80, 130, 3), (1, 9, 2, 280, 310, 1)]
+
+
+def test_models_run_in_the_tasks(spark):
+    from rimflow.operators.models import detect, read
+
+    frames = spark.createDataFrame([(1, f, bytes([f] * f)) for f in range(1, 5)], "game_id long, frame_id long, image binary")
+    found = detect(frames, lambda: lambda images: [[("ball", len(x) / 4, 0.0, 0.0, 1.0, 1.0)] * 2 for x in images], least=0.5)
+    assert sorted((r["frame_id"], r["conf"]) for r in found.collect()) == [(f, f / 4) for f in (2, 3, 4) for _ in range(2)]
+    crops = spark.createDataFrame([(1, 1, 7, 30, 60, b"23"), (1, 1, 8, 10, 60, b"4"), (1, 2, 7, 30, 60, b"")], "game_id long, frame_id long, track long, width int, height int, image binary")
+    got = read(crops, lambda: lambda images: [(x.decode(), 0.9) if x else None for x in images]).collect()
+    assert [(r["track"], r["text"]) for r in got] == [(7, "23")]
+
+
+def test_unmatched_sides_and_focus(spark):
+    tracks, dets = [box(1, 1, 1, 100, 100), box(1, 1, 2, 900, 600)], [found(1, 1, 1, 110, 105), found(1, 1, 2, 300, 300), found(2, 1, 3, 900, 600)]
+    e = Engine(spark, tr=spark.createDataFrame(tracks, TRACK), de=spark.createDataFrame(dets, DETECTION))
+    got = sorted((r["game_id"], (r["tkey"] or "").split("-")[0], r["dkey"] or "") for r in e.unmatched().collect())
+    assert got == [(1, "", "2-0-0"), (1, "2", ""), (2, "", "3-0-0")]
+    schema = "game_id long, vec_id long, embedding array<float>"
+    e = Engine(spark, sel=spark.createDataFrame([(1, 1, [1.0, 2.0, 4.0])], schema), vec=spark.createDataFrame([(1, 10, [2.0, 4.0, 8.0]), (1, 11, [3.0, 2.0, 1.0])], schema))
+    assert [r["track_id"] for r in e.focus(1).collect()] == [10]
