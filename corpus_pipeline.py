@@ -2,6 +2,12 @@
 
 A stage takes (spark, docs, sf_dir) and returns documents; run() writes what a stage returns as Parquet in
 the shared folder and reads it again as the next one's docs.
+
+Defined results: every stage judges each row by its own text, whatever its doc_id, and a text of any length whole, in the memory of one
+row. Null and empty texts fail the rules and so do not come further; null lang and source are groups of their own. Repeated rows stay or go
+together; of near duplicates the row with the smallest doc_id stays, and rows without a doc_id do. Mixing repeats rows and drops none.
+Columns of the input beyond those of documents go through the first four stages as they are, also where their names are those of a
+computed column; the last stage returns doc_id, n_tokens and ids. An empty table gives an empty result.
 """
 
 from __future__ import annotations
