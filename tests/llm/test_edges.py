@@ -303,3 +303,13 @@ def test_verdicts_on_ties_and_repeated_rows(spark):
     got = quality_rules.quality_verdicts(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()
     assert Counter((r["doc_id"], r["kept"]) for r in got) == {(1, True): 3, (None, False): 1, (2, False): 1}
     assert next(r["n_repeat_words"] for r in got if r["doc_id"] == 2) == 200_000
+
+
+def test_the_pipeline_of_an_empty_table(spark):
+    import corpus_pipeline
+
+    docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        after = stage(spark, docs, "/root/testdata/sf0.001")
+        assert after.columns == docs.columns and after.count() == 0
+    assert corpus_pipeline.STAGES[4][1](spark, docs, None).count() == 0
