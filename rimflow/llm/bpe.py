@@ -17,7 +17,8 @@ makes the same rows; a chunk that misses any of its words stops the job instead
 
 Defined results: null and empty texts have no ids and decode to an empty text; repeated rows each give a row;
 documents that contain special-token strings are encoded as the tokenizer does by default; an empty
-table gives an empty result; a column of the input named like a result column is replaced.
+table gives an empty result; doc_ids are cast to long; a text of any length is one member of a chunk, in the memory of one task; other columns of
+the input are not read, so none clashes.
 """
 
 from __future__ import annotations
@@ -36,7 +37,7 @@ from pyspark.sql import functions as F
 
 from .shared import stored, table
 
-CHUNK = 8 << 20
+CHUNK = 4 << 20
 BUCKET_BYTES = 16 << 20
 MIN_BUCKETS = 64
 TOKENIZER = "word_bpe_49k.json"
