@@ -15,8 +15,8 @@
    aggregated once.
 4. The size of the mixture follows from the weights: the smallest one in which every domain can be met with rates
    of one or more ("up", documents repeat), or the largest one with rates of at most one ("down"). Where steps
-   stop to come closer (soft posteriors with a lower bound on rates), a mixture "up" is enlarged by GROWTH. After MAX_STEPS steps in
-   all, what is missed is not hidden: the column `missed` says by which share of the mixture the worst domain is off.
+   stop to come closer (soft posteriors with a lower bound on rates), a mixture "up" is enlarged by GROWTH, ENLARGED times
+   at most. What is missed after that, or after MAX_STEPS steps in all, is not hidden: the column `missed` says by which share of the mixture the worst domain is off.
 
 Everything is DataFrame operations. What grows with the corpus stays distributed: broadcast are only the words of the
 sample (joined by a shuffle where they are many) and, as literals, the error vectors of the steps.
@@ -41,8 +41,8 @@ from .shared import ROW_KEY, counted, stored, table
 MAX_LABELLED = 4000
 MAX_STEPS = 40
 TOLERANCE = 1e-4
-#: A mixture whose miss is not halved by each of PATIENCE steps is enlarged.
-PATIENCE, GROWTH = 3, 1.04
+#: A mixture whose miss is not halved by any of PATIENCE steps is enlarged.
+PATIENCE, GROWTH, ENLARGED = 3, 1.04, 6
 #: No document is to occur more often than this.
 MAX_RATE = 100.0
 #: Shares that the query and the pipeline ask for.
@@ -127,7 +127,7 @@ def fit_rates(post: DataFrame, weights: list[float], size: str = "up", lower: fl
     total = (max(ratios) if size == "up" else min(ratios)) if ratios else 0.0
     targets = [total * w for w in share]
     fitted = Rates([], lower, upper, targets, mass)
-    slow = 0
+    best, slow, enlarged = fitted, 0, 0
     for _ in range(max_steps if ratios else 0):
         if fitted.missed <= TOLERANCE:
             break
@@ -143,14 +143,16 @@ def fit_rates(post: DataFrame, weights: list[float], size: str = "up", lower: fl
             tried.reached = [float(x or 0) for x in cells.agg(*expected(tried.column(p))).first()]
             if tried.missed < fitted.missed:
                 break
+        closer = tried.missed < fitted.missed
         slow = slow + 1 if tried.missed > fitted.missed / 2 else 0
-        if tried.missed < fitted.missed:
+        if closer:
             fitted = tried
-        elif size != "up":
-            break
-        if size == "up" and slow >= PATIENCE:
-            fitted.targets, slow = [GROWTH * t for t in fitted.targets], 0
-    return fitted
+            best = min(best, fitted, key=lambda x: x.missed)
+        if slow >= PATIENCE or not closer:
+            if size != "up" or enlarged == ENLARGED:
+                break
+            fitted, enlarged, slow = replace(fitted, targets=[GROWTH * t for t in fitted.targets]), enlarged + 1, 0
+    return best
 
 
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float], domain: str = "lang", size: str = "up", lower: float = 0.0, upper: float = MAX_RATE) -> DataFrame:
