@@ -7,7 +7,7 @@ Vectors and output weights are trained together by plain stochastic gradient des
 
 Training uses a bounded sample of labelled rows: those with the smallest hashes of doc_id, at most `max_train` of them
 and with at most `max_features` different features together. Tasks turn their whole texts, of any length, into counts of
-buckets; only these counts come to the driver, so it holds max_features numbers and their counts whatever the corpus' size.
+buckets; only these counts come to the driver, compressed, so it holds max_features numbers and their counts whatever the corpus' size.
 Scoring reads every whole text, in pieces. Because the mean is linear, what a scoring task needs of the model is one
 number for each bucket (its vector times the difference of the two classes' weights): half a megabyte.
 
@@ -24,6 +24,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -37,7 +38,7 @@ GRAMS = (3, 4)
 EPOCHS = 6
 RATE = 4.0
 MAX_TRAIN = 4000
-MAX_FEATURES = 30_000_000
+MAX_FEATURES = 20_000_000
 ACCEPT = 0.3
 #: Texts are featurised in pieces of so many bytes, cut at white space where there is any.
 PIECE = 1 << 18
@@ -144,9 +145,16 @@ def scorer(value: np.ndarray, bias: float) -> Callable[[str | None], float]:
 
 def _featurised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        idx, cnt = zip(*[counted_features(x.as_py()) for x in batch.column(3)], strict=True) if batch.num_rows else ((), ())
-        cols = [*batch.columns[:3], pa.array(idx, pa.list_(pa.int32())), pa.array(cnt, pa.list_(pa.int64()))]
-        yield pa.RecordBatch.from_arrays(cols, ["id", "y", "key", "idx", "cnt"])
+        found = [counted_features(x.as_py()) for x in batch.column(3)]
+        blobs = [zstandard.compress(np.concatenate([np.diff(i, prepend=0), np.minimum(c, 2**31 - 1)]).astype("<i4").tobytes(), 3) for i, c in found]
+        cols = [*batch.columns[:3], pa.array([len(i) for i, _ in found], pa.int32()), pa.array(blobs, pa.binary())]
+        yield pa.RecordBatch.from_arrays(cols, ["id", "y", "key", "n", "blob"])
+
+
+def _unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    both = np.frombuffer(zstandard.decompress(blob), "<i4")
+    half = len(both) // 2
+    return np.cumsum(both[:half], dtype=np.int32), both[half:]
 
 
 def sample(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, max_features: int = MAX_FEATURES) -> tuple[list[tuple[np.ndarray, np.ndarray]], list[int]]:
@@ -156,14 +164,13 @@ def sample(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, max_f
     known = known.select(F.col("doc_id").alias("id"), F.col("y").cast("int").alias("y"))  # at most max_train rows
     found = docs.select("doc_id", "text").join(F.broadcast(known), F.col("doc_id") == F.col("id"))
     found = found.select("id", "y", F.xxhash64(F.col("text").isNull(), "text").alias("key"), "text").dropDuplicates(["id", "key"])
-    made = found.mapInArrow(_featurised, "id long, y int, key long, idx array<int>, cnt array<long>")
-    one = stored(made.groupBy("id").agg(F.min_by(F.struct("y", "idx", "cnt"), "key").alias("x")).select("id", "x.*"), "features")
-    sizes = one.select(F.xxhash64("id").alias("h"), "id", F.size("idx").alias("n")).toArrow().sort_by([("h", "ascending"), ("id", "ascending")])
+    made = found.mapInArrow(_featurised, "id long, y int, key long, n int, blob binary")
+    one = stored(made.groupBy("id").agg(F.min_by(F.struct("y", "n", "blob"), "key").alias("x")).select("id", "x.*"), "features")
+    sizes = one.select(F.xxhash64("id").alias("h"), "id", "n").toArrow().sort_by([("h", "ascending"), ("id", "ascending")])
     fits = np.cumsum(sizes["n"].to_numpy()) <= max_features
     ids = sizes["id"].to_numpy()[fits].tolist()  # at most max_train numbers
-    got = one.where(F.col("id").isin(ids)).toArrow().sort_by("id")
-    pair = zip(got["idx"], got["cnt"], strict=True)
-    return [(i.values.to_numpy(), c.values.to_numpy()) for i, c in pair], got["y"].to_pylist()
+    got = one.where(F.col("id").isin(ids)).select("id", "y", "blob").toArrow().sort_by("id")
+    return [_unpacked(b.as_py()) for b in got["blob"]], got["y"].to_pylist()
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> tuple[np.ndarray, float]:
