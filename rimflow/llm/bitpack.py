@@ -97,8 +97,8 @@ def _classes() -> np.ndarray:
     return out
 
 
-# Fixed odd numbers, whose powers weigh the places of a part in its two hashes.
-_ODD = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
+# A fixed odd number, whose powers weigh the places of a part in its hash.
+_ODD = 0x9E3779B97F4A7C15
 
 
 @functools.lru_cache(maxsize=4)
@@ -128,27 +128,35 @@ def _starts(chars: np.ndarray, kind: np.ndarray) -> np.ndarray:
     return start
 
 
+class _Deceived(Exception):
+    """Two different parts have one hash."""
+
+
 class _Parts:
-    """Parts of texts by their two 64-bit hashes, in sorted arrays, with their ids one after another in `flat`."""
+    """Different parts of texts in sorted order of their hashes, with their characters in `chars` and their ids in `flat`."""
 
     def __init__(self, kind: str):
-        self.key, self.check = np.empty(0, np.uint64), np.empty(0, np.uint64)
-        self.begin, self.size, self.flat = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, kind)
+        self.key, self.chars, self.flat = np.empty(0, np.uint64), np.empty(0, np.uint32), np.empty(0, kind)
+        self.at, self.length, self.begin, self.size = (np.empty(0, np.int64) for _ in range(4))
 
-    def find(self, key: np.ndarray, check: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Which are there, and where."""
+    def find(self, key: np.ndarray, chars: np.ndarray, at: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which are there, and where; those of a known hash are compared by their characters."""
         if not len(self.key):
             return np.zeros(len(key), bool), np.zeros(len(key), np.int64)
-        at = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
-        return (self.key[at] == key) & (self.check[at] == check), at
-
-    def add(self, key: np.ndarray, check: np.ndarray, size: np.ndarray, flat: np.ndarray) -> None:
-        """New parts, in ascending order of key."""
-        at = np.searchsorted(self.key, key)
-        begin = len(self.flat) + np.cumsum(size) - size
-        self.key, self.check = np.insert(self.key, at, key), np.insert(self.check, at, check)
-        self.begin, self.size = np.insert(self.begin, at, begin), np.insert(self.size, at, size)
-        self.flat = np.concatenate([self.flat, flat])
+        where = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
+        there = self.key[where] == key
+        found = where[there]
+        if (self.length[found] != length[there]).any() or (_taken(self.chars, self.at[found], self.length[found]) != _taken(chars, at[there], length[there])).any():
+            raise _Deceived
+        return there, where
+
+    def add(self, key: np.ndarray, chars: np.ndarray, length: np.ndarray, flat: np.ndarray, size: np.ndarray) -> None:
+        """New parts, in ascending order of key; chars and flat hold their characters and ids one after another."""
+        to = np.searchsorted(self.key, key)
+        self.at = np.insert(self.at, to, len(self.chars) + np.cumsum(length) - length)
+        self.begin = np.insert(self.begin, to, len(self.flat) + np.cumsum(size) - size)
+        self.key, self.length, self.size = np.insert(self.key, to, key), np.insert(self.length, to, length), np.insert(self.size, to, size)
+        self.chars, self.flat = np.concatenate([self.chars, chars]), np.concatenate([self.flat, flat])
 
 
 def _taken(flat: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -161,17 +169,18 @@ class Encoder:
     """The tokenizer's ids of whole texts, with parts that occur again encoded once.
 
     A byte-level tokenizer first cuts a text by a pattern and then encodes each part by itself with its model. Here the
-    cuts of many texts are found at once by numpy operations on their code points. A part is known by two 64-bit
-    hashes; the library's model encodes those that are not known yet. Texts in which a special token's string or a
-    code point of uncertain class occurs go to the library whole, and so do all texts of a tokenizer that is built
-    otherwise. What is known is held in two generations of about KNOWN parts; when the younger is full it becomes the
+    cuts of many texts are found at once by numpy operations on their code points. Parts are looked up by a 64-bit hash and
+    compared by their characters; the library's model encodes those that are not known yet. Where different parts have one hash,
+    their texts go to the library whole. So do texts in which a special token's string (plain=True: such strings are
+    ordinary text) or a code point of uncertain class occurs, and all texts of a tokenizer that is built otherwise. What is known is held in two generations of about KNOWN parts; when the younger is full it becomes the
     older, from which parts are taken over when they occur.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, plain: bool = False):
         self.lib = load(path)
+        self.lib.encode_special_tokens = plain
         self.kind = "<u2" if self.lib.get_vocab_size() <= 1 << 16 else "<u4"
-        self.special = [t.content for t in self.lib.get_added_tokens_decoder().values()]
+        self.special = [] if plain else [t.content for t in self.lib.get_added_tokens_decoder().values()]
         with open(path, encoding="utf-8") as f:
             made = json.load(f)
         cutter = made.get("pre_tokenizer") or {}
@@ -221,15 +230,15 @@ class Encoder:
 
     def _cut(self, texts: list[str]) -> list[np.ndarray] | None:
         joined = "\n".join(texts) + "\n"
-        chars = _code_points(joined).astype(np.uint64)
+        chars = _code_points(joined).copy()
         kind = _classes()[chars]
         ends = np.cumsum([len(t) + 1 for t in texts]) - 1
         if (kind == _UNSURE).any():
             return None
         kind[ends], chars[ends] = _END, 0x110000
         starts = np.flatnonzero(_starts(chars, kind))
-        stops = np.append(starts[1:], len(chars))
-        key, check = (self._hashes(chars, starts, stops, odd) for odd in _ODD)
+        length = np.append(starts[1:], len(chars)) - starts
+        key = _hashes(chars, starts, length)
         order = np.argsort(key)
         new = np.empty(len(key), bool)
         new[:1] = True
@@ -237,45 +246,45 @@ class Encoder:
         which = np.empty(len(key), np.int64)
         which[order] = np.cumsum(new) - 1
         first = order[new]
-        if (check[first][which] != check).any():  # two parts of one hash: never seen, and not worth more
+        like = first[which]  # the part that stands for each part
+        try:
+            if (length[like] != length).any() or (_taken(chars, starts[like], length) != chars).any():
+                raise _Deceived
+            size, flat = self._ids(key[first], chars, starts[first], length[first], lambda k: joined[starts[first[k]] : starts[first[k]] + length[first[k]]] if kind[starts[first[k]]] != _END else "")
+        except _Deceived:
             return [self._whole(t) for t in texts]
-        found = self._ids(key[first], check[first], lambda k: joined[starts[first[k]] : stops[first[k]]] if kind[starts[first[k]]] != _END else "")
-        if found is None:
-            return [self._whole(t) for t in texts]
-        size, flat = found
         ids = _taken(flat, (np.cumsum(size) - size)[which], size[which]).astype(np.uint32)
         return np.split(ids, np.cumsum(size[which])[np.searchsorted(starts, ends)])[:-1]
 
-    @staticmethod
-    def _hashes(chars: np.ndarray, starts: np.ndarray, stops: np.ndarray, odd: int) -> np.ndarray:
-        """The sum of each part's characters times powers of an odd number, its first power taken out again."""
-        places = max(2 * AT_ONCE, len(chars))
-        total = np.zeros(len(chars) + 1, np.uint64)
-        np.cumsum((chars + np.uint64(1)) * _powers(odd, places)[: len(chars)], out=total[1:])
-        return mix((total[stops] - total[starts]) * _powers(pow(odd, -1, 1 << 64), places)[starts] + (stops - starts).astype(np.uint64))
-
-    def _ids(self, key: np.ndarray, check: np.ndarray, part: Callable[[int], str]) -> tuple[np.ndarray, np.ndarray] | None:
+    def _ids(self, key: np.ndarray, chars: np.ndarray, at: np.ndarray, length: np.ndarray, part: Callable[[int], str]) -> tuple[np.ndarray, np.ndarray]:
         """Sizes and ids of different parts, whose keys ascend; part(k) has the characters of the k-th."""
         if len(self.known.key) > KNOWN:
             self.known, self.older = _Parts(self.kind), self.known
-        there, at = self.known.find(key, check)
+        there, _ = self.known.find(key, chars, at, length)
         new = np.flatnonzero(~there)
         if len(new):
-            there, at = self.older.find(key[new], check[new])
+            there, where = self.older.find(key[new], chars, at[new], length[new])
             old = new[there]
             if len(old):
-                begin, size = self.older.begin[at[there]], self.older.size[at[there]]
-                self.known.add(key[old], check[old], size, _taken(self.older.flat, begin, size))
+                begin, size = self.older.begin[where[there]], self.older.size[where[there]]
+                self.known.add(key[old], _taken(chars, at[old], length[old]), length[old], _taken(self.older.flat, begin, size), size)
             new = new[~there]
         if len(new):
             encode, byte = self.lib.model.tokenize, self.byte
             coded = [[t.id for t in encode(part(k).encode().decode("latin-1").translate(byte))] for k in new.tolist()]
-            self.known.add(key[new], check[new], np.array([len(x) for x in coded], np.int64), np.array([i for x in coded for i in x], self.kind))
-        there, at = self.known.find(key, check)
-        if not there.all():  # a part of another one's first hash
-            return None
-        size = self.known.size[at]
-        return size, _taken(self.known.flat, self.known.begin[at], size)
+            size = np.array([len(x) for x in coded], np.int64)
+            self.known.add(key[new], _taken(chars, at[new], length[new]), length[new], np.array([i for x in coded for i in x], self.kind), size)
+        where = np.searchsorted(self.known.key, key)  # all are there now
+        size = self.known.size[where]
+        return size, _taken(self.known.flat, self.known.begin[where], size)
+
+
+def _hashes(chars: np.ndarray, starts: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The sum of each part's characters times powers of an odd number, its first power taken out again."""
+    places = max(2 * AT_ONCE, len(chars))
+    total = np.zeros(len(chars) + 1, np.uint64)
+    np.cumsum((chars.astype(np.uint64) + np.uint64(1)) * _powers(_ODD, places)[: len(chars)], out=total[1:])
+    return mix((total[starts + length] - total[starts]) * _powers(pow(_ODD, -1, 1 << 64), places)[starts] + length.astype(np.uint64))
 
 
 def _code_points(text: str) -> np.ndarray:
