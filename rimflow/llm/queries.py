@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bitpack, bpe, chat, fingerprint, mixing, neardup, quality_classifier, quality_rules, sharding, urlfilter
+from . import alignment, bitpack, bpe, chat, fingerprint, mixing, neardup, periodic, quality_classifier, quality_rules, sharding, tokencounts, urlfilter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_near_duplicates": neardup.op8_near_duplicates,
         "op9_quality_rules": quality_rules.op9_quality_rules,
         "op10_bpe": bpe.op10_bpe,
+        "op11_token_counts": tokencounts.op11_token_counts,
+        "op12_periodic_runs": periodic.op12_periodic_runs,
+        "op13_alignment": alignment.op13_alignment,
     }
 
 
