@@ -11,13 +11,14 @@ as its digest and its pieces' digests, all of them shortened to 8 hexadecimal di
 Likeness of two fingerprints is 1 when the roots are equal, and otherwise the Dice coefficient of the sets of their
 pieces' digests (0 if neither has any).
 
-Next documents (descending doc_id, after the last the first) come without ordering all documents in one task: doc_ids
-are cut into ranges, a window orders each range, and the first document of each range is also sent to the range
-before. Texts are shuffled once.
+Next documents (descending doc_id, after the last the first) come without ordering all documents in one task: rows are cut
+into ranges by quantiles of their doc_ids, ranges of more than RANGE_ROWS rows again by quantiles of their own, and those of a single
+doc_id (or of none) by the first bytes of their texts, until none is too large. So far ids, clumps of ids and hot ids do no
+harm. A window orders each range, and the first document of each range is also sent to the range before. Texts are shuffled once.
 
 Defined results: null texts are empty; of rows with equal doc_id the next is by text; a single document is its own next
-one; null doc_ids come last; doc_ids are cast to long; a text of any length is fingerprinted whole, in the memory of one row; all rows
-of one repeated doc_id (or of none) are one range, as doc_ids are taken to be unique; an empty table gives an empty result; other columns are ignored.
+one; null doc_ids come last; doc_ids are cast to long; a text of any length is fingerprinted whole, in the memory of one row;
+rows that agree in doc_id and in the first seven bytes of the text are in one range; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,13 +26,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import stored, table
+from .shared import counted, stored, table
 
 PIECE = 32
 SHORT = 8
-#: Ranges of doc_ids that are told apart by quantiles; each is cut further by arithmetic into parts of RANGE_ROWS rows.
+#: Parts into which quantiles cut a range that has more than RANGE_ROWS rows, and how often that is done at most.
 QUANTILES = 200
-RANGE_ROWS = 2000
+RANGE_ROWS = 4000
+LEVELS = 6
 SPAN = 4096
 
 
@@ -89,32 +91,47 @@ def changed(fp_a: Column, fp_b: Column) -> Column:
     return F.transform(found, lambda x: F.struct(x["section"], x["paragraph"]))
 
 
+#: The first seven bytes of a text as a number; texts are ordered by their bytes.
+_PREFIX = "cast(conv(rpad(hex(substring(cast(text as binary), 1, 7)), 14, '0'), 16, 10) as bigint)"
+
+
+def _within(cuts: DataFrame, rows: DataFrame) -> DataFrame:
+    """rows with rng replaced by the part of the range that cuts (rng, by_text, cuts) put them in."""
+    part = "coalesce(size(filter(cuts, c -> c <= if(by_text, p, i))), 0)"
+    return rows.join(counted(cuts), "rng", "left").withColumn("rng", F.expr(f"rng * {2 * QUANTILES} + {part}")).drop("by_text", "cuts")
+
+
+def with_ranges(rows: DataFrame) -> DataFrame:
+    """doc_id, text, p (the text's first bytes) and rng: ranges of about RANGE_ROWS rows at most, whose numbers ascend with (doc_id, text)."""
+    keyed = rows.selectExpr("doc_id", "text", f"{_PREFIX} as p", "coalesce(doc_id, 0) as i", "if(doc_id is null, 0L, 1L) as rng")
+    narrow = stored(keyed.select("i", "p", "rng"), "keys")
+    fractions = [k / QUANTILES for k in range(1, QUANTILES)]
+    quantiles = lambda c: F.percentile_approx(c, fractions, 20 * QUANTILES)
+    for level in range(LEVELS):
+        each = narrow.groupBy("rng").agg(F.count("*").alias("n"), F.min("i").alias("lo"), F.max("i").alias("hi"), F.min("p").alias("p_lo"), F.max("p").alias("p_hi"), quantiles("i").alias("by_i"), quantiles("p").alias("by_p"))
+        large = each.where(f"n > {RANGE_ROWS} and (lo < hi or p_lo < p_hi)" if level else "true")
+        # a number that fills a quantile is parted from the next one too
+        cuts = large.selectExpr("rng", "lo = hi as by_text", "array_distinct(if(lo = hi, by_p, by_i)) as q").selectExpr("rng", "by_text", "array_union(q, filter(transform(q, x -> try_add(x, 1L)), x -> x is not null)) as cuts")
+        cuts = stored(cuts, "cuts")
+        if level and cuts.isEmpty():
+            break
+        keyed, narrow = _within(cuts, keyed), _within(cuts, narrow)
+    return keyed.drop("i")
+
+
 def in_ranges(docs: DataFrame) -> DataFrame:
     """doc_id, text, rng, halo: every document in its range of doc_ids, and the first of each range (halo) once more in
     the range that comes before it in descending order; the very first also after the last."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    low = -(2**63)
-    ids = rows.select(F.coalesce("doc_id", F.lit(low)).alias("i"))
-    cuts, n = ids.agg(F.percentile_approx("i", [k / QUANTILES for k in range(1, QUANTILES)], 10_000), F.count("*")).first()
-    cuts = sorted(set(cuts or []))  # at most QUANTILES numbers
-    bounds = F.array(*[F.lit(c) for c in cuts]) if cuts else F.expr("cast(array() as array<bigint>)")
-    outer = lambda i: F.size(F.filter(bounds, lambda c: c <= i))
-    per = max(1, -(-n // (RANGE_ROWS * QUANTILES)))
-    extent = ids.withColumn("o", outer(F.col("i"))).groupBy("o").agg(F.min("i").alias("lo"), F.max("i").alias("hi")).collect()  # at most QUANTILES rows
-    lows = {r["o"]: (r["lo"], (r["hi"] - r["lo"]) // per + 1) for r in extent}
-    table_of = lambda k: F.array(*[F.lit(lows.get(o, (0, 1))[k]) for o in range(len(cuts) + 1)])
-    i, o = F.coalesce("doc_id", F.lit(low)), F.col("o")
-    ranged = rows.withColumn("o", outer(i)).withColumn("rng", (o * per + F.least(F.lit(per - 1), F.floor((i - F.get(table_of(0), o)) / F.get(table_of(1), o)))).cast("long")).drop("o")
-    tops = ranged.groupBy("rng").agg(F.max(F.struct("doc_id", F.xxhash64("text").alias("h"))).alias("t"))
+    ranged = with_ranges(rows)
+    tops = ranged.groupBy("rng").agg(F.max(F.struct("doc_id", "p")).alias("t"))
     # each range's successor, or the first for the last: within SPAN ranges by a window for each span, between spans by one over the spans
-    tops = stored(tops, "ranges").selectExpr("rng", "t.doc_id as top_id", f"rng div {SPAN} as span")
+    tops = stored(tops, "ranges").selectExpr("rng", "t.doc_id as top_id", "t.p as top_p", f"rng div {SPAN} as span")
     spans = tops.groupBy("span").agg(F.min("rng").alias("head")).selectExpr("span", "coalesce(lead(head) over (order by span), min(head) over ()) as after")
-    tops = tops.withColumn("next", F.expr("lead(rng) over (partition by span order by rng)")).join(spans, "span").selectExpr("rng", "top_id", "coalesce(next, after) as to")
-    near = F.broadcast(tops) if per * QUANTILES <= 1_000_000 else tops
-    with_top = ranged.join(near, "rng", "left")
-    copies = F.when(F.col("doc_id").eqNullSafe(F.col("top_id")), F.array(F.struct(F.col("rng"), F.lit(0).alias("halo")), F.struct(F.col("to").alias("rng"), F.lit(1).alias("halo")))).otherwise(
-        F.array(F.struct(F.col("rng"), F.lit(0).alias("halo")))
-    )
+    tops = tops.withColumn("next", F.expr("lead(rng) over (partition by span order by rng)")).join(spans, "span").selectExpr("rng", "top_id", "top_p", "coalesce(next, after) as to")
+    with_top = ranged.join(counted(stored(tops, "successors")), "rng", "left")
+    own = F.struct(F.col("rng"), F.lit(0).alias("halo"))
+    copies = F.when(F.expr("doc_id <=> top_id and p = top_p"), F.array(own, F.struct(F.col("to").alias("rng"), F.lit(1).alias("halo")))).otherwise(F.array(own))
     return with_top.select("doc_id", "text", F.explode(copies).alias("c")).select("doc_id", "text", "c.rng", "c.halo")
 
 
