@@ -7,15 +7,17 @@ leading binary digits (a relative error of less than 1/128) and the sketch of a
 rounded value. Such sketches merge by adding counts, so partial sketches are combined before the
 shuffle, a language's sketch is the sum of its sources' and the whole corpus' the sum of those.
 
+The sketches are made of the documents that pass the base rule: what it rejects would only hide what is usual.
+
 A group with fewer than `min_rows` documents takes the thresholds of its language, and a language with
 fewer than that those of the corpus. A document fails a rule when its ratio is above
 
-    q75 + spread * max(q75 - q25, least)
+    high + times * max(high - low, one unit of the sketch's resolution)
 
-of its group. There is no fixed cutoff: a limit moves with the group's own quartiles, upwards and downwards. `least` is
-the smallest spread that a ratio is taken to have; it decides where a group hardly varies (as where most documents have no
-symbol at all, and q25 = q75 = 0), so that such a group does not reject whatever is not exactly usual. Nothing is
-sampled and all documents count.
+of its group, where low and high are two quantiles of the ratio. Which quantiles these are is a setting of each rule: quartiles
+where all documents have the ratio to some degree (word length), the median and a quantile further up where most documents have none
+(symbols, repeated lines, repeated windows), so that the spread is seen and not supposed. There is no fixed cutoff: a limit moves with the
+group's own quantiles, upwards and downwards. Nothing is sampled and all documents count.
 
 Defined results: a null text has no words and fails the base rule; null lang or source form a group of
 their own; repeated rows, and rows without a doc_id, each count and are judged by themselves; an empty table
@@ -36,17 +38,16 @@ from .shared import ROW_KEY, counted, keyed_filter, stored, table, with_row_key
 SYMBOLS = b"#*$%&|<>"
 WHITE = b" \t\n\r\x0b\x0c"
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
-#: ratio: (numerator, denominator, least spread), in thousandths
+#: ratio (in thousandths): numerator, denominator, low and high quantile in hundredths, times
 RATIOS = {
-    "r_symbols": ("n_symbols", "n_words", 50),
-    "r_dup_lines": ("n_dup_lines", "n_lines", 125),
-    "r_repeats": ("n_repeat_words", "n_words", 125),
-    "r_word_length": ("word_chars", "n_words", 128),
+    "r_symbols": ("n_symbols", "n_words", 50, 90, 3),
+    "r_dup_lines": ("n_dup_lines", "n_lines", 50, 99, 1),
+    "r_repeats": ("n_repeat_words", "n_words", 50, 95, 3),
+    "r_word_length": ("word_chars", "n_words", 25, 75, 3),
 }
-LEAST = {r: least for r, (_, _, least) in RATIOS.items()}
 BITS = 8
-SPREAD = 3
 MIN_ROWS = 200
+Rules = dict[str, tuple[str, str, int, int, int]]
 
 
 def count_text(text: str | None) -> tuple[int, int, int, int, int, int]:
@@ -100,7 +101,7 @@ def quality_counts(docs: DataFrame, keep: tuple[str, ...] = ("doc_id", "lang", "
 
 
 def _ratios(counts: DataFrame) -> DataFrame:
-    for name, (top, bottom, _) in RATIOS.items():
+    for name, (top, bottom, *_) in RATIOS.items():
         counts = counts.withColumn(name, F.expr(f"if({bottom} > 0, ({top} * 1000) div {bottom}, 0)"))
     return counts.withColumn("base_failed", F.expr("n_words < 50 or 100 * n_repeat_words > 50 * n_words"))
 
@@ -112,44 +113,48 @@ def _rounded(x: str) -> str:
 
 
 def sketches(ratios: DataFrame) -> DataFrame:
-    """lang, source, ratio, v, n: how often each rounded value occurs in each group."""
+    """lang, source, ratio, v, n: how often each rounded value occurs in each group, among documents that pass the base rule."""
     stacked = ", ".join(f"'{r}', {r}" for r in RATIOS)
-    long = ratios.selectExpr("coalesce(lang, '\\0') as g_lang", "coalesce(source, '\\0') as g_source", f"stack({len(RATIOS)}, {stacked}) as (ratio, x)")
+    long = ratios.where("not base_failed").selectExpr("coalesce(lang, '\\0') as g_lang", "coalesce(source, '\\0') as g_source", f"stack({len(RATIOS)}, {stacked}) as (ratio, x)")
     return long.groupBy("g_lang", "g_source", "ratio", F.expr(_rounded("x")).alias("v")).agg(F.count("*").alias("n"))
 
 
-def _fences(sketch: DataFrame, keys: list[str], spread: int, least: dict[str, int]) -> DataFrame:
-    """For each group and ratio: rows, the quartiles by cumulated counts, and the fence."""
+def _by_ratio(rules: Rules, k: int) -> str:
+    return "case ratio " + " ".join(f"when '{r}' then {x[k]}" for r, x in rules.items()) + " end"
+
+
+def _fences(sketch: DataFrame, keys: list[str], rules: Rules) -> DataFrame:
+    """For each group and ratio: rows, the quantiles by cumulated counts, and the fence."""
     merged = sketch.groupBy(*keys, "ratio", "v").agg(F.sum("n").alias("n"))
     by = ", ".join([*keys, "ratio"])
     run = merged.selectExpr("*", f"sum(n) over (partition by {by} order by v) as upto", f"sum(n) over (partition by {by}) as total")
     q = run.groupBy(*keys, "ratio").agg(
         F.max("total").alias("total"),
-        F.min(F.expr("if(4 * upto >= total, v, null)")).alias("q25"),
-        F.min(F.expr("if(4 * upto >= 3 * total, v, null)")).alias("q75"),
+        F.min(F.expr(f"if(100 * upto >= {_by_ratio(rules, 2)} * total, v, null)")).alias("low"),
+        F.min(F.expr(f"if(100 * upto >= {_by_ratio(rules, 3)} * total, v, null)")).alias("high"),
     )
-    smallest = "case ratio " + " ".join(f"when '{r}' then {x}" for r, x in least.items()) + " end"
-    return q.selectExpr(*keys, "ratio", "total", f"q75 + {spread} * greatest(q75 - q25, {smallest}) as fence")
+    unit = f"shiftleft(1L, cast(greatest(length(bin(high)) - {BITS}, 0) as int))"
+    return q.selectExpr(*keys, "ratio", "total", f"high + {_by_ratio(rules, 4)} * greatest(high - low, {unit}) as fence")
 
 
-def thresholds(sketch: DataFrame, min_rows: int = MIN_ROWS, spread: int = SPREAD, least: dict[str, int] = LEAST) -> DataFrame:
+def thresholds(sketch: DataFrame, min_rows: int = MIN_ROWS, rules: Rules = RATIOS) -> DataFrame:
     """One row for each language and source: the limit of each ratio, from the narrowest group with min_rows documents."""
-    own = _fences(sketch, ["g_lang", "g_source"], spread, least)
-    lang = _fences(sketch, ["g_lang"], spread, least).select("g_lang", "ratio", F.col("total").alias("l_total"), F.col("fence").alias("l_fence"))
-    whole = _fences(sketch, [], spread, least).select("ratio", F.col("fence").alias("w_fence"))
+    own = _fences(sketch, ["g_lang", "g_source"], rules)
+    lang = _fences(sketch, ["g_lang"], rules).select("g_lang", "ratio", F.col("total").alias("l_total"), F.col("fence").alias("l_fence"))
+    whole = _fences(sketch, [], rules).select("ratio", F.col("fence").alias("w_fence"))
     joined = own.join(lang, ["g_lang", "ratio"]).join(whole, "ratio")
     limit = joined.withColumn("top", F.expr(f"case when total >= {min_rows} then fence when l_total >= {min_rows} then l_fence else w_fence end"))
-    return limit.groupBy("g_lang", "g_source").agg(*[F.max(F.when(F.col("ratio") == r, F.col("top"))).alias(f"max_{r}") for r in RATIOS])
+    return limit.groupBy("g_lang", "g_source").agg(*[F.max(F.when(F.col("ratio") == r, F.col("top"))).alias(f"max_{r}") for r in rules])
 
 
-def quality_verdicts(docs: DataFrame, min_rows: int = MIN_ROWS, spread: int = SPREAD, keep: tuple[str, ...] = ("doc_id",), least: dict[str, int] = LEAST) -> DataFrame:
+def quality_verdicts(docs: DataFrame, min_rows: int = MIN_ROWS, keep: tuple[str, ...] = ("doc_id",), rules: Rules = RATIOS) -> DataFrame:
     """The columns named in keep, the counts, base_failed, failed (the rules that the document fails) and kept, for every row of docs.
 
     The limits have a row for each language and source; where they are few they are broadcast, so that the rows of a
     frequent source stay dealt out as they are.
     """
     ratios = stored(_ratios(quality_counts(docs, (*keep, "lang", "source"))), "quality_counts")
-    limits = counted(stored(thresholds(sketches(ratios), min_rows, spread, least), "limits"))
+    limits = counted(stored(thresholds(sketches(ratios), min_rows, rules), "limits"))
     keyed = ratios.withColumn("g_lang", F.expr("coalesce(lang, '\\0')")).withColumn("g_source", F.expr("coalesce(source, '\\0')"))
     judged = keyed.join(limits, ["g_lang", "g_source"], "left")
     broken = F.filter(F.array(*[F.when(F.col(r) > F.col(f"max_{r}"), F.lit(r)) for r in RATIOS]), lambda x: x.isNotNull())
@@ -173,10 +178,9 @@ def keep_by_rules(spark: SparkSession, docs: DataFrame, sf_dir: str | None = Non
 
 def _sql_fences(keys: str) -> str:
     by = f"{keys}, ratio" if keys else "ratio"
-    least = "case ratio " + " ".join(f"when '{r}' then {x}" for r, x in LEAST.items()) + " end"
     return f"""(
-  select {by}, total, q75 + {SPREAD} * greatest(q75 - q25, {least}) as fence
-  from (select {by}, max(total) as total, min(case when 4 * upto >= total then v end) as q25, min(case when 4 * upto >= 3 * total then v end) as q75
+  select {by}, total, high + {_by_ratio(RATIOS, 4)} * greatest(high - low, 1::bigint << greatest(length(bin(high)) - {BITS}, 0)) as fence
+  from (select {by}, max(total) as total, min(case when 100 * upto >= {_by_ratio(RATIOS, 2)} * total then v end) as low, min(case when 100 * upto >= {_by_ratio(RATIOS, 3)} * total then v end) as high
         from (select {by}, v, sum(n) over (partition by {by} order by v) as upto, sum(n) over (partition by {by}) as total
               from (select {by}, v, sum(n) as n from sketch group by {by}, v) m) r
         group by {by}) q)"""
@@ -203,8 +207,8 @@ with base as (
   from base b left join repeated r on b.doc_id = r.doc_id
 ), ratios as ("""
     + " union all ".join(
-        f"select doc_id, lang, source, '{r}' as ratio, case when {bottom} > 0 then ({top} * 1000) // {bottom} else 0 end as x from counts"
-        for r, (top, bottom, _) in RATIOS.items()
+        f"select doc_id, lang, source, '{r}' as ratio, case when {bottom} > 0 then ({top} * 1000) // {bottom} else 0 end as x from counts where not (n_words < 50 or 100 * n_repeat_words > 50 * n_words)"
+        for r, (top, bottom, *_) in RATIOS.items()
     )
     + f"""), sketch as (
   select lang, source, ratio, (x >> greatest(length(bin(x)) - {BITS}, 0)) << greatest(length(bin(x)) - {BITS}, 0) as v, count(*) as n from ratios group by all
@@ -215,7 +219,7 @@ with base as (
   group by a.doc_id
 )
 select c.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed,
-       not (n_words < 50 or 100 * n_repeat_words > 50 * n_words) and not failed as kept
-from counts c join verdicts v on c.doc_id = v.doc_id
+       not (n_words < 50 or 100 * n_repeat_words > 50 * n_words) and not coalesce(failed, false) as kept
+from counts c left join verdicts v on c.doc_id = v.doc_id
 """
 )

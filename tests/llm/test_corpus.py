@@ -198,19 +198,39 @@ def test_rules_adapt_to_language_and_source(spark):
     rows += [(1000, " ".join(f"v{k}##" for k in range(60)), "en", "a"), (1001, None, "en", "a"), (1002, " ".join(f"v{k}#" for k in range(60)), "de", "c")]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
     got = {r["doc_id"]: r for r in quality_rules.quality_verdicts(df).collect()}
+    assert_adaptive(rows, got)
+    assert got[1000]["failed"] == ["r_symbols"] and not got[1001]["kept"] and sum(r["kept"] for r in got.values()) >= 890
+
+
+def assert_adaptive(rows, got):
+    """The rule in plain Python: quantiles of the documents of the narrowest group that is large enough."""
     counts = {r[0]: quality_rules.count_text(r[1]) for r in rows}
     group = {i: (la, so) for i, _, la, so in rows}
-    for metric, (top, bottom, least) in quality_rules.RATIOS.items():
+    base = {i: c[0] < 50 or 100 * c[4] > 50 * c[0] for i, c in counts.items()}
+    for metric, (top, bottom, low, high, times) in quality_rules.RATIOS.items():
         k, m = quality_rules.COUNTS.index(top), quality_rules.COUNTS.index(bottom)
         ratio = {i: counts[i][k] * 1000 // counts[i][m] if counts[i][m] else 0 for i in counts}
         for i in counts:
+            if base[i]:
+                assert not got[i]["kept"]
+                continue
             for same in (lambda j: group[j] == group[i], lambda j: group[j][0] == group[i][0], lambda j: True):
-                peers = sorted(rounded(ratio[j]) for j in counts if same(j))
+                peers = sorted(rounded(ratio[j]) for j in counts if same(j) and not base[j])
                 if len(peers) >= quality_rules.MIN_ROWS:
                     break
-            q25, q75 = (peers[-(-len(peers) * q // 4) - 1] for q in (1, 3))
-            assert (metric in got[i]["failed"]) == (ratio[i] > q75 + 3 * max(q75 - q25, least)), (metric, i)
-    assert got[1000]["failed"] == ["r_symbols"] and not got[1001]["kept"] and sum(r["kept"] for r in got.values()) >= 890
+            lo, hi = (peers[-(-len(peers) * q // 100) - 1] for q in (low, high))
+            assert (metric in got[i]["failed"]) == (ratio[i] > hi + times * max(hi - lo, 1 << max(hi.bit_length() - quality_rules.BITS, 0))), (metric, i)
+
+
+def test_limits_of_three_ratios_differ_between_groups(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    ratios = quality_rules._ratios(quality_rules.quality_counts(docs)).cache()
+    limits = quality_rules.thresholds(quality_rules.sketches(ratios)).collect()
+    assert sum(len({r[f"max_{x}"] for r in limits}) > 3 for x in quality_rules.RATIOS) >= 3
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    judged = quality_rules.quality_verdicts(docs).where("not base_failed").join(labels, "doc_id").groupBy("quality").agg(F.avg(F.col("kept").cast("int")).alias("kept")).collect()
+    kept = {r["quality"]: r["kept"] for r in judged}
+    assert kept[1] >= 0.98 and kept[0] <= 0.02
 
 
 def test_limits_follow_each_source(spark):

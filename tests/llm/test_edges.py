@@ -283,6 +283,41 @@ def test_ranges_follow_one_another_over_many_spans(spark, monkeypatch):
         assert own[i * i]["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
 
 
+def test_ranges_of_null_far_clumped_and_hot_ids_are_bounded(spark, monkeypatch):
+    rng = random.Random(1)
+    rows = [(i, f"text {rng.random()} " * rng.randint(0, 5)) for i in range(1000)] + [(None, None), (None, "a"), (None, "b" * 40), (2**62, "far"), (-(2**62), "far down"), (2**63 - 1, None)]
+    rows += [(7_000_000 + i // 3, f"clump {i}") for i in range(900)] + [(555_555, f"{k} hot {rng.random()}") for k in range(700)] + [(None, f"{k} null") for k in range(600)]
+    rng.shuffle(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    for name, value in (("RANGE_ROWS", 50), ("QUANTILES", 5), ("SPAN", 7)):
+        monkeypatch.setattr(fingerprint, name, value)
+    sizes = [r["count"] for r in fingerprint.with_ranges(docs.selectExpr("doc_id", "coalesce(text, '') as text")).groupBy("rng").count().collect()]
+    assert sum(sizes) == len(rows) and max(sizes) <= 50
+    assert Counter((r["doc_id"], r["n_chars"], r["edited_sha256"]) for r in fingerprint.edited_fingerprints(docs).collect()) == edited_in_order(rows)
+
+
+def edited_in_order(rows):
+    """Descending doc_id, then text, nulls last; each text's last third from the next one."""
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, (r[1] or "").encode()), reverse=True)
+    texts = [t or "" for _, t in order]
+    return Counter(
+        (i, len(t), hashlib.sha256((t[: len(t) - len(t) // 3] + texts[(k + 1) % len(texts)][: len(t) // 3]).encode()).hexdigest()) for k, ((i, _), t) in enumerate(zip(order, texts, strict=True))
+    )
+
+
+def test_null_ids_in_a_table_of_a_thousand_rows(spark):
+    rows = [(i, f"t {i}") for i in range(1000)] + [(None, "none"), (None, None), (3, "again")]
+    got = fingerprint.edited_fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter((r["doc_id"], r["n_chars"], r["edited_sha256"]) for r in got) == edited_in_order(rows)
+
+
+def test_a_text_of_a_million_words_is_counted():
+    n, words_, symbols, dup, repeat, lines = quality_rules.count_text("a b c d\n" * 250_000)
+    assert (n, words_, symbols, dup, repeat, lines) == (10**6, 10**6, 0, 249_999, 10**6, 250_000)
+    text = " ".join(f"w{i}" for i in range(10**6))
+    assert quality_rules.count_text(text)[:5] == (10**6, len(text) - 10**6 + 1, 0, 0, 0)
+
+
 def test_a_tree_without_an_id_is_a_conversation(spark):
     rows = [(None, 1, None, "user", "hi", 0.0), (None, 2, 1, "assistant", "yo", 0.0), ("t", None, None, "user", "alone", 0.0)]
     df = spark.createDataFrame(rows, "tree string, msg long, parent long, role string, text string, score double")
