@@ -25,6 +25,7 @@ read, so none clashes; an empty table gives an empty result and appends nothing.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import json
 import uuid
@@ -95,6 +96,12 @@ class Counter:
             return sum(map(self.known.__getitem__, words))
 
 
+@functools.lru_cache(maxsize=2)
+def counter_of(path: str) -> Counter:
+    """One for all tasks of a Python worker."""
+    return Counter(path)
+
+
 def version_of(path: str) -> str:
     """The digest of the tokenizer's version."""
     import sentencepiece
@@ -111,7 +118,7 @@ def _digest(content: bytes) -> bytes:
 
 def _digests(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = Counter(path)
+        counter = counter_of(path)
         for batch in batches:
             digests = pa.array([_digest(counter.content(x.as_py())) for x in batch.column(2)], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), digests], ["doc_id", "n_bytes", "digest"])
@@ -121,7 +128,7 @@ def _digests(path: str):
 
 def _contents(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = Counter(path)
+        counter = counter_of(path)
         for batch in batches:
             found = {_digest(c): c for c in (counter.content(x.as_py()) for x in batch.column(0))}
             yield pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.binary()), pa.array(found.values(), pa.binary())], ["digest", "content"])
@@ -131,7 +138,7 @@ def _contents(path: str):
 
 def _counted(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = Counter(path)
+        counter = counter_of(path)
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counter.counts(batch.column(1).to_pylist()), pa.int64())], ["digest", "n_tokens"])
 
