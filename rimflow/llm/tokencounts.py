@@ -171,7 +171,8 @@ def token_counts(docs: DataFrame, cache: str, path: str | None = None, limit: in
         new = contents.dropDuplicates(["digest"]).mapInArrow(_counted(path), CACHE_SCHEMA)
         with job_settings(docs):
             new.write.mode("append").parquet(at)
-    found = rows.join(cached(spark, at), "digest", "left").withColumn(
+    # stored, so that only the join stands behind its exchanges and rows of a frequent digest can be dealt to several tasks
+    found = rows.join(stored(cached(spark, at), "counts"), "digest", "left").withColumn(
         "n_tokens", F.coalesce("n_tokens", F.raise_error(F.lit("the input differs from one evaluation to the next: a content has no count")).cast("long"))
     )
     return found.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
