@@ -26,9 +26,9 @@ member of a chunk; a group of very many tokens is counted by its distinct ids in
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import json
-import re
 from collections.abc import Callable, Iterator
 from itertools import chain
 
@@ -39,7 +39,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bitpack import Encoder
+from .bitpack import Encoder, _Parts
 from .bpe import _spread, _squeezed, tokenizer_path
 from .shared import stored, table
 from .texthash import mix
@@ -52,7 +52,6 @@ FAN = 64
 PER_GROUP = 1 << 20
 #: A group of tokens with more links is counted by its distinct ids.
 WIDE = 4096
-KNOWN_SEGMENTS = 500_000
 MARK = "▁"
 
 
@@ -68,53 +67,70 @@ def _bytes_of_a(path: str) -> list[bytes]:
     return out
 
 
-class Pieces:
-    """Ids of sentencepiece for a space and a text; segments that occur again are encoded once.
+class Pieces(Encoder):
+    """Ids of sentencepiece for texts that begin with the space that it puts before a text; segments that occur again are encoded once.
 
     No piece goes on after white space begins (its mark stands only at the beginning of pieces) and none holds a line break, so a text
-    may be cut before spaces and around line breaks. A model of which this is not so encodes texts whole.
+    may be cut before spaces and around line breaks. A model of which this is not so, and very long texts, are encoded whole. Where
+    ids do not spell the text, `bad` is among them.
     """
 
-    CUT = re.compile(r" *[^ \n]+| +|\n")
-
     def __init__(self, path: str):
         import sentencepiece
 
         self.lib = lib = sentencepiece.SentencePieceProcessor(model_file=path)
         names = [lib.id_to_piece(i) for i in range(lib.get_piece_size())]
         self.bytes = [bytes([int(p[3:5], 16)]) if lib.is_byte(i) else p.replace(MARK, " ").encode() for i, p in enumerate(names)]
+        self.length = [len(x) for x in self.bytes]
+        self.bad = len(names)
         self.line = [i for i in range(len(names)) if lib.is_byte(i) and self.bytes[i] == b"\n"]
         self.mark = lib.piece_to_id(MARK)
-        as_is = " a\n b 　ééﬁ"
-        self.cuts = (
+        as_is = " a\n b 　ééﬁ"
+        self.plain = (
             not any(MARK in p.lstrip(MARK) or "\n" in p for p in names) and len(self.line) == 1
             and lib.encode("\n") == [self.mark, *self.line] and b"".join(self.bytes[i] for i in lib.encode(as_is)).decode() == " " + as_is
         )
-        self.known: dict[str, list[int] | None] = {}
-
-    def _spelt(self, ids: list[int], text: str) -> list[int] | None:
-        return ids if b"".join([self.bytes[i] for i in ids]) == text.encode("utf-8", "surrogatepass") else None
-
-    def _segment(self, s: str) -> list[int] | None:
-        if s == " ":  # an empty text has no ids, so the library has none for a space alone
-            return [self.mark]
-        if s[0] == " ":
-            return self._spelt(self.lib.encode(s[1:]), s)  # the library puts a space before what it encodes
-        return self._spelt(self.lib.encode("\n" + s)[2:] if s != "\n" else self.line, s)
-
-    def __call__(self, text: str) -> list[int] | None:
-        """The ids, or None if they do not spell a space and the text."""
-        if not self.cuts:
-            return self._spelt(self.lib.encode(text), " " + text)
-        segments, known = self.CUT.findall(" " + text), self.known
-        if len(known) > KNOWN_SEGMENTS:
-            known.clear()
-        for s in set(segments).difference(known):
-            known[s] = self._segment(s)
-        try:
-            return list(chain.from_iterable(map(known.__getitem__, segments)))  # type: ignore[arg-type]
-        except TypeError:
-            return None
+        self.special: list[str] = []
+        self.kind = "<u2" if self.bad < 1 << 16 else "<u4"
+        self.known, self.older = _Parts(self.kind), _Parts(self.kind)
+
+    def _spelt(self, ids: list[int], text: str) -> list[int]:
+        return ids if b"".join([self.bytes[i] for i in ids]) == text.encode("utf-8", "surrogatepass") else [self.bad]
+
+    def _whole(self, text: str) -> np.ndarray:
+        return np.array(self._spelt(self.lib.encode(text[1:]) if text != " " else [self.mark], text), np.uint32)
+
+    _long = _whole
+
+    def _classified(self, chars: np.ndarray) -> np.ndarray:
+        return np.zeros(len(chars), np.uint8)
+
+    def _begins(self, chars: np.ndarray, kind: np.ndarray) -> np.ndarray:
+        start = np.ones(len(chars), bool)
+        space, line = chars == 32, chars == 10
+        start[1:] = (space[1:] & ~space[:-1]) | line[1:] | line[:-1] | (kind[1:] != kind[:-1])
+        return start
+
+    def _coded(self, parts: list[str]) -> list[list[int]]:
+        """The library puts a space before what it encodes."""
+        coded = self.lib.encode([s[1:] if s[:1] == " " else "\n" + s for s in parts], num_threads=1)
+        for k, s in enumerate(parts):
+            if s[:1] != " ":
+                coded[k] = coded[k][2:] if s != "\n" else self.line
+            elif s == " ":  # an empty text has no ids, so the library has none for a space alone
+                coded[k] = [self.mark]
+        whole = b"".join(map(self.bytes.__getitem__, chain.from_iterable(coded)))
+        if whole == "".join(parts).encode("utf-8", "surrogatepass") and all(
+            sum(map(self.length.__getitem__, ids)) == len(s.encode("utf-8", "surrogatepass")) for ids, s in zip(coded, parts, strict=True)
+        ):
+            return coded
+        return [self._spelt(ids, s) for ids, s in zip(coded, parts, strict=True)]
+
+
+@functools.lru_cache(maxsize=2)
+def sides_of(path_a: str, path_b: str) -> tuple[Encoder, Pieces, list[bytes]]:
+    """The encoders and the bytes of A's ids: one of each for all tasks of a Python worker."""
+    return Encoder(path_a, plain=True), Pieces(path_b), _bytes_of_a(path_a)
 
 
 class Aligned:
@@ -166,15 +182,20 @@ class Aligned:
         return ["".join(out[lo:hi].tolist())[:-1] for lo, hi in zip((upto - size).tolist(), upto.tolist(), strict=True)]
 
 
-def distinct_pairs(doc: np.ndarray, pair: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The distinct pairs by shard and value, their shards, the numbers of documents, and where each link's pair is."""
+def distinct_pairs(pair: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct pairs by shard and value, their shards, and where each link's pair is."""
     pairs, where = np.unique(pair, return_inverse=True)
-    n = np.bincount(np.unique(doc * max(1, len(pairs)) + where) % max(1, len(pairs)), minlength=len(pairs))
     shard = (pairs >> 32) % SHARDS
     order = np.argsort(shard, kind="stable")
     place = np.empty(len(pairs), np.int64)
     place[order] = np.arange(len(pairs))
-    return pairs[order], shard[order], n[order], place[where]
+    return pairs[order], shard[order], place[where]
+
+
+def documents_of(doc: np.ndarray, where: np.ndarray, n_pairs: int) -> np.ndarray:
+    """In how many documents each distinct pair is; links come by document but for those of wide groups."""
+    seen = np.unique(doc * max(1, n_pairs) + where)
+    return np.bincount(seen % max(1, n_pairs), minlength=n_pairs)
 
 
 class PerfectHash:
@@ -251,28 +272,27 @@ def _lengths(of: list[bytes]) -> np.ndarray:
     return np.array([len(x) for x in of], np.int64)
 
 
-def _flat(parts: list) -> np.ndarray:
-    return np.concatenate([np.asarray(p, np.uint32) for p in parts]) if parts else np.empty(0, np.uint32)
+def _flat(parts: list[np.ndarray]) -> np.ndarray:
+    return np.concatenate(parts) if parts else np.empty(0, np.uint32)
 
 
 def _coded(path_a: str, path_b: str, want: str, chunk_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode_a, encode_b, bytes_a = Encoder(path_a, plain=True), Pieces(path_b), _bytes_of_a(path_a)
+        encode_a, encode_b, bytes_a = sides_of(path_a, path_b)
         lengths = _lengths(bytes_a), _lengths(encode_b.bytes)
         names = [[np.array([f"{i}{c}" for i in range(len(x))], object) for c in signs] for x, signs in zip(lengths, (",|", ",;"), strict=True)]
-        task, number = TaskContext.get().partitionId(), 0
+        task, number, none = TaskContext.get().partitionId(), 0, np.empty(0, np.uint32)
 
         def chunk(docs: list[tuple[int | None, str]]) -> pa.RecordBatch:
             nonlocal number
-            coded_b = [encode_b(t) if t else None for _, t in docs]
-            texts = [" " + t for (_, t), b in zip(docs, coded_b, strict=True) if b is not None]
-            coded_a = iter(encode_a.all(texts))
+            texts = [" " + t for _, t in docs if t]
+            coded = iter(zip(texts, encode_a.all(texts), encode_b.all(texts), strict=True))
             side_a, side_b = [], []
-            for (_, t), b in zip(docs, coded_b, strict=True):
-                a = next(coded_a) if b is not None else ()
-                spelt = b is not None and b"".join([bytes_a[i] for i in a.tolist()]) == (" " + t).encode("utf-8", "surrogatepass")
-                side_a.append(a if spelt else ())
-                side_b.append(b if spelt else ())
+            for _, t in docs:
+                spaced, a, b = next(coded) if t else ("", none, none)
+                spelt = not (b == encode_b.bad).any() and b"".join([bytes_a[i] for i in a.tolist()]) == spaced.encode("utf-8", "surrogatepass")
+                side_a.append(a if spelt else none)
+                side_b.append(b if spelt else none)
             n_a, n_b = np.array([len(x) for x in side_a]), np.array([len(x) for x in side_b])
             flat_a, flat_b = _flat(side_a), _flat(side_b)
             aligned = Aligned(flat_a, flat_b, n_a, n_b, *lengths)
@@ -280,7 +300,8 @@ def _coded(path_a: str, path_b: str, want: str, chunk_bytes: int):
             if want == "groups_sha256":
                 texts = [hashlib.sha256(x.encode()).hexdigest() if x else "" for x in texts]
             doc, pair, _ = aligned.links()
-            pairs, shard, n, _ = distinct_pairs(doc, pair)
+            pairs, shard, where = distinct_pairs(pair)
+            n = documents_of(doc, where, len(pairs))
             key, number = (task << 32) + number, number + 1
             cuts = np.flatnonzero(np.diff(shard)) + 1
             rows = [
@@ -380,16 +401,14 @@ def _answered(_key: tuple, sent: pa.Table, hashes: pa.Table) -> pa.Table:
 
 
 def _looked_up(path_a: str, path_b: str, want: str):
-    lengths: list[np.ndarray] = []
-
     def run(_key: tuple, coded: pa.Table, answers: pa.Table) -> pa.Table:
-        if not lengths:  # once for a worker
-            lengths.extend([_lengths(_bytes_of_a(path_a)), _lengths(Pieces(path_b).bytes)])
+        _, encode_b, bytes_a = sides_of(path_a, path_b)
+        lengths = _lengths(bytes_a), _lengths(encode_b.bytes)
         row = coded.to_pylist()[0]
         n_a, n_b = np.array(row["n_a"], np.int64), np.array(row["n_b"], np.int64)
         aligned = Aligned(_spread(row["a"]), _spread(row["b"]), n_a, n_b, *lengths)
         doc, pair, times = aligned.links()
-        pairs, shard, _, where = distinct_pairs(doc, pair)
+        pairs, shard, where = distinct_pairs(pair)
         count, best = np.zeros(len(pairs), np.int64), np.zeros(len(pairs), np.int64)
         seen = 0
         for s, raw, bits in zip(answers["shard"].to_pylist(), answers["counts"].to_pylist(), answers["best"].to_pylist(), strict=True):

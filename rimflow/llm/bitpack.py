@@ -201,8 +201,7 @@ class Encoder:
             if not self.plain or any(s in text for s in self.special):
                 out[k] = self._whole(text)
             elif len(text) > AT_ONCE:
-                pieces = [self._cut([x]) for x in _pieces(text)]
-                out[k] = self._whole(text) if any(p is None for p in pieces) else np.concatenate([p[0] for p in pieces])
+                out[k] = self._long(text)
             elif text:
                 if size + len(text) > AT_ONCE:
                     self._fill(out, texts, group)
@@ -212,6 +211,10 @@ class Encoder:
         self._fill(out, texts, group)
         return out
 
+    def _long(self, text: str) -> np.ndarray:
+        pieces = [self._cut([x]) for x in _pieces(text)]
+        return self._whole(text) if any(p is None for p in pieces) else np.concatenate([p[0] for p in pieces])
+
     def _whole(self, text: str) -> np.ndarray:
         return np.array(self.lib.encode(text, add_special_tokens=False).ids, np.uint32)
 
@@ -219,7 +222,7 @@ class Encoder:
         if group:
             found = self._cut([texts[k] for k in group])
             if found is None:  # some code point is of uncertain class: find its texts
-                unsure = [bool((_classes()[_code_points(texts[k])] == _UNSURE).any()) for k in group]
+                unsure = [self._classified(_code_points(texts[k])) is None for k in group]
                 for k, u in zip(group, unsure, strict=True):
                     if u:
                         out[k] = self._whole(texts[k])
@@ -228,15 +231,27 @@ class Encoder:
                 for k, x in zip(group, found, strict=True):
                     out[k] = x
 
+    def _classified(self, chars: np.ndarray) -> np.ndarray | None:
+        """The classes of characters; None if one is uncertain."""
+        kind = _classes()[chars]
+        return None if (kind == _UNSURE).any() else kind
+
+    def _begins(self, chars: np.ndarray, kind: np.ndarray) -> np.ndarray:
+        return _starts(chars, kind)
+
+    def _coded(self, parts: list[str]) -> list[list[int]]:
+        encode, byte = self.lib.model.tokenize, self.byte
+        return [[t.id for t in encode(p.encode().decode("latin-1").translate(byte))] for p in parts]
+
     def _cut(self, texts: list[str]) -> list[np.ndarray] | None:
         joined = "\n".join(texts) + "\n"
         chars = _code_points(joined).copy()
-        kind = _classes()[chars]
+        kind = self._classified(chars)
         ends = np.cumsum([len(t) + 1 for t in texts]) - 1
-        if (kind == _UNSURE).any():
+        if kind is None:
             return None
         kind[ends], chars[ends] = _END, 0x110000
-        starts = np.flatnonzero(_starts(chars, kind))
+        starts = np.flatnonzero(self._begins(chars, kind))
         length = np.append(starts[1:], len(chars)) - starts
         key = _hashes(chars, starts, length)
         order = np.argsort(key)
@@ -270,8 +285,7 @@ class Encoder:
                 self.known.add(key[old], _taken(chars, at[old], length[old]), length[old], _taken(self.older.flat, begin, size), size)
             new = new[~there]
         if len(new):
-            encode, byte = self.lib.model.tokenize, self.byte
-            coded = [[t.id for t in encode(part(k).encode().decode("latin-1").translate(byte))] for k in new.tolist()]
+            coded = self._coded([part(k) for k in new.tolist()])
             size = np.array([len(x) for x in coded], np.int64)
             self.known.add(key[new], _taken(chars, at[new], length[new]), length[new], np.array([i for x in coded for i in x], self.kind), size)
         where = np.searchsorted(self.known.key, key)  # all are there now
