@@ -45,13 +45,15 @@ from .shared import stored, table
 from .texthash import mix
 
 A_FILE, B_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
-CHUNK = 4 << 20
+CHUNK = 2 << 20
 SHARDS = 256
 FAN = 64
 #: Pairs that the chunks of one group send to a shard, on the average.
 PER_GROUP = 1 << 20
 #: A group of tokens with more links is counted by its distinct ids.
 WIDE = 4096
+#: Parts of texts of which each encoder keeps the ids, in each of two generations.
+KEPT = 300_000
 MARK = "▁"
 
 
@@ -130,7 +132,16 @@ class Pieces(Encoder):
 @functools.lru_cache(maxsize=2)
 def sides_of(path_a: str, path_b: str) -> tuple[Encoder, Pieces, list[bytes]]:
     """The encoders and the bytes of A's ids: one of each for all tasks of a Python worker."""
-    return Encoder(path_a, plain=True), Pieces(path_b), _bytes_of_a(path_a)
+    a, b = Encoder(path_a, plain=True), Pieces(path_b)
+    a.keep = b.keep = KEPT
+    return a, b, _bytes_of_a(path_a)
+
+
+@functools.lru_cache(maxsize=2)
+def lengths_of(path_a: str, path_b: str) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes that each id of A and of B has."""
+    sides_of.cache_clear()  # a worker that is past encoding gives its memory back
+    return _lengths(_bytes_of_a(path_a)), _lengths(Pieces(path_b).bytes)
 
 
 class Aligned:
@@ -402,8 +413,7 @@ def _answered(_key: tuple, sent: pa.Table, hashes: pa.Table) -> pa.Table:
 
 def _looked_up(path_a: str, path_b: str, want: str):
     def run(_key: tuple, coded: pa.Table, answers: pa.Table) -> pa.Table:
-        _, encode_b, bytes_a = sides_of(path_a, path_b)
-        lengths = _lengths(bytes_a), _lengths(encode_b.bytes)
+        lengths = lengths_of(path_a, path_b)
         row = coded.to_pylist()[0]
         n_a, n_b = np.array(row["n_a"], np.int64), np.array(row["n_b"], np.int64)
         aligned = Aligned(_spread(row["a"]), _spread(row["b"]), n_a, n_b, *lengths)

@@ -176,6 +176,8 @@ class Encoder:
     older, from which parts are taken over when they occur.
     """
 
+    keep = KNOWN
+
     def __init__(self, path: str, plain: bool = False):
         self.lib = load(path)
         self.lib.encode_special_tokens = plain
@@ -273,7 +275,7 @@ class Encoder:
 
     def _ids(self, key: np.ndarray, chars: np.ndarray, at: np.ndarray, length: np.ndarray, part: Callable[[int], str]) -> tuple[np.ndarray, np.ndarray]:
         """Sizes and ids of different parts, whose keys ascend; part(k) has the characters of the k-th."""
-        if len(self.known.key) > KNOWN:
+        if len(self.known.key) > self.keep:
             self.known, self.older = _Parts(self.kind), self.known
         there, _ = self.known.find(key, chars, at, length)
         new = np.flatnonzero(~there)
