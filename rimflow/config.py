@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, fields
+from dataclasses import dataclass, field, fields
 
 # Event types.
 EVENT_TYPES = (
@@ -56,10 +56,11 @@ class EngineConfig:
     max_frames: int = 0
     frames_before_game: int = 0
     min_detection: int = 30
+    min_detection_ball: int = 10
     min_height: int = 50
     min_appearances: int = 3
     # matching
-    match_reach: int = 400
+    match_reach: int = 150
     write_back_reach: int = 20
     appearance_max: float = 0.35
     zone_margin: int = 0
@@ -109,10 +110,11 @@ class EngineConfig:
     still_frames: int = 45
     min_confidence: float = 0.35
     min_dead_sec: float = 0.5
-    # court
-    three_x: int = 281
-    paint_x: int = 153
-    paint_y: int = 216
+    # court, as shares of the frame: the three-point line and the paint
+    three_share: float = 0.22
+    paint_share_x: float = 0.12
+    paint_share_y: float = 0.3
+    attacking_left: bool = True
     # statistics
     hot_window: int = 5
     hot_makes: int = 3
@@ -120,6 +122,8 @@ class EngineConfig:
     combo_window: int = 5
     combo_bonus: float = 2.0
     momentum_decay: float = 0.92
+    highlight: dict[str, int] = field(default_factory=lambda: dict(HIGHLIGHT))
+    momentum: dict[str, float] = field(default_factory=lambda: dict(MOMENTUM))
     moment_score: float = 5.0
     top_moments: int = 50
     log_rows: int = 2000
@@ -140,6 +144,18 @@ class EngineConfig:
     period_sec: int = 600
     periods: int = 4
 
+    @property
+    def three_x(self) -> int:
+        return int(self.frame_width * self.three_share)
+
+    @property
+    def paint_x(self) -> int:
+        return int(self.frame_width * self.paint_share_x)
+
+    @property
+    def paint_y(self) -> int:
+        return int(self.frame_height * self.paint_share_y)
+
     @classmethod
     def merged(cls, *layers: dict | None) -> EngineConfig:
         """Later layers win: file, then command line. Unknown keys and nulls are ignored."""
@@ -154,5 +170,5 @@ DEFAULT = EngineConfig()
 #: The driver's tables give short games of unconnected frames: the same rules, with spans that such traces can meet.
 TRACE = EngineConfig(
     possession_radius=300, block_radius=180.0, rim_radius=200.0, clip_gap=3, reel_hold=2, reel_lead=3, dead_after_score=10, missing_frames=3,
-    still_frames=5, rest_frames=3, min_dead_sec=0.0, merge_gap=3, min_segment=2, segment_pad=1, period_sec=3, scan_seconds=3.0, frames_before_game=500, appearance_max=0.95, jersey_cache=4,
+    still_frames=5, rest_frames=3, min_dead_sec=0.0, merge_gap=3, min_segment=2, segment_pad=1, min_detection_ball=30, period_sec=3, scan_seconds=3.0, frames_before_game=500, appearance_max=0.95, jersey_cache=4,
 )

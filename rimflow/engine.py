@@ -17,7 +17,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rimflow.config import DEFAULT, EngineConfig
+from rimflow.config import COURT_POLYGON, DEFAULT, EngineConfig
 from rimflow.operators.teams import team_clusters
 from rimflow.plans.core import bind
 from rimflow.plans.registry import plans
@@ -28,7 +28,8 @@ class Engine:
     def __init__(self, spark: SparkSession, config: EngineConfig = DEFAULT, **inputs: DataFrame):
         self.spark, self.config, self.inputs, self.plans = spark, config, dict(inputs), plans(config)
         self.inputs.setdefault("zo", spark.sql(adapters.zones_sql(width=config.frame_width, height=config.frame_height)))
-        self.inputs.setdefault("po", spark.sql(adapters.polygon_sql()))
+        x, y = config.frame_width / DEFAULT.frame_width, config.frame_height / DEFAULT.frame_height
+        self.inputs.setdefault("po", spark.sql(adapters.polygon_sql(tuple((int(a * x), int(b * y)) for a, b in COURT_POLYGON))))
         if "ho" not in self.inputs and "ri" in self.inputs:
             self.inputs["ho"] = calibration.hoops(bind(spark, self.plans["auto_calibration"], self.inputs))
 
@@ -43,7 +44,7 @@ class Engine:
     def snapshot(self) -> DataFrame:
         """One row for each game with its summary and, nested, its teams and players."""
         nest = lambda df, name: df.groupBy("game_id").agg(F.sort_array(F.collect_list(F.struct([c for c in df.columns if c != "game_id"]))).alias(name))
-        return self.game_summary().join(nest(self.team_totals(), "teams"), "game_id", "left").join(nest(self.player_stats(), "box"), "game_id", "left")
+        return (self.summary() if "fr" in self.inputs else self.game_summary()).join(nest(self.team_totals(), "teams"), "game_id", "left").join(nest(self.player_stats(), "box"), "game_id", "left")
 
     # queries with arguments; what is left out does not restrict
 
@@ -57,6 +58,10 @@ class Engine:
             found = found.withColumn("_place", place).where(F.col("_place") <= recent).drop("_place")
         return found
 
+    def summary(self) -> DataFrame:
+        """game_summary with the frames and seconds in which play was dead or live."""
+        return self.game_summary().join(self.game_time(), "game_id", "left")
+
     def box(self, team: int | None = None, game: int | None = None) -> DataFrame:
         return _matching(self.box_score(), team=team, game_id=game)
 

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from rimflow.config import DEFAULT, EngineConfig
+from rimflow.config import EngineConfig
 
 from .core import Plan
 
-W, H = DEFAULT.frame_width, DEFAULT.frame_height
-
 _INTER = "(greatest(0, least(a.x2, b.x2) - greatest(a.x1, b.x1)) * greatest(0, least(a.y2, b.y2) - greatest(a.y1, b.y1)))"
 _AREAS = "((a.x2 - a.x1) * (a.y2 - a.y1) + (b.x2 - b.x1) * (b.y2 - b.y1))"
 
@@ -47,12 +45,12 @@ _DKEY = "concat_ws('-', cast(d.k1 as STR), cast(d.k2 as STR), cast(d.k3 as STR))
 _DX, _DY = "(t.cx - (d.x1 + d.x2) // 2)", "(t.cy - (d.y1 + d.y2) // 2)"
 
 
-def _pairs(reach: int) -> str:
-    """Tracks and detections of a frame whose centres lie within reach in x and y."""
+def _pairs(near: str) -> str:
+    """Tracks and detections of a frame whose centres are near each other."""
     return f"""
 pairs as (
   select t.game_id, t.frame_id, {_DX} * {_DX} + {_DY} * {_DY} as d2, t.track_id, d.k1, d.k2, d.k3, {_TKEY} as tkey, {_DKEY} as dkey
-  from <<tr>> t join <<de>> d on t.game_id = d.game_id and t.frame_id = d.frame_id where abs({_DX}) < {reach} and abs({_DY}) < {reach}
+  from <<tr>> t join <<de>> d on t.game_id = d.game_id and t.frame_id = d.frame_id where {near}
 )"""
 
 
@@ -88,11 +86,16 @@ _PEARSON_ROWS = """
 
 
 def plans(C: EngineConfig) -> dict[str, Plan]:
+    W, H = C.frame_width, C.frame_height
+    # near the basket that is attacked, and at the other end
+    near, far = f"ball_x < {C.three_x}", f"ball_x > {W - C.three_x}"
+    if not C.attacking_left:
+        near, far = far, near
     found: dict[str, Plan] = {
         "scan_prefix_stride": Plan(f"""select game_id, frame_id, class_name, x1, y1, x2, y2 from <<de>> de where frame_id % {max(1, int(C.fps / C.scan_rate))} = 0
     and frame_id - {C.frames_before_game} * game_id <= {min(int(C.scan_seconds * C.fps), C.max_frames or int(C.scan_seconds * C.fps))}""", covers=("S3", "S4")),
         "det_filter": Plan(
-            f"select game_id, frame_id, k1, k2, k3, class_name, conf from <<de>> de where conf >= {C.min_detection} and class_name in ('ball', 'rim') and x2 - x1 >= {C.ocr_width} and y2 - y1 >= {C.ocr_height}",
+            f"select game_id, frame_id, k1, k2, k3, class_name, conf from <<de>> de where (class_name = 'ball' and conf >= {C.min_detection_ball} or class_name = 'rim' and conf >= {C.min_detection}) and x2 - x1 >= {C.ocr_width} and y2 - y1 >= {C.ocr_height}",
             covers=("S5", "F3", "F4", "F23"),
         ),
         "player_scan": Plan(
@@ -149,8 +152,11 @@ def plans(C: EngineConfig) -> dict[str, Plan]:
             covers=("F14", "F15"),
         ),
         "court_zone": Plan(
-            f"""select game_id, seq, case when ball_x > {W - C.three_x} then 'backcourt' when ball_x < {C.paint_x} and ball_y > {C.paint_y} then 'paint'
-                when ball_x < {C.three_x} then 'mid_range' else 'three_point' end as zone, ball_x between {C.three_x} and {W - C.three_x} as is_three from <<ge>> ge""",
+            f"""select game_id, seq, case when {far} then 'backcourt' when {near} then case when ball_x < {C.paint_x} and ball_y > {C.paint_y} then 'paint' else 'mid_range' end else 'three_point' end as zone,
+           not ({near} or {far}) as is_three from <<ge>> ge""",
+            f"""with b as (select *, case when ball_x < {C.three_x} then 'left' when ball_x > {W - C.three_x} then 'right' end as band from <<ge>> ge)
+    select game_id, seq, case when band is null then 'three_point' when band <> '{"left" if C.attacking_left else "right"}' then 'backcourt'
+             when ball_x between 0 and {C.paint_x - 1} and ball_y >= {C.paint_y + 1} then 'paint' else 'mid_range' end as zone, band is null as is_three from b""",
             covers=("C1", "C2"),
         ),
         "court_zone_calibrated": Plan(
@@ -174,7 +180,7 @@ def plans(C: EngineConfig) -> dict[str, Plan]:
         ),
         "team_side": Plan(f"select game_id, frame_id, track_id, x1, y1, y2, case when cx * 2 < {W} then 0 else 1 end as team from <<tr>> tr", covers=("C6",)),
         # the first free detection of each track, tracks and detections in their order
-        "band_join": _greedy(_pairs(C.write_back_reach), "track_id, k1, k2, k3", "game_id, frame_id, tkey, dkey").claims("J7"),
+        "band_join": _greedy(_pairs(f"abs({_DX}) < {C.write_back_reach} and abs({_DY}) < {C.write_back_reach}"), "track_id, k1, k2, k3", "game_id, frame_id, tkey, dkey").claims("J7"),
         "heatmap": Plan(f"select game_id, cx // {C.heat_cell} as gx, cy // {C.heat_cell} as gy, count(*) as n from <<tr>> tr where cx between 0 and {W - 1} and cy between 0 and {H - 1} group by game_id, cx // {C.heat_cell}, cy // {C.heat_cell}", covers=("A15",)),
         "heatmap_norm": Plan(
             f"""with h as (select game_id, cx // {C.heat_cell} as gx, cy // {C.heat_cell} as gy, count(*) as n from <<tr>> tr where cx between 0 and {W - 1} and cy between 0 and {H - 1} group by game_id, cx // {C.heat_cell}, cy // {C.heat_cell}),
@@ -199,7 +205,7 @@ def plans(C: EngineConfig) -> dict[str, Plan]:
             covers=("O6",),
         ),
         # nearest pairs first
-        "assign_greedy": _greedy(_pairs(C.match_reach), "d2", "game_id, frame_id, tkey, dkey, d2").claims("J5", "J6"),
+        "assign_greedy": _greedy(_pairs(f"{_DX} * {_DX} + {_DY} * {_DY} <= {C.match_reach**2}"), "d2", "game_id, frame_id, tkey, dkey, d2").claims("J5", "J6"),
         # one row for each selected player and frame: the candidate that looks most like them, if it is near enough
         "appearance_match": Plan(
             f"""with {_VECTORS}, m as (

@@ -85,20 +85,26 @@ def plans(C: EngineConfig) -> dict[str, Plan]:
 
     _CHANGES = (
         POSSESSION
-        + """, gaps as (
+        + """, numbered as (
+      select *, count(*) over (partition by game_id order by frame_id) as nth, case when holder is not null then ball_x end as hx, case when holder is not null then ball_y end as hy from held
+    ), gaps as (
       select *, lag(holder) over (partition by game_id order by frame_id) as before, LAGNN[holder] over (partition by game_id order by frame_id) as last_holder, LAGNN[team] over (partition by game_id order by frame_id) as last_team,
-             max(case when holder is not null then frame_id end) over (partition by game_id order by frame_id rows between unbounded preceding and 1 preceding) as last_frame,
-             count(*) over (partition by game_id order by frame_id) as nth from held
+             LAGNN[hx] over (partition by game_id order by frame_id) as last_x, LAGNN[hy] over (partition by game_id order by frame_id) as last_y,
+             max(case when holder is not null then nth end) over (partition by game_id order by frame_id rows between unbounded preceding and 1 preceding) as last_nth from numbered
     )"""
     )
 
-    _TURNOVERS = "select game_id, frame_id, last_holder as loser, holder as winner from gaps where holder is not null and last_holder is not null and holder <> last_holder and team <> last_team and team >= 0 and last_team >= 0"
+    #: The ball went to another team, whose player took it from the last holder.
+    _LOST = "holder is not null and last_holder is not null and holder <> last_holder and team <> last_team and team >= 0 and last_team >= 0"
+    #: ... out of the air, while a pass could still be under way: then it is a steal, else a turnover.
+    _STOLEN = f"{_LOST} and before is null and nth - last_nth - 1 <= {C.pass_frames}"
+    _TURNOVERS = f"select game_id, frame_id, last_holder as loser, holder as winner from gaps where {_LOST}"
+    _STEALS = f"select game_id, frame_id, holder as thief, last_holder as victim, cast(nth - last_nth - 1 as bigint) as flight from gaps where {_STOLEN}"
     # teams that are unknown count as equal
     _PASSES = f"""
-    select a.game_id, a.frame_id, a.last_holder as sender, a.holder as receiver, cast(a.nth - b.nth - 2 as bigint) as flight
-    from gaps a join gaps b on a.game_id = b.game_id and a.last_frame = b.frame_id
-    where a.holder is not null and a.before is null and a.last_holder is not null and a.holder <> a.last_holder and a.team = a.last_team
-      and (a.ball_x - b.ball_x) * (a.ball_x - b.ball_x) + (a.ball_y - b.ball_y) * (a.ball_y - b.ball_y) >= {int(C.pass_distance**2)} and a.nth - b.nth - 1 <= {C.pass_frames + 1}"""
+    select game_id, frame_id, last_holder as sender, holder as receiver, cast(nth - last_nth - 2 as bigint) as flight from gaps
+    where holder is not null and before is null and last_holder is not null and holder <> last_holder and team = last_team
+      and (ball_x - last_x) * (ball_x - last_x) + (ball_y - last_y) * (ball_y - last_y) >= {int(C.pass_distance**2)} and nth - last_nth - 1 <= {C.pass_frames + 1}"""
 
     #: Per frame: is the ball there and falling, does it enter a hoop from above, is it within one.
     _HOOP_FLAGS = """sides as (
@@ -147,6 +153,24 @@ def plans(C: EngineConfig) -> dict[str, Plan]:
     ), activity as (
       select *, last_attempt is not null and (last_score is null or last_score < last_attempt) as active from followed
     )"""
+    #: A shot that is under way and comes near the rim (twice the radius of a score) without a score misses; one for each attempt. Its team is that of the holder when it was attempted.
+    #: The rebound is the first new holder from then on, if soon enough: a holder is new after a frame without one, or after another one.
+    _MISSES = f"""near_rim as (
+      select game_id, frame_id, last_attempt from activity where active and coalesce(score, 0) = 0 and (ball_x - rim_x) * (ball_x - rim_x) + (ball_y - rim_y) * (ball_y - rim_y) <= {int(4 * C.rim_radius**2)}
+    ), misses as (
+      select n.game_id, n.last_attempt, n.frame_id, h.holder as shooter, coalesce(h.team, -1) as shot_team from (select game_id, last_attempt, min(frame_id) as frame_id from near_rim group by game_id, last_attempt) n
+      left join held h on h.game_id = n.game_id and h.frame_id = n.last_attempt
+    ), entered as (
+      select g.game_id, g.frame_id, g.holder, g.team, max(m.frame_id) over (partition by g.game_id order by g.frame_id) as miss_frame, LASTNN[m.shot_team] over (partition by g.game_id order by g.frame_id) as miss_team,
+             max(case when m.frame_id is not null then m.last_attempt end) over (partition by g.game_id order by g.frame_id) as attempt, coalesce(g.holder is not null and (g.before is null or g.before <> g.holder), false) as new
+      from gaps g left join misses m on m.game_id = g.game_id and m.frame_id = g.frame_id
+    ), firsts as (
+      select *, row_number() over (partition by game_id, miss_frame order by frame_id) as nth from entered where new and miss_frame is not null
+    ), rebounds as (
+      select game_id, frame_id, holder as track, case when team = miss_team then 'rebound_off' else 'rebound_def' end as etype, miss_frame from firsts
+      where nth = 1 and frame_id - miss_frame <= {C.rebound_frames} and miss_team >= 0
+    )"""
+
     _BLOCKS = f"""block_candidates as (
       select a.game_id, a.frame_id from activity a join (select * from near where r = 1) n on a.game_id = n.game_id and a.frame_id = n.frame_id
       where active and v2 >= {int(C.block_speed**2)} and (a.ball_x - rim_x) * (a.ball_x - rim_x) + (a.ball_y - rim_y) * (a.ball_y - rim_y) <= {int(C.block_radius**2)}
@@ -207,6 +231,10 @@ def plans(C: EngineConfig) -> dict[str, Plan]:
         "possession": Plan(f"with {POSSESSION} select game_id, frame_id, holder from held", covers=("T1", "M8")),
         "turnovers": Plan(f"with {_CHANGES} {_TURNOVERS}", covers=("T10",)),
         "passes": Plan(f"with {_CHANGES} {_PASSES}", covers=("T8",)),
+        "possession_steals": Plan(f"with {_CHANGES} {_STEALS}", covers=("T9",)),
+        "possession_rebounds": _both(
+            f"{_CHANGES}, {_BALL}, {_SHOTS}, {_SCORES}, {_ACTIVE}, {_MISSES}", "select game_id, frame_id, track, etype, miss_frame from rebounds", ("T11",), scores=SCORES
+        ),
         "shot_attempts": Plan(f"with {_BALL}, {_SHOTS} select * from attempts", covers=("T2",)),
         "rim_crossing": Plan(f"with {_BALL}, {_CROSS} select game_id, frame_id, r2, in_x from crossings", covers=("F20", "T3")),
         "cooldown": _both(f"{_BALL}, {_SCORES}", "select game_id, frame_id from scores", ("T3",), scores=SCORES),
@@ -217,7 +245,7 @@ def plans(C: EngineConfig) -> dict[str, Plan]:
         ),
         # what the frames say: attempts and scores with shooter and points, blocks, passes and turnovers
         "frame_events": _both(
-            f"""{_CHANGES}, {_BALL}, {_SHOTS}, {_SCORES}, {_ACTIVE}, {_BLOCKS}, known as (
+            f"""{_CHANGES}, {_BALL}, {_SHOTS}, {_SCORES}, {_ACTIVE}, {_MISSES}, {_BLOCKS}, known as (
       select a.game_id, a.frame_id, a.attempt, a.score, a.last_attempt, a.active, a.ball_x between {C.three_x} and {C.frame_width - C.three_x} as is_three, h.holder, case when h.holder is not null then h.team end as team,
              LASTNN[h.holder] over (partition by a.game_id order by a.frame_id rows between unbounded preceding and current row) as recent
       from activity a left join held h on a.game_id = h.game_id and a.frame_id = h.frame_id
@@ -230,7 +258,10 @@ def plans(C: EngineConfig) -> dict[str, Plan]:
     union all select game_id, frame_id, case when is_three then 'score_3pt' else 'score_2pt' end, track, null, is_three from scored
     union all select b.game_id, b.frame_id, 'block', n.track_id, null, false from blocks b join near n on b.game_id = n.game_id and b.frame_id = n.frame_id where n.r = 1
     union all select game_id, frame_id, 'pass', sender, receiver, false from ({_PASSES}) p
-    union all select game_id, frame_id, 'turnover', loser, winner, false from ({_TURNOVERS}) t""",
+    union all select game_id, frame_id, 'shot_miss', shooter, null, false from misses
+    union all select game_id, frame_id, etype, track, null, false from rebounds
+    union all select game_id, frame_id, 'steal', thief, victim, false from ({_STEALS}) s
+    union all select game_id, frame_id, 'turnover', last_holder, holder, false from gaps where {_LOST} and not ({_STOLEN})""",
             ("T21", "J19"), scores=SCORES, blocks=BLOCKS,
         ),
         # a ball that falls into a hoop, or stays in it for some frames while falling; then a pause
@@ -345,4 +376,9 @@ def plans(C: EngineConfig) -> dict[str, Plan]:
         ),
     }
 
+    # how long play was dead and how long it went on
+    dead = found["dead_state"]
+    time = "select game_id, count(*) as frames, count(case when dead then 1 end) as dead_frames, cast(count(case when dead then 1 end) as double) / FPS as dead_seconds, cast(count(case when not dead then 1 end) as double) / FPS as live_seconds from ds group by game_id"
+    time = time.replace("FPS", str(C.fps))
+    found["game_time"] = Plan(f"with ds as ({dead.sql}) {time}", f"with ds as ({dead.oracle}) {time}", ("A27", "P21"))
     return found

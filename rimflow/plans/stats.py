@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from rimflow.config import EVENT_TYPES, HIGHLIGHT, MOMENTUM, RATING_HUNDREDTHS, EngineConfig
+from rimflow.config import EVENT_TYPES, RATING_HUNDREDTHS, EngineConfig
 
 from .core import Plan
 
@@ -117,7 +117,7 @@ def plans(C: EngineConfig) -> dict[str, Plan]:
     _HOT = f"n5 >= {C.hot_window} and makes5 >= {C.hot_makes}"
 
     SCORED = _TRIES + f""", weighed as (
-      select g.*, {_case(HIGHLIGHT)} as base,
+      select g.*, {_case(C.highlight)} as base,
              coalesce(t.n_before >= {C.hot_window} and t.makes_before >= {C.hot_makes}, false) and g.etype in ('score_2pt', 'score_3pt') as hot
       from <<ge>> g left join tries t on g.game_id = t.game_id and g.seq = t.seq and t.made
     ), combos as (
@@ -224,7 +224,7 @@ def plans(C: EngineConfig) -> dict[str, Plan]:
         # every event of the game makes a team's momentum decay; its own also add to it and round it
         "momentum": Plan(
             f"""with d as (
-      select game_id, seq, p_team, cast({_case(MOMENTUM)} as double) as delta from <<ge>> ge
+      select game_id, seq, p_team, cast({_case(C.momentum)} as double) as delta from <<ge>> ge
     ), o as (
       select game_id, p_team as team, delta, row_number() over (partition by game_id order by seq) as k, count(*) over (partition by game_id) as n from d where delta <> 0 and p_team is not null
     ), lists as (select game_id, team, max(n) as n, sort_array(collect_list(struct(k, delta))) as es from o group by game_id, team),
@@ -234,7 +234,7 @@ def plans(C: EngineConfig) -> dict[str, Plan]:
     )
     select game_id, team, if(s.k = n, s.m, aggregate(sequence(s.k + 1, n), s.m, (x, i) -> x * cast({C.momentum_decay} as double))) as momentum, n from folded""",
             f"""with recursive d as (
-      select game_id, seq, p_team, cast({_case(MOMENTUM)} as double) as delta from <<ge>> ge
+      select game_id, seq, p_team, cast({_case(C.momentum)} as double) as delta from <<ge>> ge
     ), o as (select *, row_number() over (partition by game_id order by seq) as k, count(*) over (partition by game_id) as n from d where delta <> 0 and p_team is not null),
     f as (
       select distinct game_id, p_team as team, 0::bigint as k, n, 0.0::double as m from o
@@ -289,7 +289,7 @@ def plans(C: EngineConfig) -> dict[str, Plan]:
         "game_summary": Plan(
             f"""select game_id, count(*) as events, cast(sum({_POINTS}) as bigint) as points, cast(max(seq) - min(seq) as bigint) as span, count(distinct p_track) as players,
            cast(sum(case when etype in ('shot_attempt', 'shot_miss') then 1 else 0 end) as bigint) as shots from <<ge>> ge group by game_id""",
-            covers=("P21", "M3", "A27", "U6"),
+            covers=("P21", "M3", "U6"),
         ),
         "identity_resolution": Plan(
             f"""with {ACTIONS}, seen as (
@@ -351,7 +351,7 @@ def plans(C: EngineConfig) -> dict[str, Plan]:
     g as (select *, sum(new) over (partition by game_id order by frame_id rows between unbounded preceding and current row) as clip from f)
     select game_id, clip, greatest(0, min(frame_id) - {C.clip_margin}) as start_frame, max(frame_id) + {C.clip_margin} as end_frame, count(*) as marks, SORTEDSET[etype] as etypes
     from g group by game_id, clip""",
-            covers=("W15", "K10", "F18", "A29", "T23", "F19"),
+            covers=("W15", "K10", "A29", "T23"),
         ),
         "clip_groups_player": Plan(
             f"""with m as (select game_id, coalesce(nullif(p_jersey, ''), cast(p_track as STR)) as player, frame_id from <<ge>> ge where etype in ('score_2pt', 'score_3pt', 'block', 'steal', 'assist')),
@@ -401,7 +401,7 @@ def plans(C: EngineConfig) -> dict[str, Plan]:
             """select job_id, status from (select o_orderkey as job_id, o_orderstatus as status, row_number() over (order by case o_orderstatus when 'O' then 0 else 1 end, o_orderdate, o_orderkey) as r
     from <<jobs>> j where o_orderstatus in ('O', 'P')) x where r = 1""",
             "select o_orderkey as job_id, o_orderstatus as status from orders where o_orderstatus in ('O', 'P') order by case o_orderstatus when 'O' then 0 else 1 end, o_orderdate, o_orderkey limit 1",
-            covers=("O8", "T25"),
+            covers=("O8",),
         ),
         "player_slim": Plan(
             """with chosen as (select game_id, p_track from <<ge>> g where etype = 'score_3pt' group by game_id, p_track having count(*) >= 2)

@@ -62,6 +62,12 @@ _HOOPS = """
 select game_id, side, x, y, radius from (select distinct event_id {div} 500 as game_id from {source}) g
      cross join (values ('left', 480, 180, 25), ('right', 1180, 190, 25)) as h(side, x, y, radius)
 """
+#: Who was seen, now and then with a number that is not always the same.
+_SIGHTINGS = """
+select event_id {div} 500 as game_id, event_id as seq, user_id + 1 as track, cast(user_id % 2 as int) as team,
+       case when k % 6 = 0 then cast((user_id * 7 + k) % 97 as {string}) end as jersey
+from ({source})
+"""
 
 
 def _sql(text: str, duck: bool, **sources: str) -> str:
@@ -102,6 +108,10 @@ def hoops_sql(events: str = "events", duck: bool = True) -> str:
     return _sql(_HOOPS, duck, source=events)
 
 
+def sightings_sql(events: str = "events", duck: bool = True) -> str:
+    return _sql(_SIGHTINGS, duck, source=_parsed(events, duck))
+
+
 def matched_sql(lineitem: str = "lineitem", duck: bool = True) -> str:
     return f"select game_id, frame_id, track_id as ref, cx, cy from ({tracks_sql(lineitem, duck)}) m"
 
@@ -183,6 +193,10 @@ def selected(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _view(spark, sf_dir, "embeddings", selected_sql)
 
 
+def sightings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _view(spark, sf_dir, "events", sightings_sql)
+
+
 def matched(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _view(spark, sf_dir, "lineitem", matched_sql)
 

@@ -515,3 +515,99 @@ def test_unmatched_sides_and_focus(spark):
     schema = "game_id long, vec_id long, embedding array<float>"
     e = Engine(spark, sel=spark.createDataFrame([(1, 1, [1.0, 2.0, 4.0])], schema), vec=spark.createDataFrame([(1, 10, [2.0, 4.0, 8.0]), (1, 11, [3.0, 2.0, 1.0])], schema))
     assert [r["track_id"] for r in e.focus(1).collect()] == [10]
+
+
+def test_frame_size_comes_from_the_settings(spark):
+    """The same trace at twice the size gives the same answers; at the wrong size others."""
+    ball = [(5, 300), (100, 300), (280, 100), (290, 400), (700, 50), (1000, 300), (1270, 710)]
+    deep = "game_id long, frame_id long, k1 long, k2 long, k3 int, class_name string, class_id int, conf int, x1 int, y1 int, x2 int, y2 int"
+
+    def made(scale, **size):
+        events = [event(i, "pass")[:10] + (x * scale, y * scale, None, False, False) for i, (x, y) in enumerate(ball)]
+        frames = [(1, i, x * scale, y * scale, 640 * scale, 180 * scale, 0.9, False) for i, (x, y) in enumerate(ball)]
+        tracks = [(1, i, i, x * scale, y * scale, x, y, x, y, 0, None) for i, (x, y) in enumerate(ball)]
+        boxes = [(1, i, i, 0, 0, "player", 1, 90, 300 * scale, 100 * scale, 340 * scale, (100 + 86 * i) * scale) for i in range(8)]
+        rims = [(1, i, i, 90, (200 + 400 * (i % 2)) * scale, 100 * scale, (240 + 400 * (i % 2)) * scale, 140 * scale) for i in range(40)]
+        e = Engine(
+            spark, EngineConfig(**size), ge=spark.createDataFrame(events, EVENT), fr=spark.createDataFrame(frames, FRAME), tr=spark.createDataFrame(tracks, TRACK),
+            de=spark.createDataFrame(boxes, deep), ri=spark.createDataFrame(rims, "game_id long, frame_id long, o long, conf int, x1 int, y1 int, x2 int, y2 int"),
+        )
+        zones = [r["zone"] for r in e.court_zone().orderBy("seq").collect()]
+        sides = [r["team"] for r in e.team_side().orderBy("frame_id").collect()]
+        tall = sorted(r["frame_id"] for r in e.player_height_filter().collect())
+        hoops = tuple(v // scale for v in e.auto_calibration().first()[1:])
+        return zones, sides, tall, hoops, e.heatmap().agg({"n": "sum"}).first()[0], max(r["ex2"] for r in e.bbox_geom().collect()) > 640 * scale
+
+    small, large = made(1), made(2, frame_width=2560, frame_height=1440)
+    assert small == large and small[0] == ["paint", "paint", "mid_range", "three_point", "three_point", "backcourt", "backcourt"]
+    assert small[3][1] == small[3][3] == 120
+    assert made(2) != large
+    right = engine(spark, [event(i, "pass")[:10] + (x, y, None, False, False) for i, (x, y) in enumerate(ball)], attacking_left=False)
+    assert [r["zone"] for r in right.court_zone().orderBy("seq").collect()] == ["backcourt", "backcourt", "backcourt", "three_point", "three_point", "mid_range", "mid_range"]
+
+
+def test_assignment_reaches_a_true_distance(spark):
+    """140 px off in x and in y are 198 px: too far; of two in reach the nearer one is taken."""
+    tracks = [(1, 1, 1, 100, 100, 0, 0, 0, 0, 0, None), (1, 1, 2, 600, 600, 0, 1, 0, 1, 0, None), (1, 2, 1, 100, 100, 0, 0, 0, 0, 0, None)]
+    boxes = [(1, 1, 1, 0, 0, "player", 1, 90, 230, 230, 250, 250), (1, 1, 2, 0, 0, "player", 1, 90, 590, 740, 610, 760), (1, 1, 3, 0, 0, "player", 1, 90, 600, 600, 620, 620), (1, 2, 4, 0, 0, "player", 1, 90, 100, 240, 100, 260)]
+    deep = "game_id long, frame_id long, k1 long, k2 long, k3 int, class_name string, class_id int, conf int, x1 int, y1 int, x2 int, y2 int"
+    e = Engine(spark, tr=spark.createDataFrame(tracks, TRACK), de=spark.createDataFrame(boxes, deep))
+    assert sorted((r["frame_id"], r["tkey"].split("-")[0], r["dkey"].split("-")[0], r["d2"]) for r in e.assign_greedy().collect()) == [(1, "2", "3", 200), (2, "1", "4", 22500)]
+    assert sorted(((r["tkey"] or "").split("-")[0], (r["dkey"] or "").split("-")[0]) for r in e.unmatched().collect()) == [("", "1"), ("", "2"), ("1", "")]
+
+
+def test_detections_have_thresholds_by_class(spark):
+    deep = "game_id long, frame_id long, k1 long, k2 long, k3 int, class_name string, class_id int, conf int, x1 int, y1 int, x2 int, y2 int"
+    rows = [(1, k, k, 0, 0, c, 0, conf, 0, 0, 60, 60) for k, (c, conf) in enumerate([("ball", 12), ("ball", 5), ("rim", 12), ("rim", 35), ("player", 99)])]
+    e = Engine(spark, de=spark.createDataFrame(rows, deep))
+    assert sorted(r["frame_id"] for r in e.det_filter().collect()) == [0, 3]
+
+
+def test_dead_and_live_time(spark):
+    frames = [(1, f, 640 + 9 * (f % 7), 300, 640, 180, 0.9, f == 10) for f in range(60)]
+    e = engine(spark, [event(1, "score_2pt")], frames, dead_after_score=15, fps=10.0)
+    row = e.summary().first()
+    assert (row["frames"], row["dead_frames"], row["dead_seconds"], row["live_seconds"], row["points"]) == (60, 15, 1.5, 4.5, 2)
+    assert e.snapshot().first()["dead_frames"] == 15
+
+
+def test_highlight_weights_are_settings(spark):
+    events = [event(1, "foul"), event(2, "score_2pt")]
+    scores = lambda **s: [r["score"] for r in engine(spark, events, **s).highlight_score().orderBy("seq").collect()]
+    assert scores() == [-1, 6] and scores(highlight={"foul": 4, "score_2pt": 1}, combo_bonus=0.0) == [4, 1]
+
+
+def test_steals_and_rebounds_come_from_possession(spark):
+    """Player 1 (team 0) passes and player 2 (team 1) takes it in flight; then two misses of player 1, rebounds of players 3 (team 0) and 2."""
+    frames, tracks = [], []
+
+    def step(f, ball, near):
+        frames.append((1, f, *ball, 640, 100, 0.9, False))
+        for t, team in ((1, 0), (2, 1), (3, 0)):
+            x, y = ball if t == near else (ball[0] + 400 + 50 * t, ball[1])
+            tracks.append((1, f, t, x, y, x, y, x, y, team, None))
+
+    f = 0
+    for ball, near, n in (((200, 500), 1, 4), ((320, 500), None, 14), ((420, 500), 2, 4), ((200, 500), 1, 4)):
+        for _ in range(n):
+            step(f, ball, near)
+            f += 1
+    for rebounder in (3, 2):
+        for k in range(6):  # a shot that rises to the rim, misses and comes down beside it
+            step(f, (560, 360 - 50 * k), 1 if k < 2 else None)
+            f += 1
+        for k in range(4):
+            step(f, (700, 160 + 40 * k), None)
+            f += 1
+        for ball, near in (((700, 500), rebounder), ((200, 500), 1)):
+            for _ in range(8):
+                step(f, ball, near)
+                f += 1
+    e = engine(spark, frames=frames, tracks=tracks, possession_loss_frames=12)
+    assert [(r["thief"], r["victim"]) for r in e.possession_steals().collect()][:1] == [(2, 1)]
+    got = [(r["track"], r["etype"]) for r in e.possession_rebounds().orderBy("frame_id").collect()]
+    assert got == [(3, "rebound_off"), (2, "rebound_def")]
+    kinds = [r["etype"] for r in e.frame_events().orderBy("frame_id").collect()]
+    assert kinds.count("shot_miss") == 2 and kinds.count("rebound_off") == kinds.count("rebound_def") == 1 and "steal" in kinds
+    thefts = {(r["frame_id"], r["track"]) for r in e.frame_events().where("etype = 'steal'").collect()}
+    assert not thefts & {(r["frame_id"], r["other"]) for r in e.frame_events().where("etype = 'turnover'").collect()}
