@@ -61,10 +61,11 @@ def games(seed, n_games=3, n=260):
 def streamed(spark, tmp_path, rows, schema, seed, name, jitter=1.5, parts=6):
     """Rows in files that come one after another; within `jitter` seconds they are out of order. Frames last a thirtieth of a second."""
     rng = random.Random(seed)
-    order = sorted(rows, key=lambda r: r[1] / 30 + rng.random() * jitter)
+    order = sorted((r for r in rows if r[0] != CLOCK), key=lambda r: r[1] / 30 + rng.random() * jitter)
     size = -(-len(order) // parts)
-    for k in range(parts):
-        df = spark.createDataFrame(order[k * size : (k + 1) * size], schema).withColumn("ts", F.expr("timestamp_micros(1000000000000000 + frame_id * 1000000 div 30)"))
+    files = [order[k * size : (k + 1) * size] for k in range(parts)] + [[r] for r in rows if r[0] == CLOCK]
+    for k, part in enumerate(files):
+        df = spark.createDataFrame(part, schema).withColumn("ts", F.expr("timestamp_micros(1000000000000000 + frame_id * 1000000 div 30)"))
         df.coalesce(1).write.mode("append").parquet(f"{tmp_path}/{name}/part={k}")
     return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).option("latestFirst", "false").parquet(f"{tmp_path}/{name}/*").withWatermark("ts", "2 seconds")
 
