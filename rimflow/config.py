@@ -64,6 +64,7 @@ class EngineConfig:
     write_back_reach: int = 20
     appearance_max: float = 0.35
     zone_margin: int = 0
+    zone_cell: int = 80
     heat_cell: int = 40
     # jersey numbers
     ocr_width: int = 25
@@ -134,6 +135,7 @@ class EngineConfig:
     # clips, clock
     clip_gap: int = 30
     clip_margin: int = 60
+    clip_bucket: int = 256
     reel_hold: int = 60
     reel_lead: int = 90
     near_ball: int = 140

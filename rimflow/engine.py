@@ -6,7 +6,7 @@
 
 Inputs are DataFrames with the columns that the adapters produce (see rimflow.sources.adapters); only those that a plan
 names are needed for it. Tables of one row for each frame or more are joined by (game_id, frame_id), so any number of games
-can be in them. Zones (zo), the court polygon (po) and hoops (ho) have defaults: those of the configuration, and the hoops that
+can be in them. Zones (zo) and court polygons (po) may be of one game each or (game_id null, or no such column) of all; they and hoops (ho) have defaults: those of the configuration, and the hoops that
 rims show.
 """
 
@@ -30,6 +30,9 @@ class Engine:
         self.inputs.setdefault("zo", spark.sql(adapters.zones_sql(width=config.frame_width, height=config.frame_height)))
         x, y = config.frame_width / DEFAULT.frame_width, config.frame_height / DEFAULT.frame_height
         self.inputs.setdefault("po", spark.sql(adapters.polygon_sql(tuple((int(a * x), int(b * y)) for a, b in COURT_POLYGON))))
+        for name in ("zo", "po"):  # those of all games
+            if "game_id" not in self.inputs[name].columns:
+                self.inputs[name] = self.inputs[name].withColumn("game_id", F.lit(None).cast("long"))
         if "ho" not in self.inputs and "ri" in self.inputs:
             self.inputs["ho"] = calibration.hoops(bind(spark, self.plans["auto_calibration"], self.inputs))
 

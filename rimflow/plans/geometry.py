@@ -9,26 +9,31 @@ from .core import Plan
 _INTER = "(greatest(0, least(a.x2, b.x2) - greatest(a.x1, b.x1)) * greatest(0, least(a.y2, b.y2) - greatest(a.y1, b.y1)))"
 _AREAS = "((a.x2 - a.x1) * (a.y2 - a.y1) + (b.x2 - b.x1) * (b.y2 - b.y1))"
 
-#: The court polygon's edges, from its vertices (k, x, y) in order; the last one leads to the first.
+#: The court polygons' edges, from their vertices (game_id, k, x, y) in order; the last one leads to the first. A null game stands for those without a polygon of their own.
 _EDGES = """
 edges as (
-  select x as ax, y as ay, coalesce(lead(x) over (order by k), first_value(x) over (order by k)) as bx, coalesce(lead(y) over (order by k), first_value(y) over (order by k)) as by_ from <<po>> po
+  select game_id, x as ax, y as ay, coalesce(lead(x) over w, first_value(x) over w) as bx, coalesce(lead(y) over w, first_value(y) over w) as by_ from <<po>> po
+  window w as (partition by game_id order by k)
 )"""
 
 
-_ONE_ROW = "(select collect_list(struct(ax, ay, bx, by_)) as es from edges)"
+def _with_edges(rows: str) -> str:
+    """rows with es, the edges of their game's polygon or else of the common one (of one row)."""
+    return f"""(select r.*, coalesce(o.es, c.es) as es from {rows} r
+      left join (select game_id as og, collect_list(struct(ax, ay, bx, by_)) as es from edges where game_id is not null group by game_id) o on r.game_id = o.og
+      cross join (select collect_list(struct(ax, ay, bx, by_)) as es from edges where game_id is null) c)"""
 
 
 def _inside(x: str, y: str) -> str:
-    """Ray casting in whole numbers: the edges to the right of a point, of the one row's array of _ONE_ROW, are odd in number."""
+    """Ray casting in whole numbers: the edges to the right of a point, of the array of _with_edges, are odd in number."""
     crosses = f"(e.ay > {y}) <> (e.by_ > {y}) and ({x} - e.ax) * (e.by_ - e.ay) * sign(e.by_ - e.ay) < ({y} - e.ay) * (e.bx - e.ax) * sign(e.by_ - e.ay)"
     return f"size(filter(es, e -> {crosses})) % 2 = 1"
 
 
 def _inside_joined(x: str, y: str) -> str:
     """The same as a count over rows, for the oracle."""
-    return f"""(select count(*) from edges e where (e.ay <= {y} and e.by_ > {y} and ({x} - e.ax) * (e.by_ - e.ay) < ({y} - e.ay) * (e.bx - e.ax))
-      or (e.ay > {y} and e.by_ <= {y} and ({x} - e.ax) * (e.by_ - e.ay) > ({y} - e.ay) * (e.bx - e.ax))) % 2 = 1"""
+    return f"""(select count(*) from edges e where e.game_id is not distinct from OWN and ((e.ay <= {y} and e.by_ > {y} and ({x} - e.ax) * (e.by_ - e.ay) < ({y} - e.ay) * (e.bx - e.ax))
+      or (e.ay > {y} and e.by_ <= {y} and ({x} - e.ax) * (e.by_ - e.ay) > ({y} - e.ay) * (e.bx - e.ax)))) % 2 = 1"""
 
 
 #: Nearest player of each frame that has a ball.
@@ -91,6 +96,8 @@ def plans(C: EngineConfig) -> dict[str, Plan]:
     near, far = f"ball_x < {C.three_x}", f"ball_x > {W - C.three_x}"
     if not C.attacking_left:
         near, far = far, near
+    own = lambda t: f"(case when {t}.game_id in (select p.game_id from <<po>> p) then {t}.game_id end)"
+    m, c = C.zone_margin, C.zone_cell
     found: dict[str, Plan] = {
         "scan_prefix_stride": Plan(f"""select game_id, frame_id, class_name, x1, y1, x2, y2 from <<de>> de where frame_id % {max(1, int(C.fps / C.scan_rate))} = 0
     and frame_id - {C.frames_before_game} * game_id <= {min(int(C.scan_seconds * C.fps), C.max_frames or int(C.scan_seconds * C.fps))}""", covers=("S3", "S4")),
@@ -126,25 +133,27 @@ def plans(C: EngineConfig) -> dict[str, Plan]:
             covers=("A13", "T16"),
         ),
         "zone_lookup": Plan(
-            f"""with hit as (
-      select t.game_id, t.frame_id, t.track_id, t.x1, t.y1, t.y2, z.name, (z.x2 - z.x1) * (z.y2 - z.y1) * 1000 + z.k as rank
-      from <<tr>> t join <<zo>> z on t.cx between z.x1 - {C.zone_margin} and z.x2 + {C.zone_margin} and t.cy between z.y1 - {C.zone_margin} and z.y2 + {C.zone_margin}
+            # a zone stands in every cell of a grid that it touches, so points meet the zones of their cell only
+            f"""with z1 as (select *, explode(sequence((x1 - {m}) div {c}, (x2 + {m}) div {c})) as gx from <<zo>> z0), z2 as (select *, explode(sequence((y1 - {m}) div {c}, (y2 + {m}) div {c})) as gy from z1), hit as (
+      select t.game_id, t.frame_id, t.track_id, t.x1, t.y1, t.y2, z.name, struct((z.x2 - z.x1) * (z.y2 - z.y1) as area, z.k) as rank
+      from <<tr>> t join z2 z on t.cx div {c} = z.gx and t.cy div {c} = z.gy
+      where t.cx between z.x1 - {m} and z.x2 + {m} and t.cy between z.y1 - {m} and z.y2 + {m} and (z.game_id is null or z.game_id = t.game_id)
     )
     select game_id, frame_id, track_id, x1, y1, y2, min_by(name, rank) as zone, count(*) as zones from hit group by game_id, frame_id, track_id, x1, y1, y2""",
             f"""select game_id, frame_id, track_id, x1, y1, y2, zone, zones from (
       select t.*, z.name as zone, count(*) over w as zones, row_number() over (w order by (z.x2 - z.x1) * (z.y2 - z.y1), z.k) as r
-      from <<tr>> t, <<zo>> z where z.x1 - {C.zone_margin} <= cx and cx <= z.x2 + {C.zone_margin} and z.y1 - {C.zone_margin} <= cy and cy <= z.y2 + {C.zone_margin}
-      window w as (partition by game_id, frame_id, track_id, t.x1, t.y1, t.y2)) q where r = 1""",
+      from <<tr>> t, <<zo>> z where z.x1 - {C.zone_margin} <= cx and cx <= z.x2 + {C.zone_margin} and z.y1 - {C.zone_margin} <= cy and cy <= z.y2 + {C.zone_margin} and (z.game_id is null or z.game_id = t.game_id)
+      window w as (partition by t.game_id, frame_id, track_id, t.x1, t.y1, t.y2)) q where r = 1""",
             covers=("J12", "P6", "M14", "U4"),
         ),
         "player_height_filter": Plan(
-            f"with {_EDGES} select game_id, frame_id, k1, k2, k3 from <<de>> d cross join {_ONE_ROW} where (y2 - y1) * 100 between 12 * {H} and 95 * {H} and {_inside('((x1 + x2) div 2)', 'y2')}",
-            f"with {_EDGES} select game_id, frame_id, k1, k2, k3 from <<de>> d where (y2 - y1) * 100 between 12 * {H} and 95 * {H} and {_inside_joined('((d.x1 + d.x2) // 2)', 'd.y2')}",
+            f"with {_EDGES} select game_id, frame_id, k1, k2, k3 from {_with_edges("<<de>>")} d where (y2 - y1) * 100 between 12 * {H} and 95 * {H} and {_inside('((x1 + x2) div 2)', 'y2')}",
+            f"with {_EDGES} select game_id, frame_id, k1, k2, k3 from <<de>> d where (y2 - y1) * 100 between 12 * {H} and 95 * {H} and {_inside_joined('((d.x1 + d.x2) // 2)', 'd.y2').replace('OWN', own('d'))}",
             covers=("F1",),
         ),
         "point_in_poly": Plan(
-            f"with {_EDGES} select game_id, frame_id, track_id, cx, cy, y1, {_inside('cx', 'cy')} as inside from <<tr>> t cross join {_ONE_ROW}",
-            f"with {_EDGES} select game_id, frame_id, track_id, cx, cy, y1, {_inside_joined('t.cx', 't.cy')} as inside from <<tr>> t", covers=("F2",),
+            f"with {_EDGES} select game_id, frame_id, track_id, cx, cy, y1, {_inside('cx', 'cy')} as inside from {_with_edges("<<tr>>")} t",
+            f"with {_EDGES} select game_id, frame_id, track_id, cx, cy, y1, {_inside_joined('t.cx', 't.cy').replace('OWN', own('t'))} as inside from <<tr>> t", covers=("F2",),
         ),
         "out_of_bounds": Plan(
             f"""select game_id, frame_id, ball_x < {C.bounds_inner} or ball_x > {W - C.bounds_inner} or ball_y < {C.bounds_inner} or ball_y > {H - C.bounds_inner} as near_edge,

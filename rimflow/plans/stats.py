@@ -260,12 +260,16 @@ def plans(C: EngineConfig) -> dict[str, Plan]:
         ),
         # any number of teams: a row for each event and team of the game; ties lead the smaller team
         "lead_changes": Plan(
-            f"""with p as (select game_id, seq, p_team, {_POINTS} as pts from <<ge>> ge), teams as (select distinct game_id, p_team as team from p where p_team is not null),
-    s as (select p.game_id, p.seq, t.team, sum(case when p.p_team = t.team then pts else 0 end) over (partition by p.game_id, t.team order by p.seq) as score from p join teams t on p.game_id = t.game_id),
+            # only baskets move a score; what comes before the first one is a draw, which the smallest team leads
+            f"""with p as (select game_id, seq, p_team, {_POINTS} as pts, min(seq) over (partition by game_id) as first_seq from <<ge>> ge),
+    teams as (select game_id, p_team as team, min(p_team) over (partition by game_id) as smallest from (select distinct game_id, p_team from p where p_team is not null) d),
+    s as (select b.game_id, b.seq, b.first_seq, t.team, t.smallest, sum(case when b.p_team = t.team then pts else 0 end) over (partition by b.game_id, t.team order by b.seq) as score
+          from (select * from p where pts > 0) b join teams t on b.game_id = t.game_id),
     r as (select *, row_number() over (partition by game_id, seq order by score desc, team) as place from s),
-    l as (select game_id, seq, max(case when place = 1 then team end) as leader, max(case when place = 1 then score end) - max(case when place = 2 then score end) as lead from r group by game_id, seq),
-    moved as (select *, lag(leader) over (partition by game_id order by seq) as before from l)
-    select game_id, cast(sum(case when before <> leader then 1 else 0 end) as bigint) as lead_changes, cast(coalesce(max(lead), 0) as bigint) as largest_lead from moved group by game_id""",
+    l as (select game_id, seq, max(case when seq > first_seq then smallest end) as drawn, max(case when place = 1 then team end) as leader, max(case when place = 1 then score end) - max(case when place = 2 then score end) as lead from r group by game_id, seq),
+    moved as (select *, coalesce(lag(leader) over (partition by game_id order by seq), drawn) as before from l)
+    select t.game_id, cast(coalesce(sum(case when before <> leader then 1 else 0 end), 0) as bigint) as lead_changes, cast(coalesce(max(lead), 0) as bigint) as largest_lead
+    from (select distinct game_id from teams) t left join moved m on t.game_id = m.game_id group by t.game_id""",
             f"""with {_TWO_TEAMS}, led as (
       select *, case when score0 = score1 then t0 when score0 > score1 then 0 else 1 end as leader from points
     ), moved as (select *, lag(leader) over (partition by game_id order by seq) as before from led)
@@ -415,6 +419,14 @@ def plans(C: EngineConfig) -> dict[str, Plan]:
         ),
     }
 
+    # the frames of every clip: clips stand in all buckets of frames that they touch, so frames meet the clips of their bucket only; clips may overlap
+    clips, bucket = found["clip_groups"].sql, C.clip_bucket
+    found["clip_frames"] = Plan(
+        f"""with clips as ({clips}), placed as (select game_id, clip, start_frame, end_frame, explode(sequence(start_frame div {bucket}, end_frame div {bucket})) as bucket from clips)
+    select f.game_id, c.clip, f.frame_id, f.frame_id - c.start_frame as nth from <<fr>> f join placed c on f.game_id = c.game_id and f.frame_id div {bucket} = c.bucket where f.frame_id between c.start_frame and c.end_frame""",
+        f"with clips as ({clips}) select f.game_id, c.clip, f.frame_id, f.frame_id - c.start_frame as nth from <<fr>> f join clips c on f.game_id = c.game_id and f.frame_id >= c.start_frame and f.frame_id <= c.end_frame",
+        ("J17", "F18", "K10"),
+    )
     # the top-1 job is a TakeOrderedAndProject, not a window over one partition
     found["next_job"] = Plan(found["next_job"].oracle.replace("from orders", "from <<jobs>> j"), covers=found["next_job"].covers)
     found["str_clean"] = Plan(

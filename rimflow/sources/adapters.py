@@ -139,14 +139,14 @@ def selected_sql(embeddings: str = "embeddings", duck: bool = True) -> str:
 
 
 def zones_sql(zones: dict = ZONES, width: int = DEFAULT.frame_width, height: int = DEFAULT.frame_height) -> str:
-    """The zones of a frame as a table (k, name, x1, y1, x2, y2); k is their order of precedence."""
+    """The zones of a frame as a table (k, name, x1, y1, x2, y2, game_id); k is their order of precedence, a null game stands for all."""
     rows = ", ".join(f"({k}, '{name}', {int(a * width)}, {int(b * height)}, {int(c * width)}, {int(d * height)})" for k, (name, (a, b, c, d)) in enumerate(zones.items()))
-    return f"select * from (values {rows}) as v(k, name, x1, y1, x2, y2)"
+    return f"select *, cast(null as bigint) as game_id from (values {rows}) as v(k, name, x1, y1, x2, y2)"
 
 
 def polygon_sql(points: tuple = COURT_POLYGON) -> str:
-    """The vertices of a polygon as a table (k, x, y)."""
-    return "select * from (values " + ", ".join(f"({k}, {x}, {y})" for k, (x, y) in enumerate(points)) + ") as v(k, x, y)"
+    """The vertices of a polygon as a table (k, x, y, game_id); a null game stands for those without a polygon of their own."""
+    return "select *, cast(null as bigint) as game_id from (values " + ", ".join(f"({k}, {x}, {y})" for k, (x, y) in enumerate(points)) + ") as v(k, x, y)"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
