@@ -206,18 +206,23 @@ def track_objects(detections: DataFrame, settings: TrackerSettings = TrackerSett
     return detections.groupBy("game_id").applyInPandas(lambda g: track_game(g, settings), TRACK_SCHEMA)
 
 
-def track_ball(game: pd.DataFrame, gate: float = 160.0, sure: float = 0.35, max_lost: int = 30) -> pd.DataFrame:
-    """One filtered ball position for each frame: of the candidates near the prediction the surest, or a sure one elsewhere."""
-    motion, lost, out = None, 0, []
+def track_ball(game: pd.DataFrame, gate: float = 160.0, sure: float = 0.35, max_lost: int = 15, near_weight: float = 0.7) -> pd.DataFrame:
+    """One filtered ball position for each frame.
+
+    From the second point on the candidates within the gate of the prediction compete by a blend of nearness and confidence; a candidate
+    outside is taken only if none is inside and it is sure. A ball that is lost for more than max_lost frames has to be found anew.
+    """
+    motion, lost, points, out = None, 0, 0, []
     for frame_id, rows in game.sort_values("frame_id").groupby("frame_id", sort=True):
         seen = rows.dropna(subset=["ball_x", "ball_y"]).sort_values(["conf", "ball_x"], ascending=[False, True])
         expected = motion.predict() if motion is not None else None
-        if expected is not None and len(seen):
-            near = np.hypot(seen["ball_x"] - expected[0], seen["ball_y"] - expected[1]) <= gate
-            seen = seen[near] if near.any() else seen[seen["conf"] >= sure]
+        if expected is not None and points >= 2 and len(seen):
+            away = np.hypot(seen["ball_x"] - expected[0], seen["ball_y"] - expected[1])
+            score = near_weight * (1 - away / gate) + (1 - near_weight) * seen["conf"]
+            seen = seen.loc[[score[away <= gate].idxmax()]] if (away <= gate).any() else seen[seen["conf"] >= sure]
         if len(seen):
             x, y = float(seen["ball_x"].iloc[0]), float(seen["ball_y"].iloc[0])
-            if motion is None or lost > max_lost:
+            if motion is None:
                 motion = ConstantVelocity(x, y)
             else:
                 motion.correct(x, y)
@@ -225,7 +230,10 @@ def track_ball(game: pd.DataFrame, gate: float = 160.0, sure: float = 0.35, max_
         else:
             lost += 1
         if motion is not None:
+            points += 1
             out.append((int(frame_id), float(motion.x[0]), float(motion.x[1]), float(np.hypot(*motion.x[2:])), lost))
+        if lost > max_lost:
+            motion = None
     made = pd.DataFrame(out, columns=["frame_id", "x", "y", "speed", "frames_lost"])
     made.insert(0, "game_id", game["game_id"].iloc[0])
     return made
