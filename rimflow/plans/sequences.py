@@ -83,6 +83,30 @@ def plans(C: EngineConfig) -> dict[str, Plan]:
     )"""
     )
 
+    #: The same rule for the oracle, frame by frame: candidate and its frames, holder and team, frames without contact.
+    _MACHINE = f"""ranked as (
+      select f.game_id, f.frame_id, f.ball_x, f.ball_y, t.track_id, t.team_id, (t.cx - f.ball_x) ** 2 + (t.cy - f.ball_y) ** 2 as d2, t.x1, t.y1
+      from <<fr>> f left join <<tr>> t on t.game_id = f.game_id and t.frame_id = f.frame_id where f.ball_x is not null
+    ), closest as (
+      select game_id, frame_id, any_value(ball_x) as ball_x, any_value(ball_y) as ball_y, arg_min(struct_pack(who := track_id, team := team_id, d2 := d2), (d2, track_id, x1, y1)) as c from ranked group by game_id, frame_id
+    ), ordered as materialized (
+      select game_id, frame_id, ball_x, ball_y, case when c.d2 <= {C.possession_radius**2} then c.who end as who, c.team as team, row_number() over (partition by game_id order by frame_id) as i from closest
+    ), machine as (
+      select game_id, i, frame_id, ball_x, ball_y, who as cand, case when who is null then 0 else 1 end as n, case when who is null then 1 else 0 end as missed,
+             case when {C.possession_frames} <= 1 then who end as holder, case when {C.possession_frames} <= 1 and who is not null then coalesce(team, -1) end as team from ordered where i = 1
+      union all
+      select game_id, i, frame_id, ball_x, ball_y, cand, n, missed,
+             case when missed >= {C.possession_loss_frames} then null when who is not null and n >= {C.possession_frames} then who else holder end,
+             case when missed >= {C.possession_loss_frames} then null when who is not null and n >= {C.possession_frames} then coalesce(new_team, -1) else team end
+      from (select o.game_id, o.i, o.frame_id, o.ball_x, o.ball_y, o.who, o.team as new_team, m.holder, m.team, case when o.who is null then m.missed + 1 else 0 end as missed,
+                   case when o.who is null and m.missed + 1 >= {C.possession_loss_frames} then null else coalesce(o.who, m.cand) end as cand,
+                   case when o.who is null then case when m.missed + 1 >= {C.possession_loss_frames} then 0 else m.n end when o.who = m.cand then m.n + 1 else 1 end as n
+            from machine m join ordered o on o.game_id = m.game_id and o.i = m.i + 1) x
+    ), pairs as (
+      select b.*, a.i as a_i, a.holder as a_holder, a.team as a_team, a.ball_x as a_x, a.ball_y as a_y, (select c.holder from machine c where c.game_id = b.game_id and c.i = b.i - 1) as just_before
+      from machine b join machine a on a.game_id = b.game_id and a.i = (select max(c.i) from machine c where c.game_id = b.game_id and c.i < b.i and c.holder is not null) where b.holder <> a.holder
+    )"""
+
     _CHANGES = (
         POSSESSION
         + """, numbered as (
@@ -228,15 +252,43 @@ def plans(C: EngineConfig) -> dict[str, Plan]:
     )
 
     found: dict[str, Plan] = {
-        "possession": Plan(f"with {POSSESSION} select game_id, frame_id, holder from held", covers=("T1", "M8")),
-        "turnovers": Plan(f"with {_CHANGES} {_TURNOVERS}", covers=("T10",)),
-        "passes": Plan(f"with {_CHANGES} {_PASSES}", covers=("T8",)),
-        "possession_steals": Plan(f"with {_CHANGES} {_STEALS}", covers=("T9",)),
+        "possession": Plan(f"with {POSSESSION} select game_id, frame_id, holder from held", f"with recursive {_MACHINE} select game_id, frame_id, holder from machine", ("T1", "M8")),
+        "turnovers": Plan(
+            f"with {_CHANGES} {_TURNOVERS}", f"with recursive {_MACHINE} select game_id, frame_id, a_holder as loser, holder as winner from pairs where team <> a_team and least(team, a_team) >= 0", ("T10",)
+        ),
+        "passes": Plan(
+            f"with {_CHANGES} {_PASSES}",
+            f"""with recursive {_MACHINE} select game_id, frame_id, a_holder as sender, holder as receiver, i - a_i - 2 as flight from pairs
+    where just_before is null and team = a_team and sqrt(((ball_x - a_x) ** 2 + (ball_y - a_y) ** 2)::double) >= {int(C.pass_distance)} and i - a_i <= {C.pass_frames + 2}""",
+            ("T8",),
+        ),
+        "possession_steals": Plan(
+            f"with {_CHANGES} {_STEALS}",
+            f"with recursive {_MACHINE} select game_id, frame_id, holder as thief, a_holder as victim, i - a_i - 1 as flight from pairs where team <> a_team and least(team, a_team) >= 0 and just_before is null and i - a_i <= {C.pass_frames + 1}",
+            ("T9",),
+        ),
         "possession_rebounds": _both(
             f"{_CHANGES}, {_BALL}, {_SHOTS}, {_SCORES}, {_ACTIVE}, {_MISSES}", "select game_id, frame_id, track, etype, miss_frame from rebounds", ("T11",), scores=SCORES
         ),
-        "shot_attempts": Plan(f"with {_BALL}, {_SHOTS} select * from attempts", covers=("T2",)),
-        "rim_crossing": Plan(f"with {_BALL}, {_CROSS} select game_id, frame_id, r2, in_x from crossings", covers=("F20", "T3")),
+        "shot_attempts": Plan(
+            f"with {_BALL}, {_SHOTS} select * from attempts",
+            f"""with recursive o as materialized (select game_id, frame_id, ball_x as x, ball_y as y, row_number() over (partition by game_id order by frame_id) as i from <<fr>> f where ball_x is not null),
+    m as (
+      select game_id, i, frame_id, x, y, 0 as n, 0 as start_y, 0 as peak, 0 as out_n, 0 as out_h from o where i = 1
+      union all
+      select game_id, i, frame_id, x, y, case when up then n + 1 else 0 end, case when up and n = 0 then py when up then start_y else 0 end, case when up and n = 0 then y when up then least(peak, y) else 0 end,
+             case when not up and n >= {C.rise_frames} and start_y - peak >= {int(C.arc_height)} then n else 0 end, start_y - peak
+      from (select o.game_id, o.i, o.frame_id, o.x, o.y, m.y as py, m.n, m.start_y, m.peak, o.y < m.y and (o.x - m.x) ** 2 + (o.y - m.y) ** 2 >= {int(C.rise_speed**2)} as up from m join o on o.game_id = m.game_id and o.i = m.i + 1) a
+    ) select game_id, frame_id, out_n::bigint as rising_frames, out_h as arc_height from m where out_n > 0""",
+            ("T2",),
+        ),
+        "rim_crossing": Plan(
+            f"with {_BALL}, {_CROSS} select game_id, frame_id, r2, in_x from crossings",
+            f"""select b.game_id, b.frame_id, cast((b.ball_x - b.rim_x) ** 2 + (b.ball_y - b.rim_y) ** 2 as int) as r2, b.ball_x between b.rim_x - {int(C.rim_radius)} and b.rim_x + {int(C.rim_radius)} as in_x
+    from <<fr>> b join <<fr>> a on a.game_id = b.game_id and a.frame_id = (select max(c.frame_id) from <<fr>> c where c.game_id = b.game_id and c.frame_id < b.frame_id and c.ball_x is not null)
+    where a.ball_y < b.rim_y and b.rim_y <= b.ball_y""",
+            ("F20", "T3"),
+        ),
         "cooldown": _both(f"{_BALL}, {_SCORES}", "select game_id, frame_id from scores", ("T3",), scores=SCORES),
         "blocks": _both(
             f"{NEAREST}, {_BALL}, {_SHOTS}, {_SCORES}, {_ACTIVE}, {_BLOCKS}",
@@ -324,7 +376,23 @@ def plans(C: EngineConfig) -> dict[str, Plan]:
     select game_id, cast(sum(found) as double) / cast(sum(n) as double) as rate, max(missed) as longest_miss from m group by game_id""",
             covers=("A30", "W21"),
         ),
-        "dead_conditions": Plan(f"with {CONDITIONS} select game_id, frame_id, reason from judged", covers=("W19", "W20", "W21")),
+        "dead_conditions": Plan(
+            f"with {CONDITIONS} select game_id, frame_id, reason from judged",
+            f"""with recursive o as materialized (select game_id, frame_id, ball_x as x, ball_y as y, conf, row_number() over (partition by game_id order by frame_id) as i from <<fr>> f),
+    steps as materialized (select b.*, case when b.x is null or a.x is null then 0.0 else sqrt(((b.x - a.x) ** 2 + (b.y - a.y) ** 2)::double) end as v
+      from o b left join o a on a.game_id = b.game_id and a.i = (select max(c.i) from o c where c.game_id = b.game_id and c.i < b.i and c.x is not null)),
+    slow as materialized (select s.game_id, s.i, s.frame_id, s.x, s.y, coalesce(s.x is not null and s.conf >= {C.min_confidence} and s.i >= {C.still_frames}
+        and round((select avg(w.v) from steps w where w.game_id = s.game_id and w.i between s.i - {C.still_frames - 1} and s.i), 6) < {C.still_pixels}, false) as slow,
+        s.i >= 10 and round((select avg(w.conf) from steps w where w.game_id = s.game_id and w.i between s.i - 9 and s.i), 9) < {C.min_confidence / 2} as dim from steps s),
+    m as (
+      select game_id, i, frame_id, x, y, dim, case when x is null then 1 else 0 end as missing, case when slow then 1 else 0 end as still from slow where i = 1
+      union all
+      select s.game_id, s.i, s.frame_id, s.x, s.y, s.dim, case when s.x is null then m.missing + 1 else 0 end, case when s.slow then m.still + 1 else 0 end from m join slow s on s.game_id = m.game_id and s.i = m.i + 1
+    ) select game_id, frame_id, case when missing >= {C.missing_frames} then 'ball_missing'
+        when x not between -{C.bounds_outer} and {C.frame_width + C.bounds_outer} or y not between -{C.bounds_outer} and {C.frame_height + C.bounds_outer} then 'out_of_bounds'
+        when still >= {C.still_frames} then 'ball_stationary' when dim then 'low_confidence' else 'live' end as reason from m""",
+            ("W19", "W20", "W21"),
+        ),
         "dead_segments": Plan(f"with {SEGMENTS} select game_id, seg, start_frame, end_frame, reason from segments", covers=("T14",)),
         "dead_merge": Plan(f"with {MERGED} select game_id, grp, start_frame, end_frame, reason, parts from merged", covers=("W16", "M9")),
         "dead_summary": Plan(

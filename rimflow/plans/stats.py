@@ -149,7 +149,18 @@ def plans(C: EngineConfig) -> dict[str, Plan]:
 
     found: dict[str, Plan] = {
         "event_counts": Plan("select game_id, etype, n, row_number() over (partition by game_id order by n desc, etype) as place from (select game_id, etype, count(*) as n from <<ge>> ge group by game_id, etype) x", covers=("A1", "O10")),
-        "pending_shot": Plan(f"with {RESULTS} select game_id, seq, etype, ref_seq, track, team, zone, three from results", covers=("J18", "T18", "C11")),
+        "pending_shot": Plan(
+            f"with {RESULTS} select game_id, seq, etype, ref_seq, track, team, zone, three from results",
+            """with done as materialized (select * from <<ge>> g where etype in ('score_2pt', 'score_3pt', 'shot_miss')),
+    tied as (
+      select d.*, (select max(t.seq) from <<ge>> t where t.game_id = d.game_id and t.etype = 'shot_attempt' and t.seq < d.seq
+                   and t.seq > coalesce((select max(e.seq) from done e where e.game_id = d.game_id and e.seq < d.seq), -1)) as ref_seq from done d
+    )
+    select d.game_id, d.seq, d.etype, d.ref_seq, coalesce(t.p_track, d.p_track) as track, case when t.seq is null then d.p_team else t.p_team end as team,
+           case when t.seq is null then d.zone else t.zone end as zone, case d.etype when 'score_3pt' then true when 'score_2pt' then false else coalesce(t.is_three, d.is_three) or (case when t.seq is null then d.zone else t.zone end) is not distinct from 'three_point' end as three
+    from tied d left join <<ge>> t on t.game_id = d.game_id and t.seq = d.ref_seq and d.etype = 'shot_miss'""",
+            ("J18", "T18", "C11"),
+        ),
         "player_stats": Plan(f"with {PLAYERS} select * from players", covers=("A2", "A3", "A4", "A5", "T22", "U2")),
         "team_totals": Plan(
             f"with {TEAMS} select *, {share('100 * points', 'greatest(100, 100 * fg_attempts - 100 * offensive_rebounds + 100 * turnovers + 44 * ft_attempts)')} as points_per_possession, {rates()} from teams",
@@ -332,6 +343,11 @@ def plans(C: EngineConfig) -> dict[str, Plan]:
     )
     select r.game_id, r.seq, r.miss_seq, r.p_track, case when r.p_team = s.p_team then 'rebound_off' else 'rebound_def' end as etype
     from r join <<ge>> s on r.game_id = s.game_id and r.miss_seq = s.seq where r.nth = 1 and r.p_track <> s.p_track and r.frame_id - s.frame_id <= {C.rebound_frames}""",
+            f"""with misses as materialized (select * from <<ge>> g where etype = 'shot_miss'),
+    after as (select m.seq as miss_seq, m.game_id, m.frame_id as miss_frame, m.p_track as shooter, m.p_team as shot_team,
+              (select min(c.seq) from <<ge>> c where c.game_id = m.game_id and c.seq > m.seq and c.etype <> 'shot_miss') as next_seq, (select min(n.seq) from misses n where n.game_id = m.game_id and n.seq > m.seq) as next_miss from misses m)
+    select b.game_id, b.seq, a.miss_seq, b.p_track, case when b.p_team = a.shot_team then 'rebound_off' else 'rebound_def' end as etype
+    from after a join <<ge>> b on b.game_id = a.game_id and b.seq = a.next_seq where (a.next_miss is null or a.next_miss > a.next_seq) and b.p_track <> a.shooter and b.frame_id <= a.miss_frame + {C.rebound_frames}""",
             covers=("T11",),
         ),
         "steals": Plan(
@@ -340,6 +356,9 @@ def plans(C: EngineConfig) -> dict[str, Plan]:
              lag(etype) over (partition by game_id order by seq) as etype_before from <<ge>> ge
     )
     select game_id, seq, frame_id, p_track, p_team, before as victim from c where before <> p_track and team_before <> p_team and etype_before = 'pass'""",
+            """select b.game_id, b.seq, b.frame_id, b.p_track, b.p_team, a.p_track as victim
+    from <<ge>> b join <<ge>> a on a.game_id = b.game_id and a.seq = (select max(c.seq) from <<ge>> c where c.game_id = b.game_id and c.seq < b.seq)
+    where a.etype = 'pass' and a.p_track <> b.p_track and a.p_team <> b.p_team""",
             covers=("T9",),
         ),
         "score_attribution": Plan(
@@ -347,6 +366,9 @@ def plans(C: EngineConfig) -> dict[str, Plan]:
     select game_id, seq, etype, scorer from (
       select game_id, seq, etype, LASTNN[holder] over (partition by game_id order by seq rows between unbounded preceding and 1 preceding) as scorer from p
     ) x where etype in ('score_2pt', 'score_3pt')""",
+            """select s.game_id, s.seq, s.etype, h.p_track as scorer from <<ge>> s left join <<ge>> h on h.game_id = s.game_id and h.seq = (
+      select max(c.seq) from <<ge>> c where c.game_id = s.game_id and c.seq < s.seq and c.p_track is not null and c.etype in ('steal', 'assist', 'rebound_def', 'rebound_off', 'pass'))
+    where s.etype in ('score_3pt', 'score_2pt')""",
             covers=("J19",),
         ),
         "clip_groups": Plan(
