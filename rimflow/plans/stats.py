@@ -306,8 +306,19 @@ def plans(C: EngineConfig) -> dict[str, Plan]:
            cast(sum(case when etype in ('shot_attempt', 'shot_miss') then 1 else 0 end) as bigint) as shots from <<ge>> ge group by game_id""",
             covers=("P21", "M3", "U6"),
         ),
+        # one pass over what players did: a row for each track, then for each player
         "identity_resolution": Plan(
             f"""with {ACTIONS}, seen as (
+      select game_id, track, min_by(team, seq) as team, min_by(jersey, case when jersey is not null then seq end) as jersey, min(seq) as first_seq,
+             sum(case when what = 'score_3pt' then 3 when what = 'score_2pt' then 2 when what = 'free_throw_made' then 1 else 0 end) as points, sum(case when what = 'assist' then 1 else 0 end) as assists
+      from actions group by game_id, track
+    ), named as (
+      select *, case when jersey is null then track
+                     else first_value(track) over (partition by game_id, team, jersey order by first_seq, track rows between unbounded preceding and unbounded following) end as canonical
+      from seen
+    )
+    select game_id, canonical, max(team) as team, max(jersey) as jersey, count(*) as tracks, cast(sum(points) as bigint) as points, cast(sum(assists) as bigint) as assists from named group by game_id, canonical""",
+            f"""with {ACTIONS}, seen as (
       select game_id, track, min_by(team, seq) as team, min_by(jersey, case when jersey is not null then seq end) as jersey, min(seq) as first_seq from actions group by game_id, track
     ), named as (
       select *, case when jersey is null then track
