@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .rounds import written
+
 MIN_SAMPLES = 2
 MAX_ROUNDS = 100
 
@@ -41,7 +43,12 @@ def team_clusters(features: DataFrame, track: str = "track_id", feature: str = "
 
     Fewer than two such tracks give an empty result, as there is nothing to divide.
     """
-    means = track_means(features, track, feature).where(F.col("samples") >= min_samples).persist()
+    return two_means(track_means(features, track, feature).where(F.col("samples") >= min_samples), max_rounds)
+
+
+def two_means(means: DataFrame, max_rounds: int = MAX_ROUNDS) -> DataFrame:
+    """track, samples, team, d2 of tracks with their mean features (track, samples, mean)."""
+    means = written(means, "means")  # read again in every round
     if means.limit(2).count() < 2:
         return means.select("track", "samples", F.lit(0).alias("team"), F.lit(0.0).alias("d2")).limit(0)
     at = _centroids(means, F.lit(0))[0]
