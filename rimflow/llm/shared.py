@@ -15,9 +15,8 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 1_000_000
 
 
-#: A shuffle has a partition for so many bytes of the files that a job reads, up to MAX_PARTITIONS.
+#: A shuffle has a partition for so many bytes of the files that a job reads.
 PARTITION_BYTES = 256 << 20
-MAX_PARTITIONS = 50_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,7 +34,7 @@ def input_bytes(df: DataFrame) -> int:
 def job_settings(df: DataFrame) -> Iterator[None]:
     """While a job of ours runs: small Arrow batches, and as many shuffle partitions as its input is worth; then the session's settings again."""
     conf = df.sparkSession.conf
-    partitions = max(int(conf.get("spark.sql.shuffle.partitions")), min(MAX_PARTITIONS, -(-input_bytes(df) // PARTITION_BYTES)))
+    partitions = max(int(conf.get("spark.sql.shuffle.partitions")), -(-input_bytes(df) // PARTITION_BYTES))
     wanted = {
         "spark.sql.shuffle.partitions": str(partitions),
         "spark.sql.execution.arrow.maxRecordsPerBatch": str(BATCH_ROWS),
