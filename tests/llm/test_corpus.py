@@ -306,6 +306,22 @@ def test_urls(spark):
     assert urlfilter.filter_urls(df, spark.createDataFrame([], "host string, path string, action string")).where("verdict <> 'allow' or rule is not null").count() == 0
 
 
+def test_the_url_query_keeps_the_rules_of_its_contract(spark, tmp_path):
+    want = {
+        "http://a.com/en/1": ("com/en/", "block"),
+        "http://b.example.com/en/71": ("example.com/en/7", "allow"),
+        "http://a.net/de/1": ("net/de/", "allow"),
+        "HTTP://NET/de/8?x": ("net/de/", "allow"),
+        "http://example.net/de/7#y": ("net/de/", "allow"),
+        "http://b.example.net/de/81": ("example.net/de/8", "block"),
+        "http://a.org/es/": ("org/es/", "block"),
+        "http://a.net/en/": (None, "allow"),
+    }
+    spark.createDataFrame(list(enumerate(want)), "page_id long, url string").write.parquet(f"file://{tmp_path}/pages.parquet")
+    got = {r["page_id"]: (r["rule"], r["verdict"]) for r in urlfilter.op5_url_filter(spark, f"file://{tmp_path}").collect()}
+    assert [got[i] for i in range(len(want))] == list(want.values())
+
+
 def test_shards_are_even_gapless_and_keep_groups(spark, docs, texts):
     got = sharding.kd_shards(docs, leaves=3).collect()
     assert {r["doc_id"]: (r["size"], r["text_crc32"]) for r in got} == {i: (len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for i, t in enumerate(texts)}
