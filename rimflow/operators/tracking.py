@@ -357,46 +357,61 @@ def track_objects(detections: DataFrame, settings: TrackerSettings = TrackerSett
     return rows.select("game_id", "frame_id", "x1", "y1", "x2", "y2").mapInArrow(_tracker(settings), TRACK_SCHEMA)
 
 
-def track_ball(game: pd.DataFrame, gate: float = 160.0, sure: float = 0.35, max_lost: int = 15, near_weight: float = 0.7) -> pd.DataFrame:
-    """One filtered ball position for each frame.
+BALL_SCHEMA = "game_id long, frame_id long, x double, y double, speed double, frames_lost long"
+_BALLS = pa.schema([("game_id", "int64"), ("frame_id", "int64"), ("x", "float64"), ("y", "float64"), ("speed", "float64"), ("frames_lost", "int64")])
+
 
-    From the second point on the candidates within the gate of the prediction compete by a blend of nearness and confidence; a candidate
+def _ball_tracker(gate: float = 160.0, sure: float = 0.35, max_lost: int = 15, near_weight: float = 0.7) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """From the second point on the candidates within the gate of the prediction compete by a blend of nearness and confidence; a candidate
     outside is taken only if none is inside and it is sure. A ball that is lost for more than max_lost frames has to be found anew.
     """
-    motion, lost, points, out = None, 0, 0, []
-    for frame_id, rows in game.sort_values("frame_id").groupby("frame_id", sort=True):
-        seen = rows.dropna(subset=["ball_x", "ball_y"]).sort_values(["conf", "ball_x"], ascending=[False, True])
-        expected = motion.predict() if motion is not None else None
-        if expected is not None and points >= 2 and len(seen):
-            away = np.hypot(seen["ball_x"] - expected[0], seen["ball_y"] - expected[1])
-            score = near_weight * (1 - away / gate) + (1 - near_weight) * seen["conf"]
-            seen = seen.loc[[score[away <= gate].idxmax()]] if (away <= gate).any() else seen[seen["conf"] >= sure]
-        if len(seen):
-            x, y = float(seen["ball_x"].iloc[0]), float(seen["ball_y"].iloc[0])
-            if motion is None:
-                motion = ConstantVelocity(x, y)
-            else:
-                motion.correct(x, y)
-            lost = 0
-        else:
-            lost += 1
-        if motion is not None:
-            points += 1
-            out.append((int(frame_id), float(motion.s[0]), float(motion.s[1]), float(np.hypot(*motion.s[2:4])), lost))
-        if lost > max_lost:
-            motion = None
-    made = pd.DataFrame(out, columns=["frame_id", "x", "y", "speed", "frames_lost"])
-    made.insert(0, "game_id", game["game_id"].iloc[0])
-    return made
 
+    def follow(chunk: _Chunk, live: tuple | None) -> tuple[list, tuple]:
+        found = chunk.columns("ball_x", "ball_y", "conf")
+        order, spans = _steps(chunk.step[chunk.frame])
+        found, frames = found[:, order], chunk.frame[order]
+        motion = ConstantVelocity(np.zeros(chunk.games), np.zeros(chunk.games))
+        on, lost, points = np.zeros(chunk.games, bool), np.zeros(chunk.games, int), np.zeros(chunk.games, int)
+        if live:
+            motion.s[:, 0], on[0], lost[0], points[0] = live
+        given, out = np.zeros(len(chunk.first), bool), np.zeros((4, len(chunk.first)))
+        for a, b in spans:
+            (x, y, conf), begins = found[:, a:b], _changes(frames[a:b])
+            of, frame = np.cumsum(begins) - 1, frames[a:b][begins]  # candidates of a frame come surest first
+            g = chunk.game[frame]
+            motion.predict(g[on[g]])
+            away = np.hypot(x - motion.s[0, g][of], y - motion.s[1, g][of])
+            gated = (on[g] & (points[g] >= 2))[of]
+            rank = np.where(gated, np.where(away <= gate, 2, conf >= sure), 1) * ~(np.isnan(x) | np.isnan(y))
+            score = np.where(rank == 2, near_weight * (1 - away / gate) + (1 - near_weight) * conf, 0.0)
+            best = np.lexsort((-score, -rank, of))[begins]
+            best = best[rank[best] > 0]
+            seen = g[of[best]]
+            new = ~on[seen]
+            motion.s[:, seen[new]] = ConstantVelocity(x[best[new]], y[best[new]]).s
+            motion.correct(x[best[~new]], y[best[~new]], seen[~new])
+            on[seen] = True
+            lost[g] += 1
+            lost[seen] = 0
+            points[g] += on[g]
+            given[frame], out[:, frame] = on[g], (*motion.s[:2, g], np.hypot(*motion.s[2:4, g]), lost[g])
+            on[g] &= lost[g] <= max_lost
+        rows = chunk.rows.take(chunk.first[given])
+        return [rows["game_id"], rows["frame_id"], *map(pa.array, out[:3, given]), pa.array(out[3, given].astype(int))], (motion.s[:, -1].copy(), on[-1], lost[-1], points[-1])
+
+    return _by_chunks(follow, _BALLS)
 
-BALL_SCHEMA = "game_id long, frame_id long, x double, y double, speed double, frames_lost long"
+
+def track_ball(game: pd.DataFrame, gate: float = 160.0, sure: float = 0.35, max_lost: int = 15, near_weight: float = 0.7) -> pd.DataFrame:
+    """One filtered ball position for each frame: game_id, frame_id, x, y, speed, frames_lost."""
+    rows = game.dropna(subset=["frame_id"]).sort_values(["frame_id", "conf", "ball_x", "ball_y"], ascending=[True, False, True, True])
+    return _of_pandas(_ball_tracker(gate, sure, max_lost, near_weight), rows[["game_id", "frame_id", "ball_x", "ball_y", "conf"]], _BALLS)
 
 
 def ball_tracks(frames: DataFrame) -> DataFrame:
     """frames: game_id, frame_id, ball_x, ball_y, conf (one row for each candidate; nulls where none)."""
-    narrow = frames.selectExpr("game_id", "frame_id", "cast(ball_x as double) as ball_x", "cast(ball_y as double) as ball_y", "cast(conf as double) as conf")
-    return narrow.groupBy("game_id").applyInPandas(lambda g: track_ball(g), BALL_SCHEMA)
+    narrow = frames.selectExpr("cast(game_id as long) as game_id", "cast(frame_id as long) as frame_id", "cast(ball_x as double) as ball_x", "cast(ball_y as double) as ball_y", "nanvl(cast(conf as double), null) as conf")
+    return _dealt(narrow, F.desc_nulls_last("conf"), "ball_x", "ball_y").mapInArrow(_ball_tracker(), BALL_SCHEMA)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -9,7 +9,7 @@ import pandas as pd
 import pytest
 
 from rimflow.operators import tracking
-from rimflow.operators.tracking import assign, track_objects
+from rimflow.operators.tracking import assign, ball_tracks, track_objects
 
 #: Seconds that either tracker may take on many games; the tests say what was measured.
 LIMIT = 20
@@ -112,3 +112,77 @@ def test_objects_by_spark_keep_games_whole_and_take_little_time(spark):
     for g in (0, 1, 197):
         assert sorted(got[got["game_id"] == g].drop(columns="game_id").itertuples(index=False, name=None)) == sorted(plain_objects([r[1:] for r in rows if r[0] == g]))
     assert took < LIMIT, took
+
+
+def plain_ball(rows):
+    """rows of one game: frame_id, ball_x, ball_y, conf."""
+    ball, lost, points, out = None, 0, 0, []
+    for frame in sorted({r[0] for r in rows}):
+        seen = sorted(((x, y, c) for f, x, y, c in rows if f == frame and x is not None and y is not None), key=lambda s: (s[2] is None, -(s[2] or 0), s[0]))
+        if ball:
+            ball.predict()
+            if points >= 2:
+                away = lambda s: np.hypot(*(s[:2] - ball.x[:2]))  # noqa: E731, B023
+                near = [s for s in seen if away(s) <= 160]
+                blend = lambda s: (s[2] is None, -0.7 * (1 - away(s) / 160) - 0.3 * (s[2] or 0))  # noqa: E731, B023
+                seen = [min(near, key=blend)] if near else [s for s in seen if s[2] is not None and s[2] >= 0.35]
+        lost = 0 if seen else lost + 1
+        if seen and ball:
+            ball.correct(*seen[0][:2])
+        elif seen:
+            ball = Filter(*seen[0][:2])
+        if ball:
+            points += 1
+            out.append((frame, *ball.x[:2], np.hypot(*ball.x[2:]), lost))
+        if lost > 15:
+            ball = None
+    return out
+
+
+BALL = "game_id long, frame_id long, ball_x int, ball_y int, conf double"
+
+
+def ball_games(seed, frames):
+    """Games with none to four candidates a frame, some without a confidence; balls that fly, leap and are gone for a while; one game without an id."""
+    rng, rows = np.random.default_rng(seed), []
+    for game in [0, None, 3, 4, 7]:
+        x, y = rng.integers(0, 1200, 2)
+        for f in np.flatnonzero(rng.random(int(rng.integers(20, frames))) < 0.9).tolist():
+            x, y = (x + 9, y + 4) if rng.random() < 0.95 else rng.integers(0, 1200, 2)
+            n = 0 if f % 60 >= 41 else int(rng.integers(0, 5))
+            rows += [(game, f, None, 5, 0.9)] * (n == 0)
+            for k in range(n):
+                dx, dy = rng.integers(-300, 300, 2) if k else (0, 0)
+                rows.append((game, f, int(x + dx), int(y + dy), None if rng.random() < 0.05 else int(rng.integers(0, 100)) / 100))
+    return rows
+
+
+@pytest.mark.parametrize(("seed", "chunk"), [(1, 300_000), (2, 40), (3, 7), (4, 1)])
+def test_balls_of_many_games_equal_plain_loops(spark, seed, chunk, monkeypatch):
+    rows = ball_games(seed, 200)
+    want = [(g, *r) for g in [0, 3, 4, 7, None] for r in plain_ball([r[1:] for r in rows if r[0] == g])]
+    assert {r[-1] for r in want} >= {0, 15}
+    near = lambda got: [r[:2] + r[5:] for r in got] == [r[:2] + r[5:] for r in want] and np.allclose([r[2:5] for r in got], [r[2:5] for r in want])
+    if seed == 1:
+        assert near(sorted(map(tuple, ball_tracks(spark.createDataFrame(rows, BALL)).collect()), key=lambda r: (r[0] is None, r[:2])))
+    monkeypatch.setattr(tracking, "CHUNK_ROWS", chunk)  # games and frames go on from chunk to chunk
+    by = pd.DataFrame(rows, columns=[x.split()[0] for x in BALL.split(", ")]).astype({"game_id": "Int64"})
+    by = by.sort_values(["game_id", "frame_id", "conf", "ball_x", "ball_y"], ascending=[True, True, False, True, True])
+    run = tracking._ball_tracker()(iter(tracking.pa.Table.from_pandas(by, preserve_index=False).to_batches(13)))
+    assert near([tuple(r.values()) for batch in run for r in batch.to_pylist()])
+
+
+def test_balls_of_many_games_take_little_time(spark):
+    """22,360 frames: a data frame sorted for each took 102 s, one step for all games of a chunk 3 s."""
+    some = [[r[1:] for r in ball_games(seed, 300) if r[0] == 7] for seed in range(3)]
+    rows = [(g, *r) for g in range(120) for r in some[g % 3] if r[3] is not None]
+    df = spark.createDataFrame(rows, BALL)
+    assert ball_tracks(df.limit(10)).count() > 0  # workers start
+    began = time.time()
+    got = ball_tracks(df.repartition(7)).toPandas()
+    took = time.time() - began
+    for g in (0, 1, 119):
+        want = plain_ball([r[1:] for r in rows if r[0] == g])
+        one = got[got["game_id"] == g].drop(columns="game_id").sort_values("frame_id")
+        assert one["frame_id"].tolist() == [r[0] for r in want] and np.allclose(one.to_numpy(float), np.array(want, float))
+    assert took < LIMIT, took
